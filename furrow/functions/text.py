@@ -10,7 +10,7 @@ BAND_SUFFIX = r"_B\d+[a-zA-Z]?$"
 
 def parse_list(col: Column) -> Column:
     """Comma list -> trimmed, non-empty items."""
-    return F.filter(F.transform(F.split(col, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_bbox(col: Column) -> Column:
@@ -25,7 +25,7 @@ def parse_windows(col: Column) -> Column:
     skipped and a pair without exactly two parts carries an error."""
 
     def one(pair: Column) -> Column:
-        parts = F.transform(F.split(pair, ":"), F.trim)
+        parts = F.transform(F.split(pair, ":"), lambda x: F.trim(x))
         good = F.size(parts) == 2
         return F.struct(
             pair.alias("pair"),

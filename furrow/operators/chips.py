@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from furrow.functions.arrays import channel, ndvi, ndvi_as_dn, zero_chip
 from furrow.functions.geometry import pixel_window
 from furrow.operators.filters import COARSE_RES, large_enough
+from furrow.session import ship_package
 
 
 def explode_chips(chips: DataFrame, value: str = "dn") -> DataFrame:
@@ -141,6 +142,7 @@ def resize_bilinear(chips: DataFrame, size: int) -> DataFrame:
                 cols[side] = pa.array(np.full(len(h), size), cols[side].type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
+    ship_package(chips.sparkSession)
     return chips.mapInArrow(run, _with_double_px(chips.schema))
 
 
@@ -161,6 +163,7 @@ def resize_planes(df: DataFrame, size: int, planes: str = "planes") -> DataFrame
             px = _list_column(out.ravel(), ends * size * size)
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], px], names=[*names, "px"])
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -183,6 +186,7 @@ def apply_transform(chips: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) ->
                 cols[name] = pa.array([r.shape[k] for r in results], cols[name].type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
+    ship_package(chips.sparkSession)
     return chips.mapInArrow(run, _with_double_px(chips.schema))
 
 
@@ -282,12 +286,12 @@ def multitemporal_chips(
 
 def clip_tiles(tiles: DataFrame, bbox: Sequence[float]) -> DataFrame:
     """Crop each raster to a box; see ``with_clip_window`` for those that miss it."""
-    win = with_clip_window(tiles, bbox).where(F.col("status") == "ok")
+    hit = with_clip_window(tiles, bbox).where(F.col("status") == "ok")
     rows = F.transform(
         F.sequence(F.col("_w.row_off"), F.col("_w.row_off") + F.col("_w.height") - 1),
         lambda y: F.slice("px", y * F.col("w") + F.col("_w.col_off") + 1, F.col("_w.width")),
     )
-    return win.select(
+    return hit.withColumn("px", F.flatten(rows)).select(
         "scene_id",
         (F.col("origin_x") + F.col("_w.col_off") * F.col("res")).alias("origin_x"),
         (F.col("origin_y") - F.col("_w.row_off") * F.col("res")).alias("origin_y"),
@@ -297,7 +301,7 @@ def clip_tiles(tiles: DataFrame, bbox: Sequence[float]) -> DataFrame:
         F.lit(1).alias("c"),
         F.col("_w.height").alias("h"),
         F.col("_w.width").alias("w"),
-        F.flatten(rows).alias("px"),
+        "px",
     )
 
 

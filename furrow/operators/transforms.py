@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from furrow.functions.arrays import REFLECTANCE_SCALE, coin, gaussian, per_channel, quarter_turns, reindex
 from furrow.functions.hashing import uniform
+from furrow.operators.columns import with_computed
 
 Transform = Callable[[DataFrame], DataFrame]
 ID = "chip_id"
@@ -25,7 +26,7 @@ def compose(*steps: Transform) -> Transform:
 
 
 def _with_px(df: DataFrame, px: Column) -> DataFrame:
-    return df.withColumn("px", px)
+    return with_computed(df, {"px": px})
 
 
 def scale_reflectance(scale: float = REFLECTANCE_SCALE) -> Transform:
@@ -88,12 +89,11 @@ def rot90(seed: int = 0, turns: Column | None = None) -> Transform:
         three = turned(lambda y, x: (h - 1 - x, y))
         half = reindex(px, lambda y, x: (h - 1 - y, w - 1 - x))
         swap = F.col("_k").isin(1, 3)
-        return (
-            df.withColumn("_k", k)
-            .withColumn("px", F.when(F.col("_k") == 1, quarter).when(F.col("_k") == 2, half).when(F.col("_k") == 3, three).otherwise(px))
-            .withColumns({"h": F.when(swap, w).otherwise(h), "w": F.when(swap, h).otherwise(w)})
-            .drop("_k")
-        )
+        picked = F.when(F.col("_k") == 1, quarter).when(F.col("_k") == 2, half).when(F.col("_k") == 3, three).otherwise(px)
+        return with_computed(
+            df.withColumn("_k", k),
+            {"px": picked, "h": F.when(swap, w).otherwise(h), "w": F.when(swap, h).otherwise(w)},
+        ).drop("_k")
 
     return apply
 
@@ -113,11 +113,8 @@ def spectral_jitter(brightness: float = 0.1, contrast: float = 0.1, seed: int =
                 (draw("scale", ch) * contrast + 1.0).alias("a"), (draw("shift", ch) * brightness).alias("b")
             ),
         )
-        return (
-            df.withColumn("_d", draws)
-            .withColumn("px", per_channel(F.col("px"), F.col("_d"), lambda v, k: v * k["a"] + k["b"]))
-            .drop("_d")
-        )
+        done = per_channel(F.col("px"), F.col("_d"), lambda v, k: v * k["a"] + k["b"])
+        return _with_px(with_computed(df, {"_d": draws}), done).drop("_d")
 
     return apply
 

@@ -205,7 +205,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "confusion": (
         ["preds"],
-        "select cast(t.i as int) as true, cast(p.i as int) as pred, (select count(*) from preds where preds.label = t.i and preds.pred = p.i) as n"
+        "select cast(t.i as int) as \"true\", cast(p.i as int) as pred, (select count(*) from preds where preds.label = t.i and preds.pred = p.i) as n"
         " from range(4) t(i), range(4) p(i)",
     ),
     "history": (
@@ -400,9 +400,9 @@ BODIES: dict[str, tuple[list[str], str]] = {
     ),
     "download_summary": (
         ["scenes", "bands", "manifest", "results"],
-        "select count(*) as files, count_if(there) as already, count_if(not there) as remaining, count_if(href is null and not there) as missing,"
-        " count_if(href is not null and not there and ok) as ok, count_if(href is not null and not there and not ok) as failed,"
-        " count_if(href is not null and not there and ok is null) as unreported from"
+        "select count(*) as files, count(*) filter (where there) as already, count(*) filter (where not there) as remaining, count(*) filter (where href is null and not there) as missing,"
+        " count(*) filter (where href is not null and not there and ok) as ok, count(*) filter (where href is not null and not there and not ok) as failed,"
+        " count(*) filter (where href is not null and not there and ok is null) as unreported from"
         f" (select p.*, m.path is not null as there, r.ok from ({_PLAN}) p left join manifest m on m.path = p.path left join results r on r.path = p.path)",
     ),
     "parse_windows": (
@@ -490,7 +490,7 @@ BODIES: dict[str, tuple[list[str], str]] = {
         ["obs_keys", "windows", "fields"],
         "select w.window_idx, coalesce(chips, 0) as chips, coalesce(small, 0) as too_small,"
         " (select count(*) from fields) - coalesce(chips, 0) - coalesce(small, 0) as no_scene from windows w left join"
-        " (select window_idx, count_if(ok) as chips, count_if(not ok) as small from (select field_id, window_idx,"
+        " (select window_idx, count(*) filter (where ok) as chips, count(*) filter (where not ok) as small from (select field_id, window_idx,"
         f" {_OK_PX.format(n=2)} and count(*) = 3 as ok from obs_keys group by all) group by 1) k on k.window_idx = w.window_idx",
     ),
     "stack_bands": (
@@ -557,9 +557,9 @@ BODIES: dict[str, tuple[list[str], str]] = {
     ),
     "chip_quality": (
         ["chip_ids"],
-        "select count(*) as chips, count_if(chip_id % 37 = 0) as no_image, count_if(chip_id % 41 <> 0 and chip_id % 47 = 0) as no_label,"
-        " count_if(chip_id % 37 <> 0 and (chip_id % 50 = 0) <> (chip_id % 43 = 0) or chip_id % 37 <> 0 and chip_id % 50 = 0 and chip_id % 43 = 0) as bad_shape,"
-        " count_if(chip_id % 41 = 0) as label_too_large, cast(0 as bigint) as label_negative, count_if(chip_id % 43 = 0) as channel_mismatch from chip_ids",
+        "select count(*) as chips, count(*) filter (where chip_id % 37 = 0) as no_image, count(*) filter (where chip_id % 41 <> 0 and chip_id % 47 = 0) as no_label,"
+        " count(*) filter (where chip_id % 37 <> 0 and (chip_id % 50 = 0) <> (chip_id % 43 = 0) or chip_id % 37 <> 0 and chip_id % 50 = 0 and chip_id % 43 = 0) as bad_shape,"
+        " count(*) filter (where chip_id % 41 = 0) as label_too_large, cast(0 as bigint) as label_negative, count(*) filter (where chip_id % 43 = 0) as channel_mismatch from chip_ids",
     ),
     "band_stats": (
         ["chips"],
@@ -596,17 +596,17 @@ BODIES: dict[str, tuple[list[str], str]] = {
         " where split <> 'train' or (r // 32 + 1) * 32 <= m",
     ),
     "predict_argmax": (["preds"], "select chip_id, label, pred from preds"),
-    "confusion_matrix": (["confusion"], "select * from confusion where true < 3 and pred < 3"),
+    "confusion_matrix": (["confusion"], "select * from confusion where \"true\" < 3 and pred < 3"),
     "confusion_pct": (
         ["confusion"],
-        f"select true, pred, {r('n / nullif(sum(n) over (partition by true), 0)')} as share from confusion",
+        f"select \"true\", pred, {r('n / nullif(sum(n) over (partition by ' + chr(34) + 'true' + chr(34) + '), 0)')} as share from confusion",
     ),
     "accuracy": (["preds"], f"select {r('avg(case when pred = label then 1.0::double else 0.0::double end)')} as accuracy from preds"),
     "macro_scores": (
         ["confusion"],
         f"select {r('avg(tp / greatest(tp + fn, 1))')} as macro_accuracy, {r('avg(2 * tp / (2 * tp + fp + fn))')} as macro_f1 from"
-        " (select k.i, sum(n) filter (where true = k.i and pred = k.i) as tp, sum(n) filter (where true <> k.i and pred = k.i) as fp,"
-        " sum(n) filter (where true = k.i and pred <> k.i) as fn from confusion, range(4) k(i) group by 1) where tp + fp + fn > 0",
+        " (select k.i, sum(n) filter (where \"true\" = k.i and pred = k.i) as tp, sum(n) filter (where \"true\" <> k.i and pred = k.i) as fp,"
+        " sum(n) filter (where \"true\" = k.i and pred <> k.i) as fn from confusion, range(4) k(i) group by 1) where tp + fp + fn > 0",
     ),
     "ce_loss": (
         ["predictions"],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -55,3 +56,18 @@ def checkpointed(df, spark: SparkSession, label: str):
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for operators that run Python there."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "furrow"), "zip", os.path.dirname(package), os.path.basename(package)
+        )
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
