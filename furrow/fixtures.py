@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from furrow.operators.columns import with_computed
 from furrow.operators.ranking import bucketed_rank
 
 FIELDS_SQL = """
@@ -83,7 +84,9 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled polygons, one per order, with missing and malformed values."""
     inputs = {name: table(spark, sf_dir, name) for name in ("customer", "nation", "region")}
     orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
-    return spark.sql(FIELDS_SQL, orders=orders, **inputs)
+    rows = spark.sql(FIELDS_SQL, orders=orders, **inputs)
+    # The text is put together here; a stored column would not be rebuilt per use.
+    return with_computed(rows, {name: F.col(name) for name in ("crop_type", "geom_2")})
 
 
 def scenes_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +188,7 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = (
         F.col("field_id") * 31 + F.col("window_idx") * 997 + F.col("band_idx") * 131
     )
-    return (
+    rows = (
         ids.select("field_id", F.inline(specs))
         .where(seen)
         .select(
@@ -198,14 +201,9 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
             side(1 + F.col("field_id") % 5).alias("w"),
             base.alias("base"),
         )
-        .select(
-            "field_id", "window_idx", "band_idx", "band", "res", "h", "w",
-            F.expr(
-                "transform(sequence(0, h * w - 1),"
-                " i -> cast((base + (i div w) * 17 + (i % w) * 7) % 10000 as int))"
-            ).alias("px"),
-        )
     )
+    px = F.expr("transform(sequence(0, h * w - 1), i -> cast((base + (i div w) * 17 + (i % w) * 7) % 10000 as int))")
+    return with_computed(rows, {"px": px}).drop("base")
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +225,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4x4x4 chips of three classes, one per embedding vector."""
-    return table(spark, sf_dir, "embeddings").select(
+    rows = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chip_id"),
         (F.col("label") % 3).alias("class_idx"),
         F.lit(4).alias("c"),
@@ -235,6 +233,7 @@ def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(4).alias("w"),
         F.transform("embedding", lambda v: F.floor((v.cast("double") + 1) * 5000).cast("int")).alias("px"),
     )
+    return with_computed(rows, {"px": F.col("px")})
 
 
 def dirty_chips(spark: SparkSession, sf_dir: str) -> DataFrame:

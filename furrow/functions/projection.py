@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from furrow.operators.columns import with_computed
 
@@ -42,25 +42,37 @@ DELTA = (
 WGS84 = 4326
 
 
-def central_meridian(epsg: Column) -> Column:
-    """Longitude of the zone's central meridian, in degrees."""
-    return (epsg % 100) * 6.0 - 183.0
+_CORNERS = [(i, j) for j in (0, 1) for i in (0, 1)]
+_GRID_SCALE = K0 * RADIUS
+
+
+def _n(value: float) -> str:
+    """A double literal in SQL text."""
+    return f"{value!r}D"
 
 
-def false_northing(epsg: Column) -> Column:
-    return F.when(F.floor(epsg / 100) == 327, FALSE_NORTHING_SOUTH).otherwise(0.0)
+def _meridian(epsg: str) -> str:
+    """Longitude of the zone's central meridian, in degrees."""
+    return f"(({epsg} % 100) * 6.0D - 183.0D)"
 
 
-def _conformal(lat: Column) -> Column:
-    s = F.sin(F.radians(lat))
-    return F.sinh(F.atanh(s) - F.lit(ECC) * F.atanh(F.lit(ECC) * s))
+def _false_northing(epsg: str) -> str:
+    return f"(case when {epsg} div 100 = 327 then {_n(FALSE_NORTHING_SOUTH)} else 0.0D end)"
 
 
-def _series(coef, head: Column, trig_a, trig_b, u: Column, v: Column, sign: int) -> Column:
-    out = head
+def _series(coef, u: str, v: str | None, trig_u: str, trig_v: str | None) -> str:
+    """Sum of k_j * trig_u(2 j u) * trig_v(2 j v)."""
+    terms = []
     for j, k in enumerate(coef, start=1):
-        out = out + F.lit(sign * k) * trig_a(u * (2.0 * j)) * trig_b(v * (2.0 * j))
-    return out
+        term = f"{_n(k)} * {trig_u}({_n(2.0 * j)} * {u})"
+        terms.append(f"{term} * {trig_v}({_n(2.0 * j)} * {v})" if trig_v else term)
+    return "(" + " + ".join(terms) + ")"
+
+
+def _with_exprs(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Many arithmetic columns at once, from SQL text: one call to the driver's
+    JVM per column and not one per operation."""
+    return df.withColumns({name: F.expr(text) for name, text in columns.items()})
 
 
 def bounds_to_utm(df: DataFrame, x0: str, y0: str, x1: str, y1: str, epsg: str, prefix: str = "u") -> DataFrame:
@@ -69,104 +81,71 @@ def bounds_to_utm(df: DataFrame, x0: str, y0: str, x1: str, y1: str, epsg: str,
     Rows with EPSG 4326 keep their bounds.
     """
     p = f"_{prefix}"
-    lam = F.radians(central_meridian(F.col(epsg)))
-    df = df.withColumns(
-        {
-            f"{p}t0": _conformal(F.col(y0)),
-            f"{p}t1": _conformal(F.col(y1)),
-            f"{p}l0": F.radians(F.col(x0)) - lam,
-            f"{p}l1": F.radians(F.col(x1)) - lam,
-        }
-    )
-    corners = [(i, j) for j in (0, 1) for i in (0, 1)]
-    df = df.withColumns(
+    lon, lat = (x0, x1), (y0, y1)
+    df = _with_exprs(
+        df,
         {
-            **{f"{p}xi{i}{j}": F.atan(F.col(f"{p}t{j}") / F.cos(F.col(f"{p}l{i}"))) for i, j in corners},
-            **{
-                f"{p}eta{i}{j}": F.atanh(F.sin(F.col(f"{p}l{i}")) / F.sqrt(1.0 + F.col(f"{p}t{j}") * F.col(f"{p}t{j}")))
-                for i, j in corners
-            },
-        }
+            **{f"{p}s{j}": f"sin(radians({lat[j]}))" for j in (0, 1)},
+            **{f"{p}l{i}": f"radians({lon[i]} - {_meridian(epsg)})" for i in (0, 1)},
+        },
     )
-    scale = F.lit(K0 * RADIUS)
-    df = df.withColumns(
+    df = _with_exprs(df, {f"{p}t{j}": f"sinh(atanh({p}s{j}) - {_n(ECC)} * atanh({_n(ECC)} * {p}s{j}))" for j in (0, 1)})
+    df = _with_exprs(
+        df,
         {
-            **{
-                f"{p}e{i}{j}": F.lit(FALSE_EASTING)
-                + scale * _series(ALPHA, F.col(f"{p}eta{i}{j}"), F.cos, F.sinh, F.col(f"{p}xi{i}{j}"), F.col(f"{p}eta{i}{j}"), 1)
-                for i, j in corners
-            },
-            **{
-                f"{p}n{i}{j}": false_northing(F.col(epsg))
-                + scale * _series(ALPHA, F.col(f"{p}xi{i}{j}"), F.sin, F.cosh, F.col(f"{p}xi{i}{j}"), F.col(f"{p}eta{i}{j}"), 1)
-                for i, j in corners
-            },
-        }
+            **{f"{p}xi{i}{j}": f"atan({p}t{j} / cos({p}l{i}))" for i, j in _CORNERS},
+            **{f"{p}eta{i}{j}": f"atanh(sin({p}l{i}) / sqrt(1.0D + {p}t{j} * {p}t{j}))" for i, j in _CORNERS},
+        },
     )
-    return _min_max(df, p, prefix, epsg, (x0, y0, x1, y1))
+    columns = {}
+    for i, j in _CORNERS:
+        xi, eta = f"{p}xi{i}{j}", f"{p}eta{i}{j}"
+        columns[f"{p}e{i}{j}"] = f"{_n(FALSE_EASTING)} + {_n(_GRID_SCALE)} * ({eta} + {_series(ALPHA, xi, eta, 'cos', 'sinh')})"
+        columns[f"{p}n{i}{j}"] = (
+            f"{_false_northing(epsg)} + {_n(_GRID_SCALE)} * ({xi} + {_series(ALPHA, xi, eta, 'sin', 'cosh')})"
+        )
+    return _min_max(_with_exprs(df, columns), p, prefix, epsg, (x0, y0, x1, y1))
 
 
 def bounds_to_wgs84(df: DataFrame, x0: str, y0: str, x1: str, y1: str, epsg: str, prefix: str = "g") -> DataFrame:
     """Add ``{prefix}x0..y1``: min/max of the four corners in degrees."""
     p = f"_{prefix}"
-    scale = K0 * RADIUS
-    df = df.withColumns(
-        {
-            f"{p}h0": (F.col(x0) - FALSE_EASTING) / scale,
-            f"{p}h1": (F.col(x1) - FALSE_EASTING) / scale,
-            f"{p}k0": (F.col(y0) - false_northing(F.col(epsg))) / scale,
-            f"{p}k1": (F.col(y1) - false_northing(F.col(epsg))) / scale,
-        }
-    )
-    corners = [(i, j) for j in (0, 1) for i in (0, 1)]
-    df = df.withColumns(
+    east, north = (x0, x1), (y0, y1)
+    df = _with_exprs(
+        df,
         {
-            **{
-                f"{p}xi{i}{j}": _series(BETA, F.col(f"{p}k{j}"), F.sin, F.cosh, F.col(f"{p}k{j}"), F.col(f"{p}h{i}"), -1)
-                for i, j in corners
-            },
-            **{
-                f"{p}eta{i}{j}": _series(BETA, F.col(f"{p}h{i}"), F.cos, F.sinh, F.col(f"{p}k{j}"), F.col(f"{p}h{i}"), -1)
-                for i, j in corners
-            },
-        }
-    )
-    df = df.withColumns(
-        {f"{p}chi{i}{j}": F.asin(F.sin(F.col(f"{p}xi{i}{j}")) / F.cosh(F.col(f"{p}eta{i}{j}"))) for i, j in corners}
+            **{f"{p}h{i}": f"({east[i]} - {_n(FALSE_EASTING)}) / {_n(_GRID_SCALE)}" for i in (0, 1)},
+            **{f"{p}k{j}": f"({north[j]} - {_false_northing(epsg)}) / {_n(_GRID_SCALE)}" for j in (0, 1)},
+        },
     )
-    one = F.lit(1.0)
-    df = df.withColumns(
+    df = _with_exprs(
+        df,
         {
-            **{
-                f"{p}e{i}{j}": central_meridian(F.col(epsg))
-                + F.degrees(F.atan(F.sinh(F.col(f"{p}eta{i}{j}")) / F.cos(F.col(f"{p}xi{i}{j}"))))
-                for i, j in corners
-            },
-            **{
-                f"{p}n{i}{j}": F.degrees(
-                    _series(DELTA, F.col(f"{p}chi{i}{j}"), F.sin, lambda _: one, F.col(f"{p}chi{i}{j}"), one, 1)
-                )
-                for i, j in corners
-            },
-        }
+            **{f"{p}xi{i}{j}": f"{p}k{j} - {_series(BETA, f'{p}k{j}', f'{p}h{i}', 'sin', 'cosh')}" for i, j in _CORNERS},
+            **{f"{p}eta{i}{j}": f"{p}h{i} - {_series(BETA, f'{p}k{j}', f'{p}h{i}', 'cos', 'sinh')}" for i, j in _CORNERS},
+        },
     )
-    return _min_max(df, p, prefix, epsg, (x0, y0, x1, y1))
+    df = _with_exprs(df, {f"{p}chi{i}{j}": f"asin(sin({p}xi{i}{j}) / cosh({p}eta{i}{j}))" for i, j in _CORNERS})
+    columns = {}
+    for i, j in _CORNERS:
+        xi, eta, chi = f"{p}xi{i}{j}", f"{p}eta{i}{j}", f"{p}chi{i}{j}"
+        columns[f"{p}e{i}{j}"] = f"{_meridian(epsg)} + degrees(atan(sinh({eta}) / cos({xi})))"
+        columns[f"{p}n{i}{j}"] = f"degrees({chi} + {_series(DELTA, chi, None, 'sin', None)})"
+    return _min_max(_with_exprs(df, columns), p, prefix, epsg, (x0, y0, x1, y1))
 
 
 def _min_max(df: DataFrame, p: str, prefix: str, epsg: str, plain) -> DataFrame:
-    es = [F.col(f"{p}e{i}{j}") for i in (0, 1) for j in (0, 1)]
-    ns = [F.col(f"{p}n{i}{j}") for i in (0, 1) for j in (0, 1)]
-    geographic = F.col(epsg) == WGS84
-    df = with_computed(
-        df,
-        {
-            f"{prefix}{name}": F.when(geographic, F.col(raw)).otherwise(pick(*cols))
-            for name, raw, pick, cols in (
-                ("x0", plain[0], F.least, es),
-                ("y0", plain[1], F.least, ns),
-                ("x1", plain[2], F.greatest, es),
-                ("y1", plain[3], F.greatest, ns),
-            )
-        },
-    )
-    return df.drop(*[c for c in df.columns if c.startswith(p)])
+    def pick(fn: str, axis: str) -> str:
+        return f"{fn}({', '.join(f'{p}{axis}{i}{j}' for i, j in _CORNERS)})"
+
+    columns = {
+        f"{prefix}{name}": F.expr(f"case when {epsg} = {WGS84} then {raw} else {pick(fn, axis)} end")
+        for name, raw, fn, axis in (
+            ("x0", plain[0], "least", "e"),
+            ("y0", plain[1], "least", "n"),
+            ("x1", plain[2], "greatest", "e"),
+            ("y1", plain[3], "greatest", "n"),
+        )
+    }
+    done = with_computed(df, columns)
+    return done.select(*[c for c in done.columns if not c.startswith(p)])

@@ -53,8 +53,7 @@ def bucketed_rank(
     return (
         tagged.withColumn("_pos", F.row_number().over(inside).cast("bigint"))
         .join(offsets, keys)
-        .withColumn(rank, F.col("_before") + F.col("_pos") - 1)
-        .drop("_bucket", "_pos", "_before")
+        .select(*df.columns, (F.col("_before") + F.col("_pos") - 1).alias(rank), size)
     )
 
 
