@@ -105,12 +105,14 @@ def candidate_cells(
     )
 
 
-def _candidates(fields: DataFrame, cells: DataFrame, cell: float, extra: Sequence[str] = ()) -> DataFrame:
+def _candidates(
+    fields: DataFrame, cells: DataFrame, cell: float, extra: Sequence[str] = (), keep: Sequence[str] = ()
+) -> DataFrame:
     """Fields with each scene of their cell that they touch, left outer: a
     field without one (or without bounds) stays once. ``extra`` are scene
-    columns to carry next to ``_ord``."""
+    columns to carry next to ``_ord``, ``keep`` field columns."""
     box = ("x0", "y0", "x1", "y1")
-    placed = _field_cells(fields.select("field_id", *box), cell)
+    placed = _field_cells(fields.select("field_id", *box, *keep), cell)
     on = (
         (F.col("f.side") == F.col("s.side"))
         & (F.col("f.cx") == F.col("s.cx"))
@@ -120,7 +122,7 @@ def _candidates(fields: DataFrame, cells: DataFrame, cell: float, extra: Sequenc
     return (
         placed.alias("f")
         .join(cells.alias("s"), on, "left")
-        .select("f.field_id", *[f"f.{c}" for c in box], *[f"s.{c}" for c in ("_ord", *extra)])
+        .select(*[f"f.{c}" for c in ("field_id", *box, *keep)], *[f"s.{c}" for c in ("_ord", *extra)])
     )
 
 
@@ -255,13 +257,19 @@ def _tag_native_covers(cells: DataFrame) -> DataFrame:
 
 
 def assign_first_yielding(
-    fields: DataFrame, index: DataFrame, min_px: int = 4, cell: float = DEFAULT_CELL, unassigned: bool = False
+    fields: DataFrame,
+    index: DataFrame,
+    min_px: int = 4,
+    cell: float = DEFAULT_CELL,
+    unassigned: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """First scene by name that yields a large enough chip for the field.
 
     A scene that overlaps but yields too small a chip is passed over for later
     ones. ``fields`` needs ``field_id, x0..y1`` and, with ``unassigned``, keeps
-    every row and adds ``overlaps``. ``index`` is a ``scene_index``.
+    every row and adds ``located`` and ``overlaps``. ``keep`` names columns of
+    the fields to carry. ``index`` is a ``scene_index``.
 
     Scenes rule each other out only on one pixel grid (zone, resolution and
     alignment): there, a clipped window is never larger than the whole one, so
@@ -275,33 +283,29 @@ def assign_first_yielding(
         {"_ax": F.pmod(F.col("nx0"), F.col("res")), "_ay": F.pmod(F.col("ny0"), F.col("res"))}
     )
     pruned = candidate_cells(usable, order, cell, kind=grid, tag_covers=_tag_native_covers)
-    pairs = _candidates(fields if unassigned else fields.where(F.col("x0").isNotNull()), pruned, cell, extra)
+    pairs = _candidates(fields if unassigned else fields.where(F.col("x0").isNotNull()), pruned, cell, extra, keep)
     chip = with_chip_window(pairs)
     yields = (F.col("chip.width") >= min_px) & (F.col("chip.height") >= min_px)
-    result = chip.groupBy("field_id").agg(
+    result = chip.groupBy("field_id", *keep).agg(
         F.min(F.when(yields, F.struct("scene_id", F.col("chip.width").alias("w"), F.col("chip.height").alias("h")))).alias("_first"),
+        F.bool_or(F.col("x0").isNotNull()).alias("located"),
         F.bool_or(F.col("scene_id").isNotNull()).alias("overlaps"),
     )
-    result = result.select("field_id", "_first.scene_id", "_first.w", "_first.h", "overlaps")
-    return result if unassigned else result.where(F.col("scene_id").isNotNull()).drop("overlaps")
+    result = result.select("field_id", *keep, "_first.scene_id", "_first.w", "_first.h", "located", "overlaps")
+    return result if unassigned else result.where(F.col("scene_id").isNotNull()).drop("located", "overlaps")
 
 
-def assignment_report(fields: DataFrame, assigned: DataFrame, label_col: str = "class_idx") -> DataFrame:
-    """Fields per outcome of ``assign_first_yielding(..., unassigned=True)``:
-    ``no_label`` (geometry or label missing), ``ok``, ``too_small`` (some scene
-    overlaps but none yields) and ``no_scene``."""
+def assignment_report(assigned: DataFrame, label_col: str = "class_idx") -> DataFrame:
+    """Fields per outcome of ``assign_first_yielding`` with ``unassigned`` and
+    the label kept: ``no_label`` (geometry or label missing), ``ok``,
+    ``too_small`` (some scene overlaps but none yields) and ``no_scene``."""
     reason = (
-        F.when(F.col("x0").isNull() | F.col(label_col).isNull(), "no_label")
+        F.when(~F.col("located") | F.col(label_col).isNull(), "no_label")
         .when(F.col("scene_id").isNotNull(), "ok")
         .when(F.col("overlaps"), "too_small")
         .otherwise("no_scene")
     )
-    return (
-        fields.select("field_id", "x0", label_col)
-        .join(assigned, "field_id", "left")
-        .groupBy(reason.alias("reason"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return assigned.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def coverage_report(assigned: DataFrame) -> DataFrame:

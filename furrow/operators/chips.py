@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from furrow.functions.arrays import channel, ndvi, ndvi_as_dn, zero_chip
 from furrow.functions.geometry import pixel_window
+from furrow.operators.columns import with_computed
 from furrow.operators.filters import COARSE_RES, large_enough
 from furrow.session import ship_package
 
@@ -231,34 +232,52 @@ def multitemporal_chips(
     max_missing: int = 1,
     ndvi_channel: bool = True,
     coarse_res: float = COARSE_RES,
+    labels: DataFrame | None = None,
+    usable: DataFrame | None = None,
 ) -> DataFrame:
     """Native band windows -> one multi-window chip per field.
 
-    Size check, per-band resize, band stack, NDVI, window stack. The pixels are
-    shuffled once, by field, before they grow: both groupings use that layout.
+    Size check, per-band resize, band stack, NDVI, window stack. ``labels``
+    (one row per field) is joined on, ``usable`` (field and window) restricts
+    the windows that count.
+
+    The pixels are shuffled once, by field and at native size; the joins use
+    the same layout, and everything that makes the rows larger comes after. A
+    group is one field, so it never holds more than windows x bands rows.
     """
     bands = list(bands)
-    keys = ["field_id", "window_idx"]
     place = F.array_position(F.array(*[F.lit(b) for b in bands]), F.col("band"))
-    plane = F.struct(place.alias("i"), F.col("h").alias("h"), F.col("w").alias("w"), F.col("px").alias("px"))
-    per_window = (
-        obs.where(F.col("band").isin(*bands))
-        .repartition("field_id")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(plane)).alias("_b"), F.bool_and(large_enough(min_px, coarse_res)).alias("_ok"))
-        .where(F.col("_ok") & (F.size("_b") == len(bands)))
+    plane = F.struct(
+        F.col("window_idx").alias("t"),
+        place.alias("i"),
+        large_enough(min_px, coarse_res).alias("ok"),
+        F.col("h").alias("h"),
+        F.col("w").alias("w"),
+        F.col("px").alias("px"),
     )
-    drop_place = F.transform("_b", lambda b: F.struct(b["h"].alias("h"), b["w"].alias("w"), b["px"].alias("px")))
     per_field = (
-        per_window.groupBy("field_id")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("window_idx").alias("i"), drop_place.alias("b")))).alias("_w"))
-        .where(n_windows - F.size("_w") <= max_missing)
-        .select(
-            "field_id",
-            F.transform("_w", lambda w: w["i"]).alias("present"),
-            F.flatten(F.transform("_w", lambda w: w["b"])).alias("planes"),
-        )
+        obs.where(F.col("band").isin(*bands)).groupBy("field_id").agg(F.array_sort(F.collect_list(plane)).alias("_p"))
+    )
+    if usable is not None:
+        allowed = usable.groupBy("field_id").agg(F.collect_set("window_idx").alias("_t"))
+        per_field = per_field.join(allowed, "field_id").withColumn(
+            "_p", F.filter("_p", lambda p: F.array_contains(F.col("_t"), p["t"]))
+        ).drop("_t")
+
+    def complete(t: Column) -> Column:
+        planes = F.filter("_p", lambda p: p["t"] == t)
+        return (F.size(planes) == len(bands)) & F.forall(planes, lambda p: p["ok"])
+
+    present = F.filter(F.sequence(F.lit(0), F.lit(n_windows - 1)), complete)
+    per_field = with_computed(per_field, {"present": present}).where(
+        (F.size("present") > 0) & (n_windows - F.size("present") <= max_missing)
     )
+    if labels is not None:
+        per_field = per_field.join(labels, "field_id")
+    kept = F.filter("_p", lambda p: F.array_contains(F.col("present"), p["t"]))
+    per_field = per_field.withColumn(
+        "planes", F.transform(kept, lambda p: F.struct(p["h"].alias("h"), p["w"].alias("w"), p["px"].alias("px")))
+    ).drop("_p")
     chips = resize_planes(per_field, size)
 
     area = size * size
@@ -275,7 +294,7 @@ def multitemporal_chips(
         return F.when(at > 0, px).otherwise(zero_chip(F.lit(channels * area)))
 
     return chips.select(
-        "field_id",
+        *[c for c in chips.columns if c not in ("present", "px")],
         (n_windows - F.size("present")).alias("missing"),
         F.lit(channels * n_windows).alias("c"),
         F.lit(size).alias("h"),

@@ -71,7 +71,13 @@ def class_index(df: DataFrame, label_col: str = "crop_type") -> DataFrame:
 
 
 def with_class_idx(df: DataFrame, classes: DataFrame, label_col: str = "crop_type") -> DataFrame:
-    """Attach the class index; rows without a known class are dropped."""
+    """Attach the class index; rows without a known class are dropped.
+
+    Pass a stored class table: Spark then knows its size before it plans, and
+    sends it to the rows when it is small (the usual case) but not otherwise.
+    Computed on the fly, its size is unknown and the rows would be shuffled by
+    label, which has few values.
+    """
     return df.join(classes, label_col, "inner")
 
 

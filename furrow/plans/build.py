@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from furrow.operators import assign, chips as chip_ops, filters, regions, stats
 from furrow.operators.ml import evaluate_model, train_baseline
+from furrow.operators.scoring import class_weights
 from furrow.operators.splits import assign_split
 from furrow.session import checkpointed
 from furrow.sources.fields import exportable
+from furrow.sources.scenes import complete_scenes
 
 
 def labelled_fields(
@@ -28,7 +30,8 @@ def labelled_fields(
     if per_class:
         rows = rows.withColumn("_group", F.concat_ws(":", F.col("tuman_code"), F.col("crop_type")))
         rows = regions.sample_per_class(rows, per_class, seed, label_col="_group").drop("_group")
-    return regions.with_class_idx(filters.with_bounds(rows), regions.class_index(rows))
+    classes = checkpointed(regions.class_index(rows), rows.sparkSession, "classes")
+    return regions.with_class_idx(filters.with_bounds(rows), classes)
 
 
 def build_chips(
@@ -48,13 +51,13 @@ def build_chips(
     a scene that owns all bands take part.
     """
     best = assign.assign_best_scene_windows(fields, scenes, windows, cloud_max)
-    owners = scenes.where(F.size(F.array_except(F.array(*[F.lit(b) for b in bands]), F.map_keys("assets"))) == 0)
-    usable = best.join(owners.select("scene_id"), "scene_id", "left_semi").select("field_id", "window_idx")
-    chosen = obs.join(usable, ["field_id", "window_idx"], "left_semi")
-    chips = chip_ops.multitemporal_chips(chosen, bands, len(windows), size, min_px, max_missing)
-    return chips.join(fields.select("field_id", "tuman_code", "class_idx"), "field_id").withColumnRenamed(
-        "field_id", "chip_id"
+    owners = complete_scenes(scenes, bands).select("scene_id")
+    usable = best.join(owners, "scene_id", "left_semi").select("field_id", "window_idx")
+    labels = fields.select("field_id", "tuman_code", "class_idx")
+    chips = chip_ops.multitemporal_chips(
+        obs, bands, len(windows), size, min_px, max_missing, labels=labels, usable=usable
     )
+    return chips.withColumnRenamed("field_id", "chip_id")
 
 
 def train_and_score(
@@ -66,8 +69,6 @@ def train_and_score(
     # The optimiser reads its rows many times; features are a few numbers per chip.
     feats = checkpointed(feats, spark, "features")
     train = feats.where(F.col("split") == "train")
-    from furrow.operators.scoring import class_weights
-
     by_class = {r["class_idx"]: r["weight"] for r in class_weights(train, k).collect()}
     model = train_baseline(train, [by_class.get(i, 0.0) for i in range(k)])
     return evaluate_model(model, feats.where(F.col("split") == "test"), k)

@@ -11,7 +11,7 @@ from furrow.functions import arrays, geometry, labels, text
 from furrow.functions.projection import bounds_to_utm
 from furrow.operators import assign, chips as chip_ops, filters, regions, scoring, splits, stats, transforms
 from furrow.plans.build import train_and_score
-from furrow.session import scratch_path
+from furrow.session import checkpointed, scratch_path
 from furrow.sources import chips as chip_io, fields as field_io, scenes as scene_io
 from furrow.streaming.intake import intake, read_intake, scene_stream
 
@@ -61,6 +61,12 @@ def exported(spark: SparkSession, d: str) -> DataFrame:
     return field_io.exportable(fx.fields(spark, d))
 
 
+def indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Exported fields with their class, through a stored class table."""
+    rows = exported(spark, d)
+    return regions.with_class_idx(rows, checkpointed(regions.class_index(rows), spark, "classes"))
+
+
 # --- fields: scan, filters, labels, regions ---------------------------------------------
 
 
@@ -153,8 +159,7 @@ def class_distribution(spark, d):
 
 @query
 def class_index(spark, d):
-    rows = exported(spark, d)
-    return regions.with_class_idx(rows, regions.class_index(rows)).select("field_id", "crop_type", "class_idx")
+    return indexed(spark, d).select("field_id", "crop_type", "class_idx")
 
 
 @query
@@ -303,9 +308,10 @@ def assign_first_yielding(spark, d):
 
 @query
 def assignment_report(spark, d):
-    rows = bounded(spark, d)
-    found = assign.assign_first_yielding(rows, indexed_scenes(spark, d), min_px=60, unassigned=True)
-    return assign.assignment_report(rows, found, label_col="crop_type")
+    found = assign.assign_first_yielding(
+        bounded(spark, d), indexed_scenes(spark, d), min_px=60, unassigned=True, keep=["crop_type"]
+    )
+    return assign.assignment_report(found, label_col="crop_type")
 
 
 def best_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -364,10 +370,11 @@ def resize_bilinear(spark, d):
 
 @query
 def multitemporal_stack(spark, d):
-    rows = exported(spark, d)
-    chips = chip_ops.multitemporal_chips(fx.obs(spark, d), OBS_BANDS, len(DATE_WINDOWS), size=4, min_px=2)
-    labelled = regions.with_class_idx(rows, regions.class_index(rows)).select("field_id", "class_idx")
-    return chips.join(labelled, "field_id").withColumn("px", joined(F.col("px"), 10000))
+    labelled = indexed(spark, d).select("field_id", "class_idx")
+    chips = chip_ops.multitemporal_chips(
+        fx.obs(spark, d), OBS_BANDS, len(DATE_WINDOWS), size=4, min_px=2, labels=labelled
+    )
+    return chips.withColumn("px", joined(F.col("px"), 10000))
 
 
 @query
