@@ -275,11 +275,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with their position in time per user, ranked hour by hour so that
-    a user with a large share of all events is split over many tasks."""
+    """Events with their position in time per user, ranked minute by minute so
+    that a user with a large share of all events is split over many tasks."""
     return bucketed_rank(
         table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"),
-        F.date_trunc("hour", "ts"),
+        F.date_trunc("minute", "ts"),
         [F.col("ts"), F.col("event_id")],
         group=["user_id"],
     )

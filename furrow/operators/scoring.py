@@ -123,13 +123,13 @@ def best_epoch(history: DataFrame, metric: str = "val_f1") -> DataFrame:
     )
 
 
-def running_max(df: DataFrame, value: str, out: str, inclusive: bool, block: int) -> DataFrame:
-    """Running maximum of ``value`` over ``epoch`` within ``run_id``.
+def running_best(df: DataFrame, value: str, out: str, block: int) -> DataFrame:
+    """Running maximum of ``value`` over ``epoch`` within ``run_id``, as ``out``.
 
     A run is cut into blocks of epochs: one small pass over the block maxima
     gives what precedes each block, and the window inside a block never holds
     more than ``block`` rows. The in-block window and the join use the same
-    layout. Adds ``out``; with ``inclusive`` the row itself counts.
+    layout.
     """
     keys = ["run_id", "_block"]
     df = df.withColumn("_block", F.floor(F.col("epoch") / block))
@@ -137,7 +137,7 @@ def running_max(df: DataFrame, value: str, out: str, inclusive: bool, block: int
     carried = (
         df.groupBy(*keys).agg(F.max(value).alias("_m")).select(*keys, F.max("_m").over(before).alias("_carry"))
     )
-    inside = Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inside = Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
     return (
         df.withColumn("_in", F.max(value).over(inside))
         .join(carried, keys)
@@ -148,11 +148,12 @@ def running_max(df: DataFrame, value: str, out: str, inclusive: bool, block: int
 
 def early_stop(history: DataFrame, patience: int = 10, metric: str = "val_f1", block: int = 4096) -> DataFrame:
     """First epoch per run at which ``patience`` epochs have passed without a
-    value strictly above the best so far; null when the run never stops."""
-    best = running_max(history.select("run_id", "epoch", metric), metric, "_best", inclusive=False, block=block)
-    improved = F.col("_best").isNull() | (F.col(metric) > F.col("_best"))
-    marks = best.select("run_id", "epoch", F.when(improved, F.col("epoch")).alias("_mark"))
-    last = running_max(marks, "_mark", "_last", inclusive=True, block=block)
-    return last.groupBy("run_id").agg(
-        F.min(F.when(F.col("epoch") - F.col("_last") >= patience, F.col("epoch"))).alias("stop_epoch")
-    )
+    value strictly above the best so far; null when the run never stops.
+
+    The last improvement is the epoch at which the best value so far was first
+    reached, so one running maximum of (value, earliest epoch) gives both.
+    """
+    reached = F.when(F.col(metric).isNotNull(), F.struct(F.col(metric).alias("m"), (-F.col("epoch")).alias("e")))
+    best = running_best(history.select("run_id", "epoch", reached.alias("_v")), "_v", "_best", block)
+    waited = F.col("epoch") + F.col("_best.e")
+    return best.groupBy("run_id").agg(F.min(F.when(waited >= patience, F.col("epoch"))).alias("stop_epoch"))
