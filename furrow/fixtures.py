@@ -137,13 +137,6 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def windows(spark: SparkSession) -> DataFrame:
-    """The three date windows: a constant dimension, not an input of its own."""
-    return spark.createDataFrame(WINDOWS, "window_idx int, d0 string, d1 string").select(
-        "window_idx", F.to_date("d0").alias("d0"), F.to_date("d1").alias("d1")
-    )
-
-
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Band files, one row per scene and owned band."""
     return scenes(spark, sf_dir).select("scene_id", "scene_k", F.explode("assets").alias("band", "path"))

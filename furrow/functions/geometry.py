@@ -14,27 +14,31 @@ def is_polygon_wkt(wkt: Column) -> Column:
     return wkt.rlike(_POLYGON)
 
 
-def wkt_numbers(wkt: Column) -> Column:
-    """WKT polygon -> its x and y values in turn; null when it is no polygon
-    text or has none. Higher dimensions are left out."""
-    words = F.split(F.trim(wkt), r"[\s,()]+")
+def wkt_words(wkt: Column) -> Column:
+    """WKT text as its words: the type first, then the numbers."""
+    return F.split(F.trim(wkt), r"[\s,()]+")
+
+
+def numbers_of(words: Column) -> Column:
+    """Words of a WKT polygon -> its x and y values in turn; null when it is no
+    polygon text or has none. Higher dimensions are left out."""
     tag = F.upper(F.get(words, 1))
     extra = F.when(tag.isin("Z", "M", "ZM"), F.length(tag)).otherwise(0)
     head = F.when(extra > 0, 2).otherwise(1)
     numbers = F.transform(F.slice(words, head + 1, F.greatest(F.size(words) - head - 1, F.lit(0))), lambda v: v.try_cast("double"))
-    flat = F.when(extra > 0, F.filter(numbers, lambda _, i: i % (2 + extra) < 2)).otherwise(numbers)
     polygon = F.upper(F.get(words, 0)).isin("POLYGON", "MULTIPOLYGON") & (F.size(words) > 3)
-    return F.when(polygon & ~F.exists(numbers, lambda v: v.isNull()), flat)
+    flat = F.when(extra > 0, F.filter(numbers, lambda _, i: i % (2 + extra) < 2)).otherwise(numbers)
+    return F.when(polygon, flat)
 
 
 def bounds_of(numbers: Column) -> Column:
-    """Bounds of x and y values given in turn."""
+    """Bounds of x and y values given in turn; null when a value is missing."""
 
     def side(parity: int, pick) -> Column:
         return pick(F.filter(numbers, lambda _, i: i % 2 == parity))
 
     return F.when(
-        F.size(numbers) > 0,
+        (F.size(numbers) > 0) & ~F.exists(numbers, lambda v: v.isNull()),
         F.struct(
             side(0, F.array_min).alias("x0"),
             side(1, F.array_min).alias("y0"),
@@ -46,7 +50,7 @@ def bounds_of(numbers: Column) -> Column:
 
 def wkt_bounds(wkt: Column) -> Column:
     """WKT polygon -> struct<x0,y0,x1,y1>; null when unparseable or empty."""
-    return bounds_of(wkt_numbers(wkt))
+    return bounds_of(numbers_of(wkt_words(wkt)))
 
 
 def wkt_coordinates(wkt: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from furrow.functions.geometry import is_polygon_wkt, wkt_bounds
+from furrow.functions.geometry import is_polygon_wkt
 from furrow.functions.hashing import key_hash
 from furrow.functions.labels import strip
+from furrow.operators.filters import with_bounds
 from furrow.operators.ranking import shuffled_rank
 
 # Spark drops rows beyond a rank limit before the shuffle up to this limit
@@ -119,10 +120,10 @@ def geometry_skips(fields: DataFrame, geom_col: str = "geom_2", label_col: str =
         F.when(F.col(geom_col).isNull(), "no_geometry")
         .when(F.col(label_col).isNull(), "no_label")
         .when(~is_polygon_wkt(F.col(geom_col)), "unparseable")
-        .when(wkt_bounds(F.col(geom_col)).isNull(), "exported_empty")
+        .when(F.col("x0").isNull(), "exported_empty")
         .otherwise("exported")
     )
-    return fields.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return with_bounds(fields, geom_col).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def combine_report(chips: DataFrame, source: str = "tuman_code") -> DataFrame:

@@ -35,14 +35,19 @@ def build_session(master: str | None = None, name: str = "furrow", shuffle_parti
     return builder.getOrCreate()
 
 
+_own_scratch: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's shared checkpoint
     folder, or a temporary one where none is configured (local tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    if shared:
+        return shared
+    app = spark.sparkContext.applicationId
+    if app not in _own_scratch:
+        _own_scratch[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own_scratch[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -24,7 +24,23 @@ def test_every_sql_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, sf_dir, con, name):
-    assert differences(QUERIES[name](spark, sf_dir), con, SQL[name]) == []
+    df = QUERIES[name](spark, sf_dir)
+    assert differences(df, con, SQL[name]) == []
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["assign_best_scene", "fields_by_scene", "class_index", "split_assign", "multitemporal_stack"])
+def test_same_without_broadcast_and_adaptive_plans(spark, sf_dir, con, name):
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        assert differences(QUERIES[name](spark, sf_dir), con, SQL[name]) == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_entry_has_rows(spark):

@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow import fixtures as fx
-from furrow.operators import chips as ops, scoring, splits
+from furrow.operators import chips as ops, scoring, splits, stats
 from furrow.plans import build
-from furrow.plans.queries import DATE_WINDOWS
-from furrow.sources.scenes import footprints
+from furrow.plans.queries import DATE_WINDOWS, QUERIES
+from furrow.sources.fields import read_fields
+from furrow.sources.scenes import aoi_table, footprints, resolve_aoi
 from furrow.streaming.intake import intake, read_intake, scene_stream
 
 
@@ -144,3 +145,29 @@ def test_window_report_adds_up(spark, sf_dir):
     fields = fx.fields(spark, sf_dir)
     for r in ops.window_report(fx.obs(spark, sf_dir), fields, ["B04", "B08", "B11"], 3, 2).collect():
         assert r.chips + r.too_small + r.no_scene == fields.count() and min(r.chips, r.too_small, r.no_scene) > 0
+
+
+def test_sinks_and_sources_round_trip(spark, sf_dir, tmp_path):
+    scored = scoring.scores(scoring.with_prediction(fx.predictions(spark, sf_dir)), 3)
+    scoring.write_metrics(scored, str(tmp_path / "metrics"))
+    assert {r.name for r in spark.read.json(str(tmp_path / "metrics")).collect()} == {"accuracy", "macro_accuracy", "macro_f1", "loss"}
+    stats.write_band_stats(stats.band_stats(fx.chips(spark, sf_dir)), str(tmp_path / "stats"))
+    mean, std = stats.stats_lists(spark.read.parquet(str(tmp_path / "stats")))
+    assert len(mean) == len(std) == 4
+    fx.fields(spark, sf_dir).write.parquet(str(tmp_path / "fields"))
+    stored = read_fields(spark, str(tmp_path / "fields"), keep=("field_id",))
+    assert stored.columns == ["field_id", "geom_2", "crop_type"] and stored.where("geom_2 is null or crop_type is null").count() == 0
+    assert "PushedFilters: [IsNotNull(geom_2), IsNotNull(crop_type)]" in stored._jdf.queryExecution().toString()
+
+
+def test_named_areas(spark):
+    rows = {r.aoi: r.ax0 for r in aoi_table(spark, {"mine": (1, 2, 3, 4)}).collect()}
+    assert set(rows) == {"fergana", "samarkand", "tashkent", "mine"} and rows["mine"] == 1.0
+    with pytest.raises(ValueError):
+        resolve_aoi("nowhere")
+
+
+def test_rank_limits_apply_before_the_shuffle(spark, sf_dir):
+    for name in ("top_districts", "sample_per_class"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") >= 2, name
