@@ -218,7 +218,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4x4x4 chips of three classes, one per embedding vector."""
-    rows = table(spark, sf_dir, "embeddings").select(
+    rows = spread(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("chip_id"),
         (F.col("label") % 3).alias("class_idx"),
         F.lit(4).alias("c"),
