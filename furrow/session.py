@@ -40,10 +40,12 @@ _own_scratch: dict[str, str] = {}
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's shared checkpoint
-    folder, or a temporary one where none is configured (local tests)."""
+    folder, or a temporary one in local mode, where all tasks share the machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         _own_scratch[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
