@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from furrow.llm import sharding, warc
+from furrow.llm import pii, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,9 +28,24 @@ def op2_warc(spark, d):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+@query
+def op3_simhash(spark, d):
+    return simhash.with_fingerprint_text(simhash.near_duplicates(table(spark, d, "documents")))
+
+
+@query
+def op4_pii(spark, d):
+    return pii.find(table(spark, d, "documents"))
+
+
 @query
 def op5_sharding(spark, d):
     rows = sharding.shard_by_bytes(table(spark, d, "documents"), 8)
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "byte_start"
     )
+
+
+@query
+def op8_quality(spark, d):
+    return quality.predictions(table(spark, d, "documents"), table(spark, d, "labels"))
