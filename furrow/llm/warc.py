@@ -1,7 +1,8 @@
 """WARC records in ZIP packages: writer, and a reader that never unpacks.
 
-A package holds two stored (uncompressed) members: ``archive/data.warc`` and
-``indexes/index.txt`` with one ``offset length`` line per record. The reader
+A package holds two stored members: ``archive/data.warc.gz``, one gzip member per
+record as is usual for WARC, and ``indexes/index.txt`` with one ``offset length``
+line per record. The reader
 parses the end record, the ZIP64 locator and end record, and the central
 directory itself, finds the stored data of both members and reads byte ranges
 of the package in place.
@@ -19,6 +20,7 @@ gives no packages and no rows.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import struct
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from furrow.llm import files
 from furrow.session import checkpointed, scratch_path, ship_package
 
-DATA_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.txt"
+DATA_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.txt"
 PACKAGE_BYTES = 32 << 20  # a package is closed once it holds this much
 RANGE_BYTES = 1 << 20  # neighbouring records are read together up to this much
 
@@ -79,9 +81,8 @@ def record_bytes(page_id, url, payload: bytes, refers_to) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(data: bytes | memoryview) -> dict:
+def parse_record(data: bytes) -> dict:
     """Fields of one record; raises where the block does not fit its headers."""
-    data = bytes(data)
     end = data.find(b"\r\n\r\n")
     lines = data[:end].decode().split("\r\n")
     if end < 0 or not lines[0].startswith("WARC/"):
@@ -255,7 +256,7 @@ def write_packages(records: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "payload", "refers_to")]
             for i in range(batch.num_rows):
-                rec = record_bytes(*(c[i].as_py() for c in columns))
+                rec = gzip.compress(record_bytes(*(c[i].as_py() for c in columns)), 6, mtime=0)
                 if held and total + len(rec) > PACKAGE_BYTES:
                     yield close()
                     k, held, total = k + 1, [], 0
@@ -302,7 +303,7 @@ def read_records(packages: DataFrame) -> DataFrame:
                     data = memoryview(f.read_at(sum(row["lengths"]), row["start"]))
                 at, out = 0, []
                 for n in row["lengths"]:
-                    out.append(parse_record(data[at : at + n]))
+                    out.append(parse_record(gzip.decompress(data[at : at + n])))
                     at += n
                 yield pa.RecordBatch.from_pylist(out, schema)
 
