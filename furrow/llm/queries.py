@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from furrow.llm import pii, quality, sharding, simhash, warc
+from furrow.llm import decontaminate, langid, pieces, pii, quality, rules, sharding, simhash, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_decontamination(spark, d):
+    return decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 @query
 def op2_warc(spark, d):
     records = warc.archive_pages(table(spark, d, "pages"), min_revisit_bytes=0)
@@ -46,6 +51,27 @@ def op5_sharding(spark, d):
     )
 
 
+@query
+def op6_sentencepiece(spark, d):
+    return pieces.encode_documents(table(spark, d, "documents").select("doc_id", "text"), keep_ids=False)
+
+
+@query
+def op7_language(spark, d):
+    return langid.predictions(table(spark, d, "documents"))
+
+
 @query
 def op8_quality(spark, d):
     return quality.predictions(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op9_rules(spark, d):
+    rows = rules.verdicts(table(spark, d, "documents"), table(spark, d, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query
+def op10_token_ids(spark, d):
+    return tokens.tokenize_to_files(table(spark, d, "documents"))

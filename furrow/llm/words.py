@@ -15,6 +15,8 @@ CHUNK_BYTES = 4 << 20  # texts are taken together up to this much; one longer te
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+MARKS = np.zeros(256, bool)  # ASCII that is neither letter nor digit
+MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -54,9 +56,9 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         at = end
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text number) of every word, in order. No word spans two texts."""
-    inside = ~_SPACE[data]
+def spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text number) of every run of bytes that are not ``outside``, in order. No run spans two texts."""
+    inside = ~outside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first = inside.copy()
