@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from furrow.operators.columns import with_computed
 from furrow.operators.ranking import bucketed_rank
 
 FIELDS_SQL = """
@@ -22,6 +21,9 @@ select k as field_id,
   when 4 then 'bugdoy, other' when 5 then 'bugdoy, paxta' when 6 then 'other, bugdoy' when 7 then 'Paxta'
   when 8 then 'paxta, other' else case when k % 3 = 0 then null else 'other' end end as crop_type,
  case when k % 73 = 0 then null when k % 79 = 0 then 'garbage' when k % 83 = 0 then 'MULTIPOLYGON EMPTY'
+  when k % 71 = 0 then concat('POLYGON ', x0, ' ', y0, ' ', x1, ' ', y1)
+  when k % 67 = 0 then concat('POLYGON ((', x0,' ',y0,', ',x1,' ',y0,', ',x1,' ',y1,', ',x0,' ',y1,'))')
+  when k % 11 = 0 then concat('POLYGON ((', x0,' ',y0,', ',x1,' ',y0,', ',x1,' ',y1,', ',x0,' ',y1,', ',x0,' ',y0,'))')
   else concat('MULTIPOLYGON (((', x0,' ',y0,', ',x1,' ',y0,', ',x1,' ',y1,', ',x0,' ',y1,', ',x0,' ',y0,')))') end as geom_2
 from (select k, r_name, n_name, n_nationkey,
   concat(cast(cast(floor(a / 1000) as bigint) as string), '.', lpad(cast(a % 1000 as string),3,'0')) as x0,
@@ -73,20 +75,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input is fewer splits than cores, as with one
-    small file. Larger inputs are left as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled polygons, one per order, with missing and malformed values."""
     inputs = {name: table(spark, sf_dir, name) for name in ("customer", "nation", "region")}
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
-    rows = spark.sql(FIELDS_SQL, orders=orders, **inputs)
-    # The text is put together here; a stored column would not be rebuilt per use.
-    return with_computed(rows, {name: F.col(name) for name in ("crop_type", "geom_2")})
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return spark.sql(FIELDS_SQL, orders=orders, **inputs)
 
 
 def scenes_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +189,7 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     px = F.expr("transform(sequence(0, h * w - 1), i -> cast((base + (i div w) * 17 + (i % w) * 7) % 10000 as int))")
-    return with_computed(rows, {"px": px}).drop("base")
+    return rows.withColumn("px", px).drop("base")
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +211,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4x4x4 chips of three classes, one per embedding vector."""
-    rows = spread(table(spark, sf_dir, "embeddings")).select(
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chip_id"),
         (F.col("label") % 3).alias("class_idx"),
         F.lit(4).alias("c"),
@@ -226,7 +219,6 @@ def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(4).alias("w"),
         F.transform("embedding", lambda v: F.floor((v.cast("double") + 1) * 5000).cast("int")).alias("px"),
     )
-    return with_computed(rows, {"px": F.col("px")})
 
 
 def dirty_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,26 +236,26 @@ def district_of(id_col: Column) -> Column:
     return (1700200 + id_col % 25).cast("int")
 
 
-def chip_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of the per-district chip sets."""
-    return chips(spark, sf_dir).select(district_of(F.col("chip_id")).alias("tuman_code"), "chip_id", "c", "h", "w", "px")
-
-
-def chip_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of the per-district chip sets; every seventh district has none yet."""
-    return (
-        chips(spark, sf_dir)
-        .select(district_of(F.col("chip_id")).alias("tuman_code"), "chip_id", "class_idx")
-        .where(F.col("tuman_code") % 7 != 0)
+def chip_sets(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Two sets of chips per district; every seventh district has no labels yet."""
+    code = district_of(F.col("chip_id"))
+    rows = chips(spark, sf_dir).select(
+        code.alias("tuman_code"), "chip_id", F.when(code % 7 != 0, F.col("class_idx")).alias("class_idx"), "c", "h", "w", "px"
     )
+    return [rows.where(F.col("tuman_code") < 1700212), rows.where(F.col("tuman_code") >= 1700212)]
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three logits per chip."""
+    """Three logits per chip: sums over every third value of the whole vector,
+    in whole steps so that the order of addition does not matter."""
+    whole = F.transform("embedding", lambda v: (F.floor((v.cast("double") + 1) * 5000) - 5000).cast("bigint"))
+    third = lambda r: F.aggregate(
+        F.filter(whole, lambda _, i: i % 3 == r), F.lit(0).cast("bigint"), lambda a, v: a + v
+    )
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chip_id"),
         (F.col("label") % 3).alias("label"),
-        F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double") * 10).alias("logits"),
+        F.array(*[third(r).cast("double") / 500 for r in range(3)]).alias("logits"),
     )
 
 
@@ -279,11 +271,11 @@ def events_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation score per run and epoch."""
+    """Validation score per run and epoch; NaN where a run diverged, on every 53rd event."""
     return events_ranked(spark, sf_dir).select(
         F.col("user_id").alias("run_id"),
         F.col("rank").cast("int").alias("epoch"),
-        (F.floor(F.col("value") * 10).cast("double") / 5000).alias("val_f1"),
+        F.when(F.col("event_id") % 53 == 0, float("nan")).otherwise(F.floor(F.col("value") * 10).cast("double") / 5000).alias("val_f1"),
     )
 
 

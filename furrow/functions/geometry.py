@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # Text patterns of polygon WKT.
@@ -10,8 +12,18 @@ _POLYGON = _HEAD + r"(?:EMPTY|\(+[-+.\deE,\s()]*\d[-+.\deE,\s()]*\))\s*$"
 
 
 def is_polygon_wkt(wkt: Column) -> Column:
-    """True for polygon text, including EMPTY ones; null stays null."""
-    return wkt.rlike(_POLYGON)
+    """True for polygon text whose rings have four points or more and are closed,
+    and for EMPTY ones; null stays null."""
+    rings = F.filter(F.split(wkt, r"\)"), lambda t: t.rlike(r"\d"))
+
+    def point(text: Column) -> Column:
+        return F.transform(F.slice(F.split(F.trim(text), r"\s+"), 1, 2), lambda v: v.try_cast("double"))
+
+    def closed(ring: Column) -> Column:
+        points = F.split(F.regexp_replace(ring, r"^[^(]*\(+", ""), ",")
+        return (F.size(points) >= 4) & (point(F.get(points, 0)) == point(F.get(points, F.size(points) - 1)))
+
+    return F.when(wkt.isNotNull(), wkt.rlike(_POLYGON) & F.coalesce(F.forall(rings, closed), F.lit(False)))
 
 
 def wkt_words(wkt: Column) -> Column:
@@ -50,7 +62,7 @@ def bounds_of(numbers: Column) -> Column:
 
 def wkt_bounds(wkt: Column) -> Column:
     """WKT polygon -> struct<x0,y0,x1,y1>; null when unparseable or empty."""
-    return bounds_of(numbers_of(wkt_words(wkt)))
+    return F.when(is_polygon_wkt(wkt), bounds_of(numbers_of(wkt_words(wkt))))
 
 
 def wkt_coordinates(wkt: Column) -> Column:
@@ -83,24 +95,22 @@ def bbox_ring(lon_min: Column, lat_min: Column, lon_max: Column, lat_max: Column
     )
 
 
-def bbox_geojson(lon_min: Column, lat_min: Column, lon_max: Column, lat_max: Column) -> Column:
-    """A GeoJSON Polygon covering the box, as a struct (``to_json`` for text)."""
-    return F.struct(
-        F.lit("Polygon").alias("type"),
-        F.array(bbox_ring(lon_min, lat_min, lon_max, lat_max)).alias("coordinates"),
-    )
-
-
 def bbox_error(lon_min: Column, lat_min: Column, lon_max: Column, lat_max: Column) -> Column:
     """First rule a box breaks, or null for a valid one."""
-    missing = lon_min.isNull() | lat_min.isNull() | lon_max.isNull() | lat_max.isNull()
-    return (
-        F.when(missing, "missing coordinate")
-        .when(lon_min >= lon_max, "lon_min must be < lon_max")
-        .when(lat_min >= lat_max, "lat_min must be < lat_max")
-        .when(~(lon_min.between(-180.0, 180.0) & lon_max.between(-180.0, 180.0)), "longitude out of range")
-        .when(~(lat_min.between(-90.0, 90.0) & lat_max.between(-90.0, 90.0)), "latitude out of range")
-    )
+    sides = (lon_min, lat_min, lon_max, lat_max)
+    error = F.when(reduce(lambda a, b: a | b, [v.isNull() for v in sides]), "missing coordinate")
+    for message, broken in BOX_RULES:
+        error = error.when(broken(*sides), message)
+    return error
+
+
+# Rules of a box, in the order they are reported; each works on numbers and on columns.
+BOX_RULES = (
+    ("empty in longitude", lambda x0, y0, x1, y1: x0 >= x1),
+    ("empty in latitude", lambda x0, y0, x1, y1: y0 >= y1),
+    ("longitude out of range", lambda x0, y0, x1, y1: (x0 < -180) | (x1 > 180)),
+    ("latitude out of range", lambda x0, y0, x1, y1: (y0 < -90) | (y1 > 90)),
+)
 
 
 def footprint(geometry: Column, bbox: Column) -> Column:

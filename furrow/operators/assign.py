@@ -15,10 +15,17 @@ cell
   if it comes before that one.
 
 The surviving table is about one row per cell plus the edges of better scenes,
-however many scenes cover the area, and a field needs one lookup. Larger fields
-use one of a few coarser grids, so that the same holds for every field size.
-The result is exact. ``cell``, the finest side in degrees, should be a small
-part of the usual footprint and above the usual field.
+however many scenes cover the area, and a field needs one lookup. ``cell``, the
+side in degrees, should be a small part of the usual footprint and above the
+usual field.
+
+A larger field is looked up in every cell it meets, and the best of the cells'
+answers is taken: a scene that meets the field meets it inside some cell, and one
+that was ruled out there was so by a better scene that meets the field too. The
+number of candidates of a field thus grows with its own area and not with the
+catalogue. For "first scene that yields a large enough chip" the chip depends on
+the whole field, so larger fields use coarser grids instead; only the grids that
+some field needs are built. Both are exact.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from furrow.functions.geometry import boxes_touch, clip_bounds, pixel_window
 from furrow.functions.hashing import hash_int
@@ -35,6 +42,7 @@ from furrow.operators.columns import with_computed
 from furrow.sources.scenes import DEFAULT_CLOUD_MAX, in_date_range
 
 DEFAULT_CELL = 0.25
+SALTS = 64  # parts of a scene's fields when sizes are joined to them
 
 _BOX = ("lon_min", "lat_min", "lon_max", "lat_max")
 
@@ -47,15 +55,20 @@ def grid_sides(cell: float) -> list[float]:
     return sides
 
 
-def _scene_cells(scenes: DataFrame, cell: float) -> DataFrame:
+def needed_sides(fields: DataFrame, cell: float) -> list[float]:
+    """The grids that some field is looked up in: at most one value per grid is gathered."""
+    found = _field_cells(fields.where(F.col("x0").isNotNull()), cell).select("side").distinct().collect()
+    return sorted({float(cell), *(r["side"] for r in found)})
+
+
+def _scene_cells(scenes: DataFrame, sides: Sequence[float]) -> DataFrame:
     """One row per scene, grid and cell whose block the scene meets."""
 
     def span(lo: str, hi: str) -> Column:
         return F.explode(F.sequence(F.floor(F.col(lo) / F.col("side")) - 1, F.floor(F.col(hi) / F.col("side"))))
 
-    sides = F.array(*[F.lit(s) for s in grid_sides(cell)])
     return (
-        scenes.withColumn("side", F.explode(sides))
+        scenes.withColumn("side", F.explode(F.array(*[F.lit(float(s)) for s in sides])))
         .withColumn("cx", span("lon_min", "lon_max"))
         .withColumn("cy", span("lat_min", "lat_max"))
     )
@@ -73,6 +86,19 @@ def _field_cells(fields: DataFrame, cell: float) -> DataFrame:
     )
 
 
+def _cells_met(fields: DataFrame, cell: float) -> DataFrame:
+    """One row per field and cell it has to be looked up in: one for a field no
+    larger than a cell, else all it meets; one null cell without bounds."""
+    side = F.lit(float(cell))
+    large = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > side
+
+    def span(lo: str, hi: str) -> Column:
+        first = F.floor(F.col(lo) / side)
+        return F.explode_outer(F.sequence(first, F.when(large, F.floor(F.col(hi) / side)).otherwise(first)))
+
+    return fields.withColumn("side", F.when(F.col("x0").isNotNull(), side)).withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+
+
 def _tag_covers(cells: DataFrame) -> DataFrame:
     """Add ``_covers``: the scene's box contains the whole block."""
     side = F.col("side")
@@ -87,7 +113,7 @@ def _tag_covers(cells: DataFrame) -> DataFrame:
 
 
 def candidate_cells(
-    scenes: DataFrame, order: Column, cell: float, kind: Sequence[str] = (), tag_covers: Callable = _tag_covers
+    scenes: DataFrame, order: Column, sides: Sequence[float], kind: Sequence[str] = (), tag_covers: Callable = _tag_covers
 ) -> DataFrame:
     """Scenes worth testing per cell.
 
@@ -96,7 +122,7 @@ def candidate_cells(
     count as containing the block.
     """
     keys = ["side", "cx", "cy", *kind]
-    tagged = tag_covers(_scene_cells(scenes.withColumn("_ord", order), cell))
+    tagged = tag_covers(_scene_cells(scenes.withColumn("_ord", order), sides))
     best = tagged.groupBy(*keys).agg(F.min(F.when(F.col("_covers"), F.col("_ord"))).alias("_best"))
     return (
         tagged.join(best, keys, "left")
@@ -106,13 +132,14 @@ def candidate_cells(
 
 
 def _candidates(
-    fields: DataFrame, cells: DataFrame, cell: float, extra: Sequence[str] = (), keep: Sequence[str] = ()
+    fields: DataFrame, cells: DataFrame, cell: float, extra: Sequence[str] = (), keep: Sequence[str] = (), place: Callable = _cells_met
 ) -> DataFrame:
     """Fields with each scene of their cell that they touch, left outer: a
     field without one (or without bounds) stays once. ``extra`` are scene
-    columns to carry next to ``_ord``, ``keep`` field columns."""
+    columns to carry next to ``_ord``, ``keep`` field columns. With ``_cells_met``
+    a large field may come with the same scene, or with none, more than once."""
     box = ("x0", "y0", "x1", "y1")
-    placed = _field_cells(fields.select("field_id", *box, *keep), cell)
+    placed = place(fields.select("field_id", *box, *keep), cell)
     on = (
         (F.col("f.side") == F.col("s.side"))
         & (F.col("f.cx") == F.col("s.cx"))
@@ -136,19 +163,26 @@ def assign_best_scene(
     cloud_max: float = DEFAULT_CLOUD_MAX,
     cell: float = DEFAULT_CELL,
     unassigned: bool = False,
+    keep: Sequence[str] = (),
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Least cloudy scene whose footprint touches the field's bounds, ties by
     scene id. ``fields`` needs ``field_id, x0..y1``, ``scenes`` ``footprints``.
 
     With ``unassigned`` every field is returned, without a scene where none fits.
+    ``keep`` names columns of the fields and ``extra`` of the scenes to carry, so
+    that neither has to be joined again.
     """
-    usable = scenes.where(F.col("cloud_cover") < cloud_max).select("scene_id", "cloud_cover", *_BOX)
-    pruned = candidate_cells(usable, _cloud_order(), cell)
-    pairs = _candidates(fields if unassigned else fields.where(F.col("x0").isNotNull()), pruned, cell)
-    best = pairs.groupBy("field_id").agg(F.min("_ord").alias("_best"))
+    usable = scenes.where(F.col("cloud_cover") < cloud_max).select("scene_id", "cloud_cover", *_BOX, *[c for c in extra if c not in _BOX])
+    pruned = candidate_cells(usable, _cloud_order(), [cell])
+    own = [c for c in keep if c not in ("x0", "y0", "x1", "y1")]
+    pairs = _candidates(fields if unassigned else fields.where(F.col("x0").isNotNull()), pruned, cell, extra, own)
+    best = pairs.groupBy("field_id", *keep).agg(F.min(F.when(F.col("_ord").isNotNull(), F.struct("_ord", *extra))).alias("_best"))
     if not unassigned:
         best = best.where(F.col("_best").isNotNull())
-    return best.select("field_id", F.col("_best.scene_id").alias("scene_id"), F.col("_best.cloud_cover").alias("cloud_cover"))
+    return best.select(
+        "field_id", *keep, F.col("_best._ord.scene_id").alias("scene_id"), F.col("_best._ord.cloud_cover").alias("cloud_cover"), *[f"_best.{c}" for c in extra]
+    )
 
 
 def tag_windows(scenes: DataFrame, windows: Sequence[tuple[str, str]]) -> DataFrame:
@@ -175,7 +209,7 @@ def assign_best_scene_windows(
     usable = tag_windows(scenes.where(F.col("cloud_cover") < cloud_max), windows).select(
         "scene_id", "cloud_cover", "window_idx", *_BOX
     )
-    pruned = candidate_cells(usable, _cloud_order(), cell, kind=["window_idx"])
+    pruned = candidate_cells(usable, _cloud_order(), [cell], kind=["window_idx"])
     pairs = _candidates(fields.where(F.col("x0").isNotNull()), pruned, cell, ["window_idx"])
     return (
         pairs.where(F.col("_ord").isNotNull())
@@ -282,8 +316,8 @@ def assign_first_yielding(
     usable = index.select(*extra, *_BOX).withColumns(
         {"_ax": F.pmod(F.col("nx0"), F.col("res")), "_ay": F.pmod(F.col("ny0"), F.col("res"))}
     )
-    pruned = candidate_cells(usable, order, cell, kind=grid, tag_covers=_tag_native_covers)
-    pairs = _candidates(fields if unassigned else fields.where(F.col("x0").isNotNull()), pruned, cell, extra, keep)
+    pruned = candidate_cells(usable, order, needed_sides(fields, cell), kind=grid, tag_covers=_tag_native_covers)
+    pairs = _candidates(fields if unassigned else fields.where(F.col("x0").isNotNull()), pruned, cell, extra, keep, _field_cells)
     chip = with_chip_window(pairs)
     yields = (F.col("chip.width") >= min_px) & (F.col("chip.height") >= min_px)
     result = chip.groupBy("field_id", *keep).agg(
@@ -321,11 +355,13 @@ def coverage_report(assigned: DataFrame) -> DataFrame:
 
 def fields_by_scene(assigned: DataFrame, chunk: int = 10_000) -> DataFrame:
     """Invert an assignment: the fields of each scene, in parts of about
-    ``chunk`` ids so that a scene holding most fields still fits many tasks."""
-    sizes = assigned.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_fields"))
+    ``chunk`` ids so that a scene holding most fields still fits many tasks. The
+    sizes are joined by scene and salt, so such a scene is split there too."""
+    salted = assigned.select("scene_id", "field_id", (F.xxhash64("field_id") % SALTS).alias("_salt"))
+    sizes = salted.groupBy("scene_id", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("scene_id", "_salt", F.sum("_n").over(Window.partitionBy("scene_id")).alias("n_fields"))
     return (
-        assigned.select("scene_id", "field_id")
-        .join(sizes, "scene_id")
+        salted.join(sizes, ["scene_id", "_salt"])
         .withColumn("part", hash_int(F.col("field_id")) % F.ceil(F.col("n_fields") / chunk))
         .groupBy("scene_id", "part", "n_fields")
         .agg(F.array_sort(F.collect_list("field_id")).alias("field_ids"))

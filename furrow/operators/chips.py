@@ -46,8 +46,8 @@ def collect_chips(pixels: DataFrame, keys: Sequence[str] = ("chip_id",), value:
 
 
 def stack_bands(windows: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("field_id", "window_idx")) -> DataFrame:
-    """Band windows of equal size -> one chip per key, channels in the order of
-    ``bands``. Keys that lack a band are dropped."""
+    """Band windows -> one chip per key, channels in the order of ``bands``. Keys
+    that lack or repeat a band, or whose windows differ in size, are dropped."""
     place = F.array_position(F.array(*[F.lit(b) for b in bands]), F.col("band"))
     return (
         windows.where(F.col("band").isin(*bands))
@@ -56,8 +56,9 @@ def stack_bands(windows: DataFrame, bands: Sequence[str], keys: Sequence[str] =
             F.array_sort(F.collect_list(F.struct(place.alias("i"), F.col("px").alias("px")))).alias("_b"),
             F.max("h").alias("h"),
             F.max("w").alias("w"),
+            ((F.max("h") == F.min("h")) & (F.max("w") == F.min("w"))).alias("_even"),
         )
-        .where(F.size("_b") == len(bands))
+        .where((F.size("_b") == len(bands)) & (F.size(F.array_distinct(F.transform("_b", lambda b: b["i"]))) == len(bands)) & F.col("_even"))
         .select(*keys, F.lit(len(bands)).alias("c"), "h", "w", F.flatten(F.transform("_b", lambda b: b["px"])).alias("px"))
     )
 
@@ -101,7 +102,7 @@ def _resize(values: np.ndarray, start: np.ndarray, h: np.ndarray, w: np.ndarray,
     shapes = np.stack([h, w], axis=1)
     for hh, ww in np.unique(shapes, axis=0):
         rows = np.flatnonzero((shapes == (hh, ww)).all(axis=1))
-        img = values[start[rows][:, None] + np.arange(hh * ww)].reshape(-1, hh, ww)
+        img = values[start[rows][:, None] + np.arange(hh * ww)].astype(np.float64).reshape(-1, hh, ww)
         y0, y1, wy = _axis(int(hh), size)
         x0, x1, wx = _axis(int(ww), size)
         upper, lower = img[:, y0], img[:, y1]
@@ -112,6 +113,21 @@ def _resize(values: np.ndarray, start: np.ndarray, h: np.ndarray, w: np.ndarray,
     return out
 
 
+# Bytes of resized planes that are held at once.
+OUTPUT_BYTES = 64 << 20
+
+
+def _bounded(per_row: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Row ranges whose resized planes stay within ``OUTPUT_BYTES``, or single rows."""
+    ends = np.cumsum(per_row)
+    at, room = 0, OUTPUT_BYTES // (8 * size * size)
+    while at < len(per_row):
+        done = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + room, "right")))
+        yield at, end
+        at = end
+
+
 def _with_double_px(schema: T.StructType) -> T.StructType:
     return T.StructType(
         [T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == "px" else f.dataType, f.nullable) for f in schema]
@@ -133,15 +149,17 @@ def resize_bilinear(chips: DataFrame, size: int) -> DataFrame:
             h, w = cols["h"].to_numpy(), cols["w"].to_numpy()
             values, offsets = _lists(cols["px"])
             per_row = (offsets[1:] - offsets[:-1]) // (h * w)
-            row = np.repeat(np.arange(len(h)), per_row)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-            start = offsets[:-1].astype(np.int64)[row] + nth * (h * w)[row]
-            out = _resize(values.astype(np.float64), start, h[row], w[row], size)
-            ends = np.concatenate([[0], np.cumsum(per_row)]) * size * size
-            cols["px"] = _list_column(out.ravel(), ends)
-            for side in ("h", "w"):
-                cols[side] = pa.array(np.full(len(h), size), cols[side].type)
-            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
+            for lo, hi in _bounded(per_row, size):
+                many = per_row[lo:hi]
+                row = np.repeat(np.arange(lo, hi), many)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = offsets[:-1].astype(np.int64)[row] + nth * (h * w)[row]
+                out = _resize(values, start, h[row], w[row], size)
+                part = {n: cols[n].slice(lo, hi - lo) for n in names}
+                part["px"] = _list_column(out.ravel(), np.concatenate([[0], np.cumsum(many)]) * size * size)
+                for side in ("h", "w"):
+                    part[side] = pa.array(np.full(hi - lo, size), cols[side].type)
+                yield pa.RecordBatch.from_arrays([part[n] for n in names], names=names)
 
     ship_package(chips.sparkSession)
     return chips.mapInArrow(run, _with_double_px(chips.schema))
@@ -160,9 +178,11 @@ def resize_planes(df: DataFrame, size: int, planes: str = "planes") -> DataFrame
             items = column.values
             h, w = items.field("h").to_numpy(), items.field("w").to_numpy()
             values, offsets = _lists(items.field("px"))
-            out = _resize(values.astype(np.float64), offsets[:-1].astype(np.int64), h, w, size)
-            px = _list_column(out.ravel(), ends * size * size)
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], px], names=[*names, "px"])
+            for lo, hi in _bounded(np.diff(ends), size):
+                a, b = ends[lo], ends[hi]
+                out = _resize(values, offsets[:-1].astype(np.int64)[a:b], h[a:b], w[a:b], size)
+                px = _list_column(out.ravel(), (ends[lo : hi + 1] - a) * size * size)
+                yield pa.RecordBatch.from_arrays([*[batch.column(n).slice(lo, hi - lo) for n in names], px], names=[*names, "px"])
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -191,38 +211,6 @@ def apply_transform(chips: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) ->
     return chips.mapInArrow(run, _with_double_px(chips.schema))
 
 
-def stack_windows(
-    windows: DataFrame,
-    n_windows: int,
-    max_missing: int = 1,
-    key: str = "field_id",
-) -> DataFrame:
-    """Chips of several date windows -> one chip per field.
-
-    Channels of window 0 come first. A missing window is a zero block of the
-    size the field's other windows have; fields missing more than
-    ``max_missing`` windows are dropped. ``windows`` has one row per field and
-    window, so a group never holds more than ``n_windows`` rows.
-    """
-    by_window = F.map_from_entries("_w")
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.lit(n_windows - 1)),
-        lambda i: F.coalesce(F.try_element_at(by_window, i), zero_chip(F.col("_c") * F.col("h") * F.col("w"))),
-    )
-    return (
-        windows.groupBy(key)
-        .agg(
-            F.collect_list(F.struct(F.col("window_idx").alias("i"), F.col("px").alias("px"))).alias("_w"),
-            F.max("c").alias("_c"),
-            F.max("h").alias("h"),
-            F.max("w").alias("w"),
-        )
-        .withColumn("missing", F.lit(n_windows) - F.size("_w"))
-        .where(F.col("missing") <= max_missing)
-        .select(key, "missing", (F.col("_c") * n_windows).alias("c"), "h", "w", F.flatten(blocks).alias("px"))
-    )
-
-
 def multitemporal_chips(
     obs: DataFrame,
     bands: Sequence[str],
@@ -266,7 +254,8 @@ def multitemporal_chips(
 
     def complete(t: Column) -> Column:
         planes = F.filter("_p", lambda p: p["t"] == t)
-        return (F.size(planes) == len(bands)) & F.forall(planes, lambda p: p["ok"])
+        distinct = F.array_distinct(F.transform(planes, lambda p: p["i"]))
+        return (F.size(planes) == len(bands)) & (F.size(distinct) == len(bands)) & F.forall(planes, lambda p: p["ok"])
 
     present = F.filter(F.sequence(F.lit(0), F.lit(n_windows - 1)), complete)
     per_field = with_computed(per_field, {"present": present}).where(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from furrow.functions.geometry import bbox_error, bounds_of, numbers_of, wkt_words
+from furrow.functions.geometry import bbox_error, bounds_of, is_polygon_wkt, numbers_of, wkt_words
 from furrow.operators.columns import with_computed
 
 COARSE_RES = 0.00015
@@ -36,7 +36,7 @@ def limit_fields(df: DataFrame, n: int = 0, id_col: str = "field_id") -> DataFra
 def with_bounds(df: DataFrame, geom_col: str = "geom_2") -> DataFrame:
     """Add ``x0, y0, x1, y1``; null where the geometry is missing, unparseable or empty."""
     # One projection per step: each result is used several times by the next.
-    words = df.withColumn("_words", wkt_words(F.col(geom_col)))
+    words = df.withColumn("_words", F.when(is_polygon_wkt(F.col(geom_col)), wkt_words(F.col(geom_col))))
     numbers = words.withColumn("_numbers", numbers_of(F.col("_words")))
     parsed = with_computed(numbers, {"_b": bounds_of(F.col("_numbers"))})
     return parsed.select(*df.columns, "_b.x0", "_b.y0", "_b.x1", "_b.y1")

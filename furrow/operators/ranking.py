@@ -26,13 +26,16 @@ def bucketed_rank(
     rank: str = "rank",
     size: str = "group_size",
     bounded_buckets: bool = False,
+    first: int | None = None,
 ) -> DataFrame:
     """Add ``rank`` (0-based, exact) and ``size`` (rows in the group).
 
     ``bucket`` must be monotone in ``order``: every row of a smaller bucket
     sorts before every row of a larger one. ``group`` columns must not be null.
     Set ``bounded_buckets`` when groups times buckets is bounded by construction
-    (not by the data); only then is the offset table broadcast.
+    (not by the data); only then is the offset table broadcast. With ``first``,
+    rows that cannot be among the first so many of their group are left out of
+    each bucket; the caller still has to cut on ``rank``.
     """
     keys = [*group, "_bucket"]
     tagged = df.withColumn("_bucket", bucket)
@@ -50,8 +53,11 @@ def bucketed_rank(
     if bounded_buckets:
         offsets = F.broadcast(offsets)
     inside = Window.partitionBy(*keys).orderBy(*order)
+    placed = tagged.withColumn("_pos", F.row_number().over(inside))
+    if first is not None:
+        placed = placed.where(F.col("_pos") <= first)
     return (
-        tagged.withColumn("_pos", F.row_number().over(inside).cast("bigint"))
+        placed.withColumn("_pos", F.col("_pos").cast("bigint"))
         .join(offsets, keys)
         .select(*df.columns, (F.col("_before") + F.col("_pos") - 1).alias(rank), size)
     )
@@ -66,6 +72,7 @@ def shuffled_rank(
     size: str = "group_size",
     digest: Column | None = None,
     bounded_groups: bool = False,
+    first: int | None = None,
 ) -> DataFrame:
     """Rank rows in a seeded random order: the permutation behind splits,
     samples and batches. At most 16**3 buckets per group."""
@@ -78,4 +85,5 @@ def shuffled_rank(
         rank,
         size,
         bounded_buckets=not group or bounded_groups,
+        first=first,
     ).drop("_digest")

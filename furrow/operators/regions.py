@@ -6,15 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from furrow.functions.geometry import is_polygon_wkt
-from furrow.functions.hashing import key_hash
 from furrow.functions.labels import strip
 from furrow.operators.filters import with_bounds
 from furrow.operators.ranking import shuffled_rank
 
-# Spark drops rows beyond a rank limit before the shuffle up to this limit
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-_GROUP_LIMIT = 1000
-
 
 def district_counts(fields: DataFrame) -> DataFrame:
     """Polygons per district that has a code, by region, largest first."""
@@ -87,24 +82,15 @@ def sample_per_class(
 ) -> DataFrame:
     """At most ``n`` random rows per class, without replacement (0 = all).
 
-    Small samples use a rank limit that Spark also applies before the shuffle;
-    larger ones use the bucketed rank, so that no class sits in one task.
+    Rows without a label are a class of their own. A class is ranked in buckets,
+    so that none sits in one task, and a bucket keeps at most ``n`` rows before
+    its rank in the class is known.
     """
     if n <= 0:
         return df
-    if n <= _GROUP_LIMIT:
-        order = Window.partitionBy(label_col).orderBy("_digest", id_col)
-        return (
-            df.withColumn("_digest", key_hash(F.col(id_col), seed))
-            .withColumn("_rank", F.row_number().over(order))
-            .where(F.col("_rank") <= n)
-            .drop("_digest", "_rank")
-        )
-    return (
-        shuffled_rank(df, id_col, seed, group=[label_col], rank="_rank", size="_size")
-        .where(F.col("_rank") < n)
-        .drop("_rank", "_size")
-    )
+    keyed = df.withColumns({"_null": F.col(label_col).isNull(), "_class": F.coalesce(F.col(label_col).cast("string"), F.lit(""))})
+    ranked = shuffled_rank(keyed, id_col, seed, group=["_null", "_class"], rank="_rank", size="_size", first=n)
+    return ranked.where(F.col("_rank") < n).select(*df.columns)
 
 
 def extent(fields: DataFrame) -> DataFrame:

@@ -14,10 +14,18 @@ def with_prediction(preds: DataFrame) -> DataFrame:
     return preds.withColumn("pred", argmax(F.col("logits")))
 
 
+def known_class(name: str, k: int) -> Column:
+    """The class column ``name``; a value outside 0..k-1, or none, fails the run."""
+    message = F.concat(F.lit(f"{name} outside 0..{k - 1}: "), F.coalesce(F.col(name).cast("string"), F.lit("none")))
+    return F.when(F.col(name).between(0, k - 1), F.col(name)).otherwise(F.raise_error(message))
+
+
 def confusion(preds: DataFrame, k: int) -> DataFrame:
     """All k x k cells, rows true and columns predicted, zeros included.
-    Counting is combined before the shuffle; the cells are k*k rows."""
-    counts = preds.groupBy(F.col("label").alias("true"), "pred").agg(F.count(F.lit(1)).alias("n"))
+    Counting is combined before the shuffle; the cells are k*k rows. A class
+    outside 0..k-1 is an error."""
+    checked = preds.select(known_class("label", k).alias("label"), known_class("pred", k).alias("pred"))
+    counts = checked.groupBy(F.col("label").alias("true"), "pred").agg(F.count(F.lit(1)).alias("n"))
     cells = preds.sparkSession.range(k * k).select(
         F.expr(f"cast(id div {k} as int)").alias("true"), F.expr(f"cast(id % {k} as int)").alias("pred")
     )
@@ -76,13 +84,13 @@ def log_softmax(logits: Column) -> Column:
 
 def ce_loss(preds: DataFrame, weights: Sequence[float] | None = None, eps: float = 0.0, k: int | None = None) -> DataFrame:
     """Mean cross-entropy with optional class weights and label smoothing,
-    weighted over all rows at once."""
+    weighted over all rows at once. A label outside the classes is an error."""
     if weights is None and k is None:
         raise ValueError("pass the class weights or the number of classes")
     weights = list(weights) if weights is not None else [1.0] * k
     k = len(weights)
     w = F.array(*[F.lit(float(v)) for v in weights])
-    rows = preds.select("label", log_softmax(F.col("logits")).alias("lp")).select(
+    rows = preds.select(known_class("label", k).alias("label"), log_softmax(F.col("logits")).alias("lp")).select(
         F.get(w, F.col("label")).alias("w"),
         F.get("lp", F.col("label")).alias("hit"),
         F.aggregate(F.zip_with("lp", w, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v).alias("spread"),
@@ -112,11 +120,11 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def best_epoch(history: DataFrame, metric: str = "val_f1") -> DataFrame:
-    """Best epoch per run, the first on ties. An aggregate, so that a run with
-    most of the rows is combined before the shuffle."""
+    """Best epoch per run, the first on ties; NaN counts as missing. An aggregate,
+    so that a run with most of the rows is combined before the shuffle."""
     best = F.max(F.struct(F.col(metric).alias("m"), (-F.col("epoch")).alias("e")))
     return (
-        history.where(F.col(metric).isNotNull())
+        history.where(F.col(metric).isNotNull() & ~F.isnan(metric))
         .groupBy("run_id")
         .agg(best.alias("_b"))
         .select("run_id", (-F.col("_b.e")).alias("epoch"), F.col("_b.m").alias(metric))
@@ -148,12 +156,13 @@ def running_best(df: DataFrame, value: str, out: str, block: int) -> DataFrame:
 
 def early_stop(history: DataFrame, patience: int = 10, metric: str = "val_f1", block: int = 4096) -> DataFrame:
     """First epoch per run at which ``patience`` epochs have passed without a
-    value strictly above the best so far; null when the run never stops.
+    value strictly above the best so far; null when the run never stops. NaN is
+    no value.
 
     The last improvement is the epoch at which the best value so far was first
     reached, so one running maximum of (value, earliest epoch) gives both.
     """
-    reached = F.when(F.col(metric).isNotNull(), F.struct(F.col(metric).alias("m"), (-F.col("epoch")).alias("e")))
+    reached = F.when(F.col(metric).isNotNull() & ~F.isnan(metric), F.struct(F.col(metric).alias("m"), (-F.col("epoch")).alias("e")))
     best = running_best(history.select("run_id", "epoch", reached.alias("_v")), "_v", "_best", block)
     waited = F.col("epoch") + F.col("_best.e")
     return best.groupBy("run_id").agg(F.min(F.when(waited >= patience, F.col("epoch"))).alias("stop_epoch"))

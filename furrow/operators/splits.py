@@ -8,17 +8,19 @@ from furrow.functions.hashing import key_hash
 from furrow.operators.ranking import shuffled_rank
 
 
-def _check(val: float, test: float) -> None:
-    if not (0.0 <= val < 1.0 and 0.0 <= test < 1.0):
-        raise ValueError("val and test fractions must be in [0, 1)")
-    if val + test >= 1.0:
-        raise ValueError("val and test fractions must sum to less than 1")
+def _check(**shares: float) -> None:
+    """Every share is part of the whole and something is left for training."""
+    left = 1.0
+    for name, share in shares.items():
+        left -= share
+        if share < 0.0 or left <= 0.0:
+            raise ValueError(f"share {name}={share} leaves no training rows or is negative")
 
 
 def assign_split(chips: DataFrame, val: float, test: float, seed: int, id_col: str = "chip_id") -> DataFrame:
     """Random split of exact sizes: test first, then validation, rest train.
     Sizes round half to even."""
-    _check(val, test)
+    _check(test=test, val=val)
     n_test = F.bround(F.col("group_size") * float(test), 0)
     n_val = F.bround(F.col("group_size") * float(val), 0)
     split = F.when(F.col("rank") < n_test, "test").when(F.col("rank") < n_test + n_val, "val").otherwise("train")

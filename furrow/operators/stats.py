@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from furrow.functions.arrays import REFLECTANCE_SCALE, plane
+from furrow.functions.hashing import key_hash
 from furrow.operators.chips import explode_chips
 from furrow.operators.ranking import shuffled_rank
 
@@ -35,10 +36,18 @@ def band_stats(chips: DataFrame, scale: float = REFLECTANCE_SCALE) -> DataFrame:
 
 
 def sample_chips(chips: DataFrame, n: int, seed: int) -> DataFrame:
-    """min(n, N) random chips without replacement. Only ids are ranked; the
-    pixels are read once, for the chips that were drawn."""
-    drawn = shuffled_rank(chips.select("chip_id"), "chip_id", seed).where(F.col("rank") < n).select("chip_id")
-    return chips.join(drawn, "chip_id", "left_semi")
+    """min(n, N) random chips without replacement.
+
+    Only ids are ranked, to find the last one drawn; every chip then knows from
+    its own id whether it comes before that, so the pixels are read once and
+    neither joined nor shuffled.
+    """
+    ranked = shuffled_rank(chips.select("chip_id"), "chip_id", seed, first=n).where(F.col("rank") < n)
+    place = F.struct(key_hash(F.col("chip_id"), seed).alias("digest"), F.col("chip_id").alias("id"))
+    last = ranked.agg(F.max(place).alias("p")).first()["p"]  # one row
+    if last is None:
+        return chips.limit(0)
+    return chips.where(place <= F.struct(F.lit(last["digest"]).alias("digest"), F.lit(last["id"]).alias("id")))
 
 
 def band_stats_sampled(chips: DataFrame, n: int = 5000, seed: int = 42, scale: float = REFLECTANCE_SCALE) -> DataFrame:

@@ -26,19 +26,19 @@ def compose(*steps: Transform) -> Transform:
 
 
 def _with_px(df: DataFrame, px: Column) -> DataFrame:
-    return with_computed(df, {"px": px})
+    return df.withColumn("px", px)
 
 
 def scale_reflectance(scale: float = REFLECTANCE_SCALE) -> Transform:
     if scale <= 0:
-        raise ValueError("scale must be positive")
+        raise ValueError(f"cannot divide by scale {scale}")
     return lambda df: _with_px(df, F.transform("px", lambda v: v.cast("double") / F.lit(float(scale))))
 
 
 def normalize(mean: Sequence[float], std: Sequence[float]) -> Transform:
     """``(x - mean) / std`` per channel; a chip with another channel count fails."""
     if len(mean) != len(std):
-        raise ValueError("mean and std must have the same length")
+        raise ValueError(f"{len(mean)} means for {len(std)} deviations")
     pairs = F.array(
         *[F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for m, s in zip(mean, std)]
     )

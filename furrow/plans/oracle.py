@@ -7,12 +7,21 @@ Spark code, joins are plain, and ranks are ordinary window functions.
 from __future__ import annotations
 
 from furrow import fixtures as fx
-from furrow.functions import projection as pj
 from furrow.functions.labels import COMPOUND_LABELS
 from furrow.plans import queries as q
 from furrow.sources.scenes import AOI_PRESETS
 
 
+# The scale of UTM, the rectifying radius and eccentricity of WGS-84,
+# and the transverse Mercator series to the third order for that ellipsoid.
+K0 = 0.9996
+RADIUS = 6367449.145823415
+ECC = 0.08181919084262149
+ALPHA = (0.0008377318188192541, 7.608496958699166e-07, 1.2034877875966646e-09)
+BETA = (0.000837732164082144, 5.906110863719917e-08, 1.6769911794379754e-10)
+DELTA = (0.003356551448628875, 6.571913193172695e-06, 1.76774599620756e-08)
+
+
 def values(rows, name: str, cols: str) -> str:
     text = ", ".join("(" + ", ".join(repr(v) if not isinstance(v, str) else f"'{v}'" for v in row) + ")" for row in rows)
     return f"select * from (values {text}) as {name}({cols})"
@@ -47,7 +56,7 @@ def utm(src: str, x0: str, y0: str, x1: str, y1: str, p: str) -> str:
     lam = "radians((epsg % 100) * 6.0::double - 183.0::double)"
     steps = [
         f"select *, sin(radians({y0})) s0_, sin(radians({y1})) s1_, radians({x0}) - {lam} l0_, radians({x1}) - {lam} l1_ from {src}",
-        f"select *, sinh(atanh(s0_) - {d(pj.ECC)} * atanh({d(pj.ECC)} * s0_)) t0_, sinh(atanh(s1_) - {d(pj.ECC)} * atanh({d(pj.ECC)} * s1_)) t1_ from (@)",
+        f"select *, sinh(atanh(s0_) - {d(ECC)} * atanh({d(ECC)} * s0_)) t0_, sinh(atanh(s1_) - {d(ECC)} * atanh({d(ECC)} * s1_)) t1_ from (@)",
         "select *, "
         + ", ".join(
             f"atan(t{j}_ / cos(l{i}_)) xi{i}{j}_, atanh(sin(l{i}_) / sqrt(1 + t{j}_ * t{j}_)) eta{i}{j}_" for i in (0, 1) for j in (0, 1)
@@ -55,8 +64,8 @@ def utm(src: str, x0: str, y0: str, x1: str, y1: str, p: str) -> str:
         + " from (@)",
         "select *, "
         + ", ".join(
-            f"500000 + {d(pj.K0 * pj.RADIUS)} * (eta{i}{j}_ + {_poly(pj.ALPHA, f'xi{i}{j}_', f'eta{i}{j}_', 'cos', 'sinh')}) e{i}{j}_, "
-            f"case when epsg // 100 = 327 then 10000000 else 0 end + {d(pj.K0 * pj.RADIUS)} * (xi{i}{j}_ + {_poly(pj.ALPHA, f'xi{i}{j}_', f'eta{i}{j}_', 'sin', 'cosh')}) n{i}{j}_"
+            f"500000 + {d(K0 * RADIUS)} * (eta{i}{j}_ + {_poly(ALPHA, f'xi{i}{j}_', f'eta{i}{j}_', 'cos', 'sinh')}) e{i}{j}_, "
+            f"case when epsg // 100 = 327 then 10000000 else 0 end + {d(K0 * RADIUS)} * (xi{i}{j}_ + {_poly(ALPHA, f'xi{i}{j}_', f'eta{i}{j}_', 'sin', 'cosh')}) n{i}{j}_"
             for i in (0, 1)
             for j in (0, 1)
         )
@@ -67,14 +76,14 @@ def utm(src: str, x0: str, y0: str, x1: str, y1: str, p: str) -> str:
 
 def wgs(src: str, x0: str, y0: str, x1: str, y1: str, p: str) -> str:
     """``src`` with geographic bounds ``{p}x0..{p}y1`` added."""
-    scale = d(pj.K0 * pj.RADIUS)
+    scale = d(K0 * RADIUS)
     north = "case when epsg // 100 = 327 then 10000000 else 0 end"
     pairs = [(i, j) for i in (0, 1) for j in (0, 1)]
     steps = [
         f"select *, ({x0} - 500000) / {scale} h0_, ({x1} - 500000) / {scale} h1_, ({y0} - {north}) / {scale} k0_, ({y1} - {north}) / {scale} k1_ from {src}",
         "select *, "
         + ", ".join(
-            f"k{j}_ - ({_poly(pj.BETA, f'k{j}_', f'h{i}_', 'sin', 'cosh')}) xi{i}{j}_, h{i}_ - ({_poly(pj.BETA, f'k{j}_', f'h{i}_', 'cos', 'sinh')}) eta{i}{j}_"
+            f"k{j}_ - ({_poly(BETA, f'k{j}_', f'h{i}_', 'sin', 'cosh')}) xi{i}{j}_, h{i}_ - ({_poly(BETA, f'k{j}_', f'h{i}_', 'cos', 'sinh')}) eta{i}{j}_"
             for i, j in pairs
         )
         + " from (@)",
@@ -82,7 +91,7 @@ def wgs(src: str, x0: str, y0: str, x1: str, y1: str, p: str) -> str:
         "select *, "
         + ", ".join(
             f"(epsg % 100) * 6.0::double - 183.0::double + degrees(atan(sinh(eta{i}{j}_) / cos(xi{i}{j}_))) e{i}{j}_, "
-            f"degrees(chi{i}{j}_ + {_poly(pj.DELTA, f'chi{i}{j}_', '', 'sin', '')}) n{i}{j}_"
+            f"degrees(chi{i}{j}_ + {_poly(DELTA, f'chi{i}{j}_', '', 'sin', '')}) n{i}{j}_"
             for i, j in pairs
         )
         + " from (@)",
@@ -120,8 +129,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     "bounded": (
         ["fields"],
         "select *, list_min(xs) x0, list_min(ys) y0, list_max(xs) x1, list_max(ys) y1 from (select *,"
-        " case when geom_2 like '%((%' then [cast(v as double) for v in regexp_extract_all(geom_2, '([0-9.]+) ([0-9.]+)', 1)] end xs,"
-        " case when geom_2 like '%((%' then [cast(v as double) for v in regexp_extract_all(geom_2, '([0-9.]+) ([0-9.]+)', 2)] end ys"
+        " case when geom_2 like '%((%' and not (field_id % 67 = 0 and geom_2 like 'POLYGON%') then [cast(v as double) for v in regexp_extract_all(geom_2, '([0-9.]+) ([0-9.]+)', 1)] end xs,"
+        " case when geom_2 like '%((%' and not (field_id % 67 = 0 and geom_2 like 'POLYGON%') then [cast(v as double) for v in regexp_extract_all(geom_2, '([0-9.]+) ([0-9.]+)', 2)] end ys"
         " from fields)",
     ),
     "normed": (
@@ -130,7 +139,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         + " ".join(f"when '{k}' then '{v}'" for k, v in COMPOUND_LABELS.items())
         + " else trim(lower(crop_type)) end as crop_type from bounded",
     ),
-    "exported": (["normed"], "select * from normed where geom_2 like 'MULTIPOLYGON%' and crop_type is not null"),
+    "exported": (["normed"], "select * from normed where (geom_2 like '%EMPTY' or x0 is not null) and crop_type is not null"),
     "counts": (
         ["fields"],
         "select viloyat, tuman, tuman_code, count(*) as polygons from fields where tuman_code is not null group by all",
@@ -196,8 +205,11 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "predictions": (
         [],
-        "select vec_id as chip_id, label % 3 as label, cast(embedding[1] as double) * 10 as z0,"
-        " cast(embedding[2] as double) * 10 as z1, cast(embedding[3] as double) * 10 as z2 from embeddings",
+        "select vec_id as chip_id, label % 3 as label, cast(s0 as double) / 500 as z0, cast(s1 as double) / 500 as z1, cast(s2 as double) / 500 as z2 from ("
+        "select vec_id, label, "
+        + ", ".join(f"cast(sum(w) filter (where i % 3 = {m}) as bigint) as s{m}" for m in range(3))
+        + " from (select vec_id, label, i, cast(floor((cast(embedding[i + 1] as double) + 1) * 5000) as bigint) - 5000 as w"
+        " from embeddings, unnest(range(len(embedding))) g(i)) group by vec_id, label)",
     ),
     "preds": (
         ["predictions"],
@@ -211,7 +223,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "history": (
         [],
         "select user_id as run_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as epoch,"
-        " cast(floor(value * 10) as double) / 5000 as val_f1 from events",
+        " case when event_id % 53 = 0 then 'nan'::double else cast(floor(value * 10) as double) / 5000 end as val_f1 from events",
     ),
     "series": (
         [],
@@ -316,12 +328,12 @@ BODIES: dict[str, tuple[list[str], str]] = {
     "fields_scan": (["fields"], "select field_id, geom_2, crop_type from fields where geom_2 is not null and crop_type is not null"),
     "geojson_features": (
         ["exported"],
-        "select field_id, crop_type, cast(i - 1 as int) as i, xs[i] as lon, ys[i] as lat from exported,"
+        "select field_id, crop_type, case when geom_2 like 'MULTI%' then 'MultiPolygon' else 'Polygon' end as kind, cast(i - 1 as int) as i, xs[i] as lon, ys[i] as lat from exported,"
         " unnest(case when len(coalesce(xs, [])) = 0 then [null] else range(1, len(xs) + 1) end) t(i)",
     ),
     "geojson_roundtrip": (
         ["exported"],
-        "select field_id, crop_type, cast(coalesce(len(xs), 0) as int) as points, xs[1] as lon0, ys[3] as lat2 from exported",
+        "select field_id, crop_type, case when geom_2 like 'MULTI%' then 'MultiPolygon' else 'Polygon' end as kind, cast(coalesce(len(xs), 0) as int) as points, xs[1] as lon0, ys[3] as lat2 from exported",
     ),
     "fields_by_region": (
         ["fields"],
@@ -338,9 +350,9 @@ BODIES: dict[str, tuple[list[str], str]] = {
     "normalize_labels": (["normed"], "select field_id, crop_type, contains(crop_type, ',') as unmapped from normed"),
     "wkt_bounds": (["bounded"], "select field_id, x0, y0, x1, y1 from bounded"),
     "geometry_skips": (
-        ["fields"],
-        "select case when geom_2 is null then 'no_geometry' when crop_type is null then 'no_label' when geom_2 = 'garbage' then 'unparseable'"
-        " when geom_2 like '%EMPTY' then 'exported_empty' else 'exported' end as reason, count(*) as n from fields group by 1",
+        ["bounded"],
+        "select case when geom_2 is null then 'no_geometry' when crop_type is null then 'no_label' when geom_2 like '%EMPTY' then 'exported_empty'"
+        " when x0 is null then 'unparseable' else 'exported' end as reason, count(*) as n from bounded group by 1",
     ),
     "district_counts": (["counts"], "select * from counts"),
     "top_districts": (["top"], "select viloyat, tuman, tuman_code, polygons, region, rank from top"),
@@ -363,8 +375,8 @@ BODIES: dict[str, tuple[list[str], str]] = {
     "extent": (["bounded"], "select min(x0) as lon_min, min(y0) as lat_min, max(x1) as lon_max, max(y1) as lat_max from bounded"),
     "bbox_quality": (
         ["bounded"],
-        "select field_id, case when field_id % 6 = 5 then 'missing coordinate' when field_id % 6 = 1 then 'lon_min must be < lon_max'"
-        " when field_id % 6 = 2 then 'lat_min must be < lat_max' when field_id % 6 = 3 then 'longitude out of range'"
+        "select field_id, case when field_id % 6 = 5 then 'missing coordinate' when field_id % 6 = 1 then 'empty in longitude'"
+        " when field_id % 6 = 2 then 'empty in latitude' when field_id % 6 = 3 then 'longitude out of range'"
         " when field_id % 6 = 4 then 'latitude out of range' end as error from bounded where x0 is not null",
     ),
     "scene_footprints": (["footed"], "select scene_id, lon_min, lat_min, lon_max, lat_max from footed"),
@@ -535,6 +547,17 @@ BODIES: dict[str, tuple[list[str], str]] = {
         f" {r('((n.dn - r.dn) / (n.dn + r.dn + 0.001::double) + 1) * 5000')} from chips n join chips r"
         " on n.chip_id = r.chip_id and n.y = r.y and n.x = r.x where n.c = 3 and r.c = 2",
     ),
+    "select_task": ([], "select concat(cast(s_nationkey as varchar), '-crop') as task_id, s_suppkey from supplier where concat(cast(s_nationkey as varchar), '-crop') like '%1-c%'"
+        " and s_nationkey = (select min_by(s_nationkey, concat(cast(s_nationkey as varchar), '-crop')) from supplier where concat(cast(s_nationkey as varchar), '-crop') like '%1-c%')"),
+    "band_stats_sink": (
+        ["chips"],
+        f"select c, count(*) as pixels, {r('avg(dn / 10000.0::double)')} as mean, {r('stddev_pop(dn / 10000.0::double)')} as std from chips group by c",
+    ),
+    "union_chips": (
+        ["chip_ids"],
+        "select code as tuman_code, count(*) * case when code < 1700212 then 2 else 1 end as chips, count(*) filter (where code % 7 <> 0) * case when code < 1700212 then 2 else 1 end as labelled"
+        " from (select cast(1700200 + chip_id % 25 as int) as code from chip_ids) group by code",
+    ),
     "series_to_grid": (
         ["series"],
         "with len as (select sample_id, c, max(t) + 1 as n, cast(ceil(sqrt(max(t) + 1)) as int) as side from series group by all)"
@@ -619,17 +642,29 @@ BODIES: dict[str, tuple[list[str], str]] = {
         ["chip_ids"],
         f"select class_idx, count(*) as n, {r('(select count(*) from chip_ids) / (3.0::double * count(*))')} as weight from chip_ids group by class_idx",
     ),
-    "best_epoch": (["history"], "select run_id, arg_min(epoch, (-val_f1, epoch)) as epoch, max(val_f1) as val_f1 from history group by run_id"),
+    "best_epoch": (["history"], "select run_id, arg_min(epoch, (-val_f1, epoch)) as epoch, max(val_f1) as val_f1 from history where not isnan(val_f1) group by run_id"),
     "early_stop": (
         ["history"],
-        "with b as (select *, max(val_f1) over (partition by run_id order by epoch rows between unbounded preceding and 1 preceding) as best from history),"
-        " m as (select *, max(case when best is null or val_f1 > best then epoch end) over (partition by run_id order by epoch) as last from b)"
+        "with h as (select run_id, epoch, case when not isnan(val_f1) then val_f1 end as val_f1 from history),"
+        " b as (select *, max(val_f1) over (partition by run_id order by epoch rows between unbounded preceding and 1 preceding) as best from h),"
+        " m as (select *, max(case when val_f1 is not null and (best is null or val_f1 > best) then epoch end) over (partition by run_id order by epoch) as last from b)"
         " select run_id, min(case when epoch - last >= 10 then epoch end) as stop_epoch from m group by run_id",
     ),
     "stream_intake": (["scenes"], "select scene_id, cloud_cover from scenes where cloud_cover < 20 and scene_k % 5 <> 0"),
 }
 
 
+# The three score queries stacked as name and value.
+_LOSS = BODIES["ce_loss"][1]
+BODIES["metrics_sink"] = (
+    ["preds", "confusion", "predictions"],
+    "select 'accuracy' as name, accuracy as value from (" + BODIES["accuracy"][1] + ") union all select 'macro_accuracy', macro_accuracy from ("
+    + BODIES["macro_scores"][1] + ") union all select 'macro_f1', macro_f1 from (" + BODIES["macro_scores"][1] + ") union all select 'loss', loss from ("
+    + _LOSS.replace("[0.5::double, 1.0::double, 2.0::double]", "[1.0::double, 1.0::double, 1.0::double]").replace("0.5::double * a + b + 2 * c", "a + b + c")
+    .replace("-0.9::double * sum", "-1.0::double * sum").replace("- 0.1::double / 3 * sum(spread) / sum(w)", "") + ")",
+)
+
+
 def _closure(names: list[str], seen: list[str]) -> list[str]:
     for name in names:
         if name not in seen:

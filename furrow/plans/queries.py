@@ -81,8 +81,9 @@ def geojson_features(spark, d):
     return feats.select(
         F.col("properties")["field_id"].cast("bigint").alias("field_id"),
         F.col("properties")["crop_type"].alias("crop_type"),
+        F.col("geometry.type").alias("kind"),
         F.posexplode_outer(F.flatten(F.flatten("geometry.coordinates"))).alias("i", "pt"),
-    ).select("field_id", "crop_type", "i", F.col("pt")[0].alias("lon"), F.col("pt")[1].alias("lat"))
+    ).select("field_id", "crop_type", "kind", "i", F.col("pt")[0].alias("lon"), F.col("pt")[1].alias("lat"))
 
 
 @query
@@ -93,6 +94,7 @@ def geojson_roundtrip(spark, d):
     return field_io.read_geojson(spark, path).select(
         F.col("properties")["field_id"].cast("bigint").alias("field_id"),
         "crop_type",
+        F.col("geometry.type").alias("kind"),
         F.size(points).alias("points"),
         F.get(points, 0)[0].alias("lon0"),
         F.get(points, 2)[1].alias("lat2"),
@@ -315,10 +317,9 @@ def assignment_report(spark, d):
 
 
 def best_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Fields next to the scene they are assigned to."""
-    rows = bounded(spark, d)
-    best = assign.assign_best_scene(rows, footed(spark, d)).select("field_id", "scene_id")
-    return rows.select("field_id", "x0", "y0", "x1", "y1").join(best, "field_id").join(footed(spark, d), "scene_id")
+    """Fields next to the scene they are assigned to, whose columns the assignment carries."""
+    box = ["lon_min", "lat_min", "lon_max", "lat_max"]
+    return assign.assign_best_scene(bounded(spark, d), footed(spark, d), keep=["x0", "y0", "x1", "y1"], extra=[*box, "epsg", "res"])
 
 
 @query
@@ -385,6 +386,32 @@ def clip_tiles(spark, d):
     )
 
 
+@query
+def select_task(spark, d):
+    tasks = fx.table(spark, d, "supplier").select(F.concat(F.col("s_nationkey"), F.lit("-crop")).alias("task_id"), "s_suppkey")
+    return chip_ops.select_task(tasks, "1-c")
+
+
+@query
+def metrics_sink(spark, d):
+    path = scratch_path(spark, "metrics")
+    scoring.write_metrics(scoring.scores(predicted(spark, d), K), path)
+    return spark.read.schema("name string, value double").json(path).withColumn("value", r("value"))
+
+
+@query
+def band_stats_sink(spark, d):
+    path = scratch_path(spark, "band-stats")
+    stats.write_band_stats(stats.band_stats(fx.chips(spark, d)), path)
+    return spark.read.parquet(path).withColumns({"mean": r("mean"), "std": r("std")})
+
+
+@query
+def union_chips(spark, d):
+    one, two = fx.chip_sets(spark, d)
+    return chip_io.union_chips(one, two, one).groupBy("tuman_code").agg(F.count(F.lit(1)).alias("chips"), F.count("class_idx").alias("labelled"))
+
+
 @query
 def ndvi(spark, d):
     px = F.col("px")
@@ -405,7 +432,7 @@ def series_to_grid(spark, d):
 @query
 def chips_roundtrip(spark, d):
     path = scratch_path(spark, "chips")
-    chip_io.write_chips(chip_io.combine_chips(fx.chip_images(spark, d), fx.chip_labels(spark, d)), path)
+    chip_io.write_chips(chip_io.combine_chips(*fx.chip_sets(spark, d)), path)
     pixels = chip_ops.explode_chips(chip_io.read_chips(spark, path))
     keys = ("tuman_code", "chip_id", "class_idx")
     return chip_ops.explode_chips(chip_ops.collect_chips(pixels, keys))
@@ -420,14 +447,14 @@ def synthetic_chips(spark, d):
 
 @query
 def combine_districts(spark, d):
-    return chip_io.combine_chips(fx.chip_images(spark, d), fx.chip_labels(spark, d)).select(
+    return chip_io.combine_chips(*fx.chip_sets(spark, d)).select(
         "tuman_code", "chip_id", "class_idx", F.aggregate("px", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("dn_sum")
     )
 
 
 @query
 def combine_report(spark, d):
-    return regions.combine_report(chip_io.combine_chips(fx.chip_images(spark, d), fx.chip_labels(spark, d)))
+    return regions.combine_report(chip_io.combine_chips(*fx.chip_sets(spark, d)))
 
 
 @query
@@ -574,9 +601,12 @@ def stream_intake(spark, d):
     items = fx.scenes(spark, d).select("scene_id", "scene_k", "datetime", "cloud_cover")
     source, out, state = (scratch_path(spark, label) for label in ("arrivals", "intake", "intake-state"))
     processed = items.where(F.col("scene_k") % 5 == 0)
-    # A catalogue lists its scenes, then lists a third of them again later; the
-    # second run resumes from the first one's state.
-    for listing in (items, items.where(F.col("scene_k") % 3 == 0)):
+    # A catalogue lists its newer scenes, then a third of them again, then the
+    # older ones. The second run resumes the first one's state; the last starts
+    # from none over the same sink and sees every listing once more.
+    newer = F.col("datetime") >= F.lit("2025-06-15").cast("timestamp")
+    fresh = scratch_path(spark, "intake-state")
+    for listing, at in ((items.where(newer), state), (items.where(newer & (F.col("scene_k") % 3 == 0)), state), (items.where(~newer), fresh)):
         listing.write.mode("append").parquet(source)
-        intake(scene_stream(spark, source, items.schema), 20.0, processed, out, state).awaitTermination()
+        intake(scene_stream(spark, source, items.schema), 20.0, processed, out, at).awaitTermination()
     return read_intake(spark, out, items.schema).select("scene_id", "cloud_cover")

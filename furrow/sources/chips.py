@@ -21,12 +21,13 @@ def read_chips(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def combine_chips(images: DataFrame, labels: DataFrame, selection: DataFrame | None = None) -> DataFrame:
-    """Chips of every district that has both images and labels, optionally only
-    of the selected districts. Joining on the chip leaves the others out."""
+def combine_chips(*sets: DataFrame, selection: DataFrame | None = None) -> DataFrame:
+    """The labelled chips of several sets, optionally only of the selected
+    districts. Chips carry their label, so no pixel is shuffled."""
+    chips = union_chips(*sets).where(F.col("class_idx").isNotNull())
     if selection is not None:
-        images = images.join(selection.select("tuman_code").distinct(), "tuman_code", "left_semi")
-    return images.join(labels, ["tuman_code", "chip_id"])
+        chips = chips.join(selection.select("tuman_code").distinct(), "tuman_code", "left_semi")
+    return chips
 
 
 def union_chips(*sets: DataFrame) -> DataFrame:
@@ -56,7 +57,3 @@ def synthetic_chips(ids: DataFrame, c: int = 4, size: int = 4, k: int = 3, seed:
             lambda i: uniform(F.col("chip_id"), seed, i) * F.lit(NOISE_MAX) + offset,
         ).alias("px"),
     )
-
-
-def synthetic_range(spark: SparkSession, n: int, c: int = 4, size: int = 4, k: int = 3, seed: int = 0) -> DataFrame:
-    return synthetic_chips(spark.range(n).withColumnRenamed("id", "chip_id"), c, size, k, seed)

@@ -7,8 +7,8 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from furrow.functions.geometry import bbox_error, boxes_touch, footprint
-from furrow.functions.text import asset_band, asset_name, asset_scene, parse_bbox
+from furrow.functions.geometry import BOX_RULES, bbox_error, boxes_touch, footprint
+from furrow.functions.text import asset_name, asset_scene, parse_bbox
 from furrow.operators.columns import with_computed
 
 # Named areas of interest, WGS-84 lon_min, lat_min, lon_max, lat_max.
@@ -27,17 +27,12 @@ def footprints(scenes: DataFrame) -> DataFrame:
 
 
 def check_bbox(bbox: Sequence[float]) -> tuple[float, float, float, float]:
-    """A validated box argument."""
-    if len(bbox) != 4:
-        raise ValueError(f"a bbox has 4 values, got {len(bbox)}")
-    x0, y0, x1, y1 = map(float, bbox)
-    if x0 >= x1 or y0 >= y1:
-        raise ValueError("bbox minimum must be below its maximum")
-    if not (-180 <= x0 <= 180 and -180 <= x1 <= 180):
-        raise ValueError("bbox longitude must be within [-180, 180]")
-    if not (-90 <= y0 <= 90 and -90 <= y1 <= 90):
-        raise ValueError("bbox latitude must be within [-90, 90]")
-    return x0, y0, x1, y1
+    """A box argument that keeps the rules of ``bbox_error``."""
+    box = tuple(float(v) for v in bbox)
+    broken = ["needs four values"] if len(box) != 4 else [message for message, rule in BOX_RULES if rule(*box)]
+    if broken:
+        raise ValueError(f"bbox {box}: {broken[0]}")
+    return box
 
 
 def in_date_range(ts: Column, d0: Column, d1: Column) -> Column:
@@ -165,11 +160,6 @@ def group_assets(assets: DataFrame) -> DataFrame:
     )
 
 
-def parse_assets(assets: DataFrame) -> DataFrame:
-    """Scene and band of each band file, from its name."""
-    return assets.withColumns({"scene_id": asset_scene(F.col("path")), "band": asset_band(F.col("path"))})
-
-
 def download_plan(scenes: DataFrame, bands: Sequence[str], manifest: DataFrame) -> DataFrame:
     """Files to fetch: scenes x bands, minus files that exist, with bands a
     scene does not own marked ``missing``."""

@@ -4,46 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Longer than the spread of acquisition dates between a scene and its late
-# copies; a scene older than this against the newest one seen is dropped.
-WATERMARK = "400 days"
-
 
 def scene_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def intake(
-    stream: DataFrame,
-    cloud_max: float,
-    processed: DataFrame,
-    out: str,
-    checkpoint: str,
-    watermark: str = WATERMARK,
-):
-    """Append new scenes to ``out`` exactly once and stop when the input is drained.
-
-    Cloudy scenes are filtered first, then copies are dropped by scene id with
-    state bounded by the watermark, then scenes of an earlier run are removed.
-    Each micro-batch overwrites its own folder, so a batch that is run again
-    after a failure leaves one copy.
+def intake(stream: DataFrame, cloud_max: float, processed: DataFrame, out: str, checkpoint: str):
+    """Append new scenes to ``out`` once each and stop when the input is drained.
+
+    A scene is new if it is neither in ``processed`` nor stored in ``out``, whatever
+    its date and whichever run stored it. Each micro-batch owns one folder, named
+    by the query's id (kept in its checkpoint) and the batch number: a batch that
+    is run again replaces its own rows, and no other run ever writes there.
     """
-    fresh = (
-        stream.where(F.col("cloud_cover") < cloud_max)
-        .withWatermark("datetime", watermark)
-        .dropDuplicatesWithinWatermark(["scene_id"])
-    )
+    schema = stream.schema
+    # The sink exists from the start, so that the first batch can read it.
+    stream.sparkSession.createDataFrame([], schema).write.mode("append").parquet(f"{out}/run=none/batch=0")
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.join(processed.select("scene_id"), "scene_id", "left_anti").write.mode("overwrite").parquet(
-            f"{out}/batch={batch_id}"
-        )
+        spark = batch.sparkSession
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        own = (F.col("run") == run) & (F.col("batch") == batch_id)
+        stored = read_intake(spark, out, schema).where(~own).select("scene_id")
+        fresh = batch.where(F.col("cloud_cover") < cloud_max).dropDuplicates(["scene_id"])
+        fresh = fresh.join(processed.select("scene_id"), "scene_id", "left_anti").join(stored, "scene_id", "left_anti")
+        fresh.select(*schema.names).write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
 
-    return (
-        fresh.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_intake(spark: SparkSession, out: str, schema) -> DataFrame:
-    """The scenes taken in so far."""
+    """The scenes taken in so far, with the run and batch that stored each."""
     return spark.read.schema(schema).option("basePath", out).parquet(out)

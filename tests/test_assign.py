@@ -52,11 +52,28 @@ def test_candidates_stay_few_under_many_covering_scenes(spark):
     """A third of all scenes over one spot adds no candidates per field."""
     scenes = [(f"s{i:04d}", float(i % 19), 10.0 + i * 1e-4, 10.0, 14.0, 14.0) for i in range(600)]
     fields = [(i, 12.0 + i * 1e-3, 12.0, 12.01 + i * 1e-3, 12.01) for i in range(200)]
-    cells = assign.candidate_cells(spark.createDataFrame(scenes, SCENE), assign._cloud_order(), 0.25)
+    cells = assign.candidate_cells(spark.createDataFrame(scenes, SCENE), assign._cloud_order(), [0.25])
     pairs = assign._candidates(spark.createDataFrame(fields, FIELD), cells, 0.25)
     assert pairs.count() == 200
 
 
+@pytest.mark.parametrize("size", [0.3, 5.0, 70.0])
+def test_candidates_grow_with_the_field_and_not_the_catalogue(spark, size):
+    """Per cell a field meets, about one scene is left of the hundreds that cover it."""
+    rng = random.Random(3)
+    scenes = [(f"s{i:05d}", float(i % 19), x, y, x + 3.3, y + 3.3) for i, (x, y) in enumerate((rng.uniform(-40, 40), rng.uniform(-40, 40)) for _ in range(6000))]
+    cells = assign.candidate_cells(spark.createDataFrame(scenes, SCENE), assign._cloud_order(), [0.25])
+    pairs = assign._candidates(spark.createDataFrame([(1, -size / 2, -size / 2, size / 2, size / 2)], FIELD), cells, 0.25)
+    assert pairs.count() <= 8 * (size / 0.25 + 2) ** 2
+    assert cells.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] <= 60
+
+
+def test_only_needed_grids_are_built(spark):
+    small = spark.createDataFrame([(1, 0.0, 0.0, 0.1, 0.1), (2, None, None, None, None)], FIELD)
+    large = spark.createDataFrame([(1, 0.0, 0.0, 0.1, 0.1), (2, 0.0, 0.0, 3.0, 3.0)], FIELD)
+    assert assign.needed_sides(small, 0.25) == [0.25] and assign.needed_sides(large, 0.25) == [0.25, 4.0]
+
+
 def utm_scene(scene_id, left, bottom, width, height, epsg=32641, res=10.0):
     return (scene_id, epsg, res, *map(float, (left, bottom, left + width, bottom + height)))
 

@@ -131,12 +131,21 @@ def test_long_form_round_trip(spark):
     np.testing.assert_array_equal(array_of(ops.collect_chips(ops.explode_chips(df))), array_of(df))
 
 
-def test_stack_windows_pads_drops_and_orders(spark):
-    rows = [(1, 2, 1, 1, 2, [5.0, 6.0]), (1, 0, 1, 1, 2, [1.0, 2.0]), (2, 1, 1, 1, 2, [9.0, 9.0])]
-    df = spark.createDataFrame(rows, "field_id long, window_idx int, c int, h int, w int, px array<double>")
-    got = {r.field_id: r for r in ops.stack_windows(df, 3, 1).collect()}
-    assert set(got) == {1} and got[1].px == [1, 2, 0, 0, 5, 6] and got[1].missing == 1 and got[1].c == 3
-    assert ops.stack_windows(df, 3, 2).count() == 2
+def test_stacks_need_each_band_once_and_one_size(spark):
+    rows = [(1, "B04", 1, 1, [1]), (1, "B08", 1, 1, [2]), (2, "B04", 1, 1, [1]), (2, "B04", 1, 1, [3]), (3, "B04", 2, 2, [1, 1, 1, 1]), (3, "B08", 1, 1, [2])]
+    df = spark.createDataFrame(rows, "field_id long, band string, h int, w int, px array<int>").withColumn("window_idx", F.lit(0))
+    assert [(r.field_id, r.px) for r in ops.stack_bands(df, ["B08", "B04"]).collect()] == [(1, [2, 1])]
+
+
+def test_resize_output_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ops, "OUTPUT_BYTES", 4 * 8 * 16 * 3)
+    rng = np.random.default_rng(1)
+    rows = [(i, 0, 3, 2, 2, rng.random(12).tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, CHIP).coalesce(1)
+    got = {r.chip_id: r.px for r in ops.resize_bilinear(df, 4).collect()}
+    monkeypatch.setattr(ops, "OUTPUT_BYTES", 1 << 30)
+    assert got == {r.chip_id: r.px for r in ops.resize_bilinear(df, 4).collect()} and len(got) == 20
+    assert [*ops._bounded(np.array([1, 2, 9, 1]), 4)][-1][1] == 4
 
 
 def test_multitemporal_shuffles_pixels_once(spark, sf_dir):
@@ -186,7 +195,7 @@ def test_chip_checks(spark):
 
 
 def test_synthetic_chips_separate_the_classes(spark):
-    df = chip_io.synthetic_range(spark, 128, 4, 8, 2, 1)
+    df = chip_io.synthetic_chips(spark.range(128).withColumnRenamed("id", "chip_id"), 4, 8, 2, 1)
     means = {r.class_idx: r.m for r in df.select("class_idx", F.explode("px").alias("v")).groupBy("class_idx").agg(F.avg("v").alias("m")).collect()}
     assert abs(means[0] - 1500) < 100 and abs(means[1] - 7500) < 100
 
@@ -196,11 +205,13 @@ def test_missing_chip_set_raises(spark, tmp_path):
         chip_io.read_chips(spark, str(tmp_path / "absent"))
 
 
-def test_combine_skips_incomplete_districts(spark):
-    images = spark.createDataFrame([(1, 1, 1, 1, 1, [1.0]), (2, 2, 1, 1, 1, [1.0])], "tuman_code int, chip_id long, c int, h int, w int, px array<double>")
-    labels = spark.createDataFrame([(1, 1, 0)], "tuman_code int, chip_id long, class_idx int")
-    both = chip_io.combine_chips(images, labels)
-    assert [r.tuman_code for r in both.collect()] == [1]
-    assert chip_io.union_chips(both, both).count() == 2
-    none = spark.createDataFrame([(2,)], "tuman_code int")
-    assert chip_io.combine_chips(images, labels, none).count() == 0
+def test_combine_skips_unlabelled_chips_and_moves_no_pixels(spark):
+    rows = [(1, 1, 0, 1, 1, 1, [1.0]), (2, 2, None, 1, 1, 1, [1.0])]
+    chips = spark.createDataFrame(rows, "tuman_code int, chip_id long, class_idx int, c int, h int, w int, px array<double>")
+    assert [r.tuman_code for r in chip_io.combine_chips(chips).collect()] == [1]
+    assert chip_io.combine_chips(chips, chips).count() == 2
+    chosen = spark.createDataFrame([(2,)], "tuman_code int")
+    assert chip_io.combine_chips(chips, selection=chosen).count() == 0
+    plan = chip_io.combine_chips(chips, chips)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert "Exchange" not in stats.sample_chips(chips, 1, 1)._jdf.queryExecution().executedPlan().toString()

@@ -26,7 +26,7 @@ def test_normalize_label(spark):
 def test_wkt_bounds(spark):
     wkts = [
         "POLYGON ((1 2, 3 2, 3 5, 1 5, 1 2))",
-        "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((-7.5 -2e1, 4 4, 5 5, -7.5 -2e1)))",
+        "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((-7.5 -2e1, 4 4, 5 5, -7.5 -20)))",
         "polygon z ((1 2 9, 3 2 9, 3 5 9, 1 2 9))",
         "MULTIPOLYGON EMPTY",
         "POLYGON ((1 x, 2 3, 1 x))",
@@ -52,8 +52,8 @@ def test_bbox_rules(spark):
     got = [r["error"] for r in filters.bbox_check(df).collect()]
     assert got == [
         None,
-        "lon_min must be < lon_max",
-        "lat_min must be < lat_max",
+        "empty in longitude",
+        "empty in latitude",
         "longitude out of range",
         "latitude out of range",
         "missing coordinate",
@@ -64,7 +64,7 @@ def test_bbox_rules(spark):
     assert resolve_aoi(bbox="1,2,3,4") == (1, 2, 3, 4)
     texts = spark.createDataFrame([("1,2,3,4",), ("1,2,3",), ("1,2,x,4",), ("5,2,3,4",)], "t string")
     assert [r["error"] for r in parse_aoi(texts, "t").collect()] == [
-        None, "expected four numbers", "expected four numbers", "lon_min must be < lon_max",
+        None, "expected four numbers", "expected four numbers", "empty in longitude",
     ]
 
 
@@ -105,12 +105,39 @@ def test_top_districts_order(spark):
     assert got == {"": [6], "A": [2, 3], "unknown": [4, 5]}
 
 
-def test_sample_paths_agree(spark, monkeypatch):
-    df = spark.range(3000).select(F.col("id").alias("field_id"), F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("crop_type"))
-    small = {tuple(r) for r in regions.sample_per_class(df, 40, 3).collect()}
-    monkeypatch.setattr(regions, "_GROUP_LIMIT", 10)
-    assert {tuple(r) for r in regions.sample_per_class(df, 40, 3).collect()} == small and len(small) == 80
-    assert regions.sample_per_class(df, 5000, 3).count() == 3000
+@pytest.mark.parametrize("n", [1, 999, 1000, 1001, 5000])
+def test_samples_of_any_size_treat_missing_labels_as_a_class(spark, n):
+    label = F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 3 == 1, "a")
+    df = spark.range(4500).select(F.col("id").alias("field_id"), label.alias("crop_type"))
+    got = {r["crop_type"]: r["count"] for r in regions.sample_per_class(df, n, 3).groupBy("crop_type").count().collect()}
+    assert got == {k: min(n, 1500) for k in ("a", "b", None)}
+    rows = {tuple(r) for r in regions.sample_per_class(df, n, 3).collect()}
+    assert rows == {tuple(r) for r in regions.sample_per_class(df.repartition(7), n, 3).collect()}
+
+
+def test_open_and_short_rings_are_no_polygons(spark):
+    wkts = ["POLYGON 1 2 3 4", "POLYGON ((0 0, 1 0, 1 1, 0 1))", "POLYGON ((0 0, 1 0, 0 0))", "POLYGON ((0 0, 1 0, 1 1, 0.0 0))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 6)))"]
+    assert column(spark, wkts, geometry.is_polygon_wkt) == [False, False, False, True, False]
+    assert [b is not None for b in column(spark, wkts, geometry.wkt_bounds)] == [False, False, False, True, False]
+    df = spark.createDataFrame([(w,) for w in wkts], "geom_2 string")
+    assert [r.x0 is not None for r in filters.with_bounds(df).collect()] == [False, False, False, True, False]
+
+
+def test_geojson_polygons_and_other_types(spark, tmp_path):
+    lines = [
+        '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[1,2],[3,2],[3,4],[1,2]]]},"properties":{"crop_type":"a"}}',
+        '{"type":"Feature","geometry":null,"properties":{"crop_type":"b"}}',
+    ]
+    (tmp_path / "ok.json").write_text("\n".join(lines))
+    got = {r.crop_type: r.geometry for r in field_io.read_geojson(spark, str(tmp_path / "ok.json")).collect()}
+    assert got["a"].type == "Polygon" and got["a"].coordinates == [[[[1, 2], [3, 2], [3, 4], [1, 2]]]] and got["b"] is None
+    (tmp_path / "bad.json").write_text('{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]},"properties":{"crop_type":"a"}}')
+    with pytest.raises(Exception, match="no polygon"):
+        field_io.read_geojson(spark, str(tmp_path / "bad.json")).collect()
+    rows = spark.createDataFrame([("POLYGON ((0 0, 1 0, 1 1, 0 0))", "x"), ("MULTIPOLYGON EMPTY", "y")], "geom_2 string, crop_type string")
+    field_io.write_geojson(field_io.to_geojson_features(rows), str(tmp_path / "out"))
+    text = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert any('"type":"Polygon","coordinates":[[[0.0,0.0]' in t for t in text) and any('"coordinates":[]' in t for t in text)
 
 
 @pytest.mark.parametrize("parts", [1, 17])
