@@ -331,11 +331,11 @@ def encode_documents(
 ) -> DataFrame:
     """``docs`` without its text, plus ``n_pieces``, ``ids_crc32``, ``lossless`` and, if wanted, ``ids``.
 
-    ``lossless`` says that the ids were decoded again and gave the text.
+    Columns of ``docs`` with these names are replaced. ``lossless`` says that the ids were decoded again and gave the text.
     """
     ship_package(docs.sparkSession)
     path = model or default_model()
-    keep = [c for c in docs.columns if c != text_col]
+    keep = [c for c in docs.columns if c not in (text_col, "n_pieces", "ids_crc32", "lossless", "ids")]
     variant = F.coalesce(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(variants)), F.lit(0))
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"), F.when(F.col(id_col).isNull(), 0).otherwise(variant).cast("bigint").alias("_variant"))
     added = "n_pieces bigint, ids_crc32 bigint, lossless boolean" + (", ids array<int>" if keep_ids else "")

@@ -19,18 +19,20 @@ ROWS = [
     (8, "one two three", "en", "src0", 3, "", 0.0),
     (8, "one two three four five", "en", "src0", 3, "", 0.0),
 ]
+CLASHING = ["ids", "fp", "label", "start", "size", "kept", "bucket", "n_words", "held_out", "lang_pred", "item_id", "spans", "text_crc32", "n_pieces"]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, shard double"
 
 
 @pytest.fixture(scope="session")
 def odd(spark):
     """A small table with every awkward case, in several partitions."""
-    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).cache()
+    df = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+    return df.selectExpr("*", *(f"'extra' as {c}" for c in CLASHING)).cache()
 
 
 @pytest.fixture(scope="session")
 def none(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame([], SCHEMA).selectExpr("*", *(f"'extra' as {c}" for c in CLASHING))
 
 
 @pytest.fixture(scope="session")

@@ -38,7 +38,7 @@ def test_parts_are_tokenized_like_whole_texts(tokenizer, encoder, docs):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="ab1'. \n\t 　é,sl", max_size=14), min_size=1, max_size=4))
+@given(st.lists(st.text(alphabet="ab1'. \n\t\u00a0\u3000é,sl-\x1c", max_size=14), min_size=1, max_size=4))
 def test_cutting_never_changes_tokens(tokenizer, encoder, texts):
     assert encoded(encoder, texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -56,7 +56,7 @@ def test_round_trip(n, kinds):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 2), max_size=300))
+@given(st.lists(st.integers(0, 2**29 - 1) | st.integers(0, 2), max_size=300))
 def test_round_trip_of_any_ids(ids):
     data = tokens.pack([1], np.array([len(ids)]), np.array(ids, np.int64))
     assert np.concatenate([*tokens.unpack_blocks(data)[1], np.zeros(0, np.int64)]).tolist() == ids
@@ -67,7 +67,7 @@ def test_blocks_are_read_alone_and_damage_is_found():
     data = tokens.pack([1], np.array([len(ids)]), ids)
     _, (only,) = tokens.unpack_blocks(data, [3])
     assert np.array_equal(only, ids[3 * tokens.BLOCK_IDS : 4 * tokens.BLOCK_IDS])
-    at = tokens.unpack_header(data)["words_at"]
+    at = tokens.unpack_header(data)["blocks_at"]
     bad = bytearray(data)
     bad[at + 40] ^= 255
     with pytest.raises(ValueError):
