@@ -199,9 +199,11 @@ class Items:
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
     """Blocks of (ids, texts), each within the two bounds or a single item."""
-    items = benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    plain = F.regexp_replace(F.translate(F.col(text_col).cast("string"), upper, lower), r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ")
+    items = benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.trim(plain).alias("t")).where("i is not null and t is not null")
     ids, texts, held = [], [], 0
-    for row in items.distinct().orderBy("i", "t").toLocalIterator():
+    for row in items.groupBy("t").agg(F.min("i").alias("i")).orderBy("i", "t").toLocalIterator():
         if ids and (len(ids) >= BLOCK_ITEMS or held + 4 * len(row["t"]) > BLOCK_BYTES):
             yield ids, texts
             ids, texts, held = [], [], 0
