@@ -292,6 +292,43 @@ def multitemporal_chips(
     )
 
 
+def to_blocks(rasters: DataFrame, size: int, keys: Sequence[str] = ("scene_id", "band")) -> DataFrame:
+    """Rasters (``h, w, px``) -> square blocks of ``size`` pixels, smaller at the
+    right and lower edge: ``br, bc, bh, bw, px``."""
+    last = lambda side: F.floor((F.col(side) - 1) / size).cast("int")
+    rows = rasters.withColumn("br", F.explode(F.sequence(F.lit(0), last("h")))).withColumn("bc", F.explode(F.sequence(F.lit(0), last("w"))))
+    rows = rows.withColumns({"bh": F.least(F.lit(size), F.col("h") - F.col("br") * size), "bw": F.least(F.lit(size), F.col("w") - F.col("bc") * size)})
+    top = F.col("br") * size
+    lines = F.transform(F.sequence(top, top + F.col("bh") - 1), lambda y: F.slice("px", y * F.col("w") + F.col("bc") * size + 1, F.col("bw")))
+    return rows.select(*keys, "br", "bc", "bh", "bw", F.flatten(lines).alias("px"))
+
+
+def cut_windows(windows: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+    """Pixels of each window, in every band of its scene: ``field_id, scene_id,
+    band, h, w, px``.
+
+    ``windows`` has ``field_id, scene_id, col_off, row_off, width, height`` inside
+    the scene's grid, ``blocks`` comes from ``to_blocks`` with the same size. Each
+    window names the few blocks it meets and is joined to those by key; a block
+    under very many windows is a skewed key, which adaptive execution splits. Only
+    the lines inside the windows are shuffled on, and a group is one window.
+    """
+    span = lambda off, n: F.explode(F.sequence(F.floor(F.col(off) / size).cast("int"), F.floor((F.col(off) + F.col(n) - 1) / size).cast("int")))
+    wanted = windows.where((F.col("width") > 0) & (F.col("height") > 0)).select("field_id", "scene_id", "col_off", "row_off", "width", "height")
+    wanted = wanted.withColumn("br", span("row_off", "height")).withColumn("bc", span("col_off", "width"))
+    pieces = wanted.join(blocks, ["scene_id", "br", "bc"])
+    top, left = F.col("br") * size, F.col("bc") * size
+    y0, y1 = F.greatest(F.col("row_off"), top), F.least(F.col("row_off") + F.col("height"), top + F.col("bh"))
+    x0, x1 = F.greatest(F.col("col_off"), left), F.least(F.col("col_off") + F.col("width"), left + F.col("bw"))
+    line = F.transform(
+        F.sequence(y0, y1 - 1),
+        lambda y: F.struct(y.alias("y"), x0.alias("x"), F.slice("px", (y - top) * F.col("bw") + x0 - left + 1, x1 - x0).alias("px")),
+    )
+    lines = pieces.select("field_id", "scene_id", "band", "height", "width", F.explode(line).alias("l"))
+    whole = lines.groupBy("field_id", "scene_id", "band", F.col("height").alias("h"), F.col("width").alias("w")).agg(F.array_sort(F.collect_list("l")).alias("_l"))
+    return whole.select("field_id", "scene_id", "band", "h", "w", F.flatten(F.transform("_l", lambda v: v["px"])).alias("px"))
+
+
 def clip_tiles(tiles: DataFrame, bbox: Sequence[float]) -> DataFrame:
     """Crop each raster to a box; see ``with_clip_window`` for those that miss it."""
     hit = with_clip_window(tiles, bbox).where(F.col("status") == "ok")

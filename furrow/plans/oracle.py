@@ -547,6 +547,24 @@ BODIES: dict[str, tuple[list[str], str]] = {
         f" {r('((n.dn - r.dn) / (n.dn + r.dn + 0.001::double) + 1) * 5000')} from chips n join chips r"
         " on n.chip_id = r.chip_id and n.y = r.y and n.x = r.x where n.c = 3 and r.c = 2",
     ),
+    "field_windows": (
+        ["bounded", "best", "footed", "tiles"],
+        "with wins as (select field_id, scene_id, c0, r0, c1, r1 from (select f.field_id, s.scene_id, "
+        + ", ".join(
+            f"greatest(0, least(16, cast({fn}(({e}) / {d(fx.TILE_RES)}) as bigint))) as {n}"
+            for n, fn, e in (
+                ("c0", "floor", f"x0 + {d(-q.WINDOW_MARGIN)} - lon_min"),
+                ("c1", "ceil", f"x1 + {d(q.WINDOW_MARGIN)} - lon_min"),
+                ("r0", "floor", f"lat_max - (y1 + {d(q.WINDOW_MARGIN)})"),
+                ("r1", "ceil", f"lat_max - (y0 + {d(-q.WINDOW_MARGIN)})"),
+            )
+        )
+        + " from bounded f join best on best.field_id = f.field_id join footed s on s.scene_id = best.b.scene_id))"
+        " select field_id, w.scene_id as scene_id, band, cast(r1 - r0 as int) as h, cast(c1 - c0 as int) as w,"
+        " string_agg(cast(case when band = 'B04' then dn else dn * 3 % 10000 end as varchar), ',' order by y, x) as px"
+        " from wins w join tiles t on t.scene_id = w.scene_id and y >= r0 and y < r1 and x >= c0 and x < c1"
+        " cross join (values ('B04'), ('B08')) b(band) group by all",
+    ),
     "select_task": ([], "select concat(cast(s_nationkey as varchar), '-crop') as task_id, s_suppkey from supplier where concat(cast(s_nationkey as varchar), '-crop') like '%1-c%'"
         " and s_nationkey = (select min_by(s_nationkey, concat(cast(s_nationkey as varchar), '-crop')) from supplier where concat(cast(s_nationkey as varchar), '-crop') like '%1-c%')"),
     "band_stats_sink": (
@@ -654,6 +672,26 @@ BODIES: dict[str, tuple[list[str], str]] = {
 }
 
 
+# The stack of all fields, restricted to the sampled fields and their usable windows.
+_STACK = BODIES["multitemporal_stack"][1]
+BODIES["build_chips_windows"] = (
+    ["resized", "obs_keys", "exported", "top", "dated", "windows", "bounded"],
+    "with drawn as (select * from exported where tuman_code in (select tuman_code from top) qualify row_number() over"
+    f" (partition by tuman_code, crop_type order by {digest('field_id', q.SEED)}, field_id) <= 20),"
+    " usable as (select distinct field_id, window_idx from bounded join (select * from dated join windows"
+    " on cast(datetime as date) between cast(a as date) and cast(b as date) where cloud_cover < 20) s"
+    " on x0 <= lon_max and x1 >= lon_min and y0 <= lat_max and y1 >= lat_min),"
+    " index as (select field_id, cast(dense_rank() over (order by crop_type) - 1 as int) as class_idx, tuman_code from drawn), "
+    + _STACK.removeprefix("with ")
+    .replace(" and count(*) = 3), kept", " and count(*) = 3 intersect select field_id, window_idx from usable), kept")
+    .replace("having count(*) >= 2)", "having count(*) >= 1)")
+    .replace(" index as (select field_id, cast(dense_rank() over (order by crop_type) - 1 as int) as class_idx from exported),", "")
+    .replace("select k.field_id, k.missing, class_idx,", "select k.field_id, k.missing, class_idx, tuman_code,")
+    .replace(" select g.field_id, class_idx,", " select g.field_id as chip_id, tuman_code, class_idx,")
+    .replace("group by g.field_id, class_idx, missing", "group by g.field_id, tuman_code, class_idx, missing"),
+)
+
+
 # The three score queries stacked as name and value.
 _LOSS = BODIES["ce_loss"][1]
 BODIES["metrics_sink"] = (

@@ -10,7 +10,7 @@ from furrow import fixtures as fx
 from furrow.functions import arrays, geometry, labels, text
 from furrow.functions.projection import bounds_to_utm
 from furrow.operators import assign, chips as chip_ops, filters, regions, scoring, splits, stats, transforms
-from furrow.plans.build import train_and_score
+from furrow.plans.build import build_chips, labelled_fields, train_and_score
 from furrow.session import checkpointed, scratch_path
 from furrow.sources import chips as chip_io, fields as field_io, scenes as scene_io
 from furrow.streaming.intake import intake, read_intake, scene_stream
@@ -386,6 +386,34 @@ def clip_tiles(spark, d):
     )
 
 
+WINDOW_MARGIN, BLOCK_SIZE = 0.3, 5
+
+
+@query
+def field_windows(spark, d):
+    """Assigned fields with a margin, cut from two-band scene rasters stored as blocks."""
+    pairs = best_pairs(spark, d)
+    grown = [F.col(c) + s * WINDOW_MARGIN for c, s in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))]
+    side = F.lit(fx.TILE_SIZE)
+    window = geometry.pixel_window(*grown, F.col("lon_min"), F.col("lat_max"), F.lit(fx.TILE_RES), side, side)
+    windows = pairs.select("field_id", "scene_id", window.alias("w")).select("field_id", "scene_id", "w.*")
+    bands = F.array(
+        F.struct(F.lit("B04").alias("band"), F.col("px").alias("px")),
+        F.struct(F.lit("B08").alias("band"), F.transform("px", lambda v: v * 3 % 10000).alias("px")),
+    )
+    rasters = fx.tiles(spark, d).select("scene_id", "h", "w", F.inline(bands))
+    cut = chip_ops.cut_windows(windows, chip_ops.to_blocks(rasters, BLOCK_SIZE), BLOCK_SIZE)
+    return cut.withColumn("px", joined(F.col("px")))
+
+
+@query
+def build_chips_windows(spark, d):
+    """Districts, sample, best scene per window, complete scenes, stack: the whole build."""
+    rows = labelled_fields(fx.fields(spark, d), n_per_region=3, per_class=20, seed=SEED)
+    chips = build_chips(rows, footed(spark, d), fx.obs(spark, d), DATE_WINDOWS, OBS_BANDS, 4, min_px=2, max_missing=2)
+    return chips.withColumn("px", joined(F.col("px"), 10000))
+
+
 @query
 def select_task(spark, d):
     tasks = fx.table(spark, d, "supplier").select(F.concat(F.col("s_nationkey"), F.lit("-crop")).alias("task_id"), "s_suppkey")
