@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from furrow.operators.scoring import scores, with_prediction
 
@@ -37,6 +37,48 @@ def train_baseline(feats: DataFrame, weights: list[float] | None = None, max_ite
     ).fit(rows)
 
 
+LEAST_VARIANCE = 1e-6
+
+
+def class_moments(feats: DataFrame) -> DataFrame:
+    """Mean and variance of every feature per class: one row per class and
+    feature, by sums that are combined before the shuffle."""
+    tall = feats.select("class_idx", F.posexplode("features").alias("i", "v"))
+    return tall.groupBy("class_idx", "i").agg(F.avg("v").alias("mean"), F.greatest(F.var_pop("v"), F.lit(LEAST_VARIANCE)).alias("var"))
+
+
+def linear_predict(feats: DataFrame, weights: list[list[float]], bias: list[float]) -> DataFrame:
+    """Logits ``weights @ features + bias`` of given coefficients, one row of weights per class."""
+
+    def logit(row: list[float], b: float) -> Column:
+        pairs = F.zip_with("features", F.array(*[F.lit(float(v)) for v in row]), lambda x, w: x * w)
+        return F.aggregate(pairs, F.lit(float(b)), lambda a, v: a + v)
+
+    logits = F.array(*[logit(row, b) for row, b in zip(weights, bias)])
+    return with_prediction(feats.select("chip_id", F.col("class_idx").alias("label"), logits.alias("logits")))
+
+
+def gaussian_predict(feats: DataFrame, moments: list[tuple[int, int, float, float]], k: int) -> DataFrame:
+    """Log likelihood of every class under independent normal features, equal
+    priors (balanced classes), from the rows of ``class_moments``.
+
+    The moments are one row per class and feature, so they ride along as constants.
+    A class without training rows is never predicted.
+    """
+    n = 1 + max(i for _, i, _, _ in moments)
+    mean, var = ({(c, i): m for c, i, m, _ in moments}, {(c, i): v for c, i, _, v in moments})
+
+    def logit(c: int) -> Column:
+        if (c, 0) not in mean:
+            return F.lit(-1e300)
+        known = F.array(*[F.struct(F.lit(mean[c, i]).alias("m"), F.lit(var[c, i]).alias("v")) for i in range(n)])
+        parts = F.zip_with("features", known, lambda x, g: (x - g["m"]) * (x - g["m"]) / g["v"] + F.log(g["v"]))
+        return F.aggregate(parts, F.lit(0.0), lambda a, v: a + v) * -0.5
+
+    logits = F.array(*[logit(c) for c in range(k)])
+    return with_prediction(feats.select("chip_id", F.col("class_idx").alias("label"), logits.alias("logits")))
+
+
 def predict(model: PipelineModel, feats: DataFrame) -> DataFrame:
     """Logits and predicted class per chip."""
     return with_prediction(

@@ -672,6 +672,42 @@ BODIES: dict[str, tuple[list[str], str]] = {
 }
 
 
+_FEATURES = (
+    "select chip_id, class_idx, c as i, avg(cast(dn as double)) as v from chips group by all union all"
+    " select chip_id, class_idx, c + 4, stddev_pop(cast(dn as double)) from chips group by all"
+)
+
+
+def _linear() -> str:
+    weights, bias = q.LINEAR
+    logits = ", ".join(
+        f"sum(case i {' '.join(f'when {i} then {d(w)}' for i, w in enumerate(row))} end * v) + {d(b)} as z{c}" for c, (row, b) in enumerate(zip(weights, bias))
+    )
+    return f"select chip_id, class_idx as label, {logits} from ({_FEATURES}) group by all"
+
+
+BODIES["predict_linear"] = (
+    ["chips"],
+    "select chip_id, label, cast(case when z0 >= z1 and z0 >= z2 then 0 when z1 >= z2 then 1 else 2 end as int) as pred, "
+    + ", ".join(f"{r(f'z{c}', 5)} as z{c}" for c in range(3))
+    + f" from ({_linear()})",
+)
+BODIES["baseline_eval"] = (
+    ["chips", "splits"],
+    f"with feats as ({_FEATURES}), moments as (select class_idx, i, avg(v) as m, greatest(var_pop(v), 1e-6::double) as s from feats join splits using (chip_id)"
+    " where split = 'train' group by all), logits as (select f.chip_id, f.class_idx as label, g.class_idx as k, -0.5::double * sum((v - m) * (v - m) / s + ln(s)) as z"
+    " from feats f join splits using (chip_id) join moments g on g.i = f.i where split = 'test' group by all),"
+    " wide as (select chip_id, label, max(z) as top, arg_min(k, (-z, k)) as pred, max(z) filter (where k = label) as own from logits group by all),"
+    " loss as (select avg(own_lp) as v from (select w.chip_id, -(own - top - ln(sum(exp(z - top)))) as own_lp from wide w join logits l using (chip_id) group by w.chip_id, own, top)),"
+    " per as (select c.i as k, count(*) filter (where label = c.i and pred = c.i) as tp, count(*) filter (where label <> c.i and pred = c.i) as fp,"
+    " count(*) filter (where label = c.i and pred <> c.i) as fn from wide, range(3) c(i) group by 1)"
+    f" select 'accuracy' as name, {r('avg(case when label = pred then 1.0::double else 0.0::double end)', 5)} as value from wide"
+    f" union all select 'macro_accuracy', {r('avg(tp / greatest(tp + fn, 1))', 5)} from per where tp + fp + fn > 0"
+    f" union all select 'macro_f1', {r('avg(2 * tp / (2 * tp + fp + fn))', 5)} from per where tp + fp + fn > 0"
+    f" union all select 'loss', {r('v', 5)} from loss",
+)
+
+
 # The stack of all fields, restricted to the sampled fields and their usable windows.
 _STACK = BODIES["multitemporal_stack"][1]
 BODIES["build_chips_windows"] = (

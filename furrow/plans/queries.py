@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from furrow import fixtures as fx
 from furrow.functions import arrays, geometry, labels, text
 from furrow.functions.projection import bounds_to_utm
-from furrow.operators import assign, chips as chip_ops, filters, regions, scoring, splits, stats, transforms
+from furrow.operators import assign, chips as chip_ops, filters, ml, regions, scoring, splits, stats, transforms
 from furrow.plans.build import build_chips, labelled_fields, train_and_score
 from furrow.session import checkpointed, scratch_path
 from furrow.sources import chips as chip_io, fields as field_io, scenes as scene_io
@@ -621,7 +621,16 @@ def early_stop(spark, d):
 
 @query
 def baseline_eval(spark, d):
-    return train_and_score(spark, fx.chips(spark, d), K)
+    return train_and_score(spark, fx.chips(spark, d), K, seed=SEED).withColumn("value", r("value", 5))
+
+
+LINEAR = ([[0.002, -0.001, 0.0005, 0.0, 0.001, 0.0, -0.002, 0.001], [0.0, 0.001, 0.001, -0.001, 0.0, 0.002, 0.0, -0.001], [-0.001, 0.0, 0.0, 0.002, -0.001, 0.0, 0.001, 0.0]], [0.5, -0.25, 0.0])
+
+
+@query
+def predict_linear(spark, d):
+    found = ml.linear_predict(stats.chip_features(fx.chips(spark, d)), *LINEAR)
+    return found.select("chip_id", "label", "pred", *[r(F.col("logits")[i], 5).alias(f"z{i}") for i in range(K)])
 
 
 @query

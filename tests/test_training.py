@@ -12,6 +12,7 @@ from furrow import fixtures as fx
 from furrow.operators import chips as ops, scoring, splits, stats
 from furrow.plans import build
 from furrow.plans.queries import DATE_WINDOWS, QUERIES
+from furrow.sources.chips import synthetic_chips
 from furrow.sources.fields import read_fields
 from furrow.sources.scenes import aoi_table, footprints, resolve_aoi
 from furrow.streaming.intake import intake, read_intake, scene_stream
@@ -171,3 +172,10 @@ def test_rank_limits_apply_before_the_shuffle(spark, sf_dir):
     for name in ("top_districts", "sample_per_class"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("WindowGroupLimit") >= 2, name
+
+
+@pytest.mark.parametrize("iterative", [False, True])
+def test_baselines_learn_separable_chips(spark, iterative):
+    chips = synthetic_chips(spark.range(400).withColumnRenamed("id", "chip_id"), 4, 8, 3, 1).withColumn("px", F.transform("px", lambda v: v.cast("int")))
+    got = {r.name: r.value for r in build.train_and_score(spark, chips, 3, iterative=iterative).collect()}
+    assert got["accuracy"] >= 0.75 and got["macro_f1"] >= 0.75
