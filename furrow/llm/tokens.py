@@ -15,8 +15,8 @@ the same for a thousand ids as for one.
 
 Layout (little-endian): magic, then the header's length and checksum, then the
 header: counts, document ids and lengths, ids present and their frequencies, and
-for each block its number of ids, checksum and number of 16-bit words; then the
-words of all blocks.
+for each block its number of ids, checksum and number of bytes; then the bytes of
+all blocks.
 
 Null texts are empty. Null document ids come first and are kept. Ties keep one
 entry each. An empty table gives no files and no rows.
@@ -27,7 +27,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,9 @@ from furrow.llm import files, words
 from furrow.session import checkpointed, scratch_path, ship_package
 
 END_ID = 2
-BLOCK_IDS = 2048  # ids of a block
+BLOCK_IDS = 1024  # ids of a block
 FILE_IDS = 1 << 21  # a file is closed after the document that reaches this
-SLOTS = 12  # log2 of the table entries per block and order
+SLOTS = 10  # log2 of the table entries per block and order
 CONFIDENT = 3
 GAIN, LIMIT = 24, 1 << 14  # growth of a mixing count, and where counts are halved
 SCALE = 1 << 20  # sum of the order-0 frequencies
@@ -47,8 +47,10 @@ SCALE = 1 << 20  # sum of the order-0 frequencies
 MAGIC = b"FTOK0001"
 NO_ID = np.iinfo(np.int64).min
 
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
-_SHIFT, _HIGH = np.uint64(16), np.uint64(48)
+# State of the coder: 64 bits, one byte leaves at a time, so that an interval can
+# be cut into the product of both choices' sums at once.
+_TOP, _LOW = np.uint64(1 << 56), np.uint64(1 << 48)
+_SHIFT, _HIGH, _ONE = np.uint64(8), np.uint64(56), np.uint64(1)
 _FULL = np.uint64((1 << 64) - 1)
 
 
@@ -56,42 +58,38 @@ _FULL = np.uint64((1 << 64) - 1)
 
 
 class Mixer:
-    """The adaptive state of one block per lane."""
+    """The adaptive state of one block per lane. Both orders are kept in one
+    array, order 1 first. A table entry is (id + 1) * 4 + confidence, or 0."""
 
     def __init__(self, lanes: int):
-        self.rows = np.arange(lanes)
-        self.tables = [np.full((lanes, 1 << SLOTS), -1, np.int64) for _ in range(2)]  # id * 4 + confidence
-        self.weights = np.full((lanes, 25, 3), 32, np.int64)
-        self.weights[:, :, 0] = 64
+        self.table = np.zeros(2 * lanes << SLOTS, np.int32)
+        self.weights = np.tile(np.array([64, 32, 32]), lanes * 25)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self, n: int):
-        """For the first ``n`` lanes: places, the two predicted ids (-1: none) and the mixing counts."""
-        mask = (1 << SLOTS) - 1
-        last, before = self.last[:n], self.before[:n]
-        one = (last * 40503 >> 3) & mask
-        two = ((last * 40503 + before * 69069) * 2654435761 >> 11) & mask
-        rows = self.rows[:n]
-        held = [self.tables[0][rows, one], self.tables[1][rows, two]]
-        sure = [(h & 3) + 1 for h in held]
-        guess = [h >> 2 for h in held]
-        for h, s in zip(held, sure):
-            s[h < 0] = 0
-        state = sure[1] * 5 + sure[0]
-        return (one, two), guess, sure, state, self.weights[rows, state]
-
-    def learn(self, ids, places, guess, sure, state, outcome) -> None:
+        rows = np.arange(lanes)
+        self.base, self.states = np.stack((rows, rows + lanes)) << SLOTS, rows * 75
+
+    def predict(self, n: int) -> tuple[np.ndarray, ...]:
+        """For the first ``n`` lanes and both orders: places, predicted ids plus one
+        and how sure they are (0: no prediction); per lane the three mixing counts."""
+        last, before = self.last[:n] * 40503, self.before[:n] * 69069
+        place = np.stack((last >> 3, (last + before) * 2654435761 >> 11))
+        place &= (1 << SLOTS) - 1
+        place += self.base[:, :n]
+        held = self.table.take(place)
+        guess = held >> 2
+        sure = (held & 3) + (held > 0)
+        state = self.states[:n] + (sure[1] * 15 + sure[0] * 3)
+        return place, guess, sure, state, self.weights.take(state), self.weights.take(state + 1), self.weights.take(state + 2)
+
+    def learn(self, ids, place, guess, sure, state, hit, outcome, total) -> None:
         n = len(ids)
-        rows = self.rows[:n]
-        for table, place, g, s in zip(self.tables, places, guess, sure):
-            hit = g == ids
-            kept = np.where(hit, np.minimum(s, CONFIDENT), np.where(s > 1, s - 2, 0))
-            table[rows, place] = np.where(hit | (s < 2), ids, g) * 4 + kept
-        w = self.weights
-        w[rows, state, outcome] += GAIN
-        large = np.flatnonzero(w[rows, state].sum(axis=1) > LIMIT)
-        if len(large):
-            w[large, state[large]] = (w[large, state[large]] >> 1) + 1
+        kept = np.where(hit, np.minimum(sure, CONFIDENT), np.maximum(sure - 2, 0))
+        stays = hit | (sure > 1)
+        self.table[place] = np.where(stays, guess, (ids + 1)[None, :]) * 4 + kept
+        self.weights[state + outcome] += GAIN
+        large = np.flatnonzero(total > LIMIT - GAIN)
+        for k in range(3 if len(large) else 0):
+            self.weights[state[large] + k] = (self.weights[state[large] + k] >> 1) + 1
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
@@ -99,77 +97,82 @@ class Mixer:
 # --- range coder -----------------------------------------------------------------------
 
 
+def _moves(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Lanes whose top byte leaves now; ``span`` of those that straddle a byte for too long is cut first."""
+    settled = (low ^ (low + span)) < _TOP
+    short = np.flatnonzero(~settled & (span < _LOW))
+    if len(short):
+        span[short] = (~low[short] + _ONE) & (_LOW - _ONE)
+        settled[short] = True
+    return np.flatnonzero(settled)
+
+
 class Encoder:
     def __init__(self, lanes: int, most: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, _FULL)
-        self.out = np.zeros((lanes, 3 * most + 8), np.uint16)
-        self.at = np.zeros(lanes, np.int64)
-
-    def put(self, rows: np.ndarray, start, size, total) -> None:
-        step = self.range[rows] // total.astype(np.uint64)
-        low = self.low[rows] + step * start.astype(np.uint64)
-        span = step * size.astype(np.uint64)
-        while True:
-            settled = (low ^ (low + span)) < _TOP
-            cut = ~settled & (span < _LOW)
-            move = np.flatnonzero(settled | cut)
-            if not len(move):
-                break
-            span = np.where(cut, (~low + np.uint64(1)) & (_LOW - np.uint64(1)), span)
-            lane = rows[move]
-            self.out[lane, self.at[lane]] = (low[move] >> _HIGH).astype(np.uint16)
-            self.at[lane] += 1
-            low[move] <<= _SHIFT
-            span[move] <<= _SHIFT
-        self.low[rows], self.range[rows] = low, span
-
-    def finish(self, rows: np.ndarray) -> None:
-        low = self.low[rows]
-        for _ in range(4):
-            self.out[rows, self.at[rows]] = (low >> _HIGH).astype(np.uint16)
-            self.at[rows] += 1
-            low = low << _SHIFT
+        # One row per place and one column per lane: lanes are at about the same place.
+        self.out = np.zeros((7 * most + 16) * lanes, np.uint8)
+        self.at = np.arange(lanes)
+
+    def put(self, n: int, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+        """Code one interval in each of the first ``n`` lanes."""
+        low, span = self.low[:n], self.range[:n]
+        span //= total.astype(np.uint64)
+        low += span * start.astype(np.uint64)
+        span *= size.astype(np.uint64)
+        lanes, move = len(self.at), _moves(low, span)
+        while len(move):  # lanes that sent a byte may have to send another
+            top, place = low.take(move), self.at.take(move)
+            self.out[place] = top >> _HIGH
+            self.at[move] = place + lanes
+            top <<= _SHIFT
+            rest = span.take(move) << _SHIFT
+            more = _moves(top, rest)
+            low[move], span[move] = top, rest
+            move = move.take(more)
+
+    def finish(self) -> list[np.ndarray]:
+        """The bytes of each lane."""
+        lanes = len(self.low)
+        for _ in range(8):
+            self.out[self.at] = self.low >> _HIGH
+            self.at += lanes
+            self.low <<= _SHIFT
+        used = self.at // lanes
+        lines = np.ascontiguousarray(self.out.reshape(-1, lanes)[: int(used.max())].T)
+        return [lines[i, :n] for i, n in enumerate(used.tolist())]
 
 
 class Decoder:
     def __init__(self, data: np.ndarray, starts: np.ndarray):
-        self.data = np.concatenate((data.astype(np.uint64), np.zeros(8, np.uint64)))
+        self.data = np.concatenate((data, np.zeros(16, np.uint8)))
         self.at = starts.copy()
         lanes = len(starts)
         self.low, self.range, self.code = np.zeros(lanes, np.uint64), np.full(lanes, _FULL), np.zeros(lanes, np.uint64)
-        for _ in range(4):
+        for _ in range(8):
             self.code = (self.code << _SHIFT) | self.data[self.at]
             self.at += 1
 
-    def look(self, rows: np.ndarray, total) -> np.ndarray:
-        """Where in 0 .. total-1 the next symbol lies."""
-        self.step = self.range[rows] // total.astype(np.uint64)
-        return np.minimum((self.code[rows] - self.low[rows]) // self.step, (total - 1).astype(np.uint64)).astype(np.int64)
-
-    def take(self, rows: np.ndarray, start, size) -> None:
-        low = self.low[rows] + self.step * start.astype(np.uint64)
-        span, code = self.step * size.astype(np.uint64), self.code[rows]
-        while True:
-            settled = (low ^ (low + span)) < _TOP
-            cut = ~settled & (span < _LOW)
-            move = np.flatnonzero(settled | cut)
-            if not len(move):
-                break
-            span = np.where(cut, (~low + np.uint64(1)) & (_LOW - np.uint64(1)), span)
-            lane = rows[move]
-            code[move] = (code[move] << _SHIFT) | self.data[np.minimum(self.at[lane], len(self.data) - 1)]
-            self.at[lane] += 1
-            low[move] <<= _SHIFT
-            span[move] <<= _SHIFT
-        self.low[rows], self.range[rows], self.code[rows] = low, span, code
-
-
-def _intervals(weights: np.ndarray, outcome: np.ndarray):
-    """(start, size) of each outcome (0: order 0, 1, 2) in its three counts."""
-    rows = np.arange(len(outcome))
-    ends = weights.cumsum(axis=1)
-    return ends[rows, outcome] - weights[rows, outcome], weights[rows, outcome], ends[:, 2]
+    def look(self, n: int, total: np.ndarray) -> np.ndarray:
+        """Where in 0 .. total-1 the next symbol of each of the first ``n`` lanes lies."""
+        self.range[:n] //= total.astype(np.uint64)
+        spot = (self.code[:n] - self.low[:n]) // self.range[:n]
+        return np.minimum(spot.astype(np.int64), total - 1)
+
+    def take(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+        low, span, code = self.low[:n], self.range[:n], self.code[:n]
+        low += span * start.astype(np.uint64)
+        span *= size.astype(np.uint64)
+        move = _moves(low, span)
+        while len(move):
+            place = self.at.take(move)
+            code[move] = (code.take(move) << _SHIFT) | self.data.take(place, mode="clip")
+            self.at[move] = place + 1
+            top, rest = low.take(move) << _SHIFT, span.take(move) << _SHIFT
+            more = _moves(top, rest)
+            low[move], span[move] = top, rest
+            move = move.take(more)
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -183,61 +186,56 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 
 
 def encode_blocks(ids: np.ndarray, present: np.ndarray, freq: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """16-bit words of each block of ``BLOCK_IDS`` ids, and the blocks' lengths."""
+    """Bytes of each block of ``BLOCK_IDS`` ids, and the blocks' lengths."""
     lanes = -(-len(ids) // BLOCK_IDS)
     sizes = np.full(lanes, BLOCK_IDS)
     if lanes:
         sizes[-1] = len(ids) - (lanes - 1) * BLOCK_IDS  # the short block comes last, so full lanes are a prefix
     grid = np.zeros(lanes * BLOCK_IDS, np.int64)
-    grid[: len(ids)] = ids
-    grid = grid.reshape(lanes, BLOCK_IDS)
-    rank = np.zeros(lanes * BLOCK_IDS, np.int64)
-    rank[: len(ids)] = np.searchsorted(present, ids)
-    rank = rank.reshape(lanes, BLOCK_IDS)
+    grid[: len(ids)] = np.searchsorted(present, ids)
+    ranks = grid.reshape(lanes, BLOCK_IDS)
     start = freq.cumsum() - freq
     mixer, coder = Mixer(lanes), Encoder(lanes, BLOCK_IDS)
-    scale = np.full(lanes, SCALE)
     for t in range(int(sizes.max(initial=0))):
         n = lanes if t < sizes[-1] else lanes - 1
-        now = grid[:n, t]
-        places, guess, sure, state, weights = mixer.predict(n)
-        outcome = np.where((sure[1] > 0) & (guess[1] == now), 2, np.where((sure[0] > 0) & (guess[0] == now), 1, 0))
-        coder.put(np.arange(n), *_intervals(weights, outcome))
-        rest = np.flatnonzero(outcome == 0)
-        if len(rest):
-            at = rank[rest, t]
-            coder.put(rest, start[at], freq[at], scale[: len(rest)])
-        mixer.learn(now, places, guess, sure, state, outcome)
-    if lanes:
-        coder.finish(np.arange(lanes))
-    return [coder.out[i, : coder.at[i]] for i in range(lanes)], sizes
+        rank = ranks[:n, t]
+        now = present.take(rank)
+        place, guess, sure, state, w0, w1, w2 = mixer.predict(n)
+        hit = guess == now + 1
+        outcome = np.where(hit[1], 2, hit[0])
+        total = w0 + w1 + w2
+        # Order 0 divides the first part of the interval by its frequencies.
+        plain, first = outcome == 0, outcome == 1
+        low = np.where(plain, w0 * start.take(rank), np.where(first, w0, w0 + w1) * SCALE)
+        size = np.where(plain, w0 * freq.take(rank), np.where(first, w1, w2) * SCALE)
+        coder.put(n, low, size, total * SCALE)
+        mixer.learn(now, place, guess, sure, state, hit, outcome, total)
+    return coder.finish() if lanes else [], sizes
 
 
 def decode_blocks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, present: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
-    """The ids of blocks whose words begin at ``starts`` of ``data``."""
+    """The ids of blocks whose bytes begin at ``starts`` of ``data``."""
     order = np.argsort(-sizes, kind="stable")  # longer lanes first, so that open lanes are a prefix
-    lanes, ends, begin = len(sizes), freq.cumsum(), freq.cumsum() - freq
+    lanes, begin = len(sizes), freq.cumsum() - freq
     left = sizes[order]
     grid = np.zeros((lanes, int(left.max(initial=0))), np.int64)
     mixer, coder = Mixer(lanes), Decoder(data, starts[order])
-    scale = np.full(lanes, SCALE)
-    lookup = np.repeat(np.arange(len(freq)), freq) if len(freq) else np.zeros(0, np.int64)
+    lookup = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
     for t in range(grid.shape[1]):
         n = int(np.searchsorted(-left, -t, "left"))
-        rows = np.arange(n)
-        places, guess, sure, state, weights = mixer.predict(n)
-        cut = weights.cumsum(axis=1)
-        spot = coder.look(rows, cut[:, 2])
-        outcome = (spot >= cut[:, 0]).astype(np.int64) + (spot >= cut[:, 1])
-        coder.take(rows, *_intervals(weights, outcome)[:2])
-        now = np.where(outcome == 2, guess[1], guess[0])
-        rest = np.flatnonzero(outcome == 0)
-        if len(rest):
-            at = lookup[coder.look(rest, scale[: len(rest)])]
-            coder.take(rest, begin[at], freq[at])
-            now[rest] = present[at]
+        place, guess, sure, state, w0, w1, w2 = mixer.predict(n)
+        total = w0 + w1 + w2
+        spot = coder.look(n, total * SCALE)
+        outcome = (spot >= w0 * SCALE).astype(np.int64) + (spot >= (w0 + w1) * SCALE)
+        plain = outcome == 0
+        first = outcome == 1
+        rank = lookup.take(np.where(plain, spot // w0, 0))
+        low = np.where(plain, w0 * begin.take(rank), np.where(first, w0, w0 + w1) * SCALE)
+        size = np.where(plain, w0 * freq.take(rank), np.where(first, w1, w2) * SCALE)
+        coder.take(n, low, size)
+        now = np.where(plain, present.take(rank), np.where(first, guess[0], guess[1]) - 1)
         grid[:n, t] = now
-        mixer.learn(now, places, guess, sure, state, outcome)
+        mixer.learn(now, place, guess, sure, state, guess == now + 1, outcome, total)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
     for i, lane in enumerate(order.tolist()):
         out[lane] = grid[i, : sizes[lane]]
@@ -250,8 +248,8 @@ def decode_blocks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, prese
 def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One file: documents in order, ``lengths`` ids each."""
     ids = ids.astype(np.int64)
-    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
-        raise ValueError("ids must be unsigned 32-bit numbers")
+    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 29):
+        raise ValueError("ids must be from 0 to 2**29 - 1")
     present, counts = np.unique(ids, return_counts=True)
     freq = frequencies(counts) if len(present) else np.zeros(0, np.int64)
     blocks, sizes = encode_blocks(ids, present, freq)
@@ -262,7 +260,7 @@ def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     head += names.tobytes() + np.asarray(lengths, "<u4").tobytes() + present.astype("<u4").tobytes() + freq.astype("<u4").tobytes()
     head += np.asarray(sizes, "<u4").tobytes() + np.array(sums, "<u4").tobytes() + np.array([len(b) for b in blocks], "<u4").tobytes()
     head = zlib.compress(head, 6)
-    return MAGIC + struct.pack("<QI", len(head), zlib.crc32(head)) + head + b"".join(b.astype("<u2").tobytes() for b in blocks)
+    return MAGIC + struct.pack("<QI", len(head), zlib.crc32(head)) + head + b"".join(b.tobytes() for b in blocks)
 
 
 def unpack_header(data: bytes) -> dict:
@@ -274,10 +272,10 @@ def unpack_header(data: bytes) -> dict:
         raise ValueError("token file header is damaged")
     head = zlib.decompress(raw)
     docs, n, kinds, blocks = struct.unpack_from("<QQQQ", head)
-    at, out = 32, {"ids": n, "words_at": 20 + size}
+    at, out = 32, {"ids": n, "blocks_at": 20 + size}
     for name, kind, count in (
         ("docs", "<i8", docs), ("lengths", "<u4", docs), ("present", "<u4", kinds), ("freq", "<u4", kinds),
-        ("sizes", "<u4", blocks), ("sums", "<u4", blocks), ("words", "<u4", blocks),
+        ("sizes", "<u4", blocks), ("sums", "<u4", blocks), ("bytes", "<u4", blocks),
     ):
         out[name] = np.frombuffer(head, kind, count, at).astype(np.int64)
         at += int(kind[2]) * count
@@ -287,10 +285,10 @@ def unpack_header(data: bytes) -> dict:
 def unpack_blocks(data: bytes, wanted: list[int] | None = None) -> tuple[dict, list[np.ndarray]]:
     """The header and the ids of the wanted blocks (all by default); every block is checked."""
     head = unpack_header(data)
-    begin = head["words"].cumsum() - head["words"]
+    begin = head["bytes"].cumsum() - head["bytes"]
     chosen = np.arange(len(begin)) if wanted is None else np.array(wanted, np.int64)
-    code = np.frombuffer(data, "<u2", -1, head["words_at"])
-    if len(code) < int(head["words"].sum()):
+    code = np.frombuffer(data, np.uint8, -1, head["blocks_at"])
+    if len(code) < int(head["bytes"].sum()):
         raise ValueError("token file is cut short")
     blocks = decode_blocks(code, begin[chosen], head["sizes"][chosen], head["present"], head["freq"])
     for i, ids in zip(chosen.tolist(), blocks):
@@ -312,15 +310,24 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+_CONTROL = np.array([b < 32 or b == 127 for b in range(256)])
+_PUNCTUATION = np.array([32 < b < 127 for b in range(256)]) & ~_ALNUM
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places where a byte-level text may be cut without changing its tokens: text
-    starts, and each space between two other bytes that are not blanks. The space
-    opens the next token there, whatever stands around it."""
+    starts; each space between two bytes that are not blanks, which opens the next
+    token whatever stands around it; ASCII punctuation after an ASCII letter or
+    digit, where a run of letters or digits ends; and behind a lone line break."""
     if len(data) < 3:
         return np.unique(offsets[:-1][np.diff(offsets) > 0])
     space = data == 32
     mark = np.zeros(len(data), bool)
-    mark[1:-1] = space[1:-1] & ~_BLANK[data[:-2]] & ~_BLANK[data[2:]]
+    blank = _BLANK[data]
+    mark[1:-1] = space[1:-1] & ~blank[:-2] & ~blank[2:]
+    mark[1:] |= _PUNCTUATION[data[1:]] & _ALNUM[data[:-1]]
+    mark[2:] |= (data[1:-1] == 10) & (data[:-2] < 128) & ~blank[:-2] & (data[2:] < 128) & ~blank[2:] & ~_CONTROL[data[2:]]
     inner = offsets[1:-1]
     inner = inner[(inner > 0) & (inner < len(data))]
     mark[inner] = True
@@ -328,10 +335,33 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
+# First bytes of characters that may be white space beyond ASCII.
+_WIDE_BLANK = np.zeros(256, bool)
+_WIDE_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+class Bank(NamedTuple):
+    """Parts encoded so far, sorted by hash: their bytes in ``raw``, their ids in ``ids``."""
+
+    hashes: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+    number: np.ndarray
+    raw: np.ndarray
+    ids: np.ndarray
+
+
 class TextEncoder:
-    """Ids of many texts. Each distinct part of a chunk is encoded once."""
+    """Ids of many texts. Each distinct part of a chunk is encoded once.
+
+    Parts that open with a space and a visible character keep their tokens
+    wherever they stand, so many of them are encoded as one text; the byte lengths
+    of the tokens tell where each part ends. Other parts are encoded alone.
+    """
 
-    REMEMBER = 1 << 18  # distinct parts remembered between chunks
+    JOINED = 1 << 14  # bytes of parts encoded as one text
+    REMEMBER = 1 << 19  # distinct parts kept from earlier chunks
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -339,19 +369,87 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _encode(self, parts: list[bytes]) -> list[np.ndarray]:
-        new = [p for p in dict.fromkeys(parts) if p not in self.known]
-        fresh = {}
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
-            fresh.update((p, np.array(e.ids, np.int32)) for p, e in zip(some, found))
-        out = [self.known[p] if p in self.known else fresh[p] for p in parts]
-        if len(self.known) + len(fresh) <= self.REMEMBER:
-            self.known.update(fresh)
-        return out
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        none = np.zeros(0, np.int64)
+        self.bank = Bank(none.astype(np.uint64), none, none, none, none, np.zeros(0, np.uint8), np.zeros(0, np.int32))
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: its characters stand for bytes
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+
+    def _run(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.int32) for e in found]
+
+    def _encode(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the parts one after the other, ids per part)."""
+        size = ends - starts
+        length = np.zeros(len(starts), np.int64)
+        pools: list[np.ndarray] = [np.zeros(0, np.int32)] * len(starts)
+        together = np.flatnonzero(plain)
+        groups = np.split(together, np.flatnonzero(np.diff(size[together].cumsum() // self.JOINED)) + 1) if len(together) else []
+        joined = self._run([b"".join(raw[a:b] for a, b in zip(starts[g].tolist(), ends[g].tolist())) for g in groups])
+        alone = np.flatnonzero(~plain).tolist()
+        for group, ids in zip(groups, joined):
+            reached = self.width[ids].cumsum()
+            last = np.searchsorted(reached, size[group].cumsum())
+            if (reached[np.minimum(last, len(reached) - 1)] != size[group].cumsum()).any():
+                alone += group.tolist()  # a token spans two parts: not expected, and harmless
+                continue
+            length[group] = np.diff(last, prepend=-1)
+            pools[group[0]] = ids
+        for i, ids in zip(alone, self._run([raw[starts[i] : ends[i]] for i in alone])):
+            length[i], pools[i] = len(ids), ids
+        return self._in_order(pools, length, groups, alone)
+
+    @staticmethod
+    def _in_order(pools, length, groups, alone) -> tuple[np.ndarray, np.ndarray]:
+        """Lay the ids out in the order of the parts."""
+        first = np.zeros(len(length), np.int64)
+        held, at, single = [], 0, set(alone)
+        for group in groups:
+            if int(group[0]) in single:
+                continue
+            first[group] = at + length[group].cumsum() - length[group]
+            held.append(pools[group[0]])
+            at += len(held[-1])
+        for i in alone:
+            first[i] = at
+            held.append(pools[i])
+            at += len(held[-1])
+        pool = np.concatenate(held) if held else np.zeros(0, np.int32)
+        before = length.cumsum() - length
+        return pool[np.repeat(first - before, length) + np.arange(int(length.sum()))], length
+
+    def _look_up(self, data, hashes, begin, end, plain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, number) of the ids of each part in a pool of ids. Parts met in
+        earlier chunks are taken from the bank; new ones are encoded and added."""
+        size = end - begin
+        known = self.bank
+        at = np.minimum(np.searchsorted(known.hashes, hashes), max(len(known.hashes) - 1, 0))
+        hit = np.zeros(len(hashes), bool) if not len(known.hashes) else (known.hashes[at] == hashes) & (known.size[at] == size)
+        same = np.flatnonzero(hit)
+        if len(same):
+            inside = np.arange(int(size[same].sum())) - np.repeat(size[same].cumsum() - size[same], size[same])
+            differs = data[np.repeat(begin[same], size[same]) + inside] != known.raw[np.repeat(known.begin[at[same]], size[same]) + inside]
+            hit[np.repeat(same, size[same])[differs]] = False
+        new = np.flatnonzero(~hit)
+        ids, length = self._encode(data.tobytes(), begin[new], end[new], plain[new])
+        first, number = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        first[hit], number[hit] = known.first[at[hit]], known.number[at[hit]]
+        first[new], number[new] = len(known.ids) + length.cumsum() - length, length
+        pool = np.concatenate((known.ids, ids))
+        if len(known.hashes) + len(new) <= self.REMEMBER:
+            grow = size[new]
+            inside = np.arange(int(grow.sum())) - np.repeat(grow.cumsum() - grow, grow)
+            raw = np.concatenate((known.raw, data[np.repeat(begin[new], grow) + inside]))
+            joint = np.concatenate((known.hashes, hashes[new]))
+            order = np.argsort(joint, kind="stable")
+            pick = lambda a, b: np.concatenate((a, b))[order]
+            self.bank = Bank(
+                joint[order], pick(known.begin, len(known.raw) + grow.cumsum() - grow), pick(known.size, grow),
+                pick(known.first, first[new]), pick(known.number, length), raw, pool,
+            )
+        return first, number, pool
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
@@ -363,16 +461,15 @@ class TextEncoder:
         h = words.hashes(data, starts, ends)
         _, shown, place = np.unique(h, return_index=True, return_inverse=True)
         size = ends - starts
-        raw = data.tobytes()
         # The hash only groups; equal groups must be equal bytes.
-        owner = np.repeat(np.arange(len(starts)), size)
         same = shown[place]
-        if (size != size[same]).any() or (data != data[starts[same][owner] + (np.arange(len(data)) - starts[owner])]).any():
+        shift = np.repeat((starts[same] - starts).astype(np.int32), size)
+        if (size != size[same]).any() or (data != data[np.arange(len(data), dtype=np.int32) + shift]).any():
             shown, place = np.arange(len(starts)), np.arange(len(starts))
-        found = self._encode([raw[a:b] for a, b in zip(starts[shown].tolist(), ends[shown].tolist())])
-        length = np.array([len(f) for f in found], np.int64)
-        pool = np.concatenate(found) if found else np.zeros(0, np.int32)
-        first = length.cumsum() - length
+        begin, end = starts[shown], ends[shown]
+        second = data[np.minimum(begin + 1, len(data) - 1)]
+        plain = (data[begin] == 32) & (end - begin > 1) & ~_BLANK[second] & ~_WIDE_BLANK[second]
+        first, length, pool = self._look_up(data, h[shown], begin, end, plain)
         each = length[place]
         before = each.cumsum() - each
         ids = pool[np.repeat(first[place] - before, each) + np.arange(int(each.sum()))]
