@@ -38,6 +38,7 @@ RATE = 0.1
 VARIANTS = 8
 SEED = 17
 IN_STEP = 64
+CHUNK_BYTES = 2 << 20  # texts encoded together; positions and symbols take some fifty times as much
 NONE = np.int64(1 << 40)  # rank of a pair that is no piece
 
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -345,7 +346,7 @@ def encode_documents(
         for batch in batches:
             every = batch.column("_text")
             variant = batch.column("_variant").to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in words.chunks(every):
+            for lo, hi, data, offsets in words.chunks(every, CHUNK_BYTES):
                 ids, count = encode(pieces, data, offsets, variant[lo:hi], seed, rate)
                 back, places = decode(pieces, ids, count)
                 whole = data.tobytes()

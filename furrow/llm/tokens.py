@@ -40,6 +40,7 @@ END_ID = 2
 BLOCK_IDS = 1024  # ids of a block
 FILE_IDS = 1 << 21  # a file is closed after the document that reaches this
 SLOTS = 10  # log2 of the table entries per block and order
+CHUNK_BYTES = 2 << 20  # texts encoded together
 CONFIDENT = 3
 GAIN, LIMIT = 24, 1 << 14  # growth of a mixing count, and where counts are halved
 SCALE = 1 << 20  # sum of the order-0 frequencies
@@ -513,7 +514,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], list(row))
 
         for batch in batches:
-            for lo, hi, data, offsets in words.chunks(batch.column("text")):
+            for lo, hi, data, offsets in words.chunks(batch.column("text"), CHUNK_BYTES):
                 ids, count = encoder(data, offsets)
                 held.append(with_end(ids, count, end_id))
                 lengths.append(count + 1)

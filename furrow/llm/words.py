@@ -29,7 +29,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1), modulo 2**64."""
     known = _powers.get(base)
     if known is None or len(known) < n:
-        full = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        full = np.full(max(n, 1 << 20), base, np.uint64)
         full[0] = 1
         known = _powers[base] = np.cumprod(full, dtype=np.uint64)
     return known[:n]
