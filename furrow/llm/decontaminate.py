@@ -12,10 +12,12 @@ item's is a candidate, and the exact edit distance decides. ``WALKS`` times
 ``SAMPLES`` samples of ``PLACES`` places find windows at the largest distance with
 probability 0.95 or more (``tests/llm/test_decontaminate.py`` measures it), and exact copies always.
 
-Only windows that can be within the distance are embedded: k edits leave at least
-n - k words of the window in the item, so a window with fewer words of the
-benchmark's vocabulary is left out without loss. Everything per document happens
-in the task that reads it. The items go to the tasks in blocks of at most
+Only windows that can be within the distance are embedded, without loss: of k + 1
+disjoint segments of an item, k edits leave one intact and move it by at most k
+words, so windows are placed around the segments that a text holds; and k edits
+leave at least n - k words of the window in the item, so windows with fewer words
+of the items of that length are left out. Everything per document happens in the
+task that reads it. The items go to the tasks in blocks of at most
 ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes; a larger benchmark takes several
 passes over the documents.
 
@@ -38,7 +40,8 @@ LEAST_WORDS = 5
 WALKS, SAMPLES, PLACES = 24, 4, 3
 STRETCH = 3  # steps of a walk per word
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
-WINDOWS = 1 << 14  # windows embedded at a time
+WINDOWS = 1 << 14  # windows handled at a time
+TRACED = 512  # windows whose walks are kept at a time
 SEED = 23
 
 _PAD = np.uint64(0x7FEDCBA987654321)
@@ -56,6 +59,37 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return words.hashes(data, starts, ends), doc
 
 
+def joined_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` neighbouring words."""
+    many = len(hashes) - size + 1
+    out = np.zeros(many, np.uint64)
+    for j in range(size):
+        out = (out ^ hashes[j : j + many]) * _M1
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges lo .. hi-1, one range after the other."""
+    many = hi - lo
+    return np.arange(int(many.sum())) - np.repeat(many.cumsum() - many, many) + np.repeat(lo, many)
+
+
+def _salted(signatures: np.ndarray) -> np.ndarray:
+    """All samples in one row; those of different sample sets never compare equal."""
+    return (signatures ^ (np.arange(len(signatures), dtype=np.uint64) * _M2)[:, None]).ravel()
+
+
+def _share_known(hashes: np.ndarray, starts: np.ndarray, n: int, vocabulary: np.ndarray) -> np.ndarray:
+    """How many words of each window are in the vocabulary."""
+    out = np.zeros(len(starts), np.int64)
+    for at in range(0, len(starts), WINDOWS):
+        words_ = hashes[starts[at : at + WINDOWS, None] + np.arange(n)]
+        spot = np.minimum(np.searchsorted(vocabulary, words_), len(vocabulary) - 1)
+        out[at : at + WINDOWS] = (vocabulary[spot] == words_).sum(axis=1)
+    return out
+
+
 # --- embedding -------------------------------------------------------------------------
 
 
@@ -70,27 +104,28 @@ class Plan:
 
     def signatures(self, grid: np.ndarray) -> np.ndarray:
         """Samples ``[WALKS * SAMPLES, windows]`` of word hashes ``grid[windows, n]``."""
+        parts = [self._some(grid[at : at + TRACED]) for at in range(0, len(grid), TRACED)]
+        return np.concatenate(parts, axis=1) if parts else np.zeros((WALKS * SAMPLES, 0), np.uint64)
+
+    def _some(self, grid: np.ndarray) -> np.ndarray:
+        """All walks go in step; what they read is kept and sampled afterwards."""
         many = len(grid)
         padded = np.concatenate((grid, np.full((many, 1), _PAD)), axis=1).ravel()
-        base = np.arange(many) * (self.n + 1)
-        out = np.zeros((WALKS * SAMPLES, many), np.uint64)
-        for w in range(WALKS):
-            at = np.zeros(many, np.int64)
-            last = int(self.places[w].max())
-            wanted: dict[int, list[int]] = {}
-            for s, places in enumerate(self.places[w]):
-                for p in places.tolist():
-                    wanted.setdefault(p, []).append(s)
-            for step in range(last + 1):
-                here = padded[base + at]
-                for s in wanted.get(step, ()):
-                    row = out[w * SAMPLES + s]
-                    row ^= here * _M1 + np.uint64(step)
-                    row *= _M2
-                    row ^= row >> np.uint64(32)
-                move = ((here * self.coins[w, step]) >> np.uint64(63)).astype(np.int64)
-                at = np.minimum(at + move, self.n)
-        return out
+        first = (np.arange(many) * (self.n + 1))[None, :]
+        at, last = np.repeat(first, WALKS, axis=0), first + self.n
+        steps = int(self.places.max()) + 1
+        trace = np.empty((WALKS, steps, many), np.uint64)
+        for step in range(steps):
+            here = trace[:, step] = padded[at]
+            at += ((here * self.coins[:, step, None]) >> np.uint64(63)).astype(np.int64)
+            np.minimum(at, last, out=at)
+        out = np.zeros((WALKS, SAMPLES, many), np.uint64)
+        walk = np.arange(WALKS)[:, None]
+        for p in range(self.places.shape[2]):
+            place = self.places[:, :, p]
+            out = (out ^ (trace[walk, place] * _M1 + place[:, :, None].astype(np.uint64))) * _M2
+            out ^= out >> np.uint64(32)
+        return out.reshape(WALKS * SAMPLES, many)
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -130,55 +165,69 @@ class Items:
                 key = mine.tobytes()
                 by_words[key] = min(ids[number], by_words.get(key, ids[number]))
         self.vocabulary = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in by_words])) if by_words else np.zeros(0, np.uint64)
-        self.coarse = np.zeros(1 << 20, bool)
-        self.coarse[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.groups = []
+        segments: dict[int, list[tuple[np.ndarray, int, int]]] = {}
         lengths: dict[int, list[bytes]] = {}
         for key in by_words:
             lengths.setdefault(len(key) // 8, []).append(key)
         for n, keys in sorted(lengths.items()):
             plan = Plan(n)
             grid = np.frombuffer(b"".join(keys), np.uint64).reshape(len(keys), n)
-            marks = plan.signatures(grid)
-            order = np.argsort(marks, axis=1, kind="stable")
-            self.groups.append((plan, grid, np.array([by_words[k] for k in keys], np.int64), np.take_along_axis(marks, order, 1), order))
-
-    def known(self, hashes: np.ndarray) -> np.ndarray:
-        """Which words belong to any item."""
-        out = self.coarse[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)]
-        near = np.flatnonzero(out)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes[near]), max(len(self.vocabulary) - 1, 0))
-        out[near] = self.vocabulary[at] == hashes[near] if len(self.vocabulary) else False
-        return out
+            marks = _salted(plan.signatures(grid))
+            order = np.argsort(marks, kind="stable")
+            for part in np.array_split(np.arange(n), allowed_edits(n) + 1):
+                grams = joined_hashes(grid[:, part].ravel(), len(part))[:: len(part)]
+                segments.setdefault(len(part), []).append((grams, len(self.groups), int(part[0])))
+            self.groups.append((plan, grid, np.array([by_words[k] for k in keys], np.int64), marks[order], order % len(keys), np.unique(grid)))
+        self.segments = []
+        for size, found in sorted(segments.items()):
+            grams = np.concatenate([g for g, _, _ in found])
+            group = np.concatenate([np.full(len(g), x) for g, x, _ in found])
+            offset = np.concatenate([np.full(len(g), x) for g, _, x in found])
+            _, keep = np.unique(np.stack((grams, group.astype(np.uint64), offset.astype(np.uint64)), axis=1), axis=0, return_index=True)
+            keep = keep[np.argsort(grams[keep], kind="stable")]
+            coarse = np.zeros(1 << 20, bool)
+            coarse[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.segments.append((size, grams[keep], group[keep], offset[keep], coarse))
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(group, first word of a window): where an intact segment puts the item's start."""
+        groups, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, grams, group, offset, coarse in self.segments:
+            if len(hashes) < size:
+                continue
+            mine = joined_hashes(hashes, size)
+            near = np.flatnonzero(coarse[(mine & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            lo, hi = np.searchsorted(grams, mine[near], "left"), np.searchsorted(grams, mine[near], "right")
+            spot = _ranges(lo, hi)
+            groups.append(group[spot])
+            starts.append(np.repeat(near, hi - lo) - offset[spot])
+        return np.concatenate(groups), np.concatenate(starts)
 
     def matches(self, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Rows (text, item id, first word, distance), the closest window of each text and item."""
         found = []
         if not len(self.vocabulary) or not len(hashes):
             return np.zeros((0, 4), np.int64)
-        total = np.concatenate(([0], np.cumsum(self.known(hashes))))
         begin = np.searchsorted(doc, np.arange(int(doc[-1]) + 1))
-        for plan, grid, ids, marks, order in self.groups:
+        group, anchors = self.places(hashes)
+        order_by_group = np.argsort(group, kind="stable")
+        edges = np.searchsorted(group[order_by_group], np.arange(len(self.groups) + 1))
+        for number in np.flatnonzero(np.diff(edges)).tolist():
+            plan, grid, ids, marks, order, vocabulary = self.groups[number]
             n, k = plan.n, allowed_edits(plan.n)
-            if len(hashes) < n:
-                continue
-            starts = np.flatnonzero(total[n:] - total[:-n] >= n - k)
+            anchor = np.unique(anchors[order_by_group[edges[number] : edges[number + 1]]])
+            starts = np.unique(anchor[:, None] + np.arange(-k, k + 1))
+            starts = starts[(starts >= 0) & (starts <= len(hashes) - n)]
             starts = starts[doc[starts] == doc[starts + n - 1]]
+            starts = starts[_share_known(hashes, starts, n, vocabulary) >= n - k]
             for at in range(0, len(starts), WINDOWS):
                 some = starts[at : at + WINDOWS]
                 windows = hashes[some[:, None] + np.arange(n)]
-                pairs = []
-                for mine, theirs, place in zip(plan.signatures(windows), marks, order):
-                    lo, hi = np.searchsorted(theirs, mine, "left"), np.searchsorted(theirs, mine, "right")
-                    hit = np.flatnonzero(hi > lo)
-                    if len(hit):
-                        many = (hi - lo)[hit]
-                        owner = np.repeat(hit, many)
-                        spot = np.arange(int(many.sum())) - np.repeat(many.cumsum() - many, many) + np.repeat(lo[hit], many)
-                        pairs.append(np.unique(owner * len(ids) + place[spot]))
-                if not pairs:
-                    continue
-                pairs = np.unique(np.concatenate(pairs))
+                mine = _salted(plan.signatures(windows))
+                lo, hi = np.searchsorted(marks, mine, "left"), np.searchsorted(marks, mine, "right")
+                owner = np.repeat(np.tile(np.arange(len(some)), WALKS * SAMPLES), hi - lo)
+                pairs = np.unique(owner * len(ids) + order[_ranges(lo, hi)])
                 for cut in range(0, len(pairs), WINDOWS):
                     window, item = np.divmod(pairs[cut : cut + WINDOWS], len(ids))
                     far = edit_distances(windows[window], grid[item], k)
