@@ -5,8 +5,9 @@ blanks between words. A document holds an item of n words if one of its windows
 n words is within ``n // 5`` word edits of the item (similarity 0.8 or more).
 
 Each window and item is embedded by random walks: a walk reads the word under its
-pointer and moves on or stays by a random bit of the word and the step, for 3n
-steps, so that few edits become few differing places. From each walk several
+pointer and moves on or stays by a random bit of the word and the step, for n
+steps, so that few edits become few differing places. A walk needs about 2n steps for
+its n words, so within n steps it hardly ever reads past the end, where all texts are equal. From each walk several
 small sets of places are sampled and hashed; a window whose sample equals an
 item's is a candidate, and the exact edit distance decides. ``WALKS`` times
 ``SAMPLES`` samples of ``PLACES`` places find windows at the largest distance with
@@ -29,6 +30,8 @@ either kind give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -37,10 +40,10 @@ from furrow.llm import words
 from furrow.session import checkpointed, ship_package
 
 LEAST_WORDS = 5
-WALKS, SAMPLES, PLACES = 24, 4, 3
-STRETCH = 3  # steps of a walk per word
+WALKS, SAMPLES, PLACES = 24, 4, 2
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 WINDOWS = 1 << 14  # windows handled at a time
+PAIRS = 1 << 20  # colliding samples expanded at a time, or those of one window
 TRACED = 512  # windows whose walks are kept at a time
 SEED = 23
 
@@ -80,6 +83,22 @@ def _salted(signatures: np.ndarray) -> np.ndarray:
     return (signatures ^ (np.arange(len(signatures), dtype=np.uint64) * _M2)[:, None]).ravel()
 
 
+def _colliding(marks: np.ndarray, order: np.ndarray, signatures: np.ndarray, items: int) -> Iterator[np.ndarray]:
+    """The distinct pairs (window * items + item) that share a sample, in slices of whole windows."""
+    samples, many = signatures.shape
+    mine = _salted(signatures).reshape(samples, many).T.ravel()
+    lo, hi = np.searchsorted(marks, mine, "left"), np.searchsorted(marks, mine, "right")
+    reached = (hi - lo).reshape(many, samples).sum(axis=1).cumsum()
+    at = 0
+    while at < many:
+        before = int(reached[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(reached, before + PAIRS, "right")))
+        part = slice(at * samples, end * samples)
+        owner = np.repeat(np.repeat(np.arange(at, end), samples), (hi - lo)[part])
+        yield np.unique(owner * items + order[_ranges(lo[part], hi[part])])
+        at = end
+
+
 def _share_known(hashes: np.ndarray, starts: np.ndarray, n: int, vocabulary: np.ndarray) -> np.ndarray:
     """How many words of each window are in the vocabulary."""
     out = np.zeros(len(starts), np.int64)
@@ -98,7 +117,7 @@ class Plan:
 
     def __init__(self, n: int):
         rng = np.random.default_rng([SEED, n])
-        self.n, self.steps = n, STRETCH * n
+        self.n, self.steps = n, n
         self.coins = rng.integers(0, 1 << 63, (WALKS, self.steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.places = np.array([[rng.choice(self.steps, min(PLACES, self.steps), replace=False) for _ in range(SAMPLES)] for _ in range(WALKS)])
 
@@ -224,16 +243,13 @@ class Items:
             for at in range(0, len(starts), WINDOWS):
                 some = starts[at : at + WINDOWS]
                 windows = hashes[some[:, None] + np.arange(n)]
-                mine = _salted(plan.signatures(windows))
-                lo, hi = np.searchsorted(marks, mine, "left"), np.searchsorted(marks, mine, "right")
-                owner = np.repeat(np.tile(np.arange(len(some)), WALKS * SAMPLES), hi - lo)
-                pairs = np.unique(owner * len(ids) + order[_ranges(lo, hi)])
-                for cut in range(0, len(pairs), WINDOWS):
-                    window, item = np.divmod(pairs[cut : cut + WINDOWS], len(ids))
-                    far = edit_distances(windows[window], grid[item], k)
-                    good = np.flatnonzero(far <= k)
-                    first = some[window[good]]
-                    found.append(np.stack((doc[first], ids[item[good]], first - begin[doc[first]], far[good]), axis=1))
+                for pairs in _colliding(marks, order, plan.signatures(windows), len(ids)):
+                    for cut in range(0, len(pairs), WINDOWS):
+                        window, item = np.divmod(pairs[cut : cut + WINDOWS], len(ids))
+                        far = edit_distances(windows[window], grid[item], k)
+                        good = np.flatnonzero(far <= k)
+                        first = some[window[good]]
+                        found.append(np.stack((doc[first], ids[item[good]], first - begin[doc[first]], far[good]), axis=1))
         if not found:
             return np.zeros((0, 4), np.int64)
         rows = np.concatenate(found).astype(np.int64)

@@ -71,6 +71,25 @@ def test_recall_at_the_largest_distance(n):
     assert (plan.signatures(items) == plan.signatures(items.copy())).all()
 
 
+@pytest.mark.parametrize("n", [5, 10, 15, 30, 34, 40, 45, 60])
+def test_unrelated_windows_seldom_collide(n):
+    rng = np.random.default_rng(n)
+    plan = dc.Plan(n)
+    a, b = (plan.signatures(rng.integers(0, 1 << 63, (300, n), dtype=np.uint64)) for _ in range(2))
+    assert (a == b).any(axis=0).mean() < 0.02
+
+
+def test_collisions_are_expanded_in_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    signatures, items = rng.integers(0, 4, (6, 50), dtype=np.uint64), rng.integers(0, 4, (6, 9), dtype=np.uint64)
+    marks = dc._salted(items)
+    order = np.argsort(marks, kind="stable")
+    want = {w * 9 + i for w in range(50) for i in range(9) if (signatures[:, w] == items[:, i]).any()}
+    monkeypatch.setattr(dc, "PAIRS", 40)
+    parts = list(dc._colliding(marks[order], order % 9, signatures, 9))
+    assert len(parts) > 10 and sum(map(len, parts)) == len(want) and set(np.concatenate(parts).tolist()) == want
+
+
 def brute(docs, items):
     named = {}
     for i, t in items:
