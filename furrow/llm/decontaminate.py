@@ -1,8 +1,10 @@
 """Benchmark passages in documents, by embedded edit distance and bit sampling.
 
 Texts are sequences of words: ASCII letters lower-cased, ASCII punctuation and
-blanks between words. A document holds an item of n words if one of its windows of
-n words is within ``n // 5`` word edits of the item (similarity 0.8 or more).
+blanks between words. A document holds an item of n words if one of its windows is
+within ``n // 5`` word edits of the item (similarity 0.8 or more). With ``fit`` the window
+has any length, so that edits are counted against the best-fitting passage and a document
+may be shorter than the item; otherwise it has n words. The registered query and the pipeline fit.
 
 Each window and item is embedded by random walks: a walk reads the word under its
 pointer and moves on or stays by a random bit of the word and the step, for n
@@ -99,11 +101,17 @@ def _colliding(marks: np.ndarray, order: np.ndarray, signatures: np.ndarray, ite
         at = end
 
 
-def _share_known(hashes: np.ndarray, starts: np.ndarray, n: int, vocabulary: np.ndarray) -> np.ndarray:
+def _windows(hashes: np.ndarray, starts: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+    """``width`` words from each start, end marks after ``length`` of them."""
+    step = np.arange(width)
+    return np.where(step < length[:, None], hashes[np.minimum(starts[:, None] + step, len(hashes) - 1)], _PAD)
+
+
+def _share_known(hashes: np.ndarray, starts: np.ndarray, length: np.ndarray, width: int, vocabulary: np.ndarray) -> np.ndarray:
     """How many words of each window are in the vocabulary."""
     out = np.zeros(len(starts), np.int64)
     for at in range(0, len(starts), WINDOWS):
-        words_ = hashes[starts[at : at + WINDOWS, None] + np.arange(n)]
+        words_ = _windows(hashes, starts[at : at + WINDOWS], length[at : at + WINDOWS], width)
         spot = np.minimum(np.searchsorted(vocabulary, words_), len(vocabulary) - 1)
         out[at : at + WINDOWS] = (vocabulary[spot] == words_).sum(axis=1)
     return out
@@ -122,7 +130,7 @@ class Plan:
         self.places = np.array([[rng.choice(self.steps, min(PLACES, self.steps), replace=False) for _ in range(SAMPLES)] for _ in range(WALKS)])
 
     def signatures(self, grid: np.ndarray) -> np.ndarray:
-        """Samples ``[WALKS * SAMPLES, windows]`` of word hashes ``grid[windows, n]``."""
+        """Samples ``[WALKS * SAMPLES, windows]`` of word hashes ``grid[windows, n or more]``."""
         parts = [self._some(grid[at : at + TRACED]) for at in range(0, len(grid), TRACED)]
         return np.concatenate(parts, axis=1) if parts else np.zeros((WALKS * SAMPLES, 0), np.uint64)
 
@@ -130,8 +138,8 @@ class Plan:
         """All walks go in step; what they read is kept and sampled afterwards."""
         many = len(grid)
         padded = np.concatenate((grid, np.full((many, 1), _PAD)), axis=1).ravel()
-        first = (np.arange(many) * (self.n + 1))[None, :]
-        at, last = np.repeat(first, WALKS, axis=0), first + self.n
+        first = (np.arange(many) * (grid.shape[1] + 1))[None, :]
+        at, last = np.repeat(first, WALKS, axis=0), first + grid.shape[1]
         steps = int(self.places.max()) + 1
         trace = np.empty((WALKS, steps, many), np.uint64)
         for step in range(steps):
@@ -147,26 +155,37 @@ class Plan:
         return out.reshape(WALKS * SAMPLES, many)
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Word edit distance of each row pair of ``a[m, n]`` and ``b[m, n]``, exact up to ``most``, larger beyond."""
-    m, n = a.shape
+def _last_row(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Edits between each whole row of ``a[m, n]`` and the first n - most .. n + most words of the row of ``b``."""
+    (m, n), long = a.shape, b.shape[1]
     width, far = 2 * most + 1, most + n + 1
     shift = np.arange(-most, most + 1)
     row = np.broadcast_to(np.where(shift >= 0, shift, far), (m, width)).astype(np.int32).copy()  # first row: 0 .. most insertions
-    edge = np.concatenate((np.zeros((m, most), np.uint64), b, np.zeros((m, most), np.uint64)), axis=1)
+    edge = np.concatenate((np.zeros((m, most), np.uint64), b, np.zeros((m, n + most - long), np.uint64)), axis=1)
     for i in range(1, n + 1):
         j = i + shift
-        inside = (j >= 1) & (j <= n)
+        inside = (j >= 1) & (j <= long)
         cost = (edge[:, i - 1 : i - 1 + width] != a[:, i - 1 : i]).astype(np.int32)
         new = np.where(inside, row + cost, far)
         new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
         if i <= most:
             new[:, most - i] = i  # column 0
-        new[:, (j < 0) | (j > n)] = far
+        new[:, (j < 0) | (j > long)] = far
         for k in range(1, width):
             np.minimum(new[:, k], new[:, k - 1] + 1, out=new[:, k])
         row = new
-    return row[:, most]
+    return row
+
+
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Word edit distance of each row pair of ``a[m, n]`` and ``b[m, n]``, exact up to ``most``, larger beyond."""
+    return _last_row(a, b, most)[:, most]
+
+
+def fitting_distances(a: np.ndarray, b: np.ndarray, length: np.ndarray, most: int) -> np.ndarray:
+    """Edits between each row of ``a[m, n]`` and the start of ``b[m, n + most]`` that fits it best and has at most ``length`` words."""
+    ends = a.shape[1] + np.arange(-most, most + 1)
+    return np.where(ends <= length[:, None], _last_row(a, b, most), most + a.shape[1] + 1).min(axis=1)
 
 
 # --- items -----------------------------------------------------------------------------
@@ -209,44 +228,53 @@ class Items:
             coarse[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
             self.segments.append((size, grams[keep], group[keep], offset[keep], coarse))
 
-    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(group, first word of a window): where an intact segment puts the item's start."""
-        groups, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def places(self, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, first word of a window, text): where an intact segment puts the item's start, perhaps before the text's."""
+        groups, starts, texts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for size, grams, group, offset, coarse in self.segments:
             if len(hashes) < size:
                 continue
             mine = joined_hashes(hashes, size)
             near = np.flatnonzero(coarse[(mine & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            near = near[doc[near] == doc[near + size - 1]]
             lo, hi = np.searchsorted(grams, mine[near], "left"), np.searchsorted(grams, mine[near], "right")
             spot = _ranges(lo, hi)
             groups.append(group[spot])
             starts.append(np.repeat(near, hi - lo) - offset[spot])
-        return np.concatenate(groups), np.concatenate(starts)
+            texts.append(np.repeat(doc[near], hi - lo))
+        return np.concatenate(groups), np.concatenate(starts), np.concatenate(texts)
 
-    def matches(self, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Rows (text, item id, first word, distance), the closest window of each text and item."""
+    def matches(self, hashes: np.ndarray, doc: np.ndarray, fit: bool = False) -> np.ndarray:
+        """Rows (text, item id, first word, distance), the closest window of each text and item.
+        ``fit``: windows of any length; otherwise of the item's."""
         found = []
         if not len(self.vocabulary) or not len(hashes):
             return np.zeros((0, 4), np.int64)
-        begin = np.searchsorted(doc, np.arange(int(doc[-1]) + 1))
-        group, anchors = self.places(hashes)
+        bounds = np.searchsorted(doc, np.arange(int(doc[-1]) + 2))
+        begin = bounds[:-1]
+        group, anchors, texts = self.places(hashes, doc)
         order_by_group = np.argsort(group, kind="stable")
         edges = np.searchsorted(group[order_by_group], np.arange(len(self.groups) + 1))
         for number in np.flatnonzero(np.diff(edges)).tolist():
             plan, grid, ids, marks, order, vocabulary = self.groups[number]
             n, k = plan.n, allowed_edits(plan.n)
-            anchor = np.unique(anchors[order_by_group[edges[number] : edges[number + 1]]])
-            starts = np.unique(anchor[:, None] + np.arange(-k, k + 1))
-            starts = starts[(starts >= 0) & (starts <= len(hashes) - n)]
-            starts = starts[doc[starts] == doc[starts + n - 1]]
-            starts = starts[_share_known(hashes, starts, n, vocabulary) >= n - k]
+            width, least = (n + k, n - k) if fit else (n, n)
+            mine = order_by_group[edges[number] : edges[number + 1]]
+            anchor, text = np.unique(np.stack((anchors[mine], texts[mine])), axis=1)
+            starts, text = (anchor[:, None] + np.arange(-k, k + 1)).ravel(), np.repeat(text, 2 * k + 1)
+            inside = (starts >= begin[text]) & (starts + least <= bounds[text + 1])
+            starts = np.unique(starts[inside])
+            length = np.minimum(bounds[doc[starts] + 1] - starts, width)
+            known = _share_known(hashes, starts, length, width, vocabulary) >= n - k
+            starts, length = starts[known], length[known]
             for at in range(0, len(starts), WINDOWS):
                 some = starts[at : at + WINDOWS]
-                windows = hashes[some[:, None] + np.arange(n)]
+                long = length[at : at + WINDOWS]
+                windows = _windows(hashes, some, long, width)
                 for pairs in _colliding(marks, order, plan.signatures(windows), len(ids)):
                     for cut in range(0, len(pairs), WINDOWS):
                         window, item = np.divmod(pairs[cut : cut + WINDOWS], len(ids))
-                        far = edit_distances(windows[window], grid[item], k)
+                        far = fitting_distances(grid[item], windows[window], long[window], k) if fit else edit_distances(windows[window], grid[item], k)
                         good = np.flatnonzero(far <= k)
                         first = some[window[good]]
                         found.append(np.stack((doc[first], ids[item[good]], first - begin[doc[first]], far[good]), axis=1))
@@ -279,7 +307,7 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield ids, texts
 
 
-def _scan(rows: DataFrame, block: tuple[list[int], list[str]]) -> DataFrame:
+def _scan(rows: DataFrame, block: tuple[list[int], list[str]], fit: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches):
@@ -287,7 +315,7 @@ def _scan(rows: DataFrame, block: tuple[list[int], list[str]]) -> DataFrame:
         for batch in batches:
             names = batch.column("_id")
             for lo, _, data, offsets in words.chunks(batch.column("_text")):
-                found = items.matches(*word_hashes(data, offsets))
+                found = items.matches(*word_hashes(data, offsets), fit)
                 if len(found):
                     yield pa.RecordBatch.from_arrays(
                         [names.take(pa.array(found[:, 0] + lo)), *(pa.array(found[:, c]) for c in (1, 2, 3))], ["_id", "item_id", "start", "distance"]
@@ -296,14 +324,15 @@ def _scan(rows: DataFrame, block: tuple[list[int], list[str]]) -> DataFrame:
     return rows.mapInArrow(run, "_id bigint, item_id bigint, start bigint, distance bigint")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit: bool = False) -> DataFrame:
     """``doc_id, item_id, start, distance``: the closest window of each document
-    and item, counted in words from 0. Documents with a null id have a null id here."""
+    and item, counted in words from 0. ``fit``: windows of the best-fitting length,
+    not only of the item's. Documents with a null id have a null id here."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     found = None
     for block in item_blocks(benchmark):
-        more = checkpointed(_scan(rows, block), docs.sparkSession, "benchmark-matches")
+        more = checkpointed(_scan(rows, block, fit), docs.sparkSession, "benchmark-matches")
         found = more if found is None else found.union(more)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, start bigint, distance bigint")
@@ -311,8 +340,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return best.select("doc_id", "item_id", "best.start", "best.distance")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", fit: bool = False) -> DataFrame:
+    """The rows of ``docs`` that hold no item of the benchmark; ``fit`` as in ``matches``."""
     ship_package(docs.sparkSession)
     kept, at = docs, docs.columns.index(text_col)
     for block in item_blocks(benchmark):
@@ -323,7 +352,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for lo, _, data, offsets in words.chunks(batch.column(at)):
-                    clean[items.matches(*word_hashes(data, offsets))[:, 0] + lo] = False
+                    clean[items.matches(*word_hashes(data, offsets), fit)[:, 0] + lo] = False
                 yield batch.filter(pa.array(clean))
 
         kept = kept.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_decontamination(spark, d):
-    return decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark"), fit=True)
 
 
 @query

@@ -142,3 +142,57 @@ def test_empty_tables(odd, none, spark):
     assert dc.matches(none, bench).count() == 0 and dc.drop_leaks(none, bench).count() == 0
     assert dc.matches(odd, bench.limit(0)).count() == 0
     assert dc.drop_leaks(odd, bench).columns == odd.columns and dc.drop_leaks(odd, bench).count() == odd.count() - 1
+
+
+def closest(item, words):
+    """Fewest edits between the item and any window, of any length."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(words, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row)
+
+
+def test_windows_of_the_best_fitting_length(spark):
+    """Short documents, k insertions, k deletions and random edits, against brute force over all windows."""
+    rng = np.random.default_rng(11)
+    bag = [f"w{i}" for i in range(900)]
+    items = {i: list(rng.choice(bag, n)) for i, n in enumerate([5, 9, 20, 37, 50, 50, 60])}
+    docs, sure = {}, set()
+    for i, item in items.items():
+        n, k = len(item), len(item) // 5
+        around = [list(rng.choice(bag, 30)) for _ in range(2)]
+        more, less = list(item), list(item)
+        for at in sorted(rng.choice(n - 1, k, replace=False).tolist(), reverse=True):
+            more.insert(at + 1, f"new{at}")
+            del less[at]
+        for body in (item[:-1], item[1:], less):
+            sure.add((len(docs), i))
+            docs[len(docs)] = body  # the whole document
+        for body in (more, less, *(edited(rng, item, k) for _ in range(12)), *(edited(rng, item, k + 2) for _ in range(6))):
+            docs[len(docs)] = around[0] + body + around[1]
+    order = [len(docs), *docs]
+    docs[len(docs)] = []
+    rows = [(d, " ".join(docs[d])) for d in order]
+    args = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in dc.matches(*args, fit=True).collect()}
+    want = {(d, i): e for d, w in docs.items() for i, item in items.items() if (e := closest(item, w)) <= len(item) // 5}
+    assert got.keys() <= want.keys() and all(got[x] >= want[x] for x in got)
+    assert len(got) >= 0.98 * len(want) and sure <= got.keys()
+    fixed = {(r.doc_id, r.item_id) for r in dc.matches(*args).collect()}
+    assert len(fixed) < len(got)
+    assert {r.doc_id for r in dc.drop_leaks(*args, fit=True).collect()} == docs.keys() - {d for d, _ in got}
+
+
+def test_the_query_and_the_pipeline_fit(spark, tmp_path):
+    import corpus_pipeline
+    from furrow.llm.queries import QUERIES
+
+    item = [f"w{i}" for i in range(40)]
+    more = [x for i, w in enumerate(item) for x in ([w, f"new{i}"] if i % 5 == 2 else [w])]
+    spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, " ".join(item[:-1])), (2, " ".join(["a"] * 9 + more + ["b"] * 9)), (3, "a b c")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.doc_id, r.distance) for r in QUERIES["op1_decontamination"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 8)}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.doc_id for r in corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()] == [3]
