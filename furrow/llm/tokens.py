@@ -358,18 +358,21 @@ class TextEncoder:
 
     Parts that open with a space and a visible character keep their tokens
     wherever they stand, so many of them are encoded as one text; the byte lengths
-    of the tokens tell where each part ends. Other parts are encoded alone.
+    of the tokens tell where each part ends. Other parts are encoded alone, and so
+    are whole texts that hold a special token's string if ``special``: then the string
+    is that token, as in the library's default; otherwise it is ordinary text.
     """
 
     JOINED = 1 << 14  # bytes of parts encoded as one text
     REMEMBER = 1 << 19  # distinct parts kept from earlier chunks
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         none = np.zeros(0, np.int64)
         self.bank = Bank(none.astype(np.uint64), none, none, none, none, np.zeros(0, np.uint8), np.zeros(0, np.int32))
@@ -377,6 +380,19 @@ class TextEncoder:
         for token, i in vocabulary.items():
             self.width[i] = len(token)
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The texts that hold a special token's string and so are not cut."""
+        out = np.zeros(len(offsets) - 1, bool)
+        raw = data.tobytes() if self.special else b""
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                end = int(offsets[text + 1])
+                out[text] |= at + len(token) <= end
+                at = raw.find(token, end if out[text] else at + 1)
+        return out
+
     def _run(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.int32) for e in found]
@@ -457,7 +473,10 @@ class TextEncoder:
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
-        starts = cuts(data, offsets)
+        starts, whole = cuts(data, offsets), self._whole(data, offsets)
+        if whole.any():
+            text = np.searchsorted(offsets, starts, "right") - 1
+            starts = starts[~whole[text] | (starts == offsets[text])]
         ends = np.append(starts[1:], len(data))
         h = words.hashes(data, starts, ends)
         _, shown, place = np.unique(h, return_index=True, return_inverse=True)
@@ -470,6 +489,7 @@ class TextEncoder:
         begin, end = starts[shown], ends[shown]
         second = data[np.minimum(begin + 1, len(data) - 1)]
         plain = (data[begin] == 32) & (end - begin > 1) & ~_BLANK[second] & ~_WIDE_BLANK[second]
+        plain &= ~whole[np.searchsorted(offsets, begin, "right") - 1]
         first, length, pool = self._look_up(data, h[shown], begin, end, plain)
         each = length[place]
         before = each.cumsum() - each
@@ -502,7 +522,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        encoder, name, number = TextEncoder(path), files.attempt_name(), 0
+        encoder, name, number = TextEncoder(path, special=True), files.attempt_name(), 0
         names, lengths, held, total = [], [], [], 0
 
         def close():

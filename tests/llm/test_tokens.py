@@ -117,3 +117,16 @@ def test_odd_rows(odd, none, tokenizer, monkeypatch):
         assert r.start == at
         at += r.n_tokens
     assert tokens.tokenize_to_files(none).count() == 0
+
+
+SPECIAL = ["<|endoftext|>", "a<|endoftext|>b c", " x  <|endoftext|>  y <|endoftext|><|endoftext|>", "<|endoftext", "|> split", "<|endoftext|", " z " * 40 + "<|endoftext|>", "plain text", None, ""]
+
+
+def test_special_strings_are_tokens_as_in_the_library(spark):
+    plain = Tokenizer.from_file(tokens.default_tokenizer())
+    texts = SPECIAL + ODD
+    want = [e.ids for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    encoder = tokens.TextEncoder(tokens.default_tokenizer(), special=True)
+    assert encoded(encoder, texts) == want and encoded(encoder, texts[::-1]) == want[::-1] and 50256 in want[0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(map(tuple, tokens.tokenize_to_files(df).collect())) == brute(plain, list(enumerate(texts)))
