@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from furrow.llm import decontaminate, langid, pieces, pii, quality, rules, sharding, simhash, tokens, warc
+from furrow.llm import align, decontaminate, langid, periods, pieces, pii, quality, rules, sharding, simhash, tokens, warc, wordbpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,3 +75,20 @@ def op9_rules(spark, d):
 @query
 def op10_token_ids(spark, d):
     return tokens.tokenize_to_files(table(spark, d, "documents"))
+
+
+@query
+def op11_periods(spark, d):
+    docs = table(spark, d, "documents")
+    return periods.digests(periods.with_runs(docs.select("doc_id", periods.planted(F.col("doc_id"), F.col("text")).alias("text"))), "doc_id")
+
+
+@query
+def op12_alignment(spark, d):
+    return align.digests(table(spark, d, "documents"), "doc_id")
+
+
+@query
+def op13_word_bpe(spark, d):
+    rows = wordbpe.encode_documents(table(spark, d, "documents").select("doc_id", "text"))
+    return wordbpe.digests(wordbpe.decode_documents(rows), "doc_id")

@@ -353,49 +353,32 @@ class Bank(NamedTuple):
     ids: np.ndarray
 
 
-class TextEncoder:
-    """Ids of many texts. Each distinct part of a chunk is encoded once.
+class PartEncoder:
+    """Ids of many texts, put together from the ids of their parts. Each distinct part
+    of a chunk is encoded once, and parts of earlier chunks are remembered.
 
-    Parts that open with a space and a visible character keep their tokens
-    wherever they stand, so many of them are encoded as one text; the byte lengths
-    of the tokens tell where each part ends. Other parts are encoded alone, and so
-    are whole texts that hold a special token's string if ``special``: then the string
-    is that token, as in the library's default; otherwise it is ordinary text.
+    A subclass says where texts may be cut (``cut``), what the ids of given parts are
+    (``run``) and which parts may be encoded as one text (``joins``); the byte lengths
+    of the tokens (``width``) then tell where each part ends.
     """
 
     JOINED = 1 << 14  # bytes of parts encoded as one text
     REMEMBER = 1 << 19  # distinct parts kept from earlier chunks
 
-    def __init__(self, path: str, special: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not special
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+    def __init__(self, width: np.ndarray):
         none = np.zeros(0, np.int64)
         self.bank = Bank(none.astype(np.uint64), none, none, none, none, np.zeros(0, np.uint8), np.zeros(0, np.int32))
-        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: its characters stand for bytes
-        for token, i in vocabulary.items():
-            self.width[i] = len(token)
+        self.width = width
 
-    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The texts that hold a special token's string and so are not cut."""
-        out = np.zeros(len(offsets) - 1, bool)
-        raw = data.tobytes() if self.special else b""
-        for token in self.special:
-            at = raw.find(token)
-            while at >= 0:
-                text = int(np.searchsorted(offsets, at, "right")) - 1
-                end = int(offsets[text + 1])
-                out[text] |= at + len(token) <= end
-                at = raw.find(token, end if out[text] else at + 1)
-        return out
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Places where parts begin; every text that is not empty begins one."""
+        raise NotImplementedError
 
-    def _run(self, texts: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, np.int32) for e in found]
+    def joins(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return np.zeros(len(begin), bool)
+
+    def run(self, texts: list[bytes]) -> list[np.ndarray]:
+        raise NotImplementedError
 
     def _encode(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the parts one after the other, ids per part)."""
@@ -404,7 +387,7 @@ class TextEncoder:
         pools: list[np.ndarray] = [np.zeros(0, np.int32)] * len(starts)
         together = np.flatnonzero(plain)
         groups = np.split(together, np.flatnonzero(np.diff(size[together].cumsum() // self.JOINED)) + 1) if len(together) else []
-        joined = self._run([b"".join(raw[a:b] for a, b in zip(starts[g].tolist(), ends[g].tolist())) for g in groups])
+        joined = self.run([b"".join(raw[a:b] for a, b in zip(starts[g].tolist(), ends[g].tolist())) for g in groups])
         alone = np.flatnonzero(~plain).tolist()
         for group, ids in zip(groups, joined):
             reached = self.width[ids].cumsum()
@@ -414,7 +397,7 @@ class TextEncoder:
                 continue
             length[group] = np.diff(last, prepend=-1)
             pools[group[0]] = ids
-        for i, ids in zip(alone, self._run([raw[starts[i] : ends[i]] for i in alone])):
+        for i, ids in zip(alone, self.run([raw[starts[i] : ends[i]] for i in alone])):
             length[i], pools[i] = len(ids), ids
         return self._in_order(pools, length, groups, alone)
 
@@ -473,10 +456,7 @@ class TextEncoder:
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
-        starts, whole = cuts(data, offsets), self._whole(data, offsets)
-        if whole.any():
-            text = np.searchsorted(offsets, starts, "right") - 1
-            starts = starts[~whole[text] | (starts == offsets[text])]
+        starts = self.cut(data, offsets)
         ends = np.append(starts[1:], len(data))
         h = words.hashes(data, starts, ends)
         _, shown, place = np.unique(h, return_index=True, return_inverse=True)
@@ -487,10 +467,7 @@ class TextEncoder:
         if (size != size[same]).any() or (data != data[np.arange(len(data), dtype=np.int32) + shift]).any():
             shown, place = np.arange(len(starts)), np.arange(len(starts))
         begin, end = starts[shown], ends[shown]
-        second = data[np.minimum(begin + 1, len(data) - 1)]
-        plain = (data[begin] == 32) & (end - begin > 1) & ~_BLANK[second] & ~_WIDE_BLANK[second]
-        plain &= ~whole[np.searchsorted(offsets, begin, "right") - 1]
-        first, length, pool = self._look_up(data, h[shown], begin, end, plain)
+        first, length, pool = self._look_up(data, h[shown], begin, end, self.joins(data, begin, end, offsets))
         each = length[place]
         before = each.cumsum() - each
         ids = pool[np.repeat(first[place] - before, each) + np.arange(int(each.sum()))]
@@ -498,6 +475,59 @@ class TextEncoder:
         return ids, np.bincount(doc, each, n).astype(np.int64)
 
 
+class TextEncoder(PartEncoder):
+    """Ids by a byte-level model of the tokenizers library.
+
+    Parts that open with a space and a visible character keep their tokens
+    wherever they stand, so many of them are encoded as one text. Other parts are
+    encoded alone, and so are whole texts that hold a special token's string if
+    ``special``: then the string is that token, as in the library's default;
+    otherwise it is ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: its characters stand for bytes
+        for token, i in vocabulary.items():
+            width[i] = len(token)
+        super().__init__(width)
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The texts that hold a special token's string and so are not cut."""
+        out = np.zeros(len(offsets) - 1, bool)
+        raw = data.tobytes() if self.special else b""
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                end = int(offsets[text + 1])
+                out[text] |= at + len(token) <= end
+                at = raw.find(token, end if out[text] else at + 1)
+        return out
+
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        starts, self.whole = cuts(data, offsets), self._whole(data, offsets)
+        if self.whole.any():
+            text = np.searchsorted(offsets, starts, "right") - 1
+            starts = starts[~self.whole[text] | (starts == offsets[text])]
+        return starts
+
+    def joins(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        second = data[np.minimum(begin + 1, len(data) - 1)]
+        plain = (data[begin] == 32) & (end - begin > 1) & ~_BLANK[second] & ~_WIDE_BLANK[second]
+        return plain & ~self.whole[np.searchsorted(offsets, begin, "right") - 1]
+
+    def run(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.int32) for e in found]
+
+
 def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> np.ndarray:
     """``end_id`` after the ids of every text."""
     return np.insert(ids, lengths.cumsum(), end_id)
