@@ -34,12 +34,14 @@ from furrow.llm import words
 from furrow.llm.tokens import PartEncoder, TextEncoder, default_tokenizer
 from furrow.session import checkpointed, ship_package
 
-BLOCK_BYTES = 8 << 20  # texts whose links are counted together
-CHUNK_BYTES = 2 << 20  # texts encoded together
+BLOCK_BYTES = 4 << 20  # texts whose links are counted together
+CHUNK_BYTES = 1 << 20  # texts encoded together
 PAIRED = 1 << 12  # pairs of tokens from which on equal ids of a group are counted first
 SPACE = 32
 
-RESULT = [("n_a", "bigint"), ("n_b", "bigint"), ("n_groups", "bigint"), ("n_links", "bigint"), ("groups", "array<struct<a:array<int>,b:array<int>>>")]
+#: ``groups`` lists decimal ids: those of one side by commas, a bar between the sides,
+#: groups by semicolons, as in ``a1,a2|b1;a3|b2,b3``; ``parsed_groups`` gives arrays.
+RESULT = [("n_a", "bigint"), ("n_b", "bigint"), ("n_groups", "bigint"), ("n_links", "bigint"), ("groups", "string")]
 #: Where a row's links are counted: its block, its distinct pairs as places in the
 #: block's list of pairs, and their multiplicity. A block's first row holds that list.
 LINKS = [("block", "bigint"), ("pair_at", "array<int>"), ("pair_times", "array<int>"), ("block_a", "array<int>"), ("block_b", "array<int>"), ("block_docs", "array<int>")]
@@ -197,6 +199,9 @@ class Aligner:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encoders = ByteEncoder(tokenizer), PieceEncoder(model)
         self.spellings = [Spelling(e.spelled) for e in self.encoders]
+        sizes = [len(s.size) for s in self.spellings]
+        self.kinds_b, self.kinds = sizes[1], sizes[0] * sizes[1]
+        self.digits = Spelling([str(i).encode() for i in range(max(sizes))])
 
     def tokens(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, ids per text) of either side; texts that one side does not give back have none."""
@@ -208,14 +213,10 @@ class Aligner:
         good = np.logical_and.reduce([s.same(ids, count, spaced, at) for s, (ids, count) in zip(self.spellings, sides)])
         return [(ids[np.repeat(good, count)], np.where(good, count, 0)) for ids, count in sides]
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray, block: int) -> list[pa.Array]:
-        """The columns of RESULT and LINKS for the texts of one block."""
-        parts, at, n = [], 0, len(offsets) - 1
-        while at < n:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
-            parts.append(self.tokens(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]))
-            at = end
-        (ids_a, count_a), (ids_b, count_b) = ([np.concatenate(x) for x in zip(*side)] for side in zip(*parts))
+    def chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Per text: ids of either side, groups, links, bytes of the groups' text; then all of that text, pair keys and multiplicities."""
+        n = len(offsets) - 1
+        (ids_a, count_a), (ids_b, count_b) = self.tokens(data, offsets)
         first_a, first_b = np.append(0, count_a.cumsum()), np.append(0, count_b.cumsum())
         ends = [s.size[ids].cumsum() for s, ids in zip(self.spellings, (ids_a, ids_b))]
         at_a, at_b = (np.append(0, np.flatnonzero(cut) + 1) for cut in common_cuts(*ends, first_a, first_b))
@@ -223,20 +224,45 @@ class Aligner:
         n_groups = np.bincount(text, minlength=n)
         n_links = np.zeros(n, np.int64)
         np.add.at(n_links, text, np.diff(at_a) * np.diff(at_b))
-        kinds_b = len(self.spellings[1].size)
-        kinds = len(self.spellings[0].size) * kinds_b
-        key, times = linked_pairs(ids_a, ids_b, at_a, at_b, text, kinds_b, kinds)
-        pairs, place, docs = np.unique(key % kinds, return_inverse=True, return_counts=True)
+        written, length = self.written(ids_a, ids_b, at_a, at_b, n_groups)
+        key, times = linked_pairs(ids_a, ids_b, at_a, at_b, text, self.kinds_b, self.kinds)
+        return count_a, count_b, n_groups, n_links, length, written, key, times
+
+    def written(self, ids_a, ids_b, at_a, at_b, n_groups) -> tuple[np.ndarray, np.ndarray]:
+        """(the texts that list the groups, bytes of each)."""
+        ids = np.empty(len(ids_a) + len(ids_b), np.int64)
+        mark = np.full(len(ids), ord(","), np.uint8)  # behind every id
+        ids[np.arange(len(ids_a)) + np.repeat(at_b[:-1], np.diff(at_a))] = ids_a
+        ids[np.arange(len(ids_b)) + np.repeat(at_a[1:], np.diff(at_b))] = ids_b
+        mark[at_a[1:] + at_b[:-1] - 1] = ord("|")
+        mark[at_a[1:] + at_b[1:] - 1] = ord(";")
+        size = self.digits.size[ids] + 1
+        ends = np.append(0, size.cumsum())
+        out = self.digits.pool[np.minimum(np.repeat(self.digits.first[ids] - ends[:-1], size) + np.arange(int(ends[-1])), len(self.digits.pool) - 1)]
+        out[ends[1:] - 1] = mark
+        reached = ends[(at_a + at_b)[np.append(0, n_groups.cumsum())]]
+        filled = n_groups > 0
+        return np.delete(out, reached[1:][filled] - 1), np.diff(reached) - filled
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, block: int) -> list[pa.Array]:
+        """The columns of RESULT and LINKS for the texts of one block."""
+        parts, at, n = [], 0, len(offsets) - 1
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+            *columns, key, times = self.chunk(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+            parts.append((*columns, key + at * self.kinds, times))
+            at = end
+        count_a, count_b, n_groups, n_links, length, written, key, times = (np.concatenate(x) for x in zip(*parts))
+        pairs, place, docs = np.unique(key % self.kinds, return_inverse=True, return_counts=True)
         ints = lambda x: pa.array(x.astype(np.int32))
         lists = lambda at, x: pa.ListArray.from_arrays(ints(at), ints(x))
-        group = pa.StructArray.from_arrays([lists(at_a, ids_a), lists(at_b, ids_b)], ["a", "b"])
-        bounds = np.searchsorted(key, np.arange(n + 1) * kinds)
+        bounds = np.searchsorted(key, np.arange(n + 1) * self.kinds)
         once = np.append(0, np.full(n, len(pairs)))  # the block's first row holds its pairs
         return [
             pa.array(count_a), pa.array(count_b), pa.array(n_groups), pa.array(n_links),
-            pa.ListArray.from_arrays(ints(np.append(0, n_groups.cumsum())), group),
+            pa.StringArray.from_buffers(n, pa.py_buffer(np.append(0, length.cumsum()).astype(np.int32)), pa.py_buffer(written.tobytes())),
             pa.array(np.full(n, block)), lists(bounds, place), lists(bounds, times),
-            *(lists(once, x) for x in (pairs // kinds_b, pairs % kinds_b, docs)),
+            *(lists(once, x) for x in (pairs // self.kinds_b, pairs % self.kinds_b, docs)),
         ]
 
 
@@ -313,15 +339,16 @@ def with_link_counts(aligned: DataFrame) -> DataFrame:
     return grouped.applyInArrow(score, ", ".join(f"{n} {k}" for n, k in zip(names, kinds))).toDF(*keep, "n_best", "count_sum")
 
 
-def group_text(groups) -> F.Column:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids of each group in order."""
-    ids = lambda side: F.array_join(side.cast("array<string>"), ",")
-    return F.array_join(F.transform(groups, lambda g: F.concat(ids(g.a), F.lit("|"), ids(g.b))), ";")
+def parsed_groups(groups) -> F.Column:
+    """The groups as ``array<struct<a:array<int>,b:array<int>>>``."""
+    ids = lambda side: F.split(side, ",").cast("array<int>")
+    parts = F.transform(F.filter(F.split(groups, ";"), lambda g: g != ""), lambda g: F.split(g, "[|]"))
+    return F.transform(parts, lambda p: F.struct(ids(F.get(p, F.lit(0))).alias("a"), ids(F.get(p, F.lit(1))).alias("b")))
 
 
 def digests(docs: DataFrame, *keep: str) -> DataFrame:
     """Align the texts, keep the digest of the groups and count the links over all documents."""
     rows = align(docs.select(*keep, "text"))
-    digest = F.when(F.col("n_groups") > 0, F.sha2(group_text("groups"), 256)).otherwise("").alias("groups_sha256")
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
     short = rows.select(*keep, "n_a", "n_b", "n_groups", "n_links", digest, *dict(LINKS))
     return with_link_counts(checkpointed(short, docs.sparkSession, "aligned"))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from furrow.llm import align
 from furrow.llm.queries import QUERIES
@@ -65,6 +66,7 @@ def brute(rows, libraries) -> list[tuple]:
 
 def test_query_against_brute_force(spark, tmp_path, docs, libraries, monkeypatch):
     monkeypatch.setattr(align, "BLOCK_BYTES", 4000)  # many blocks
+    monkeypatch.setattr(align, "CHUNK_BYTES", 1500)
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "of the"), (3, "again"), (3, "again")]
     rows += [(100 + r.doc_id, r.text) for r in docs.limit(25).collect()]
     spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
@@ -123,7 +125,7 @@ def test_odd_rows(spark, odd, none):
     out = align.with_link_counts(stored)
     kept = [c for c in odd.columns if c != "text"]
     assert out.columns == [*kept, *dict(align.RESULT), "n_best", "count_sum"]
-    rows = out.collect()
+    rows = out.withColumn("groups", align.parsed_groups(F.col("groups"))).collect()
     assert len(rows) == odd.count()
     for r in rows:
         assert r.n_groups == len(r.groups) and r.n_a == sum(len(g.a) for g in r.groups) and r.n_b == sum(len(g.b) for g in r.groups)
