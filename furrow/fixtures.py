@@ -32,7 +32,8 @@ from (select k, r_name, n_name, n_nationkey,
   concat(cast(cast(floor((b+h) / 1000) as bigint) as string), '.', lpad(cast((b+h) % 1000 as string),3,'0')) as y1
  from (select o_orderkey as k, r_name, n_name, n_nationkey,
    56000 + (o_orderkey * 7919) % 17100 as a, 37000 + (o_orderkey * 104729) % 8550 as b,
-   1 + o_orderkey % 40 as w, 1 + o_orderkey % 23 as h
+   case when o_orderkey % 1999 = 0 then 5000 when o_orderkey % 499 = 0 then 300 else 1 + o_orderkey % 40 end as w,
+   case when o_orderkey % 1999 = 0 then 5000 when o_orderkey % 499 = 0 then 300 else 1 + o_orderkey % 23 end as h
   from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey
    join {region} on n_regionkey = r_regionkey) t0) t1
 """
@@ -209,6 +210,33 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Bands of the block-stored rasters: position in BANDS, name, ground resolution in degrees.
+RASTER_BANDS = [(2, "B04", 0.01), (6, "B08", 0.01), (7, "B11", 0.02), (8, "B12", 0.01)]
+RASTER_BLOCK = 64
+SCENE_DEGREES = 3.3
+
+
+def raster_blocks(spark: SparkSession, sf_dir: str, bands: list[str]) -> DataFrame:
+    """Rasters of 330 x 330 or 165 x 165 pixels per scene and band, in blocks."""
+    n = RASTER_BLOCK
+    specs = F.array(
+        *[
+            F.struct(F.lit(b).alias("band"), F.lit(i).alias("band_idx"), F.lit(round(SCENE_DEGREES / res)).alias("side"))
+            for i, b, res in RASTER_BANDS
+            if b in bands
+        ]
+    )
+    last = F.floor((F.col("side") - 1) / n).cast("int")
+    rows = scenes_flat(spark, sf_dir).where(F.col("has_b12") | F.lit("B12" not in bands)).select("scene_id", "scene_k", F.inline(specs))
+    rows = rows.withColumn("br", F.explode(F.sequence(F.lit(0), last))).withColumn("bc", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.withColumns({"bh": F.least(F.lit(n), F.col("side") - F.col("br") * n), "bw": F.least(F.lit(n), F.col("side") - F.col("bc") * n)})
+    dn = (
+        f"transform(sequence(0, bh * bw - 1), i -> cast((scene_k * 53 + band_idx * 131 + (br * {n} + i div bw) * 19"
+        f" + (bc * {n} + i % bw) * 11) % 10000 as int))"
+    )
+    return rows.select("scene_id", "band", "br", "bc", "bh", "bw", F.expr(dn).alias("px"))
+
+
 def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4x4x4 chips of three classes, one per embedding vector."""
     return table(spark, sf_dir, "embeddings").select(

@@ -203,20 +203,30 @@ def tag_windows(scenes: DataFrame, windows: Sequence[tuple[str, str]]) -> DataFr
 
 
 def assign_best_scene_windows(
-    fields: DataFrame, scenes: DataFrame, windows: Sequence[tuple[str, str]], cloud_max: float = DEFAULT_CLOUD_MAX, cell: float = DEFAULT_CELL
+    fields: DataFrame,
+    scenes: DataFrame,
+    windows: Sequence[tuple[str, str]],
+    cloud_max: float = DEFAULT_CLOUD_MAX,
+    cell: float = DEFAULT_CELL,
+    keep: Sequence[str] = (),
+    extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Least cloudy scene per field and date window."""
+    """Least cloudy scene per field and date window, with ``keep`` and ``extra`` as above."""
     usable = tag_windows(scenes.where(F.col("cloud_cover") < cloud_max), windows).select(
-        "scene_id", "cloud_cover", "window_idx", *_BOX
+        "scene_id", "cloud_cover", "window_idx", *_BOX, *[c for c in extra if c not in _BOX]
     )
     pruned = candidate_cells(usable, _cloud_order(), [cell], kind=["window_idx"])
-    pairs = _candidates(fields.where(F.col("x0").isNotNull()), pruned, cell, ["window_idx"])
+    own = [c for c in keep if c not in ("x0", "y0", "x1", "y1")]
+    pairs = _candidates(fields.where(F.col("x0").isNotNull()), pruned, cell, ["window_idx", *extra], own)
     return (
         pairs.where(F.col("_ord").isNotNull())
-        .groupBy("field_id", "window_idx")
-        .agg(F.min("_ord").alias("_best"))
-        .select("field_id", "window_idx", F.col("_best.scene_id").alias("scene_id"), F.col("_best.cloud_cover").alias("cloud_cover"))
-    )
+        .groupBy("field_id", "window_idx", *keep)
+        .agg(F.min(F.struct("_ord", *extra)).alias("_best"))
+        .select(
+            "field_id", "window_idx", *keep, F.col("_best._ord.scene_id").alias("scene_id"),
+            F.col("_best._ord.cloud_cover").alias("cloud_cover"), *[f"_best.{c}" for c in extra],
+        )
+    )
 
 
 def native_extents(scenes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from furrow.functions.arrays import channel, ndvi, ndvi_as_dn, zero_chip
 from furrow.functions.geometry import pixel_window
@@ -303,20 +303,39 @@ def to_blocks(rasters: DataFrame, size: int, keys: Sequence[str] = ("scene_id",
     return rows.select(*keys, "br", "bc", "bh", "bw", F.flatten(lines).alias("px"))
 
 
-def cut_windows(windows: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
-    """Pixels of each window, in every band of its scene: ``field_id, scene_id,
-    band, h, w, px``.
+# Windows that share one copy of a block, and the most copies of a block.
+WINDOWS_PER_COPY = 64
+COPY_SALTS = 1024
 
-    ``windows`` has ``field_id, scene_id, col_off, row_off, width, height`` inside
-    the scene's grid, ``blocks`` comes from ``to_blocks`` with the same size. Each
-    window names the few blocks it meets and is joined to those by key; a block
-    under very many windows is a skewed key, which adaptive execution splits. Only
-    the lines inside the windows are shuffled on, and a group is one window.
+
+def block_pieces(windows: DataFrame, blocks: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
+    """Each window next to every block it meets.
+
+    A block under very many windows would be a hot key of the join, so its windows
+    are dealt over copies of it, one for every ``WINDOWS_PER_COPY``. The counts are
+    joined to the windows by block and salt, so no step has the hot key alone.
     """
     span = lambda off, n: F.explode(F.sequence(F.floor(F.col(off) / size).cast("int"), F.floor((F.col(off) + F.col(n) - 1) / size).cast("int")))
-    wanted = windows.where((F.col("width") > 0) & (F.col("height") > 0)).select("field_id", "scene_id", "col_off", "row_off", "width", "height")
-    wanted = wanted.withColumn("br", span("row_off", "height")).withColumn("bc", span("col_off", "width"))
-    pieces = wanted.join(blocks, ["scene_id", "br", "bc"])
+    place = ["scene_id", *(c for c in ("band",) if c in windows.columns), "br", "bc"]
+    wanted = windows.where((F.col("width") > 0) & (F.col("height") > 0)).withColumn("br", span("row_off", "height")).withColumn("bc", span("col_off", "width"))
+    wanted = wanted.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(COPY_SALTS)))
+    counts = wanted.groupBy(*place, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    copies = F.ceil(F.sum("_n").over(Window.partitionBy(*place)) / WINDOWS_PER_COPY)
+    parts = counts.select(*place, "_salt", (F.col("_salt") % F.least(copies, F.lit(COPY_SALTS))).alias("_part"))
+    copied = blocks.join(parts.select(*place, "_part").distinct(), place)
+    return wanted.join(parts, [*place, "_salt"]).join(copied, [*place, "_part"]).drop("_salt", "_part")
+
+
+def cut_windows(windows: DataFrame, blocks: DataFrame, size: int, keys: Sequence[str] = ("field_id",)) -> DataFrame:
+    """Pixels of each window: ``keys, scene_id, band, h, w, px``.
+
+    ``windows`` has ``keys, scene_id, col_off, row_off, width, height`` inside the
+    scene's grid and is cut from every band of its scene, or from one if it has a
+    column ``band``. ``blocks`` are rasters stored in blocks of ``size``. Each window
+    names the few blocks it meets and is joined to those by key. Only the lines
+    inside the windows are shuffled on, and a group is one window.
+    """
+    pieces = block_pieces(windows, blocks, size, keys)
     top, left = F.col("br") * size, F.col("bc") * size
     y0, y1 = F.greatest(F.col("row_off"), top), F.least(F.col("row_off") + F.col("height"), top + F.col("bh"))
     x0, x1 = F.greatest(F.col("col_off"), left), F.least(F.col("col_off") + F.col("width"), left + F.col("bw"))
@@ -324,9 +343,12 @@ def cut_windows(windows: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
         F.sequence(y0, y1 - 1),
         lambda y: F.struct(y.alias("y"), x0.alias("x"), F.slice("px", (y - top) * F.col("bw") + x0 - left + 1, x1 - x0).alias("px")),
     )
-    lines = pieces.select("field_id", "scene_id", "band", "height", "width", F.explode(line).alias("l"))
-    whole = lines.groupBy("field_id", "scene_id", "band", F.col("height").alias("h"), F.col("width").alias("w")).agg(F.array_sort(F.collect_list("l")).alias("_l"))
-    return whole.select("field_id", "scene_id", "band", "h", "w", F.flatten(F.transform("_l", lambda v: v["px"])).alias("px"))
+    whole = (
+        pieces.select(*keys, "scene_id", "band", F.col("height").alias("h"), F.col("width").alias("w"), F.explode(line).alias("l"))
+        .groupBy(*keys, "scene_id", "band", "h", "w")
+        .agg(F.array_sort(F.collect_list("l")).alias("_l"))
+    )
+    return whole.select(*keys, "scene_id", "band", "h", "w", F.flatten(F.transform("_l", lambda v: v["px"])).alias("px"))
 
 
 def clip_tiles(tiles: DataFrame, bbox: Sequence[float]) -> DataFrame:
@@ -362,11 +384,14 @@ def window_report(
     obs: DataFrame, fields: DataFrame, bands: Sequence[str], n_windows: int, min_px: int = 4, coarse_res: float = COARSE_RES
 ) -> DataFrame:
     """Per date window: chips extracted, fields without a scene, and fields
-    whose native window is too small (or lacks a band)."""
+    whose native window is too small (or lacks or repeats a band)."""
+    place = F.array_position(F.array(*[F.lit(b) for b in bands]), F.col("band"))
+    seen = F.collect_list(place)  # one number per band row of a window
+    complete = (F.size(seen) == len(bands)) & (F.size(F.array_distinct(seen)) == len(bands))
     per_key = (
         obs.where(F.col("band").isin(*bands))
         .groupBy("window_idx", "field_id")
-        .agg((F.bool_and(large_enough(min_px, coarse_res)) & (F.count(F.lit(1)) == len(bands))).alias("ok"))
+        .agg((F.bool_and(large_enough(min_px, coarse_res)) & complete).alias("ok"))
     )
     counts = per_key.groupBy("window_idx").agg(F.count_if("ok").alias("chips"), F.count_if(~F.col("ok")).alias("too_small"))
     total = fields.agg(F.count(F.lit(1)).alias("n"))

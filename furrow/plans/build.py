@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from furrow.functions.geometry import pixel_window
 from furrow.operators import assign, chips as chip_ops, filters, regions, stats
 from furrow.operators.ml import class_moments, evaluate_model, gaussian_predict, train_baseline
 from furrow.operators.scoring import class_weights, scores
@@ -30,6 +31,7 @@ def labelled_fields(
     if per_class:
         rows = rows.withColumn("_group", F.concat_ws(":", F.col("tuman_code"), F.col("crop_type")))
         rows = regions.sample_per_class(rows, per_class, seed, label_col="_group").drop("_group")
+        rows = checkpointed(rows, rows.sparkSession, "sample")  # read for its classes and for its rows
     classes = checkpointed(regions.class_index(rows), rows.sparkSession, "classes")
     return regions.with_class_idx(filters.with_bounds(rows), classes)
 
@@ -60,6 +62,75 @@ def build_chips(
     return chips.withColumnRenamed("field_id", "chip_id")
 
 
+FIELD_BOX = ("x0", "y0", "x1", "y1")
+SCENE_BOX = ("lon_min", "lat_min", "lon_max", "lat_max")
+
+
+def band_windows(pairs: DataFrame, resolutions: dict[str, float], keys: Sequence[str]) -> DataFrame:
+    """Pixel window of each field in each band of its scene, on the band's own grid,
+    which starts at the upper left corner of the scene's box: ``keys, scene_id, band,
+    res, col_off, row_off, width, height``."""
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(float(res)).alias("res")) for b, res in resolutions.items()])
+    rows = pairs.select(*keys, "scene_id", *FIELD_BOX, *SCENE_BOX, F.inline(bands))
+    side = lambda lo, hi: F.round((F.col(hi) - F.col(lo)) / F.col("res"))
+    window = pixel_window(
+        *[F.col(c) for c in FIELD_BOX], F.col("lon_min"), F.col("lat_max"), F.col("res"), side("lon_min", "lon_max"), side("lat_min", "lat_max")
+    )
+    return rows.select(*keys, "scene_id", "band", "res", window.alias("_w")).select(*keys, "scene_id", "band", "res", "_w.*")
+
+
+def build_chips_single(
+    fields: DataFrame,
+    scenes: DataFrame,
+    blocks: DataFrame,
+    resolutions: dict[str, float],
+    size: int,
+    block_size: int,
+    cloud_max: float = 20.0,
+    min_px: int = 4,
+) -> DataFrame:
+    """Labelled fields -> one chip each, from the least cloudy scene.
+
+    A field whose scene lacks a band is left out and not given another scene, and so
+    is one whose window is under ``min_px`` in any band or differs in size between
+    bands. All bands are stacked at native size and resized together. ``blocks`` are
+    the stored rasters; ``resolutions`` names the bands, in channel order.
+    """
+    best = assign.assign_best_scene(fields, scenes, cloud_max, keep=FIELD_BOX, extra=SCENE_BOX)
+    usable = best.join(complete_scenes(scenes, list(resolutions)).select("scene_id"), "scene_id", "left_semi")
+    windows = band_windows(usable, resolutions, ["field_id"])
+    # Windows that cannot become a chip are left before any pixel is read.
+    windows = windows.where((F.col("width") >= min_px) & (F.col("height") >= min_px))
+    cut = chip_ops.cut_windows(windows, blocks, block_size)
+    stacked = chip_ops.stack_bands(cut, list(resolutions), ["field_id"]).join(fields.select("field_id", "tuman_code", "class_idx"), "field_id")
+    chips = chip_ops.resize_bilinear(stacked, size)
+    return chips.select(F.col("field_id").alias("chip_id"), "tuman_code", "class_idx", "c", "h", "w", "px")
+
+
+def build_chips_windows(
+    fields: DataFrame,
+    scenes: DataFrame,
+    blocks: DataFrame,
+    resolutions: dict[str, float],
+    windows: Sequence[tuple[str, str]],
+    size: int,
+    block_size: int,
+    cloud_max: float = 20.0,
+    min_px: int = 4,
+    max_missing: int = 1,
+    coarse_res: float = filters.COARSE_RES,
+) -> DataFrame:
+    """Labelled fields -> multi-window chips, cut from the stored rasters of the least
+    cloudy scene per date window. A window whose scene lacks a band counts as missing."""
+    best = assign.assign_best_scene_windows(fields, scenes, windows, cloud_max, keep=FIELD_BOX, extra=SCENE_BOX)
+    usable = best.join(complete_scenes(scenes, list(resolutions)).select("scene_id"), "scene_id", "left_semi")
+    wanted = band_windows(usable, resolutions, ["field_id", "window_idx"])
+    obs = chip_ops.cut_windows(wanted, blocks, block_size, ["field_id", "window_idx", "res"])
+    labels = fields.select("field_id", "tuman_code", "class_idx")
+    chips = chip_ops.multitemporal_chips(obs, list(resolutions), len(windows), size, min_px, max_missing, coarse_res=coarse_res, labels=labels)
+    return chips.withColumnRenamed("field_id", "chip_id")
+
+
 def train_and_score(
     spark: SparkSession, chips: DataFrame, k: int, val: float = 0.15, test: float = 0.15, seed: int = 42, iterative: bool = False
 ) -> DataFrame:

@@ -186,6 +186,17 @@ CTES: dict[str, tuple[list[str], str]] = {
             for b in (0, 1)
         ),
     ),
+    "drawn": (
+        ["exported", "top"],
+        "select *, cast(dense_rank() over (order by crop_type) - 1 as int) as class_idx from (select * from exported where tuman_code in (select tuman_code from top)"
+        f" qualify row_number() over (partition by tuman_code, crop_type order by {digest('field_id', q.SEED)}, field_id) <= {q.PER_CLASS})",
+    ),
+    "best_windows": (
+        ["bounded", "dated", "windows"],
+        "select field_id, window_idx, min(struct_pack(cloud_cover := cloud_cover, scene_id := scene_id)) as b from bounded join (select * from dated join windows"
+        " on cast(datetime as date) between cast(a as date) and cast(b as date) where cloud_cover < 20) s"
+        " on x0 <= lon_max and x1 >= lon_min and y0 <= lat_max and y1 >= lat_min group by field_id, window_idx",
+    ),
     "tiles": (
         ["scenes"],
         f"select s.scene_id, yy.i as y, xx.i as x, s.lon_min as origin_x, s.lat_max as origin_y,"
@@ -267,6 +278,27 @@ CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
+def cut_ctes(pairs: str, bands: list[str], key: str) -> str:
+    """``cut_keys`` and ``cut_resized``: windows of drawn fields in every band of their
+    scene, and their pixels resized to 4 x 4, straight from the rule that fills the rasters."""
+    specs = values([(i, b, res, round(fx.SCENE_DEGREES / res)) for i, b, res in fx.RASTER_BANDS if b in bands], "b", "band_idx, band, res, side")
+    edges = ", ".join(
+        f"greatest(0, least(side, cast({fn}(({e}) / res) as bigint))) as {n}"
+        for n, fn, e in (("c0", "floor", "x0 - lon_min"), ("c1", "ceil", "x1 - lon_min"), ("r0", "floor", "lat_max - y1"), ("r1", "ceil", "lat_max - y0"))
+    )
+    dn = lambda a, b: f"cast((scene_k * 53 + band_idx * 131 + (r0 + {a}) * 19 + (c0 + {b}) * 11) % 10000 as double)"
+    return (
+        f"cut_keys as (select * exclude (c1, r1), cast(r1 - r0 as int) as h, cast(c1 - c0 as int) as w from (select {key}, scene_k, band_idx, band, res, {edges}"
+        f" from drawn f join {pairs} p using (field_id) join footed s on s.scene_id = p.b.scene_id cross join (select band_idx, band, cast(res as double) as res, side from ({specs})))"
+        " where r1 > r0 and c1 > c0),"
+        " axis as (select n, o, cast(floor(s) as int) i0, least(cast(floor(s) as int) + 1, n - 1) i1, s - floor(s) wt from"
+        " (select n, o, greatest((o + 0.5::double) * n / 4 - 0.5::double, 0::double) s from range(1, 331) t(n), range(4) u(o))),"
+        f" cut_resized as (select {key}, band_idx, band, cast(ay.o as int) oy, cast(ax.o as int) ox,"
+        f" (1 - ay.wt) * ((1 - ax.wt) * {dn('ay.i0', 'ax.i0')} + ax.wt * {dn('ay.i0', 'ax.i1')}) + ay.wt * ((1 - ax.wt) * {dn('ay.i1', 'ax.i0')} + ax.wt * {dn('ay.i1', 'ax.i1')}) as v"
+        " from cut_keys k join axis ay on ay.n = k.h join axis ax on ax.n = k.w), "
+    )
+
+
 def flips(src: str, value: str = "dn") -> str:
     return (
         f"select chip_id, c, case when {uniform('chip_id', q.SEED, chr(39) + 'vflip' + chr(39))} < 0.5 then 3 - y else y end as y,"
@@ -708,24 +740,28 @@ BODIES["baseline_eval"] = (
 )
 
 
-# The stack of all fields, restricted to the sampled fields and their usable windows.
+# The stack over windows cut from the rasters instead of ready-made ones.
 _STACK = BODIES["multitemporal_stack"][1]
 BODIES["build_chips_windows"] = (
-    ["resized", "obs_keys", "exported", "top", "dated", "windows", "bounded"],
-    "with drawn as (select * from exported where tuman_code in (select tuman_code from top) qualify row_number() over"
-    f" (partition by tuman_code, crop_type order by {digest('field_id', q.SEED)}, field_id) <= 20),"
-    " usable as (select distinct field_id, window_idx from bounded join (select * from dated join windows"
-    " on cast(datetime as date) between cast(a as date) and cast(b as date) where cloud_cover < 20) s"
-    " on x0 <= lon_max and x1 >= lon_min and y0 <= lat_max and y1 >= lat_min),"
-    " index as (select field_id, cast(dense_rank() over (order by crop_type) - 1 as int) as class_idx, tuman_code from drawn), "
+    ["drawn", "best_windows", "footed"],
+    "with " + cut_ctes("best_windows", q.WINDOW_BANDS, "field_id, window_idx")
     + _STACK.removeprefix("with ")
-    .replace(" and count(*) = 3), kept", " and count(*) = 3 intersect select field_id, window_idx from usable), kept")
+    .replace("0.00015", str(q.BUILD_COARSE))
+    .replace("from resized", "from cut_resized").replace("join resized", "join cut_resized").replace("from obs_keys", "from cut_keys")
     .replace("having count(*) >= 2)", "having count(*) >= 1)")
     .replace(" index as (select field_id, cast(dense_rank() over (order by crop_type) - 1 as int) as class_idx from exported),", "")
     .replace("select k.field_id, k.missing, class_idx,", "select k.field_id, k.missing, class_idx, tuman_code,")
+    .replace("join index using", "join drawn using")
     .replace(" select g.field_id, class_idx,", " select g.field_id as chip_id, tuman_code, class_idx,")
     .replace("group by g.field_id, class_idx, missing", "group by g.field_id, tuman_code, class_idx, missing"),
 )
+BODIES["build_chips_single"] = (
+    ["drawn", "best", "footed"],
+    "with " + cut_ctes("(select best.* from best join footed on footed.scene_id = best.b.scene_id where has_b12)", q.SINGLE_BANDS, "field_id")
+    + "good as (select field_id from cut_keys group by 1 having count(*) = 3 and min(least(h, w)) >= 2)"
+    " select field_id as chip_id, tuman_code, class_idx, 3 as c, 4 as h, 4 as w, " + texts("band_idx, oy, ox", "v", "")
+    + " as px from cut_resized semi join good using (field_id) join drawn using (field_id) group by field_id, tuman_code, class_idx",
+)
 
 
 # The three score queries stacked as name and value.

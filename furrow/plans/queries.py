@@ -10,9 +10,10 @@ from furrow import fixtures as fx
 from furrow.functions import arrays, geometry, labels, text
 from furrow.functions.projection import bounds_to_utm
 from furrow.operators import assign, chips as chip_ops, filters, ml, regions, scoring, splits, stats, transforms
-from furrow.plans.build import build_chips, labelled_fields, train_and_score
+from furrow.plans import build
+from furrow.plans.build import labelled_fields, train_and_score
 from furrow.session import checkpointed, scratch_path
-from furrow.sources import chips as chip_io, fields as field_io, scenes as scene_io
+from furrow.sources import chips as chip_io, fields as field_io, rasters, scenes as scene_io
 from furrow.streaming.intake import intake, read_intake, scene_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -406,11 +407,39 @@ def field_windows(spark, d):
     return cut.withColumn("px", joined(F.col("px")))
 
 
+PER_CLASS, BUILD_SIZE, BUILD_COARSE = 500, 4, 0.015
+SINGLE_BANDS, WINDOW_BANDS = ["B04", "B08", "B12"], ["B04", "B08", "B11"]
+
+
+def resolutions(bands: list[str]) -> dict[str, float]:
+    return {b: res for _, b, res in fx.RASTER_BANDS if b in bands}
+
+
+def stored_blocks(spark: SparkSession, d: str, bands: list[str]) -> DataFrame:
+    """The scenes' rasters, stored as blocks and read back by key."""
+    path = scratch_path(spark, "blocks")
+    rasters.write_blocks(fx.raster_blocks(spark, d, bands), path)
+    return rasters.read_blocks(spark, path, bands)
+
+
+@query
+def build_chips_single(spark, d):
+    """Districts, sample, best scene, complete scenes, windows cut from blocks, one joint resize."""
+    rows = labelled_fields(fx.fields(spark, d), n_per_region=3, per_class=PER_CLASS, seed=SEED)
+    chips = build.build_chips_single(
+        rows, footed(spark, d), stored_blocks(spark, d, SINGLE_BANDS), resolutions(SINGLE_BANDS), BUILD_SIZE, fx.RASTER_BLOCK, min_px=2
+    )
+    return chips.withColumn("px", joined(F.col("px"), 10000))
+
+
 @query
 def build_chips_windows(spark, d):
-    """Districts, sample, best scene per window, complete scenes, stack: the whole build."""
-    rows = labelled_fields(fx.fields(spark, d), n_per_region=3, per_class=20, seed=SEED)
-    chips = build_chips(rows, footed(spark, d), fx.obs(spark, d), DATE_WINDOWS, OBS_BANDS, 4, min_px=2, max_missing=2)
+    """Districts, sample, best scene per date window, complete scenes, windows cut from blocks, stack."""
+    rows = labelled_fields(fx.fields(spark, d), n_per_region=3, per_class=PER_CLASS, seed=SEED)
+    chips = build.build_chips_windows(
+        rows, footed(spark, d), stored_blocks(spark, d, WINDOW_BANDS), resolutions(WINDOW_BANDS), DATE_WINDOWS, BUILD_SIZE, fx.RASTER_BLOCK,
+        min_px=2, max_missing=2, coarse_res=BUILD_COARSE,
+    )
     return chips.withColumn("px", joined(F.col("px"), 10000))
 
 
