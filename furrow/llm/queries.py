@@ -90,5 +90,4 @@ def op12_alignment(spark, d):
 
 @query
 def op13_word_bpe(spark, d):
-    rows = wordbpe.encode_documents(table(spark, d, "documents").select("doc_id", "text"))
-    return wordbpe.digests(wordbpe.decode_documents(rows), "doc_id")
+    return wordbpe.digests(wordbpe.encode_documents(table(spark, d, "documents").select("doc_id", "text"), decoded=True), "doc_id")

@@ -36,7 +36,7 @@ from furrow.llm import words
 from furrow.llm.tokens import PartEncoder
 from furrow.session import ship_package
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 IN_STEP = 64  # symbols up to which fragments of equal length are merged in step
 NONE = np.int64(1 << 40)  # rank of a pair that does not merge
 _BLANKS = "\t\n\x0b\x0c\r "
@@ -61,6 +61,7 @@ class WordBpe(PartEncoder):
 
     APART = "\0"  # stands between parts that are normalised together
     TOGETHER = 4096  # parts normalised together
+    REMEMBER = 1 << 18
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,7 +72,7 @@ class WordBpe(PartEncoder):
         ending, vocabulary = model["model"]["end_of_word_suffix"], model["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
-        self.tokens = {i: t.encode() for t, i in [*vocabulary.items(), *self.special.items()]}
+        self.tokens = tokens_of(path)
         tokenizer = Tokenizer.from_file(path)
         self.normalize, self.pieces = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         # Symbol of each byte character, inside a word and as its last one.
@@ -235,6 +236,13 @@ class WordBpe(PartEncoder):
         return np.flatnonzero(mark)
 
 
+def tokens_of(path: str) -> dict[int, bytes]:
+    """The spelling of every id of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    return {i: t.encode() for t, i in [*model["model"]["vocab"].items(), *((t["content"], t["id"]) for t in model["added_tokens"])]}
+
+
 def spell(tokens: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of all tokens with a space behind each, first byte by id, size by id; unknown ids have none)."""
     size, first = np.zeros(max(tokens) + 1, np.int64), np.zeros(max(tokens) + 1, np.int64)
@@ -285,22 +293,30 @@ def source_column(rows: DataFrame, source: str):
     return column.cast("string") if rows.schema[source].dataType.simpleString() != "array<int>" else column
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``docs`` without its text, plus ``ids`` and ``n_tokens``."""
+def encode_documents(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, decoded: bool = False) -> DataFrame:
+    """``docs`` without its text, plus ``ids``, ``n_tokens`` and, if wanted, ``decoded``,
+    which the same task makes of the ids."""
     path = tokenizer or default_tokenizer()
 
     def step():
         encoder = WordBpe(path)
+        table = spell(encoder.tokens)
 
         def ready(texts):
             for lo, hi, data, offsets in words.chunks(texts, CHUNK_BYTES):
                 ids, count = encoder(data, offsets)
                 at = pa.array(np.append(0, count.cumsum()).astype(np.int32))
-                yield lo, hi, [pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32))), pa.array(count)]
+                columns = [pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32))), pa.array(count)]
+                yield lo, hi, columns + ([_texts(*decode(table, ids, count))] if decoded else [])
 
         return ready
 
-    return _mapped(docs, text_col, (text_col,), [("ids", "array<int>"), ("n_tokens", "bigint")], step)
+    added = [("ids", "array<int>"), ("n_tokens", "bigint"), *([("decoded", "string")] if decoded else [])]
+    return _mapped(docs, text_col, (text_col,), added, step)
+
+
+def _texts(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw.tobytes()))
 
 
 def decode_documents(rows: DataFrame, ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
@@ -308,7 +324,7 @@ def decode_documents(rows: DataFrame, ids_col: str = "ids", tokenizer: str | Non
     path = tokenizer or default_tokenizer()
 
     def step():
-        table = spell(WordBpe(path).tokens)
+        table = spell(tokens_of(path))
 
         def ready(lists):
             n, at = len(lists), 0
@@ -320,8 +336,7 @@ def decode_documents(rows: DataFrame, ids_col: str = "ids", tokenizer: str | Non
                 ids, count = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), pa.compute.list_value_length(part).fill_null(0).to_numpy().astype(np.int64)
                 raw, places = decode(table, ids, count)
                 gone = part.is_null()
-                text = pa.StringArray.from_buffers(end - at, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(raw.tobytes()))
-                yield at, end, [pa.compute.if_else(gone, pa.scalar(None, pa.string()), text)]
+                yield at, end, [pa.compute.if_else(gone, pa.scalar(None, pa.string()), _texts(raw, places))]
                 at = end
 
         return ready
