@@ -17,6 +17,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from furrow import fixtures as fx  # noqa: E402
+from furrow.operators import transforms  # noqa: E402
 from furrow.plans.queries import QUERIES  # noqa: E402
 from furrow.session import build_session  # noqa: E402
 
@@ -39,6 +41,8 @@ HEADLINE = [
     "series_to_grid",
     "band_stats",
     "train_transform",
+    "build_chips_single",
+    "build_chips_windows",
     "split_assign",
     "batch_plan",
     "confusion_matrix",
@@ -48,6 +52,11 @@ HEADLINE = [
 ]
 
 
+# Transforms at the size of real chips, 30 x 64 x 64; the registered queries use small ones.
+FULL_SIZE = {
+    "val_transform_full": lambda spark, d: fx.full_chips(spark, d).transform(transforms.val_transforms([0.5] * 30, [0.1] * 30)),
+    "train_transform_full": lambda spark, d: fx.full_chips(spark, d).transform(transforms.train_transforms([0.5] * 30, [0.1] * 30, 7)),
+}
 TABLES = ["region", "nation", "customer", "supplier", "orders", "events", "embeddings"]
 
 
@@ -62,7 +71,8 @@ def spread(spark, sf_dir: str, cpus: int) -> str:
 
 def timed(spark, name: str, sf_dir: str) -> float:
     start = time.perf_counter()
-    QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    run = FULL_SIZE.get(name) or QUERIES[name]
+    run(spark, sf_dir).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
 
@@ -71,7 +81,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     chosen = os.environ.get("BENCH_QUERIES", "")
-    names = list(QUERIES) if chosen == "all" else [n for n in chosen.split(",") if n] or HEADLINE
+    names = [*QUERIES, *FULL_SIZE] if chosen == "all" else [n for n in chosen.split(",") if n] or [*HEADLINE, *FULL_SIZE]
     spark = build_session(f"local[{cpus}]", "bench", int(cpus))
     spark.sparkContext.setLogLevel("ERROR")
     cold, warm = {}, {}

@@ -230,9 +230,10 @@ def raster_blocks(spark: SparkSession, sf_dir: str, bands: list[str]) -> DataFra
     rows = scenes_flat(spark, sf_dir).where(F.col("has_b12") | F.lit("B12" not in bands)).select("scene_id", "scene_k", F.inline(specs))
     rows = rows.withColumn("br", F.explode(F.sequence(F.lit(0), last))).withColumn("bc", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.withColumns({"bh": F.least(F.lit(n), F.col("side") - F.col("br") * n), "bw": F.least(F.lit(n), F.col("side") - F.col("bc") * n)})
+    rows = rows.withColumn("base", F.expr(f"cast(scene_k * 53 + band_idx * 131 + br * {n * 19} + bc * {n * 11} as int)")).repartition("scene_id", "band", "br")
     dn = (
-        f"transform(sequence(0, bh * bw - 1), i -> cast((scene_k * 53 + band_idx * 131 + (br * {n} + i div bw) * 19"
-        f" + (bc * {n} + i % bw) * 11) % 10000 as int))"
+        "flatten(transform(sequence(0, bh - 1), y -> transform("
+        "sequence(base + cast(y as int) * 19, base + cast(y as int) * 19 + cast(bw - 1 as int) * 11, 11), v -> v % 10000)))"
     )
     return rows.select("scene_id", "band", "br", "bc", "bh", "bw", F.expr(dn).alias("px"))
 
@@ -249,6 +250,12 @@ def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chips of the size a season's build makes, 30 x 64 x 64: each small chip's values, repeated."""
+    px = F.flatten(F.array_repeat(F.transform("px", lambda v: v.cast("float")), 30 * 64 * 64 // 64))
+    return chips(spark, sf_dir).select("chip_id", "class_idx", F.lit(30).alias("c"), F.lit(64).alias("h"), F.lit(64).alias("w"), px.alias("px"))
+
+
 def dirty_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chips with the defects the dataset checks look for."""
     k = F.col("chip_id")

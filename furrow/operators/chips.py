@@ -128,6 +128,16 @@ def _bounded(per_row: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def row_slices(lists: pa.Array, values: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of a list column that hold at most so many values, or single rows."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    at, n = 0, len(lists)
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + values, "right")) - 1)
+        yield at, end
+        at = end
+
+
 def _with_double_px(schema: T.StructType) -> T.StructType:
     return T.StructType(
         [T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == "px" else f.dataType, f.nullable) for f in schema]
@@ -192,20 +202,26 @@ def apply_transform(chips: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) ->
     """Run a user function ``(c, h, w) array -> (c, h, w) array`` on every chip."""
     names = chips.columns
 
+    def finish(batch: pa.RecordBatch, lo: int, hi: int, results: list[np.ndarray]) -> pa.RecordBatch:
+        cols = {n: batch.column(n).slice(lo, hi - lo) for n in names}
+        cols["px"] = _list_column(np.concatenate([r.ravel() for r in results]), np.concatenate([[0], np.cumsum([r.size for r in results])]))
+        for k, name in enumerate(("c", "h", "w")):
+            cols[name] = pa.array([r.shape[k] for r in results], cols[name].type)
+        return pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {n: batch.column(n) for n in names}
-            sizes = np.stack([cols[k].to_numpy() for k in ("c", "h", "w")], axis=1)
-            values, offsets = _lists(cols["px"])
-            results = [
-                np.asarray(fn(values[a:b].astype(np.float64).reshape(shape)), np.float64)
-                for a, b, shape in zip(offsets[:-1], offsets[1:], map(tuple, sizes))
-            ]
-            ends = np.concatenate([[0], np.cumsum([r.size for r in results])]).astype(np.int64)
-            cols["px"] = _list_column(np.concatenate([r.ravel() for r in results]) if results else np.empty(0), ends)
-            for k, name in enumerate(("c", "h", "w")):
-                cols[name] = pa.array([r.shape[k] for r in results], cols[name].type)
-            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
+            sizes = np.stack([batch.column(k).to_numpy() for k in ("c", "h", "w")], axis=1)
+            values, offsets = _lists(batch.column("px"))
+            lo, held, results = 0, 0, []
+            for i, (a, b, shape) in enumerate(zip(offsets[:-1], offsets[1:], map(tuple, sizes))):
+                results.append(np.asarray(fn(values[a:b].astype(np.float64).reshape(shape)), np.float64))
+                held += results[-1].nbytes
+                if held >= OUTPUT_BYTES:
+                    yield finish(batch, lo, i + 1, results)
+                    lo, held, results = i + 1, 0, []
+            if results:
+                yield finish(batch, lo, batch.num_rows, results)
 
     ship_package(chips.sparkSession)
     return chips.mapInArrow(run, _with_double_px(chips.schema))
@@ -339,12 +355,14 @@ def cut_windows(windows: DataFrame, blocks: DataFrame, size: int, keys: Sequence
     top, left = F.col("br") * size, F.col("bc") * size
     y0, y1 = F.greatest(F.col("row_off"), top), F.least(F.col("row_off") + F.col("height"), top + F.col("bh"))
     x0, x1 = F.greatest(F.col("col_off"), left), F.least(F.col("col_off") + F.col("width"), left + F.col("bw"))
-    line = F.transform(
-        F.sequence(y0, y1 - 1),
-        lambda y: F.struct(y.alias("y"), x0.alias("x"), F.slice("px", (y - top) * F.col("bw") + x0 - left + 1, x1 - x0).alias("px")),
-    )
+    # Pixels are picked one by one: a slice would unpack the whole block for every line.
+    line = F.transform(F.sequence("_at", F.col("_at") + F.col("_n") - 1), lambda i: F.get("px", i))
+    placed = pieces.select(
+        *keys, "scene_id", "band", F.col("height").alias("h"), F.col("width").alias("w"), F.col("px"), x0.alias("_x"), (x1 - x0).alias("_n"),
+        F.explode(F.sequence(y0, y1 - 1)).alias("_y"), ((top * -1) * F.col("bw") + x0 - left).alias("_first"), "bw",
+    ).withColumn("_at", F.col("_y") * F.col("bw") + F.col("_first"))
     whole = (
-        pieces.select(*keys, "scene_id", "band", F.col("height").alias("h"), F.col("width").alias("w"), F.explode(line).alias("l"))
+        placed.select(*keys, "scene_id", "band", "h", "w", F.struct(F.col("_y").alias("y"), F.col("_x").alias("x"), line.alias("px")).alias("l"))
         .groupBy(*keys, "scene_id", "band", "h", "w")
         .agg(F.array_sort(F.collect_list("l")).alias("_l"))
     )

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from furrow.functions.geometry import is_polygon_wkt
+from furrow.functions.hashing import key_hash
 from furrow.functions.labels import strip
 from furrow.operators.filters import with_bounds
 from furrow.operators.ranking import shuffled_rank
@@ -77,17 +78,27 @@ def with_class_idx(df: DataFrame, classes: DataFrame, label_col: str = "crop_typ
     return df.join(classes, label_col, "inner")
 
 
+# Ranks up to this are cut before the shuffle (Spark's own default).
+MAP_SIDE_RANKS = 1000
+
+
 def sample_per_class(
     df: DataFrame, n: int, seed: int = 0, label_col: str = "crop_type", id_col: str = "field_id"
 ) -> DataFrame:
-    """At most ``n`` random rows per class, without replacement (0 = all).
+    """At most ``n`` random rows per class, without replacement (0 = all): those with
+    the smallest hash of id and seed.
 
-    Rows without a label are a class of their own. A class is ranked in buckets,
-    so that none sits in one task, and a bucket keeps at most ``n`` rows before
-    its rank in the class is known.
+    Rows without a label are a class of their own. Each task keeps the ``n`` smallest
+    of every class before the one shuffle, so a class that holds most rows brings at
+    most ``n`` per task to the merge. A larger ``n`` ranks the class in hash buckets,
+    so that none sits in one task.
     """
     if n <= 0:
         return df
+    if n <= MAP_SIDE_RANKS:
+        smallest = Window.partitionBy(label_col).orderBy("_digest", id_col)
+        hashed = df.withColumn("_digest", key_hash(F.col(id_col), seed))
+        return hashed.withColumn("_rank", F.row_number().over(smallest)).where(F.col("_rank") <= n).select(*df.columns)
     keyed = df.withColumns({"_null": F.col(label_col).isNull(), "_class": F.coalesce(F.col(label_col).cast("string"), F.lit(""))})
     ranked = shuffled_rank(keyed, id_col, seed, group=["_null", "_class"], rank="_rank", size="_size", first=n)
     return ranked.where(F.col("_rank") < n).select(*df.columns)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from furrow import fixtures as fx
 from furrow.functions.labels import COMPOUND_LABELS
+from furrow.operators.transforms import GOLDEN, MIX, SECOND_LANE
 from furrow.plans import queries as q
 from furrow.sources.scenes import AOI_PRESETS
 
@@ -314,20 +315,34 @@ def turn(src: str, value: str = "dn") -> str:
     )
 
 
-def jitter(src: str, value: str = "dn") -> str:
-    def draw(op: str) -> str:
-        return f"({uniform('chip_id', q.SEED, chr(39) + op + chr(39), 'c')} * 2 - 1)"
+def mixed(src: str, value: str, name: str) -> str:
+    """``src`` with ``name``: the 32-bit hash of the whole number ``value``."""
+    full = "4294967295::ubigint"
+    return (
+        f"select *, xor(m2_, m2_ >> 16) as {name} from (select * exclude (m1_), (xor(m1_, m1_ >> 15) * {MIX[1]}::ubigint) & {full} as m2_ from"
+        f" (select * exclude (m0_), (xor(m0_, m0_ >> 16) * {MIX[0]}::ubigint) & {full} as m1_ from (select *, ({value}) & {full} as m0_ from {src})))"
+    ).replace("select *, xor(m2_", "select * exclude (m2_), xor(m2_", 1)
+
+
+def key(op: str) -> str:
+    return f"cast({lane(digest('chip_id', q.SEED, chr(39) + op + chr(39)))} as ubigint)"
+
 
+def jitter(src: str, value: str = "dn") -> str:
+    for op in ("scale", "shift"):
+        src = "(" + mixed(src, f"{key(op)} + cast(c as ubigint) * {GOLDEN}::ubigint", f"{op}_") + ")"
+    draw = lambda op: f"(cast({op}_ as double) / {d(float(2**32))} * 2 - 1)"
     return f"select chip_id, c, y, x, {value} * ({draw('scale')} * 0.1::double + 1) + {draw('shift')} * 0.1::double as v from {src}"
 
 
 def noise(src: str, value: str = "dn") -> str:
-    text = digest("chip_id", q.SEED, "'noise'", "c * 16 + y * 4 + x")
-    u1 = f"(1 - cast({lane('g')} as double) / {d(float(2**32))})"
-    u2 = f"(cast({lane('g', 1)} as double) / {d(float(2**32))})"
-    return (
-        f"select chip_id, c, y, x, {value} + sqrt(-2 * ln({u1})) * cos(2 * pi() * {u2}) * 0.01::double as v from (select *, {text} as g from {src})"
-    )
+    placed = f"(select *, cast(c * 16 + y * 4 + x as int) as i_ from {src})"
+    one = "(" + mixed(placed, f"{key('noise')} + cast(i_ // 2 as ubigint) * {GOLDEN}::ubigint", "one_") + ")"
+    two = "(" + mixed(one, f"xor(one_, {SECOND_LANE}::ubigint)", "two_") + ")"
+    u = lambda n: f"cast({n} as double) / {d(float(2**32))}"
+    angle = f"{u('two_')} * (2 * pi())"
+    wave = f"case when i_ % 2 = 0 then cos({angle}) else sin({angle}) end"
+    return f"select chip_id, c, y, x, {value} + sqrt(-2 * ln(1 - {u('one_')})) * 0.01::double * {wave} as v from {two}"
 
 
 def normalised(src: str = "chips") -> str:
@@ -337,7 +352,8 @@ def normalised(src: str = "chips") -> str:
 
 
 def tall(sql: str, value: str = "v") -> str:
-    return f"select chip_id, c, cast(y as int) as y, cast(x as int) as x, {r(value)} as {value} from ({sql})"
+    """Pixels as the transforms return them: in single precision."""
+    return f"select chip_id, c, cast(y as int) as y, cast(x as int) as x, {r(f'cast({value} as float)')} as {value} from ({sql})"
 
 
 def texts(order: str, value: str, group: str) -> str:
@@ -650,8 +666,8 @@ BODIES: dict[str, tuple[list[str], str]] = {
     ),
     "val_transform": (["chips"], tall(normalised())),
     "train_transform": (["chips"], tall(noise("(" + jitter("(" + turn("(" + flips(f"({normalised()})", "v") + ")", "v") + ")", "v") + ")", "v"))),
-    "augment_flips": (["chips"], tall(flips("chips"), "dn").replace(f"{r('dn')} as dn", "dn")),
-    "augment_rot90": (["chips"], tall(turn("chips"), "dn").replace(f"{r('dn')} as dn", "dn")),
+    "augment_flips": (["chips"], tall(flips("chips"), "dn")),
+    "augment_rot90": (["chips"], tall(turn("chips"), "dn")),
     "augment_jitter": (["chips"], tall(jitter("chips"))),
     "augment_noise": (["chips"], tall(noise("chips"))),
     "custom_transform": (["chips"], f"select chip_id, c, y, x, {r('dn * 2')} as v from chips"),
@@ -740,6 +756,8 @@ BODIES["baseline_eval"] = (
 )
 
 
+BODIES["geojson_collection"] = BODIES["geojson_roundtrip"]
+
 # The stack over windows cut from the rasters instead of ready-made ones.
 _STACK = BODIES["multitemporal_stack"][1]
 BODIES["build_chips_windows"] = (

@@ -47,7 +47,7 @@ def joined(px: Column, scale: int = 1) -> Column:
 
 
 def long_values(chips: DataFrame, value: str = "v") -> DataFrame:
-    return chip_ops.explode_chips(chips.select("chip_id", "c", "h", "w", "px"), value).withColumn(value, r(value))
+    return chip_ops.explode_chips(chips.select("chip_id", "c", "h", "w", "px"), value).withColumn(value, r(F.col(value).cast("double")))
 
 
 def bounded(spark: SparkSession, d: str) -> DataFrame:
@@ -63,8 +63,9 @@ def exported(spark: SparkSession, d: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, d: str) -> DataFrame:
-    """Exported fields with their class, through a stored class table."""
-    rows = exported(spark, d)
+    """Exported fields with their class, through a stored class table. The labels are
+    stored once: the geometry test of an export is costly, and both sides need it."""
+    rows = checkpointed(exported(spark, d).select("field_id", "crop_type"), spark, "labels")
     return regions.with_class_idx(rows, checkpointed(regions.class_index(rows), spark, "classes"))
 
 
@@ -102,6 +103,23 @@ def geojson_roundtrip(spark, d):
     )
 
 
+@query
+def geojson_collection(spark, d):
+    """Large collections, read in byte ranges that cut features anywhere."""
+    path = scratch_path(spark, "collection")
+    features = field_io.to_geojson_features(fx.fields(spark, d), properties=("field_id",))
+    field_io.write_geojson(features.coalesce(2), path, collection=True)
+    points = F.flatten(F.flatten("geometry.coordinates"))
+    return field_io.read_geojson(spark, path, collection=True, split_bytes=1 << 16).select(
+        F.col("properties")["field_id"].cast("bigint").alias("field_id"),
+        "crop_type",
+        F.col("geometry.type").alias("kind"),
+        F.size(points).alias("points"),
+        F.get(points, 0)[0].alias("lon0"),
+        F.get(points, 2)[1].alias("lat2"),
+    )
+
+
 @query
 def fields_by_region(spark, d):
     return filters.filter_region(fx.fields(spark, d), "asia|europe", "nation_1").select("field_id", "viloyat", "tuman")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from furrow.functions.geometry import is_polygon_wkt, wkt_coordinates
 from furrow.functions.labels import normalize_label
+from furrow.sources.collections import SPLIT_BYTES, as_collections, read_features
 
 _GEOMETRY = T.StructType(
     [
@@ -22,9 +23,6 @@ FEATURE_SCHEMA = T.StructType(
         T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
     ]
 )
-COLLECTION_SCHEMA = T.StructType(
-    [T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(FEATURE_SCHEMA))]
-)
 
 
 def read_fields(
@@ -63,14 +61,15 @@ def to_geojson_features(
     )
 
 
-def write_geojson(features: DataFrame, path: str) -> None:
-    """One Feature per line, one shard per task; nothing passes the driver."""
+def write_geojson(features: DataFrame, path: str, collection: bool = False) -> None:
+    """One Feature per line, or one FeatureCollection, per task; nothing passes the driver."""
     kind, coordinates = F.col("geometry.type"), F.col("geometry.coordinates")
     none = F.expr("cast(array() as array<array<array<double>>>)")
     single = F.struct(kind.alias("type"), F.coalesce(F.get(coordinates, F.lit(0)), none).alias("coordinates"))
     text = F.when(kind == "Polygon", F.to_json(single)).otherwise(F.to_json("geometry"))
     parts = [F.lit('{"type":"Feature","geometry":'), F.coalesce(text, F.lit("null")), F.lit(',"properties":'), F.coalesce(F.to_json("properties"), F.lit("null")), F.lit("}")]
-    features.select(F.concat(*parts).alias("value")).write.text(path)
+    lines = features.select(F.concat(*parts).alias("value"))
+    (as_collections(lines) if collection else lines).write.text(path)
 
 
 def parse_geometry(text: Column) -> Column:
@@ -85,14 +84,17 @@ def parse_geometry(text: Column) -> Column:
     return F.when(text.isNotNull(), F.when(kind.isin("MultiPolygon", "Polygon"), F.struct(kind.alias("type"), coordinates.alias("coordinates"))).otherwise(bad))
 
 
-def read_geojson(spark: SparkSession, path: str, class_field: str = "crop_type", collection: bool = False) -> DataFrame:
-    """Read features from line-per-feature shards or whole FeatureCollections.
+def read_geojson(
+    spark: SparkSession, path: str, class_field: str = "crop_type", collection: bool = False, split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
+    """Read features from line-per-feature shards or from FeatureCollections, which
+    may be large: each is read in byte ranges of ``split_bytes`` by many tasks.
 
     The class field must exist in the data; a row that lacks the property
     altogether (not one where it is null) fails the read.
     """
     if collection:
-        rows = spark.read.schema(COLLECTION_SCHEMA).json(path, multiLine=True).select(F.inline("features"))
+        rows = read_features(spark, path, split_bytes).select(F.from_json("value", FEATURE_SCHEMA).alias("_f")).select("_f.*")
     else:
         rows = spark.read.schema(FEATURE_SCHEMA).json(path)
     has_field = F.map_contains_key("properties", F.lit(class_field))
