@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from furrow.llm import words
-from furrow.llm.tokens import PartEncoder, TextEncoder, default_tokenizer
+from furrow.llm.tokens import PartEncoder, TextEncoder, default_tokenizer, warm
 from furrow.session import checkpointed, ship_package
 
 BLOCK_BYTES = 4 << 20  # texts whose links are counted together
@@ -284,7 +284,7 @@ def align(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None,
     names = [f"c{i}" for i in range(len(keep) + len(added))]
 
     def run(batches):
-        aligner, block = Aligner(*paths), TaskContext.get().partitionId() << 32
+        aligner, block = warm(Aligner, *paths), TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo, hi, data, offsets in words.chunks(batch.column(len(keep)), BLOCK_BYTES):
                 columns = aligner(data, offsets, block)

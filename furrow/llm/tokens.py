@@ -24,6 +24,7 @@ entry each. An empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -38,7 +39,7 @@ from furrow.session import checkpointed, scratch_path, ship_package
 
 END_ID = 2
 BLOCK_IDS = 1024  # ids of a block
-FILE_IDS = 1 << 21  # a file is closed after the document that reaches this
+FILE_IDS = 1 << 23  # a file is closed after the document that reaches this; a numpy step serves all its blocks
 SLOTS = 10  # log2 of the table entries per block and order
 CHUNK_BYTES = 2 << 20  # texts encoded together
 CONFIDENT = 3
@@ -193,7 +194,12 @@ def encode_blocks(ids: np.ndarray, present: np.ndarray, freq: np.ndarray) -> tup
     if lanes:
         sizes[-1] = len(ids) - (lanes - 1) * BLOCK_IDS  # the short block comes last, so full lanes are a prefix
     grid = np.zeros(lanes * BLOCK_IDS, np.int64)
-    grid[: len(ids)] = np.searchsorted(present, ids)
+    if len(present) and present[-1] < 1 << 22:  # a table is faster than a search, and small
+        rank_of = np.zeros(int(present[-1]) + 1, np.int64)
+        rank_of[present] = np.arange(len(present))
+        grid[: len(ids)] = rank_of[ids]
+    else:
+        grid[: len(ids)] = np.searchsorted(present, ids)
     ranks = grid.reshape(lanes, BLOCK_IDS)
     start = freq.cumsum() - freq
     mixer, coder = Mixer(lanes), Encoder(lanes, BLOCK_IDS)
@@ -251,7 +257,12 @@ def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     ids = ids.astype(np.int64)
     if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 29):
         raise ValueError("ids must be from 0 to 2**29 - 1")
-    present, counts = np.unique(ids, return_counts=True)
+    if len(ids) and ids.max() < 1 << 22:
+        every = np.bincount(ids)
+        present = np.flatnonzero(every)
+        counts = every[present]
+    else:
+        present, counts = np.unique(ids, return_counts=True)
     freq = frequencies(counts) if len(present) else np.zeros(0, np.int64)
     blocks, sizes = encode_blocks(ids, present, freq)
     plain = ids.astype("<u4")
@@ -528,6 +539,13 @@ class TextEncoder(PartEncoder):
         return [np.array(e.ids, np.int32) for e in found]
 
 
+@functools.cache
+def warm(kind: type, *args):
+    """One object per worker process and set of arguments: an encoder keeps the parts
+    it has met, and later tasks of the process find them there."""
+    return kind(*args)
+
+
 def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> np.ndarray:
     """``end_id`` after the ids of every text."""
     return np.insert(ids, lengths.cumsum(), end_id)
@@ -552,7 +570,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        encoder, name, number = TextEncoder(path, special=True), files.attempt_name(), 0
+        encoder, name, number = warm(TextEncoder, path, True), files.attempt_name(), 0
         names, lengths, held, total = [], [], [], 0
 
         def close():

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from furrow.llm import words
-from furrow.llm.tokens import PartEncoder
+from furrow.llm.tokens import PartEncoder, warm
 from furrow.session import ship_package
 
 CHUNK_BYTES = 1 << 20
@@ -299,7 +299,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", tokenizer: str | N
     path = tokenizer or default_tokenizer()
 
     def step():
-        encoder = WordBpe(path)
+        encoder = warm(WordBpe, path)
         table = spell(encoder.tokens)
 
         def ready(texts):
