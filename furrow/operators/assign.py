@@ -23,9 +23,15 @@ A larger field is looked up in every cell it meets, and the best of the cells'
 answers is taken: a scene that meets the field meets it inside some cell, and one
 that was ruled out there was so by a better scene that meets the field too. The
 number of candidates of a field thus grows with its own area and not with the
-catalogue. For "first scene that yields a large enough chip" the chip depends on
-the whole field, so larger fields use coarser grids instead; only the grids that
-some field needs are built. Both are exact.
+catalogue.
+
+For "first scene that yields a large enough chip" the chip depends on the whole field.
+There, larger fields are decomposed into a quadtree: cells of several sizes inside the
+field, each as large as fits, and cells of the finest size along its edge. Every size
+has a table of the first scene that covers some finest cell of each cell. The scenes
+found for the cells inside a field are tested on the whole field, and the first that
+yields is a bound; of the other scenes that meet the field's cells only earlier ones
+are tested. All of this is exact for any field and scene.
 """
 
 from __future__ import annotations
@@ -39,26 +45,20 @@ from furrow.functions.geometry import boxes_touch, clip_bounds, pixel_window
 from furrow.functions.hashing import hash_int
 from furrow.functions.projection import bounds_to_utm, bounds_to_wgs84
 from furrow.operators.columns import with_computed
+from furrow.session import checkpointed
 from furrow.sources.scenes import DEFAULT_CLOUD_MAX, in_date_range
 
 DEFAULT_CELL = 0.25
+QUADTREE_LEVELS = 6  # from half a cell up: 0.125 to 4 degrees by default
 SALTS = 64  # parts of a scene's fields when sizes are joined to them
 
 _BOX = ("lon_min", "lat_min", "lon_max", "lat_max")
 
 
-def grid_sides(cell: float) -> list[float]:
-    """Cell sides of the grids, finest first; the coarsest spans the globe."""
-    sides = [float(cell)]
-    while sides[-1] < 360.0:
-        sides.append(sides[-1] * 16)
-    return sides
-
-
-def needed_sides(fields: DataFrame, cell: float) -> list[float]:
-    """The grids that some field is looked up in: at most one value per grid is gathered."""
-    found = _field_cells(fields.where(F.col("x0").isNotNull()), cell).select("side").distinct().collect()
-    return sorted({float(cell), *(r["side"] for r in found)})
+def quadtree_sides(cell: float) -> list[float]:
+    """Sides of the quadtree's cells, finest first. A field that is larger than
+    ``cell`` both ways always holds a finest cell."""
+    return [float(cell) / 2 * 2**k for k in range(QUADTREE_LEVELS)]
 
 
 def _scene_cells(scenes: DataFrame, sides: Sequence[float]) -> DataFrame:
@@ -74,23 +74,111 @@ def _scene_cells(scenes: DataFrame, sides: Sequence[float]) -> DataFrame:
     )
 
 
-def _field_cells(fields: DataFrame, cell: float) -> DataFrame:
-    """The one cell each field is looked up in; null without bounds."""
-    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    *finer, coarsest = grid_sides(cell)
-    side = F.when(F.col("x0").isNull(), None)
-    for s in finer:
-        side = side.when(size <= s, F.lit(s))
-    return fields.withColumn("side", side.otherwise(F.lit(coarsest))).withColumns(
-        {"cx": F.floor(F.col("x0") / F.col("side")), "cy": F.floor(F.col("y0") / F.col("side"))}
+def _is_large(cell: float) -> Column:
+    return F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > F.lit(float(cell))
+
+
+def _own_cell(fields: DataFrame, cell: float) -> DataFrame:
+    """The one cell a field no larger than a cell is looked up in; null without bounds."""
+    side = F.when(F.col("x0").isNotNull(), F.lit(float(cell)))
+    return fields.withColumn("side", side).withColumns({"cx": F.floor(F.col("x0") / F.col("side")), "cy": F.floor(F.col("y0") / F.col("side"))})
+
+
+Range = tuple[Column, Column]
+
+
+def _met(lo: str, hi: str, side: Column) -> Range:
+    """First and last cell that a span meets."""
+    return F.floor(F.col(lo) / side), F.floor(F.col(hi) / side)
+
+
+def _inside(lo: str, hi: str, side: Column) -> Range:
+    """First and last cell that lies wholly in a span; the last is before the first if none does."""
+    first, last = _met(lo, hi, side)
+    return F.when(first * side >= F.col(lo), first).otherwise(first + 1), last - 1
+
+
+def _span(first: Column, last: Column) -> Column:
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def quadtree_cells(fields: DataFrame, cell: float) -> DataFrame:
+    """The cells that each field's box is made of: those ``inside`` it, each as large
+    as fits, and the finest ones along its edge. There are as many as its edge is
+    finest cells long, up to a factor, whatever its area.
+
+    Every level is a frame: its own cells without those that the next size has inside.
+    """
+    sides = quadtree_sides(cell)
+    levels = [(sides[0], False, False)] + [(s, True, s == sides[-1]) for s in sides]
+    level = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(i).alias("inside"), F.lit(t).alias("_top")) for s, i, t in levels])
+    rows = fields.select("*", F.inline(level))
+    side, inside = F.col("side"), F.col("inside")
+    names = {}
+    for axis, lo, hi in (("x", "x0", "x1"), ("y", "y0", "y1")):
+        (met0, met1), (in0, in1), (next0, next1) = _met(lo, hi, side), _inside(lo, hi, side), _inside(lo, hi, side * 2)
+        names[f"_{axis}0"], names[f"_{axis}1"] = F.when(inside, in0).otherwise(met0), F.when(inside, in1).otherwise(met1)
+        names[f"_{axis}2"], names[f"_{axis}3"] = F.when(inside, next0 * 2).otherwise(in0), F.when(inside, next1 * 2 + 1).otherwise(in1)
+    c = {n: F.col(n) for n in names}
+    # Inner ranges that are empty one way leave the whole outer one.
+    some = ~F.col("_top") & (c["_x2"] <= c["_x3"]) & (c["_y2"] <= c["_y3"])
+    rows = with_computed(rows, names).withColumn("cx", F.explode(_span(c["_x0"], c["_x1"])))
+    edges = F.concat(_span(c["_y0"], c["_y2"] - 1), _span(c["_y3"] + 1, c["_y1"]))
+    column = F.when(some & F.col("cx").between(c["_x2"], c["_x3"]), edges).otherwise(_span(c["_y0"], c["_y1"]))
+    return rows.withColumn("cy", F.explode(column)).select(*fields.columns, "side", "cx", "cy", "inside")
+
+
+def _scene_quadtree(scenes: DataFrame, fields: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+    """(scenes with every cell they meet, first scene that covers a finest cell of each cell),
+    for scenes near some of the fields. Scenes have ``_scene``, a struct that sorts by order."""
+    sides = [F.lit(s) for s in quadtree_sides(cell)]
+
+    def cells_of(df: DataFrame, box: Sequence[str], side: Column) -> DataFrame:
+        (x0, x1), (y0, y1) = _met(box[0], box[2], side), _met(box[1], box[3], side)
+        return df.withColumn("cx", F.explode(F.sequence(x0, x1))).withColumn("cy", F.explode(F.sequence(y0, y1)))
+
+    wanted = cells_of(fields, ("x0", "y0", "x1", "y1"), sides[-1]).select("cx", "cy").distinct()
+    near = cells_of(scenes, _BOX, sides[-1]).join(wanted, ["cx", "cy"], "left_semi").select("_scene", *_BOX).distinct()
+    met = cells_of(near.withColumn("side", F.explode(F.array(*sides))), _BOX, F.col("side")).select("side", "cx", "cy", "_scene", *_BOX)
+    x, y, s = F.col("cx") * sides[0], F.col("cy") * sides[0], sides[0]
+    covers = (F.col("lon_min") <= x) & (F.col("lon_max") >= x + s) & (F.col("lat_min") <= y) & (F.col("lat_max") >= y + s)
+    finest = cells_of(near, _BOX, sides[0]).where(covers).groupBy("cx", "cy").agg(F.min("_scene").alias("_first"))
+    upper = F.array(
+        *[F.struct(s.alias("side"), F.floor(F.col("cx") / 2**k).alias("ux"), F.floor(F.col("cy") / 2**k).alias("uy")) for k, s in enumerate(sides)]
+    )
+    every = finest.select("_first", F.inline(upper))
+    return met, every.groupBy("side", F.col("ux").alias("cx"), F.col("uy").alias("cy")).agg(F.min("_first").alias("_first"))
+
+
+def quadtree_candidates(
+    fields: DataFrame, scenes: DataFrame, order: Column, cell: float, extra: Sequence[str], keep: Sequence[str], yields: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Large fields with the scenes that may be the first to yield, left outer as in
+    ``_candidates``. ``yields`` keeps the pairs whose chip is large enough."""
+    own = ["field_id", "x0", "y0", "x1", "y1", *keep]
+    packed = scenes.select(*_BOX, F.struct(order.alias("_ord"), *extra).alias("_scene"))
+    cells = quadtree_cells(fields.select(*own), cell)
+    met, firsts = _scene_quadtree(packed, fields, cell)
+    on = ["side", "cx", "cy"]
+    found = cells.where("inside").join(firsts, on).select(*own, F.col("_first").alias("_scene")).distinct()
+    tested = yields(found.select(*own, "_scene.*"))
+    bound = tested.groupBy("field_id").agg(F.min("_ord").alias("_bound"))
+    boxes = boxes_touch(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], *[F.col(c) for c in _BOX])
+    earlier = (
+        cells.join(bound, "field_id", "left")
+        .join(met, on)
+        .where(boxes & (F.col("_bound").isNull() | (F.col("_scene._ord") <= F.col("_bound"))))
+        .select(*own, "_scene")
+        .distinct()
     )
+    lonely = fields.select(*own).join(earlier.select("field_id").distinct(), "field_id", "left_anti").withColumn("_scene", F.lit(None).cast(earlier.schema["_scene"].dataType))
+    return earlier.unionByName(lonely).select(*own, "_scene._ord", *[f"_scene.{c}" for c in extra])
 
 
 def _cells_met(fields: DataFrame, cell: float) -> DataFrame:
     """One row per field and cell it has to be looked up in: one for a field no
     larger than a cell, else all it meets; one null cell without bounds."""
-    side = F.lit(float(cell))
-    large = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > side
+    side, large = F.lit(float(cell)), _is_large(cell)
 
     def span(lo: str, hi: str) -> Column:
         first = F.floor(F.col(lo) / side)
@@ -326,10 +414,14 @@ def assign_first_yielding(
     usable = index.select(*extra, *_BOX).withColumns(
         {"_ax": F.pmod(F.col("nx0"), F.col("res")), "_ay": F.pmod(F.col("ny0"), F.col("res"))}
     )
-    pruned = candidate_cells(usable, order, needed_sides(fields, cell), kind=grid, tag_covers=_tag_native_covers)
-    pairs = _candidates(fields if unassigned else fields.where(F.col("x0").isNotNull()), pruned, cell, extra, keep, _field_cells)
-    chip = with_chip_window(pairs)
+    large = F.coalesce(_is_large(cell), F.lit(False))
+    pruned = candidate_cells(usable, order, [cell], kind=grid, tag_covers=_tag_native_covers)
+    rows = (fields if unassigned else fields.where(F.col("x0").isNotNull())).select("field_id", "x0", "y0", "x1", "y1", *keep)
+    rows = checkpointed(rows, fields.sparkSession, "located")  # boxes are costly to parse, and read for small and large fields
+    pairs = _candidates(rows.where(~large), pruned, cell, extra, keep, _own_cell)
     yields = (F.col("chip.width") >= min_px) & (F.col("chip.height") >= min_px)
+    tested = quadtree_candidates(rows.where(large), usable, order, cell, extra, keep, lambda found: with_chip_window(found).where(yields))
+    chip = with_chip_window(pairs.unionByName(tested))
     result = chip.groupBy("field_id", *keep).agg(
         F.min(F.when(yields, F.struct("scene_id", F.col("chip.width").alias("w"), F.col("chip.height").alias("h")))).alias("_first"),
         F.bool_or(F.col("x0").isNotNull()).alias("located"),

@@ -68,10 +68,40 @@ def test_candidates_grow_with_the_field_and_not_the_catalogue(spark, size):
     assert cells.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] <= 60
 
 
-def test_only_needed_grids_are_built(spark):
-    small = spark.createDataFrame([(1, 0.0, 0.0, 0.1, 0.1), (2, None, None, None, None)], FIELD)
-    large = spark.createDataFrame([(1, 0.0, 0.0, 0.1, 0.1), (2, 0.0, 0.0, 3.0, 3.0)], FIELD)
-    assert assign.needed_sides(small, 0.25) == [0.25] and assign.needed_sides(large, 0.25) == [0.25, 4.0]
+@pytest.mark.parametrize("size,most", [(0.3, 3), (5.0, 12), (70.0, 400)])
+def test_first_yielding_tests_few_scenes(spark, size, most):
+    """Of the hundreds of scenes over a field, those before the first that must yield are tested."""
+    rng = random.Random(4)
+    native = [utm_scene(f"s{i:05d}", rng.randrange(200_000, 700_000, 10), rng.randrange(3_900_000, 4_800_000, 10), 110_000, 110_000) for i in range(3000)]
+    raw = spark.createDataFrame(native, "scene_id string, epsg int, res double, nx0 double, ny0 double, nx1 double, ny1 double")
+    index = assign.scene_index(raw.withColumns({c: F.lit(0.0) for c in assign._BOX})).cache()
+    fields = spark.createDataFrame([(1, 63.1 - size / 2, 40.1 - size / 2, 63.1 + size / 2, 40.1 + size / 2)], FIELD)
+    extra = ["scene_id", "epsg", "res", "nx0", "ny0", "nx1", "ny1"]
+    enough = (F.col("chip.width") >= 8) & (F.col("chip.height") >= 8)
+    pairs = assign.quadtree_candidates(fields, index, F.struct("scene_id"), 0.25, extra, [], lambda found: assign.with_chip_window(found).where(enough))
+    assert 0 < pairs.count() <= most
+    touching = fields.crossJoin(index).where(geometry.boxes_touch(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], *[F.col(c) for c in assign._BOX]))
+    assert touching.count() > 20 * (1 if size < 1 else 10)
+    want = assign.with_chip_window(touching).where(enough).agg(F.min("scene_id")).first()[0]
+    assert [r.scene_id for r in assign.assign_first_yielding(fields, index, 8).collect()] == ([want] if want else [])
+
+
+@pytest.mark.parametrize("cell", [0.25, 0.5])
+def test_quadtree_cells_tile_every_field(spark, cell):
+    rng = random.Random(8)
+    rows = [(i, *b) for i, b in enumerate(boxes(rng, 40, 0.125, 9) + boxes(rng, 10, 0.01, 3, quantum=0.01) + [(0.0, 0.0, 4.0, 8.0), (-1.0, 0.3, 6.0, 0.31)])]
+    finest = assign.quadtree_sides(cell)[0]
+    tiled: dict[int, list] = {}
+    for r in assign.quadtree_cells(spark.createDataFrame(rows, FIELD), cell).collect():
+        n = round(r.side / finest)
+        tiled.setdefault(r.field_id, []).extend((r.cx * n + i, r.cy * n + j) for i in range(n) for j in range(n))
+        box = rows[r.field_id][1:]
+        within = box[0] <= r.cx * r.side and (r.cx + 1) * r.side <= box[2] and box[1] <= r.cy * r.side and (r.cy + 1) * r.side <= box[3]
+        assert within == r.inside or (r.side == finest and not r.inside)
+    for i, x0, y0, x1, y1 in rows:
+        want = {(x, y) for x in range(math.floor(x0 / finest), math.floor(x1 / finest) + 1) for y in range(math.floor(y0 / finest), math.floor(y1 / finest) + 1)}
+        assert len(tiled[i]) == len(want) and set(tiled[i]) == want
+        assert not any(r == () for r in tiled[i])
 
 
 def utm_scene(scene_id, left, bottom, width, height, epsg=32641, res=10.0):
@@ -87,7 +117,7 @@ def test_first_yielding_is_exact(spark):
     raw = spark.createDataFrame(native, "scene_id string, epsg int, res double, nx0 double, ny0 double, nx1 double, ny1 double")
     raw = raw.withColumns({c: F.lit(0.0) for c in assign._BOX})
     index = assign.scene_index(raw).cache()
-    rows = [(i, x, y, x + s, y + s) for i in range(120) for x, y, s in [(rng.uniform(61, 64), rng.uniform(38.8, 40.6), rng.choice([0.0005, 0.004, 0.03, 0.4]))]]
+    rows = [(i, x, y, x + s, y + s) for i in range(120) for x, y, s in [(rng.uniform(61, 64), rng.uniform(38.8, 40.6), rng.choice([0.0005, 0.004, 0.03, 0.4, 1.7]))]]
     fields = spark.createDataFrame(rows, FIELD)
     got = {r.field_id: r for r in assign.assign_first_yielding(fields, index, 8, unassigned=True).collect()}
     pairs = fields.crossJoin(index).where(
