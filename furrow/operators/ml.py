@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
@@ -9,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from furrow.operators.scoring import scores, with_prediction
+from furrow.session import ship_package
 
 
 def with_weights(feats: DataFrame, weights: list[float] | None) -> DataFrame:
@@ -38,6 +43,68 @@ def train_baseline(feats: DataFrame, weights: list[float] | None = None, max_ite
 
 
 LEAST_VARIANCE = 1e-6
+NEWTON_STEPS = 5
+RIDGE = 1.0
+
+
+def feature_scale(feats: DataFrame) -> list[tuple[float, float]]:
+    """Mean and deviation of every feature, in order."""
+    tall = feats.select(F.posexplode("features").alias("i", "v")).groupBy("i")
+    rows = tall.agg(F.avg("v").alias("mean"), F.sqrt(F.greatest(F.var_pop("v"), F.lit(LEAST_VARIANCE))).alias("sd")).collect()
+    return [(r["mean"], r["sd"]) for r in sorted(rows, key=lambda r: r["i"])]
+
+
+def newton_sums(rows: DataFrame, scale: list[tuple[float, float]], weights: np.ndarray) -> DataFrame:
+    """Gradient and Gram block of every class at the given coefficients: ``k, i, j, v``, where
+    ``j`` one past the last coefficient is the gradient. Each task sums its rows into one
+    block per class, and the blocks are added: classes x coefficients squared numbers per task."""
+    ship_package(rows.sparkSession)
+    mean, sd = (np.array(side) for side in zip(*scale))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, n = weights.shape
+        total = np.zeros((k, n, n + 1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = (batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - mean) / sd
+            x = np.hstack((x, np.ones((len(x), 1))))
+            label, own = batch.column("class_idx").to_numpy(), batch.column("weight").to_numpy()
+            for c in range(k):
+                p = 1.0 / (1.0 + np.exp(-(x @ weights[c])))
+                total[c, :, :n] += (x * (own * p * (1.0 - p))[:, None]).T @ x
+                total[c, :, n] += x.T @ (own * ((label == c) - p))
+        at = np.indices(total.shape).reshape(3, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)) for a in at] + [pa.array(total.ravel())], names=["k", "i", "j", "v"])
+
+    blocks = rows.select("features", F.col("class_idx").cast("int").alias("class_idx"), "weight").mapInArrow(run, "k int, i int, j int, v double")
+    return blocks.groupBy("k", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def train_linear(
+    feats: DataFrame, k: int, class_weights: list[float] | None = None, steps: int = NEWTON_STEPS, ridge: float = RIDGE
+) -> tuple[list[list[float]], list[float]]:
+    """Weighted logistic regression of each class against the rest by Newton steps:
+    (coefficients per class, intercepts) for ``linear_predict``.
+
+    Every step is one aggregate; only its sums, whose number depends on classes and
+    features alone, come to the driver. Features are scaled inside, and the ridge,
+    which covers the intercept too, keeps separable classes finite. Pass features
+    that are stored: each step reads them once.
+    """
+    scale = feature_scale(feats)
+    rows = with_weights(feats, class_weights)
+    n = len(scale) + 1
+    weights = np.zeros((k, n))
+    for _ in range(steps):
+        total = np.zeros((k, n, n + 1))
+        for r in newton_sums(rows, scale, weights).collect():
+            total[r["k"], r["i"], r["j"]] = r["v"]
+        for c in range(k):
+            weights[c] += np.linalg.solve(total[c, :, :n] + ridge * np.eye(n), total[c, :, n] - ridge * weights[c])
+    mean, sd = (np.array(side) for side in zip(*scale))
+    raw = weights[:, :-1] / sd
+    return raw.tolist(), (weights[:, -1] - raw @ mean).tolist()
 
 
 def class_moments(feats: DataFrame) -> DataFrame:

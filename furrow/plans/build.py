@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from furrow.functions.geometry import pixel_window
 from furrow.operators import assign, chips as chip_ops, filters, regions, stats
-from furrow.operators.ml import class_moments, evaluate_model, gaussian_predict, train_baseline
+from furrow.operators.ml import class_moments, evaluate_model, gaussian_predict, linear_predict, train_baseline, train_linear
 from furrow.operators.scoring import class_weights, scores
 from furrow.operators.splits import assign_split
 from furrow.session import checkpointed
@@ -132,21 +132,26 @@ def build_chips_windows(
 
 
 def train_and_score(
-    spark: SparkSession, chips: DataFrame, k: int, val: float = 0.15, test: float = 0.15, seed: int = 42, iterative: bool = False
+    spark: SparkSession, chips: DataFrame, k: int, val: float = 0.15, test: float = 0.15, seed: int = 42, model: str = "linear"
 ) -> DataFrame:
-    """Split, train the baseline with balanced classes, score the test split.
+    """Split, train a baseline with balanced classes, score the test split.
 
-    The baseline is a normal distribution per class and feature, whose training is
-    one aggregate; ``iterative`` trains a weighted logistic regression instead.
+    ``linear`` is a weighted linear model per class by a fixed number of Newton steps,
+    ``normal`` a normal distribution per class and feature, and ``optimised`` a joint
+    logistic regression by an optimiser.
     """
     split = assign_split(chips, val, test, seed)
     feats = stats.chip_features(stats.require_valid(chips, k)).join(split.select("chip_id", "split"), "chip_id")
-    # The optimiser reads its rows many times; features are a few numbers per chip.
+    # Training reads its rows many times; features are a few numbers per chip.
     feats = checkpointed(feats, spark, "features")
-    train = feats.where(F.col("split") == "train")
-    if not iterative:
+    train, held = feats.where(F.col("split") == "train"), feats.where(F.col("split") == "test")
+    if model == "normal":
         moments = [(r["class_idx"], r["i"], r["mean"], r["var"]) for r in class_moments(train).collect()]  # classes x features
-        return scores(gaussian_predict(feats.where(F.col("split") == "test"), moments, k), k)
+        return scores(gaussian_predict(held, moments, k), k)
     by_class = {r["class_idx"]: r["weight"] for r in class_weights(train, k).collect()}
-    model = train_baseline(train, [by_class.get(i, 0.0) for i in range(k)])
-    return evaluate_model(model, feats.where(F.col("split") == "test"), k)
+    weights = [by_class.get(i, 0.0) for i in range(k)]
+    if model == "linear":
+        return scores(linear_predict(held, *train_linear(train, k, weights)), k)
+    if model != "optimised":
+        raise ValueError(f"no model {model!r}")
+    return evaluate_model(train_baseline(train, weights), held, k)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from furrow import fixtures as fx
 from furrow.functions.labels import COMPOUND_LABELS
+from furrow.operators.ml import LEAST_VARIANCE, NEWTON_STEPS, RIDGE
 from furrow.operators.transforms import GOLDEN, MIX, SECOND_LANE
 from furrow.plans import queries as q
 from furrow.sources.scenes import AOI_PRESETS
@@ -740,11 +741,8 @@ BODIES["predict_linear"] = (
     + ", ".join(f"{r(f'z{c}', 5)} as z{c}" for c in range(3))
     + f" from ({_linear()})",
 )
-BODIES["baseline_eval"] = (
-    ["chips", "splits"],
-    f"with feats as ({_FEATURES}), moments as (select class_idx, i, avg(v) as m, greatest(var_pop(v), 1e-6::double) as s from feats join splits using (chip_id)"
-    " where split = 'train' group by all), logits as (select f.chip_id, f.class_idx as label, g.class_idx as k, -0.5::double * sum((v - m) * (v - m) / s + ln(s)) as z"
-    " from feats f join splits using (chip_id) join moments g on g.i = f.i where split = 'test' group by all),"
+# Scores of a table of logits ``chip_id, label, k, z`` of the test split.
+_SCORES = (
     " wide as (select chip_id, label, max(z) as top, arg_min(k, (-z, k)) as pred, max(z) filter (where k = label) as own from logits group by all),"
     " loss as (select avg(own_lp) as v from (select w.chip_id, -(own - top - ln(sum(exp(z - top)))) as own_lp from wide w join logits l using (chip_id) group by w.chip_id, own, top)),"
     " per as (select c.i as k, count(*) filter (where label = c.i and pred = c.i) as tp, count(*) filter (where label <> c.i and pred = c.i) as fp,"
@@ -752,7 +750,50 @@ BODIES["baseline_eval"] = (
     f" select 'accuracy' as name, {r('avg(case when label = pred then 1.0::double else 0.0::double end)', 5)} as value from wide"
     f" union all select 'macro_accuracy', {r('avg(tp / greatest(tp + fn, 1))', 5)} from per where tp + fp + fn > 0"
     f" union all select 'macro_f1', {r('avg(2 * tp / (2 * tp + fp + fn))', 5)} from per where tp + fp + fn > 0"
-    f" union all select 'loss', {r('v', 5)} from loss",
+    f" union all select 'loss', {r('v', 5)} from loss"
+)
+BODIES["normal_eval"] = (
+    ["chips", "splits"],
+    f"with feats as ({_FEATURES}), moments as (select class_idx, i, avg(v) as m, greatest(var_pop(v), 1e-6::double) as s from feats join splits using (chip_id)"
+    " where split = 'train' group by all), logits as (select f.chip_id, f.class_idx as label, g.class_idx as k, -0.5::double * sum((v - m) * (v - m) / s + ln(s)) as z"
+    " from feats f join splits using (chip_id) join moments g on g.i = f.i where split = 'test' group by all)," + _SCORES,
+)
+
+
+def _newton(steps: int, n: int, ridge: float) -> str:
+    """Newton steps of a weighted logistic regression per class as CTEs ``w0`` .. ``w{steps}``
+    (``k, i, w``) over scaled features ``xs``; each system is solved by Gauss-Jordan elimination."""
+    ctes = [f"w0 as materialized (select cast(k.i as int) as k, cast(i.i as int) as i, 0.0::double as w from range({q.K}) k(i), range({n}) i(i))"]
+    for t in range(steps):
+        ctes.append(
+            f"p{t} as materialized (select x.chip_id, x.class_idx, k, any_value(c.weight) as c, 1 / (1 + exp(-sum(w * v))) as p"
+            f" from xs x join w{t} using (i) join balance c on c.class_idx = x.class_idx where split = 'train' group by x.chip_id, x.class_idx, k)"
+        )
+        ctes.append(
+            f"m{t}_0 as materialized (select k, a.i as i, b.i as j, sum(c * p * (1 - p) * a.v * b.v) + case when a.i = b.i then {d(ridge)} else 0 end as v"
+            f" from p{t} join xs a using (chip_id) join xs b using (chip_id) group by k, a.i, b.i union all"
+            f" select g.k, g.i, {n}, g.v - {d(ridge)} * w from (select k, i, sum(c * (case when p{t}.class_idx = k then 1 else 0 end - p) * v) as v from p{t} join xs using (chip_id)"
+            f" group by k, i) g join w{t} on w{t}.k = g.k and w{t}.i = g.i)"
+        )
+        for s in range(n):
+            m = f"m{t}_{s}"
+            ctes.append(
+                f"m{t}_{s + 1} as materialized (select a.k, a.i, a.j, case when a.i = {s} then a.v / p.v else a.v - c.v * r.v / p.v end as v from {m} a"
+                f" join {m} p on p.k = a.k and p.i = {s} and p.j = {s} join {m} r on r.k = a.k and r.i = {s} and r.j = a.j join {m} c on c.k = a.k and c.i = a.i and c.j = {s})"
+            )
+        ctes.append(f"w{t + 1} as materialized (select o.k, o.i, o.w + m.v as w from w{t} o join m{t}_{n} m on m.k = o.k and m.i = o.i and m.j = {n})")
+    return ", ".join(ctes)
+
+
+BODIES["baseline_eval"] = (
+    ["chips", "splits"],
+    f"with feats as materialized (select f.*, split from ({_FEATURES}) f join splits using (chip_id)),"
+    f" scale as (select i, avg(v) as m, sqrt(greatest(var_pop(v), {d(LEAST_VARIANCE)})) as s from feats where split = 'train' group by i),"
+    " xs as materialized (select chip_id, class_idx, split, cast(i as int) as i, (v - m) / s as v from feats join scale using (i)"
+    " union all select distinct chip_id, class_idx, split, 8, 1.0::double from feats),"
+    f" balance as (select class_idx, (select count(distinct chip_id) from xs where split = 'train') / ({d(float(q.K))} * count(distinct chip_id)) as weight from xs where split = 'train' group by class_idx), "
+    + _newton(NEWTON_STEPS, 9, RIDGE)
+    + f", logits as (select chip_id, class_idx as label, k, sum(w * v) as z from xs join w{NEWTON_STEPS} using (i) where split = 'test' group by all)," + _SCORES,
 )
 
 

@@ -671,6 +671,11 @@ def baseline_eval(spark, d):
     return train_and_score(spark, fx.chips(spark, d), K, seed=SEED).withColumn("value", r("value", 5))
 
 
+@query
+def normal_eval(spark, d):
+    return train_and_score(spark, fx.chips(spark, d), K, seed=SEED, model="normal").withColumn("value", r("value", 5))
+
+
 LINEAR = ([[0.002, -0.001, 0.0005, 0.0, 0.001, 0.0, -0.002, 0.001], [0.0, 0.001, 0.001, -0.001, 0.0, 0.002, 0.0, -0.001], [-0.001, 0.0, 0.0, 0.002, -0.001, 0.0, 0.001, 0.0]], [0.5, -0.25, 0.0])
 
 

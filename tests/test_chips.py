@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from furrow import fixtures as fx
 from furrow.functions import arrays
+from furrow.functions.hashing import hash_int
 from furrow.operators import chips as ops, stats, transforms as tf
 from furrow.sources import chips as chip_io
 
@@ -108,6 +109,70 @@ def test_noise_has_the_right_spread(spark):
     assert abs(v.mean()) < 5e-4 and math.isclose(v.std(), 0.01, rel_tol=0.05)
 
 
+def scalar_mix(x: int) -> int:
+    full = (1 << 32) - 1
+    x = ((x ^ x >> 16) * tf.MIX[0]) & full
+    x = ((x ^ x >> 15) * tf.MIX[1]) & full
+    return x ^ x >> 16
+
+
+def test_fused_steps_follow_the_rule_pixel_by_pixel(spark):
+    """Mixed shapes, an odd number of pixels, a row without pixels, clashing names."""
+    rng = np.random.default_rng(12)
+    data = {i: rng.uniform(0, 1e4, s) for i, s in enumerate([(2, 3, 5), (1, 3, 3), (2, 3, 5), (2, 4, 4), (1, 1, 1)] * 4)}
+    rows = [(i, 0, *a.shape, a.ravel().tolist()) for i, a in data.items()] + [(99, 0, 2, 3, 5, None)]
+    df = spark.createDataFrame(rows, CHIP).withColumn("c0", F.lit("kept"))
+    step = tf.compose(tf.scale_reflectance(), tf.hflip(0.5, 3), tf.vflip(0.5, 3), tf.rot90(3), tf.spectral_jitter(0.2, 0.1, 3), tf.gaussian_noise(0.05, 3))
+    assert isinstance(step, tf.Fused)
+    one, apart = (
+        {r.chip_id: r for r in out.collect()}
+        for out in (df.transform(step), df.transform(tf.scale_reflectance()).transform(tf.hflip(0.5, 3)).transform(tf.vflip(0.5, 3)).transform(tf.rot90(3)))
+    )
+    keys = {
+        r.chip_id: r
+        for r in df.select(
+            "chip_id", *(hash_int(F.col("chip_id"), 3, op).alias(op) for op in ("scale", "shift", "noise")), *(arrays.coin(F.col("chip_id"), 3, op, 0.5).alias(op) for op in ("hflip", "vflip")),
+            arrays.quarter_turns(F.col("chip_id"), 3).alias("k"),
+        ).collect()
+    }
+    assert one[99].px is None and one[99].c0 == "kept" and len({keys[i].k for i in data}) > 2
+    full = float(1 << 32)
+    for i, a in data.items():
+        key = keys[i]
+        a = a / 1e4
+        a = a[:, :, ::-1] if key.hflip else a
+        a = a[:, ::-1] if key.vflip else a
+        a = np.rot90(a, key.k, axes=(1, 2))
+        assert (one[i].h, one[i].w) == a.shape[1:] == (apart[i].h, apart[i].w)
+        np.testing.assert_allclose(np.array(apart[i].px), a.ravel(), rtol=1e-6)
+        draw = lambda op, n: scalar_mix((key[op] + n * tf.GOLDEN) % (1 << 32))
+        want = []
+        for n, v in enumerate(a.ravel().tolist()):
+            ch = n // (a.shape[1] * a.shape[2])
+            v = v * ((draw("scale", ch) / full * 2 - 1) * 0.1 + 1) + (draw("shift", ch) / full * 2 - 1) * 0.2
+            first = draw("noise", n // 2)
+            angle = scalar_mix(first ^ tf.SECOND_LANE) / full * 2 * math.pi
+            want.append(v + math.sqrt(-2 * math.log(1 - first / full)) * 0.05 * (math.sin(angle) if n % 2 else math.cos(angle)))
+        np.testing.assert_allclose(np.array(one[i].px), want, rtol=1e-5, atol=1e-6)
+
+
+def test_wrong_sizes_fail(spark):
+    df = spark.createDataFrame([(1, 0, 2, 2, 2, [1.0] * 7)], CHIP)
+    with pytest.raises(Exception, match="7 values"):
+        df.transform(tf.hflip()).collect()
+
+
+def test_neighbouring_steps_run_in_one_pass(spark, sf_dir):
+    plan = fx.chips(spark, sf_dir).transform(tf.train_transforms([0.5] * 4, [0.1] * 4))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_custom_transform_holds_few_outputs(spark, monkeypatch):
+    monkeypatch.setattr(ops, "OUTPUT_BYTES", 100)
+    rows = spark.createDataFrame([(i, 0, 1, 2, 2, [float(i)] * 4) for i in range(20)], CHIP)
+    assert sorted(sum(r.px) for r in ops.apply_transform(rows, lambda a: a + 1).collect()) == [4.0 * (i + 1) for i in range(20)]
+
+
 def test_jitter_is_one_draw_per_channel(spark):
     v = array_of(chip(spark, np.stack([np.full((2, 2), 1.0), np.full((2, 2), 1.0)])).transform(tf.spectral_jitter(0.1, 0.1, 5)))
     assert len(set(v[0].ravel())) == 1 and len(set(v[1].ravel())) == 1 and v[0, 0, 0] != v[1, 0, 0]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from furrow import fixtures as fx
 from furrow.functions import geometry, labels, text
 from furrow.operators import filters, regions
 from furrow.operators.ranking import bucketed_rank, shuffled_rank
-from furrow.sources import fields as field_io
+from furrow.sources import collections, fields as field_io
 from furrow.sources.scenes import check_bbox, parse_aoi, resolve_aoi
 
 
@@ -175,3 +179,44 @@ def test_geojson_collection_and_missing_class_field(spark, tmp_path):
 def test_extent_of_nothing_is_null(spark):
     empty = spark.createDataFrame([], "x0 double, y0 double, x1 double, y1 double")
     assert tuple(regions.extent(empty).first()) == (None,) * 4
+
+
+def test_collections_are_read_in_byte_ranges(spark, tmp_path):
+    """Cuts anywhere, odd spacing and key order, objects inside texts, objects after the list."""
+    rng = random.Random(3)
+    text = 'é{"type": "Feature"} 日本'
+    features = [
+        {"id": i, "type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [i, 1], [1, 1], [0, 0]]]}, "properties": {"crop_type": text * rng.randint(0, 3), "n": i}}
+        for i in range(60)
+    ]
+    head = '{"type": "FeatureCollection", "name": "{x", "crs": {"type": "name", "properties": {"name": "q"}}, "features" :\n[ '
+    body = " ,\n ".join(json.dumps(f, ensure_ascii=i % 2 == 0, indent=None if i % 3 else 1) for i, f in enumerate(features))
+    (tmp_path / "one.geojson").write_text(head + body + '], "meta": {"a": {"b": 1}}}', encoding="utf-8")
+    (tmp_path / "two.geojson").write_text('{"features": []}')
+    for split in (64, 777, 1 << 20):
+        got = field_io.read_geojson(spark, str(tmp_path), collection=True, split_bytes=split)
+        assert sorted((int(r.properties["n"]), r.crop_type) for r in got.collect()) == [(f["properties"]["n"], f["properties"]["crop_type"]) for f in features]
+    assert collections.read_features(spark, str(tmp_path), 64).select(F.spark_partition_id()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("broken", ['{"type": "FeatureCollection"}', '{"features": [{"type": "Feature"}, 5 6]', '{"features": [{"type": "Feature"}, {"type": "Feature"'])
+def test_broken_collections_fail(spark, tmp_path, broken):
+    (tmp_path / "x.geojson").write_text(broken)
+    if "5 6" in broken:  # what follows the list is not read
+        assert collections.read_features(spark, str(tmp_path)).count() == 1
+        return
+    with pytest.raises(Exception, match="features|broken"):
+        collections.read_features(spark, str(tmp_path)).collect()
+
+
+def test_samples_take_one_exchange(spark, sf_dir):
+    rows = fx.fields(spark, sf_dir).select("field_id", "crop_type")
+    plan = regions.sample_per_class(rows, 50, 7)._jdf.queryExecution().executedPlan().toString()
+    own = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(crop_type") == 1 and plan.count("Exchange hashpartitioning") - own.count("Exchange hashpartitioning") <= 1
+    assert plan.count("WindowGroupLimit") == 2
+    few, many = (regions.sample_per_class(rows, n, 7) for n in (20, 1500))
+    per_class = {r.crop_type: r["count"] for r in rows.groupBy("crop_type").count().collect()}
+    for n, sample in ((20, few), (1500, many)):
+        assert {r.crop_type: r["count"] for r in sample.groupBy("crop_type").count().collect()} == {k: min(n, v) for k, v in per_class.items()}
+    assert {r.field_id for r in few.collect()} <= {r.field_id for r in many.collect()}

@@ -174,8 +174,8 @@ def test_rank_limits_apply_before_the_shuffle(spark, sf_dir):
         assert plan.count("WindowGroupLimit") >= 2, name
 
 
-@pytest.mark.parametrize("iterative", [False, True])
-def test_baselines_learn_separable_chips(spark, iterative):
+@pytest.mark.parametrize("model", ["linear", "normal", "optimised"])
+def test_baselines_learn_separable_chips(spark, model):
     chips = synthetic_chips(spark.range(400).withColumnRenamed("id", "chip_id"), 4, 8, 3, 1).withColumn("px", F.transform("px", lambda v: v.cast("int")))
-    got = {r.name: r.value for r in build.train_and_score(spark, chips, 3, iterative=iterative).collect()}
+    got = {r.name: r.value for r in build.train_and_score(spark, chips, 3, model=model).collect()}
     assert got["accuracy"] >= 0.75 and got["macro_f1"] >= 0.75
