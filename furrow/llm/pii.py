@@ -316,16 +316,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets."""
-    rows = checkpointed(with_candidates(docs, text_col), docs.sparkSession, "pii-rows")
+    """``docs`` with every span replaced by its kind in brackets. Columns may have any names."""
+    # Positions stand for the columns meanwhile, so that none meets a name used on the way.
+    body = f"c{docs.columns.index(text_col)}"
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    rows = checkpointed(with_candidates(rows, body), docs.sparkSession, "pii-rows")
     rows = with_spans(rows, fit(rows))
     kinds = "array(" + ", ".join(f"'{k.upper()}'" for k in KINDS) + ")"
     # Base spans of two kinds may overlap; what is already covered is not repeated.
     by_start = "array_sort(transform(_all, x -> struct(x.start as s, x.end as e, x.kind as k)))"
     walked = (
         f"aggregate({by_start}, struct(0L as edge, cast(array() as array<string>) as parts), (acc, x) -> struct(greatest(acc.edge, x.e) as edge,"
-        f" if(x.s < acc.edge, acc.parts, concat(acc.parts, array(substring(_t, cast(acc.edge + 1 as int), cast(x.s - acc.edge as int)), concat('[', get({kinds}, x.k), ']')))) as parts),"
-        " acc -> concat(array_join(acc.parts, ''), substring(_t, cast(acc.edge + 1 as int))))"
+        f" if(x.s < acc.edge, acc.parts, concat(acc.parts, array(substring({body}, cast(acc.edge + 1 as int), cast(x.s - acc.edge as int)), concat('[', get({kinds}, x.k), ']')))) as parts),"
+        f" acc -> concat(array_join(acc.parts, ''), substring({body}, cast(acc.edge + 1 as int))))"
     )
-    fresh = rows.withColumn("_t", F.col(text_col)).withColumn(text_col, F.expr(f"if(size(_all) = 0, _t, {walked})"))
-    return fresh.select(*docs.columns)
+    masked = F.expr(f"if(size(_all) = 0, {body}, {walked})")
+    return rows.select(*(masked.alias(c) if c == body else F.col(c) for c in rows.columns if c.startswith("c"))).toDF(*docs.columns)

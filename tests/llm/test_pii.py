@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from furrow.llm import pii
 
@@ -131,3 +132,13 @@ def test_the_main_path_runs_no_python(docs):
     rows = pii.with_candidates(docs)
     plan = pii.with_spans(rows, pii.fit(rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_redacting_keeps_clashing_columns_apart(spark):
+    names = ["_t", "_base", "_all", "_more", "_sorted", "_clear", "_cands", "_pii_t", "_pii_n", "c0", "c1", "a b"]
+    rows = spark.createDataFrame([(1, "Mail bob@mail.example.com now."), (2, None)], "doc_id int, text string")
+    rows = rows.select(*(F.lit(f"own {n}").alias(n) for n in names), "doc_id", "text")
+    out = {r.doc_id: r for r in pii.redact(rows).collect()}
+    assert pii.redact(rows).columns == rows.columns
+    assert out[1].text == "Mail [EMAIL] now." and out[2].text is None
+    assert all(out[i][n] == f"own {n}" for i in (1, 2) for n in names)
