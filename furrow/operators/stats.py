@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from furrow.functions.arrays import REFLECTANCE_SCALE, plane
@@ -10,24 +12,22 @@ from furrow.operators.chips import explode_chips
 from furrow.operators.ranking import shuffled_rank
 
 
-def band_stats(chips: DataFrame, scale: float = REFLECTANCE_SCALE) -> DataFrame:
-    """Mean and population standard deviation per channel, over all pixels.
-
-    Sums integers and divides once, so the result does not depend on the order
-    of addition. The sums are combined before the shuffle, which then moves one
-    row per channel and task.
-    """
+def pixel_moments(chips: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Count, sum and sum of squares of the pixels per channel (and ``by``), as whole
+    numbers: tables of them can be added up in any order. The sums are combined before
+    the shuffle, which then moves one row per channel and task."""
     dn = F.col("dn").cast("bigint")
     # Squares are summed as decimals: at 1e8 per pixel a bigint holds 9e10 pixels.
-    sums = (
-        explode_chips(chips.select("c", "h", "w", "px"))
-        .groupBy("c")
-        .agg(
-            F.sum(dn).alias("s"),
-            F.sum((dn * dn).cast("decimal(18,0)")).alias("q"),
-            F.count(F.lit(1)).alias("pixels"),
-        )
+    return (
+        explode_chips(chips.select(*by, "c", "h", "w", "px"))
+        .groupBy(*by, "c")
+        .agg(F.sum(dn).alias("s"), F.sum((dn * dn).cast("decimal(18,0)")).alias("q"), F.count(F.lit(1)).alias("pixels"))
     )
+
+
+def merged_stats(moments: DataFrame, scale: float = REFLECTANCE_SCALE) -> DataFrame:
+    """Mean and population standard deviation per channel from ``pixel_moments``."""
+    sums = moments.groupBy("c").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("pixels").alias("pixels"))
     mean = F.col("s").cast("double") / F.col("pixels")
     var = F.col("q").cast("double") / F.col("pixels") - mean * mean
     return sums.select(
@@ -35,6 +35,34 @@ def band_stats(chips: DataFrame, scale: float = REFLECTANCE_SCALE) -> DataFrame:
     )
 
 
+def band_stats(chips: DataFrame, scale: float = REFLECTANCE_SCALE) -> DataFrame:
+    """Mean and population standard deviation per channel, over all pixels.
+
+    Sums integers and divides once, so the result does not depend on the order
+    of addition.
+    """
+    return merged_stats(pixel_moments(chips), scale)
+
+
+def store_moments(chips: DataFrame, path: str, by: str = "tuman_code") -> DataFrame:
+    """Add the moments of the districts that ``path`` does not hold yet and return all.
+
+    Pixels of stored districts are not read again: they are left out by the partition
+    filter of the chip set. Each district is one folder that is written as a whole, so
+    a run that is repeated after a failure replaces its own rows.
+    """
+    spark = chips.sparkSession
+    schema = f"{by} int, c int, s bigint, q decimal(38,0), pixels bigint"
+    empty = spark.createDataFrame([], schema)
+    empty.write.mode("append").partitionBy(by).parquet(path)
+    stored = lambda: spark.read.schema(schema).parquet(path)
+    done = [r[by] for r in stored().select(by).distinct().collect()]  # one number per district
+    fresh = chips.where(~F.col(by).isin(done) | F.col(by).isNull()) if done else chips
+    sums = pixel_moments(fresh, [by]).select(F.col(by).cast("int").alias(by), F.col("c").cast("int").alias("c"), "s", F.col("q").cast("decimal(38,0)").alias("q"), "pixels")
+    sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    return stored()
+
+
 def sample_chips(chips: DataFrame, n: int, seed: int) -> DataFrame:
     """min(n, N) random chips without replacement.
 

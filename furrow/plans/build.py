@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,6 +12,7 @@ from furrow.operators.ml import class_moments, evaluate_model, gaussian_predict,
 from furrow.operators.scoring import class_weights, scores
 from furrow.operators.splits import assign_split
 from furrow.session import checkpointed
+from furrow.sources import chips as chip_io
 from furrow.sources.fields import exportable
 from furrow.sources.scenes import complete_scenes
 
@@ -131,6 +132,27 @@ def build_chips_windows(
     return chips.withColumnRenamed("field_id", "chip_id")
 
 
+def build_in_steps(
+    fields: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, per_step: int = 20, max_steps: int | None = None
+) -> int:
+    """Build the chips of all districts of labelled ``fields`` that ``path`` has not
+    finished, some districts at a time, and return the number of steps taken.
+
+    ``make`` turns fields into chips with ``tuman_code``. A build that stops, after
+    ``max_steps`` or by failure, goes on where it was: finished districts are left as
+    they are, and a half-written one is written anew. Classes must be those of all
+    fields, not of one step.
+    """
+    spark = fields.sparkSession
+    todo = regions.pending_districts(fields.select("tuman_code").distinct(), chip_io.finished_districts(spark, path))
+    codes = sorted(r["tuman_code"] for r in todo.collect())  # one number per district
+    steps = [codes[at : at + per_step] for at in range(0, len(codes), per_step)][:max_steps]
+    for step in steps:
+        chips = make(fields.where(F.col("tuman_code").isin(step)))
+        chip_io.commit_districts(chips, path, spark.createDataFrame([(c,) for c in step], "tuman_code int"))
+    return len(steps)
+
+
 def train_and_score(
     spark: SparkSession, chips: DataFrame, k: int, val: float = 0.15, test: float = 0.15, seed: int = 42, model: str = "linear"
 ) -> DataFrame:

@@ -823,6 +823,9 @@ BODIES["build_chips_single"] = (
 )
 
 
+BODIES["build_resumed"] = BODIES["build_chips_single"]
+BODIES["band_stats_merged"] = BODIES["band_stats"]
+
 # The three score queries stacked as name and value.
 _LOSS = BODIES["ce_loss"][1]
 BODIES["metrics_sink"] = (

@@ -461,6 +461,31 @@ def build_chips_windows(spark, d):
     return chips.withColumn("px", joined(F.col("px"), 10000))
 
 
+@query
+def build_resumed(spark, d):
+    """The single-window build, stopped after some districts and resumed."""
+    path = scratch_path(spark, "districts")
+    rows = checkpointed(labelled_fields(fx.fields(spark, d), n_per_region=3, per_class=PER_CLASS, seed=SEED), spark, "labelled")
+    blocks, scenes = stored_blocks(spark, d, SINGLE_BANDS), footed(spark, d)
+
+    def make(some: DataFrame) -> DataFrame:
+        return build.build_chips_single(some, scenes, blocks, resolutions(SINGLE_BANDS), BUILD_SIZE, fx.RASTER_BLOCK, min_px=2)
+
+    build.build_in_steps(rows, make, path, per_step=8, max_steps=1)
+    build.build_in_steps(rows, make, path, per_step=8)
+    chips = chip_io.read_finished(spark, path)
+    return chips.withColumn("px", joined(F.col("px"), 10000))
+
+
+@query
+def band_stats_merged(spark, d):
+    """Statistics from stored sums, to which the second set's districts are added later."""
+    path = scratch_path(spark, "moments")
+    one, two = fx.chip_sets(spark, d)
+    stats.store_moments(one, path)
+    return stats.merged_stats(stats.store_moments(chip_io.union_chips(one, two), path)).withColumns({"mean": r("mean"), "std": r("std")})
+
+
 @query
 def select_task(spark, d):
     tasks = fx.table(spark, d, "supplier").select(F.concat(F.col("s_nationkey"), F.lit("-crop")).alias("task_id"), "s_suppkey")

@@ -16,6 +16,29 @@ def write_chips(chips: DataFrame, path: str, by: str = "tuman_code") -> None:
     chips.hint("rebalance", by).write.partitionBy(by).parquet(path)
 
 
+def commit_districts(chips: DataFrame, path: str, districts: DataFrame, by: str = "tuman_code") -> None:
+    """Store the chips of some districts and, after all of them, a marker per district.
+
+    A district's folder is replaced as a whole, so rows of an attempt that died before
+    its markers were written do not stay; other districts are not touched. A district
+    without chips is marked too.
+    """
+    chips.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{path}/rows")
+    districts.select(F.col(by).cast("int").alias(by)).distinct().write.mode("append").parquet(f"{path}/finished")
+
+
+def finished_districts(spark: SparkSession, path: str, by: str = "tuman_code") -> DataFrame:
+    """The marked districts; none if nothing has been stored."""
+    schema = f"{by} int"
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/finished")
+    return spark.read.schema(schema).parquet(f"{path}/finished").distinct()
+
+
+def read_finished(spark: SparkSession, path: str, by: str = "tuman_code") -> DataFrame:
+    """The chips of marked districts."""
+    return spark.read.parquet(f"{path}/rows").join(finished_districts(spark, path, by), by, "left_semi")
+
+
 def read_chips(spark: SparkSession, path: str) -> DataFrame:
     """Load a chip set; a missing path raises ``AnalysisException``."""
     return spark.read.parquet(path)
