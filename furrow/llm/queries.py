@@ -53,7 +53,7 @@ def op5_sharding(spark, d):
 
 @query
 def op6_sentencepiece(spark, d):
-    return pieces.encode_documents(table(spark, d, "documents").select("doc_id", "text"), keep_ids=False)
+    return pieces.encode_documents(table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query
