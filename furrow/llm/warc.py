@@ -14,7 +14,9 @@ Payloads shorter than ``min_revisit_bytes`` are always written in full.
 Null or empty html is a payload of 0 bytes. Rows that share the smallest id of
 their payload are all responses. Null ids are kept and never referred to, unless
 all pages of a payload have a null id: then all are responses. An empty table
-gives no packages and no rows.
+gives no packages and no rows. Characters that a URI may not hold are percent-encoded
+in the record and come back so. A page of any length is one record; columns beyond
+``page_id, url, html`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ import gzip
 import hashlib
 import io
 import struct
+import uuid
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -58,26 +62,34 @@ def digest_text(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _urn(page_id) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def record_urn(page_id, digest: str) -> str:
+    """The id of a page's record: a name-based UUID of page id and payload digest.
+    Only rows that agree in both share it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:sha1:{digest}')}>"
 
 
-def record_bytes(page_id, url, payload: bytes, refers_to) -> bytes:
-    """One WARC record; ``refers_to`` makes it a revisit, whose block is empty."""
+def record_bytes(page_id, url, payload: bytes, refers_to, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One WARC record; ``refers_to`` makes it a revisit, whose block is empty. The
+    page ids, which need not be unique or present, are fields of their own."""
     revisit = refers_to is not None
     block = b"" if revisit else payload
+    digest = digest_text(payload)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_urn(page_id)}",
-        f"WARC-Payload-Digest: sha1:{digest_text(payload)}",
+        f"WARC-Record-ID: {record_urn(page_id, digest)}",
+        f"WARC-Date: {date}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
     ]
+    if page_id is not None:
+        head.append(f"WARC-Page-ID: {page_id}")
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%-._~')}")
     if revisit:
-        head += [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head.append(f"Content-Length: {len(block)}")
+        head += [f"WARC-Refers-To: {record_urn(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -98,15 +110,14 @@ def parse_record(data: bytes) -> dict:
         raise ValueError("WARC payload does not match its digest")
 
     def page(name: str):
-        text = head.get(name, "<urn:page:>")[len("<urn:page:") : -1]
-        return int(text) if text else None
+        return int(head[name]) if name in head else None
 
     return {
-        "page_id": page("WARC-Record-ID"),
+        "page_id": page("WARC-Page-ID"),
         "payload_bytes": int(head["WARC-Payload-Length"]),
         "payload_digest": digest,
         "record_type": kind,
-        "refers_to": page("WARC-Refers-To"),
+        "refers_to": page("WARC-Refers-To-Page-ID"),
         "url": head.get("WARC-Target-URI"),
         "payload": block if kind == "response" else None,
     }
@@ -245,6 +256,7 @@ def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
 def write_packages(records: DataFrame, folder: str) -> DataFrame:
     """Write the records and return the manifest: ``package, records, bytes``."""
     ship_package(records.sparkSession)
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")  # pages carry no date of their own
 
     def write(batches):
         name, k, held, total = files.attempt_name(), 0, [], 0
@@ -256,7 +268,7 @@ def write_packages(records: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "payload", "refers_to")]
             for i in range(batch.num_rows):
-                rec = gzip.compress(record_bytes(*(c[i].as_py() for c in columns)), 6, mtime=0)
+                rec = gzip.compress(record_bytes(*(c[i].as_py() for c in columns), date), 6, mtime=0)
                 if held and total + len(rec) > PACKAGE_BYTES:
                     yield close()
                     k, held, total = k + 1, [], 0

@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import zipfile
 
 import pytest
@@ -99,3 +100,21 @@ def test_a_changed_payload_is_noticed():
         warc.parse_record(rec.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"))
     with pytest.raises(ValueError):
         warc.parse_record(rec[:-5])
+
+
+def test_records_have_the_mandatory_fields():
+    seen = set()
+    for page, refers in ((1, None), (2, 1), (None, None), (1, None)):
+        for payload in (b"", b"<html>\r\n\r\nWARC-Date: x</html>"):
+            head, _, block = warc.record_bytes(page, "http://a/é b", payload, refers, "2025-05-01T00:00:00Z").partition(b"\r\n\r\n")
+            lines = head.decode().split("\r\n")
+            fields = dict(line.split(": ", 1) for line in lines[1:])
+            assert lines[0] == "WARC/1.1" and len(fields) == len(lines) - 1
+            assert {"WARC-Record-ID", "WARC-Date", "WARC-Type", "Content-Length", "Content-Type"} <= set(fields)
+            assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"]) and fields["WARC-Date"] == "2025-05-01T00:00:00Z"
+            assert int(fields["Content-Length"]) == len(block) - 4 == (0 if refers else len(payload))
+            assert fields["WARC-Target-URI"] == "http://a/%C3%A9%20b"
+            seen.add((page, payload, fields["WARC-Record-ID"]))
+            if refers:
+                assert fields["WARC-Refers-To"] == warc.record_urn(refers, warc.digest_text(payload)) != fields["WARC-Record-ID"]
+    assert len({urn for *_, urn in seen}) == len(seen) == 6
