@@ -15,6 +15,7 @@ from furrow.plans.queries import DATE_WINDOWS, QUERIES
 from furrow.sources.chips import synthetic_chips
 from furrow.sources.fields import read_fields
 from furrow.sources.scenes import aoi_table, footprints, resolve_aoi
+from furrow.streaming import intake as intake_module
 from furrow.streaming.intake import intake, read_intake, scene_stream
 
 
@@ -130,6 +131,26 @@ def test_stream_takes_each_scene_once_and_resumes(spark, tmp_path):
     assert drain() == ["a", "c", "d"]
 
 
+def test_a_batch_reads_only_its_buckets(spark, tmp_path):
+    """Ids read for a batch do not grow with the sink: buckets stay of about one size."""
+    few = {}
+    for n in (5_000, 50_000):
+        path = str(tmp_path / f"ids{n}")
+        sink = spark.range(n).select(F.concat(F.lit("s"), "id").alias("scene_id"), F.lit("r").alias("run"), F.lit(0).alias("batch"))
+        old_size, intake_module.IDS_PER_BUCKET, old_least, intake_module.LEAST_BUCKETS = intake_module.IDS_PER_BUCKET, 50, intake_module.LEAST_BUCKETS, 4
+        try:
+            buckets = intake_module.index_ids(sink, spark.createDataFrame([("old",)], "scene_id string"), path)
+        finally:
+            intake_module.IDS_PER_BUCKET, intake_module.LEAST_BUCKETS = old_size, old_least
+        batch = spark.createDataFrame([("s7",), ("old",), ("new",)], "scene_id string").select(intake_module.bucket_of("scene_id", buckets).alias("b"))
+        known = intake_module.known_ids(spark, path, [r.b for r in batch.collect()], "string")
+        assert "PartitionFilters: [isnotnull(bucket" in known._jdf.queryExecution().toString() or "PartitionFilters: [bucket" in known._jdf.queryExecution().toString()
+        ids = [r.scene_id for r in known.collect()]
+        assert {"s7", "old"} <= set(ids) and "new" not in ids
+        few[n] = len(ids)
+    assert few[5_000] <= 3 * 100 and few[50_000] <= 3 * 100
+
+
 def test_build_and_train(spark, sf_dir):
     fields = build.labelled_fields(fx.fields(spark, sf_dir), n_per_region=3, per_class=20, seed=1)
     assert fields.count() > 0
