@@ -89,7 +89,7 @@ def fingerprint_texts(texts: list[bytes]) -> np.ndarray:
     for text in texts:
         held.append(shingle_hashes(text))
         total += len(held[-1])
-        if total > 1 << 19:
+        if total > 1 << 17:
             flush()
             held, total = [], 0
     if held:
@@ -97,15 +97,20 @@ def fingerprint_texts(texts: list[bytes]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+ROWS_AT_ONCE = 500
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp``: the fingerprint's 64 bits as a signed long."""
     ship_package(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            fps = fingerprint_texts(texts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            # A batch may hold much text; its words are taken apart for some rows at a time.
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                fps = fingerprint_texts([t or b"" for t in part.column("text").to_pylist()]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, fp bigint")

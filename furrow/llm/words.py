@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20  # texts are taken together up to this much; one longer text stands alone
+CHUNK_BYTES = 2 << 20  # texts are taken together up to this much; one longer text stands alone
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
