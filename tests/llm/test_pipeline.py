@@ -28,7 +28,7 @@ def ids(df):
 def test_registered():
     assert [n for n in entry.queries() if n.startswith("op")] and entry.queries()["pipeline"] is corpus_pipeline.run
     numbers = {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
 
 
 def test_columns(stages):
