@@ -324,8 +324,13 @@ WINDOWS_PER_COPY = 64
 COPY_SALTS = 1024
 
 
-def block_pieces(windows: DataFrame, blocks: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
-    """Each window next to every block it meets.
+Blocks = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def block_pieces(windows: DataFrame, blocks: Blocks, size: int, keys: Sequence[str]) -> DataFrame:
+    """Each window next to every block it meets. ``blocks`` may be a reader: a function
+    from the places wanted (``scene_id``, ``band`` if windows have one, ``br, bc``, each
+    once) to the blocks there, so that rasters no window meets are never unpacked.
 
     A block under very many windows would be a hot key of the join, so its windows
     are dealt over copies of it, one for every ``WINDOWS_PER_COPY``. The counts are
@@ -338,11 +343,12 @@ def block_pieces(windows: DataFrame, blocks: DataFrame, size: int, keys: Sequenc
     counts = wanted.groupBy(*place, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     copies = F.ceil(F.sum("_n").over(Window.partitionBy(*place)) / WINDOWS_PER_COPY)
     parts = counts.select(*place, "_salt", (F.col("_salt") % F.least(copies, F.lit(COPY_SALTS))).alias("_part"))
+    blocks = blocks(counts.select(*place).distinct()) if callable(blocks) else blocks
     copied = blocks.join(parts.select(*place, "_part").distinct(), place)
     return wanted.join(parts, [*place, "_salt"]).join(copied, [*place, "_part"]).drop("_salt", "_part")
 
 
-def cut_windows(windows: DataFrame, blocks: DataFrame, size: int, keys: Sequence[str] = ("field_id",)) -> DataFrame:
+def cut_windows(windows: DataFrame, blocks: Blocks, size: int, keys: Sequence[str] = ("field_id",)) -> DataFrame:
     """Pixels of each window: ``keys, scene_id, band, h, w, px``.
 
     ``windows`` has ``keys, scene_id, col_off, row_off, width, height`` inside the

@@ -117,3 +117,17 @@ def test_a_repeated_band_is_no_chip(spark):
     obs = obs.withColumns({"h": F.lit(4), "w": F.lit(4), "res": F.lit(0.0001)})
     report = ops.window_report(obs, spark.range(3), ["B04", "B08"], 1).first()
     assert (report.chips, report.too_small, report.no_scene) == (1, 1, 1)
+
+
+def test_a_reader_is_asked_for_wanted_places_only(spark, stored):
+    images, path = stored
+    wanted = spark.createDataFrame([(1, "a", "B04", 2, 3, 4, 4), (2, "a", "B04", 17, 30, 3, 3), (3, "b", "B04", 0, 0, 2, 2)], WINDOW)
+    asked = []
+
+    def read(places):
+        asked.extend(tuple(r) for r in places.select("scene_id", "band", "br", "bc").collect())
+        return rasters.read_blocks(spark, path).join(places, ["scene_id", "band", "br", "bc"], "left_semi")
+
+    got = {r.field_id: r.px for r in ops.cut_windows(wanted, read, 8).collect()}
+    assert sorted(asked) == [("a", "B04", 0, 0), ("a", "B04", 3, 2), ("a", "B04", 4, 2), ("b", "B04", 0, 0)]
+    assert got == {r.field_id: r.px for r in ops.cut_windows(wanted, rasters.read_blocks(spark, path), 8).collect()}
