@@ -8,12 +8,12 @@ The method compares two multinomials over hashed word unigrams and bigrams
 (``BUCKETS`` buckets): one of trusted documents, one of all documents. A text's
 score is the sum of the log ratios of its n-grams, divided by their number. The
 threshold is the score that best separates the trusted from the distrusted
-documents of a bounded labelled sample (balanced accuracy over a histogram), so
+documents, over every labelled one (balanced accuracy over a histogram), so
 the verdict on every document is a fixed function of its text and the counts.
 
 Counts cover all documents, those of the trusted side every document labelled
-trusted; they are combined before the shuffle, to one row per bucket and task. Only
-the threshold is fitted on a sample. Everything on the rows is SQL functions. Windows found twice are
+trusted; they are combined before the shuffle, to one row per bucket and task. The
+threshold is chosen over all labels in the same way, one row per bin and task. Everything on the rows is SQL functions. Windows found twice are
 detected inside the row by sorting their hashes, in n log n for a text of n
 words; texts whose window hashes are all distinct skip the sort.
 
@@ -33,7 +33,7 @@ from furrow.session import checkpointed
 LEAST_WORDS = 50
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
-SAMPLE = 20_000  # labelled ids the threshold is fitted on
+SAMPLE = 20_000  # labelled ids of ``bounded_sample``
 BIN = 0.01  # width of a score bin when the threshold is chosen
 SPACE = r"[\\x20\\x09-\\x0D]"
 
@@ -118,12 +118,13 @@ def with_scores(docs: DataFrame, ratios: DataFrame, id_col: str, text_col: str)
     return scored.select("doc_id", *COUNTS, F.round(F.col("_sum") / F.greatest(F.col("_n"), F.lit(1)), 6).alias("score"))
 
 
-def threshold(scored: DataFrame, sample: DataFrame) -> float:
-    """The bin edge that separates the labels of a bounded sample best; minus
-    infinity where one label is missing."""
+def threshold(scored: DataFrame, labels: DataFrame) -> float:
+    """The bin edge that separates the labels best (``doc_id, label``, every id once, any
+    number of them); minus infinity where one label is missing."""
     bins = (
         scored.where(~F.col("base_failed"))
-        .join(F.broadcast(sample), "doc_id")
+        .select("doc_id", "score")
+        .join(labels.hint("merge"), "doc_id")
         .groupBy(F.floor(F.col("score") / BIN).alias("bin"))
         .agg(F.sum((F.col("label") == 1).cast("long")).alias("good"), F.sum((F.col("label") != 1).cast("long")).alias("bad"))
         .orderBy("bin")
@@ -155,9 +156,9 @@ def bounded_sample(labels: DataFrame, limit: int = SAMPLE, id_col: str = "doc_id
 def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, base counts, ``base_failed``, ``score`` and ``kept`` per row."""
     spark = docs.sparkSession
-    sample = checkpointed(bounded_sample(labels), spark, "rules-sample")
-    ratios = log_ratios(docs, distinct_labels(labels).where("label = 1"), id_col, text_col)
+    known = checkpointed(distinct_labels(labels), spark, "rules-labels")
+    ratios = log_ratios(docs, known.where("label = 1"), id_col, text_col)
     scored = checkpointed(with_scores(docs, ratios, id_col, text_col), spark, "rules-scores")
-    edge = threshold(scored, sample)
+    edge = threshold(scored, known)
     kept = ~F.col("base_failed") & (F.col("score") >= F.lit(edge))
     return scored.withColumn("kept", kept)

@@ -89,3 +89,11 @@ def test_the_main_path_runs_no_python(docs, labels):
     ratios = rules.log_ratios(docs, rules.bounded_sample(labels).where("label = 1"), "doc_id", "text")
     plan = rules.with_scores(docs, ratios, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
+def test_the_threshold_is_fitted_on_every_label(docs, labels, monkeypatch):
+    """Verdicts do not change with the size of a sample."""
+    kept = lambda: sorted((r.doc_id, r.kept) for r in rules.verdicts(docs, labels).collect())
+    want, none = kept(), rules.bounded_sample(labels, 0)
+    monkeypatch.setattr(rules, "bounded_sample", lambda labels: none)
+    assert kept() == want
