@@ -21,6 +21,7 @@ from furrow.session import ship_package
 
 SPLIT_BYTES = 32 << 20
 AHEAD_BYTES = 1 << 20
+FIRST_AHEAD = 1 << 14  # read first past the end of a range, where its last feature ends; then twice as much each time
 _HEAD = re.compile(rb'"features"\s*:\s*\[')
 _GAP = re.compile(r"[\s,]*")
 _decode = json.JSONDecoder().raw_decode
@@ -57,12 +58,13 @@ def features_in(handle, size: int, start: int, end: int) -> Iterator[str]:
         window.raw, start = window.raw[cut:], start + cut
     text, at, synced = window.text(), 0, False
     done = 0  # characters of the text whose bytes are counted in ``start``
+    ahead = FIRST_AHEAD
     while True:
         at = _GAP.match(text, at).end() if synced else text.find("{", at)
         if at < 0 or (not synced and start + len(text[done:at].encode()) >= end):
             return
         if at >= len(text):
-            if not window.grow(AHEAD_BYTES):
+            if window.end >= end or not window.grow(AHEAD_BYTES):  # what follows begins past the range
                 return
             text = window.text()
             continue
@@ -73,8 +75,9 @@ def features_in(handle, size: int, start: int, end: int) -> Iterator[str]:
             found, stop = _decode(text, at)
         except json.JSONDecodeError as e:
             # An object that the text ends in may go on in the next bytes.
-            if (synced or e.pos >= len(text) - 8 or e.msg.startswith("Unterminated")) and window.grow(max(AHEAD_BYTES, len(window.raw))):
-                text = window.text()
+            if (synced or e.pos >= len(text) - 8 or e.msg.startswith("Unterminated")) and window.grow(ahead):
+                window.raw = window.raw[start - (window.end - len(window.raw)) :]  # features already read are let go
+                text, at, done, ahead = window.text(), 0, 0, ahead * 2
                 continue
             if synced:
                 raise ValueError(f"broken feature at byte {start}: {e.msg}") from None

@@ -220,3 +220,26 @@ def test_samples_take_one_exchange(spark, sf_dir):
     for n, sample in ((20, few), (1500, many)):
         assert {r.crop_type: r["count"] for r in sample.groupBy("crop_type").count().collect()} == {k: min(n, v) for k, v in per_class.items()}
     assert {r.field_id for r in few.collect()} <= {r.field_id for r in many.collect()}
+
+
+def test_a_range_reads_little_past_its_end():
+    """A small range of a large collection does not fetch a megabyte to finish one feature."""
+    import io
+
+    from furrow.sources import collections
+
+    one = '{"type":"Feature","geometry":null,"properties":{"n":"é{\\"%06d"}}'
+    data = ('{"type":"FeatureCollection","features":[' + ",\n".join(one % i for i in range(20_000)) + "]}").encode()
+
+    class Handle(io.BytesIO):
+        total = 0
+
+        def read_at(self, n, at):
+            self.total += n
+            return data[at : at + n]
+
+    for split in (1000, 65_536):
+        handle = Handle()
+        got = [f for at in range(0, len(data), split) for f in collections.features_in(handle, len(data), at, min(at + split, len(data)))]
+        assert got == [one % i for i in range(20_000)]
+        assert handle.total <= len(data) * (1 + 2 * collections.FIRST_AHEAD / split)
