@@ -1,7 +1,7 @@
 """Language by segmentation-marginalised unigram models.
 
-Every language has one probability per piece of a fixed public vocabulary (the
-pieces of a published tokenizer up to ``LONGEST`` bytes, plus all single bytes, so
+Every language has one probability per piece of a fixed public vocabulary (all
+pieces of a published tokenizer, whatever their length, plus all single bytes, so
 that any text can be segmented). The probability of a word, with the space before
 it, is the sum over all its segmentations of the product of its pieces'
 probabilities, found by a forward pass over its bytes; a text's is the product
@@ -9,9 +9,11 @@ over its words. Piece probabilities come from expectation maximisation over the
 same sum, on a bounded sample of training rows per language (``SAMPLE`` rows,
 those with the smallest hashed ids; whole texts).
 
-Words are scored once per distinct word and chunk of texts. A word of more than
-``WORD_BYTES`` bytes is taken as several words of that length, so that its
-probability stays within range; no byte is left out.
+Words are scored once per distinct word and chunk of texts, and may have any
+length. One of more than ``WORD_BYTES`` bytes is taken in stretches between places
+that no piece found in it covers: every segmentation cuts there, so the sum over
+the word is the product of the sums over its stretches. Sums too small for a
+double are taken again in logarithms.
 
 The score is the share of the best language in the sum over languages. ``und``
 with score 0 stands for a text that is null or has no letter, and for every text
@@ -21,6 +23,7 @@ Rows are kept one for one; ties go to the language that sorts first.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,8 +35,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from furrow.llm import words
 from furrow.session import ship_package
 
-LONGEST = 6  # bytes of a piece
-WORD_BYTES = 48
+WORD_BYTES = 48  # longer words are taken in stretches, where that is the same sum
+CELLS = 1 << 18  # bytes of words walked through at once
+TINY = 1e-200  # sums below are taken in logarithms: what a double lost on the way is no part of larger ones
 SAMPLE = 400  # training rows per language
 LANGUAGES = 256  # more labels than this are refused
 ROUNDS = 4
@@ -59,90 +63,165 @@ def read_pieces(path: str) -> list[bytes]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)):
             piece = model.id_to_piece(i).replace("▁", " ").encode()
-            if 0 < len(piece) <= LONGEST:
+            if piece:
                 found.add(piece)
     return sorted(found, key=lambda p: (len(p), p))
 
 
 @dataclass
 class Vocabulary:
-    """For each piece length, the sorted packed pieces and the id of the first."""
+    """A tree of the pieces' beginnings: for each one that goes on, the next by the class of the next byte."""
 
-    keys: list[np.ndarray]
-    firsts: list[int]
+    classes: np.ndarray  # of each byte; 0 goes nowhere
+    inner: int  # beginnings that go on; they come first
+    steps: np.ndarray  # (beginning, class, next beginning)
+    piece: np.ndarray  # id of each beginning that is a piece, else -1
+    lengths: np.ndarray  # bytes of each piece
     size: int
+    longest: int
 
     @classmethod
     def of(cls, pieces: list[bytes]) -> Vocabulary:
-        keys, firsts = [], []
-        for n in range(1, LONGEST + 1):
-            mine = [p for p in pieces if len(p) == n]
-            firsts.append(sum(len(k) for k in keys))
-            keys.append(np.array([int.from_bytes(p, "big") for p in mine], np.uint64))
-        return cls(keys, firsts, len(pieces))
-
-    def ids(self, packed: np.ndarray, n: int) -> np.ndarray:
-        """Id of each packed piece of ``n`` bytes; ``size`` where there is none."""
-        keys = self.keys[n - 1]
-        if not len(keys):
-            return np.full(len(packed), self.size)
-        at = np.minimum(np.searchsorted(keys, packed), len(keys) - 1)
-        return np.where(keys[at] == packed, at + self.firsts[n - 1], self.size)
+        inner = sorted({p[:n] for p in pieces for n in range(len(p))}, key=lambda p: (len(p), p))
+        goes_on = set(inner)
+        number = {p: i for i, p in enumerate([*inner, *(p for p in pieces if p not in goes_on)])}
+        used = sorted({b for p in pieces for b in p})
+        classes = np.zeros(256, np.intp)
+        classes[used] = np.arange(1, len(used) + 1)
+        steps = np.array([(number[p[:-1]], classes[p[-1]], i) for p, i in number.items() if p], np.int32).reshape(-1, 3)
+        piece = np.full(max(len(number), 1), -1, np.int32)
+        piece[[number[p] for p in pieces]] = np.arange(len(pieces))
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        return cls(classes, max(len(inner), 1), steps, piece, lengths, len(pieces), int(lengths.max(initial=1)))
+
+    @functools.cached_property
+    def table(self) -> np.ndarray:
+        """[beginnings that go on, classes]; 0 where there is no next one."""
+        table = np.zeros((self.inner, int(self.classes.max()) + 1), np.int32)
+        table[self.steps[:, 0], self.steps[:, 1]] = self.steps[:, 2]
+        return table
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}  # every process spreads it out for itself
 
 
 # --- the sum over segmentations --------------------------------------------------------
 
 
-def _steps(block: np.ndarray, vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(end, piece length, ids) of all pieces in equally long words ``block[n, length]``."""
-    length = block.shape[1]
-    wide = block.astype(np.uint64)
-    for end in range(1, length + 1):
-        packed = np.zeros(len(block), np.uint64)
-        for n in range(1, min(end, LONGEST) + 1):
-            packed = packed | (wide[:, end - n] << np.uint64(8 * (n - 1)))
-            yield end, n, vocabulary.ids(packed, n)
-
-
-def forward(block: np.ndarray, vocabulary: Vocabulary, probs: np.ndarray) -> np.ndarray:
-    """Probability of each word under each model; ``probs[size + 1, models]``, last row zero."""
-    alpha = np.zeros((block.shape[1] + 1, len(block), probs.shape[1]))
-    alpha[0] = 1
-    for end, n, ids in _steps(block, vocabulary):
-        hit = np.flatnonzero(ids < vocabulary.size)
-        if len(hit) == len(ids):
-            alpha[end] += alpha[end - n] * probs[ids]
-        elif len(hit):
-            alpha[end, hit] += alpha[end - n, hit] * probs[ids[hit]]
-    return alpha[-1]
+def _walk(codes: np.ndarray, at: np.ndarray, stride: int, vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per piece length from 1: (places, ids) of the pieces that begin at ``at``, in its order.
+
+    The next byte of a piece lies ``stride`` further; class 0 ends all of them."""
+    width, table = vocabulary.table.shape[1], vocabulary.table.ravel()
+    node, ahead = np.zeros(len(at), np.intp), at
+    while len(at):
+        node = table[node * width + codes[ahead]]
+        live = np.flatnonzero(node)
+        node, at, ahead = node[live], at[live], ahead[live] + stride
+        ids = vocabulary.piece[node]
+        hit = np.flatnonzero(ids >= 0)
+        yield at[hit], ids[hit]
+        more = np.flatnonzero(node < vocabulary.inner)
+        node, at, ahead = node[more].astype(np.intp), at[more], ahead[more]
+
+
+def _found(block: np.ndarray, vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, piece length, word numbers, ids) of the pieces in equally long words ``block[n, length]``, by start."""
+    n, length = block.shape
+    codes = np.zeros((length + 1, n), np.intp)
+    codes[:-1] = vocabulary.classes[block.T]
+    codes, step = codes.ravel(), max(1, CELLS // max(n, 1))
+    for low in range(0, length, step):
+        high = min(low + step, length)
+        levels = []
+        for at, ids in _walk(codes, np.arange(low * n, high * n), n, vocabulary):
+            levels.append((at, ids, np.searchsorted(at, np.arange(low, high + 1) * n).tolist()))
+        for start in range(low, high):
+            for k, (at, ids, cut) in enumerate(levels):
+                a, b = cut[start - low], cut[start - low + 1]
+                if a < b:
+                    yield start, k + 1, at[a:b] - start * n, ids[a:b]
+
+
+def forward(block: np.ndarray, vocabulary: Vocabulary, probs: np.ndarray, logs: bool = False) -> np.ndarray:
+    """Probability of each word under each model; ``probs[size + 1, models]``. Logarithms of both with ``logs``."""
+    ring = min(block.shape[1], vocabulary.longest) + 1  # no piece reaches further
+    alpha = np.full((ring, len(block), probs.shape[1]), -np.inf if logs else 0.0)
+    alpha[0], done = 0.0 if logs else 1.0, 0
+    for start, n, mine, ids in _found(block, vocabulary):
+        if start != done:
+            alpha[done % ring], done = -np.inf if logs else 0.0, start
+        here, there = alpha[start % ring], alpha[(start + n) % ring]
+        whole = len(mine) == len(block)
+        value = here if whole else here[mine]
+        value = value + probs[ids] if logs else value * probs[ids]
+        if whole:
+            np.logaddexp(there, value, out=there) if logs else np.add(there, value, out=there)
+        else:
+            there[mine] = np.logaddexp(there[mine], value) if logs else there[mine] + value
+    return alpha[block.shape[1] % ring]
+
+
+def log_forward(block: np.ndarray, vocabulary: Vocabulary, probs: np.ndarray, log_probs: np.ndarray) -> np.ndarray:
+    """Log probability of each word under each model."""
+    if block.shape[1] > 2 * WORD_BYTES:
+        return forward(block, vocabulary, log_probs, True)
+    got = forward(block, vocabulary, probs)
+    small = np.flatnonzero((got < TINY).any(axis=1))
+    out = np.log(np.maximum(got, TINY))
+    if len(small):
+        out[small] = forward(block[small], vocabulary, log_probs, True)
+    return out
 
 
 def expected(block: np.ndarray, weight: np.ndarray, vocabulary: Vocabulary, probs: np.ndarray) -> np.ndarray:
     """Expected piece counts of weighted words under one model ``probs[size + 1]``."""
-    length = block.shape[1]
-    steps = list(_steps(block, vocabulary))
-    alpha, beta = np.zeros((length + 1, len(block))), np.zeros((length + 1, len(block)))
-    alpha[0], beta[length] = 1, 1
-    for end, n, ids in steps:
-        alpha[end] += alpha[end - n] * probs[ids]
-    for end, n, ids in reversed(steps):
-        beta[end - n] += beta[end] * probs[ids]
-    scale = weight / np.maximum(alpha[length], 1e-300)
-    total = np.zeros(vocabulary.size + 1)
-    for end, n, ids in steps:
-        total += np.bincount(ids, alpha[end - n] * probs[ids] * beta[end] * scale, vocabulary.size + 1)
-    return total[:-1]
-
-
-def _pieces_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cut ranges longer than ``WORD_BYTES``; the third value is the range each part came from."""
-    parts = (ends - starts + WORD_BYTES - 1) // WORD_BYTES
-    if (parts == 1).all():
-        return starts, ends, np.arange(len(starts))
-    owner = np.repeat(np.arange(len(starts)), parts)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = starts[owner] + step * WORD_BYTES
-    return begin, np.minimum(begin + WORD_BYTES, ends[owner]), owner
+    length, p = block.shape[1], _logs(probs)
+    found = list(_found(block, vocabulary))
+    alpha, beta = np.full((2, length + 1, len(block)), -np.inf)
+    alpha[0], beta[length] = 0, 0
+    for start, n, mine, ids in found:
+        alpha[start + n, mine] = np.logaddexp(alpha[start + n, mine], alpha[start, mine] + p[ids])
+    total = np.zeros(vocabulary.size)
+    for start, n, mine, ids in reversed(found):
+        after = beta[start + n, mine] + p[ids]
+        beta[start, mine] = np.logaddexp(beta[start, mine], after)
+        np.add.at(total, ids, np.exp(alpha[start, mine] + after - alpha[length, mine]) * weight[mine])
+    return total
+
+
+def _logs(probs: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(probs)
+
+
+def _stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cut words longer than ``WORD_BYTES`` where no piece in them covers both neighbours; the third value is the word of each stretch."""
+    long = np.flatnonzero(ends - starts > WORD_BYTES)
+    every = np.arange(len(starts))
+    if not len(long):
+        return starts, ends, every
+    begins, owners = [np.delete(starts, long)], [np.delete(every, long)]
+    for some in np.split(long, np.flatnonzero(np.diff((ends - starts)[long].cumsum() // CELLS)) + 1):
+        size = ends[some] - starts[some] + 2  # the space before, and an end that no piece passes
+        base = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(some)), size)
+        place = np.arange(size.sum()) - base[owner]
+        codes = vocabulary.classes[data[np.clip(starts[some][owner] + place - 1, 0, len(data) - 1)]]
+        codes[base], codes[base + size - 1] = vocabulary.classes[32], 0
+        reach = np.arange(len(codes)) + 1
+        for first in range(0, len(codes), CELLS):
+            for n, (at, _) in enumerate(_walk(codes, np.arange(first, min(first + CELLS, len(codes))), 1, vocabulary), 1):
+                reach[at] = at + n
+        reach = np.maximum.accumulate(reach)
+        cut = np.flatnonzero((reach[:-1] <= np.arange(1, len(codes))) & (place[1:] > 1) & (place[1:] < size[owner[1:]] - 1)) + 1
+        begins.append(np.concatenate([starts[some], starts[some][owner[cut]] + place[cut] - 1]))
+        owners.append(some[np.concatenate([np.arange(len(some)), owner[cut]])])
+    begin, owner = np.concatenate(begins), np.concatenate(owners)
+    order = np.argsort(begin, kind="stable")
+    begin, owner = begin[order], owner[order]
+    last = np.append(owner[1:] != owner[:-1], True)
+    return begin, np.where(last, ends[owner], np.append(begin[1:], 0)), owner
 
 
 def by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, rows: int = 16_384):
@@ -151,9 +230,10 @@ def by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     order = np.argsort(length, kind="stable")
     cut = np.flatnonzero(np.diff(length[order])) + 1
     for group in np.split(order, cut):
-        for at in range(0, len(group), rows):
-            part = group[at : at + rows]
-            n = int(length[part[0]])
+        n = int(length[group[0]]) if len(group) else 0
+        step = max(1, min(rows, CELLS // max(n, 1)))
+        for at in range(0, len(group), step):
+            part = group[at : at + step]
             places = starts[part, None] - first[part, None] + np.arange(n)
             block = data[np.maximum(places, 0)]
             block[first[part].astype(bool), 0] = 32
@@ -167,13 +247,13 @@ def log_probabilities(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabul
     starts, ends, doc = words.spans(data, offsets)
     if not len(starts):
         return out
-    begin, end, owner = _pieces_of(starts, ends)
+    begin, end, owner = _stretches(data, starts, ends, vocabulary)
     first = (begin == starts[owner]).astype(np.int64)
     h = words.hashes(data, begin, end) ^ (first.astype(np.uint64) << np.uint64(63))
     _, shown, place = np.unique(h, return_index=True, return_inverse=True)
-    logs = np.empty((len(shown), models))
+    logs, log_probs = np.empty((len(shown), models)), _logs(probs)
     for part, block in by_length(data, begin[shown], end[shown], first[shown]):
-        logs[part] = np.log(np.maximum(forward(block, vocabulary, probs), 1e-300))
+        logs[part] = log_forward(block, vocabulary, probs, log_probs)
     for m in range(models):
         out[:, m] = np.bincount(doc[owner], logs[place, m], n)
     return out
@@ -199,12 +279,12 @@ def fit_texts(texts: dict[str, list[bytes]], pieces: list[bytes]) -> Model:
         if not len(starts):
             probs[:-1, m] = 1 / vocabulary.size
             continue
-        begin, end, owner = _pieces_of(starts, ends)
+        begin, end, owner = _stretches(data, starts, ends, vocabulary)
         first = (begin == starts[owner]).astype(np.int64)
         h = words.hashes(data, begin, end) ^ (first.astype(np.uint64) << np.uint64(63))
         _, shown, count = np.unique(h, return_index=True, return_counts=True)
         blocks = list(by_length(data, begin[shown], end[shown], first[shown], 4096))
-        p = np.append(np.concatenate([np.full(len(k), 10.0 ** (-2 - i / 2)) for i, k in enumerate(vocabulary.keys)]), 0.0)
+        p = np.append(10.0 ** (-1.5 - vocabulary.lengths / 2), 0.0)
         p /= p.sum()
         for _ in range(ROUNDS):
             total = np.full(vocabulary.size, FLOOR)

@@ -92,3 +92,50 @@ def test_held_out_rows_do_not_matter(docs):
 def test_letters():
     assert langid.has_letter(b"1a") and langid.has_letter("é".encode()) and langid.has_letter("東".encode())
     assert not langid.has_letter(b"") and not langid.has_letter(b"12 .,") and not langid.has_letter("€ ½\U0001f600".encode())
+
+
+def summed(word, pieces, p):
+    """Log of the sum over every way to cut the word, place by place."""
+    number = {x: i for i, x in enumerate(pieces)}
+    alpha = [0.0] + [-np.inf] * len(word)
+    for end in range(1, len(word) + 1):
+        for n in range(1, end + 1):
+            if word[end - n : end] in number:
+                alpha[end] = np.logaddexp(alpha[end], alpha[end - n] + np.log(p[number[word[end - n : end]]]))
+    return alpha[-1]
+
+
+def test_every_piece_of_the_vocabulary_is_kept():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=langid.default_vocabulary())
+    plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
+    want = {model.id_to_piece(i).replace("\u2581", " ").encode() for i in plain}
+    pieces = langid.read_pieces(langid.default_vocabulary())
+    assert want <= set(pieces) and max(map(len, pieces)) > 8
+    vocabulary = langid.Vocabulary.of(pieces)
+    for i in [*range(0, len(pieces), 997), len(pieces) - 1]:
+        found = langid._found(np.frombuffer(pieces[i], np.uint8)[None, :], vocabulary)
+        assert (0, len(pieces[i]), i) in {(start, n, int(ids[0])) for start, n, _, ids in found}
+
+
+def test_words_of_any_length_are_summed_whole(monkeypatch):
+    """Long pieces count, also where they lie across any multiple of the length at which words are taken in stretches."""
+    more = [b"the", b"he", b"straightforwardness", b" straight", b"forward", b"abab", b"ba", "\u6771\u4eac".encode()]
+    pieces = sorted([bytes([b]) for b in range(256)] + more, key=lambda x: (len(x), x))
+    rng = np.random.default_rng(5)
+    probs = np.vstack([rng.dirichlet(np.ones(len(pieces)), 2).T, np.zeros(2)])
+    texts = ["xyz" * 13 + "straightforwardness" * 4, "straightforwardness", "ab" * 150 + "the" * 40, "q" * 400, "\u6771\u4eac" * 30 + "the" * 5 + " the " + "the" * 17]
+    vocabulary = langid.Vocabulary.of(pieces)
+    want = [[sum(summed(b" " + w, pieces, probs[:, m]) for w in t.encode().split()) for m in (0, 1)] for t in texts]
+    for cells in (langid.CELLS, 7):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        got = langid.log_probabilities(*words.flat(pa.array(texts, pa.string())), vocabulary, probs)
+        assert got == pytest.approx(np.array(want), rel=1e-9)
+
+
+def test_expected_counts_of_a_very_long_word(small):
+    pieces, vocabulary, probs = small
+    word = b" the" + b"than" * 300
+    got = langid.expected(np.frombuffer(word, np.uint8)[None, :], np.array([2.0]), vocabulary, probs[:, 0])
+    assert (got * [len(p) for p in pieces]).sum() == pytest.approx(2 * len(word))
