@@ -13,7 +13,8 @@ the verdict on every document is a fixed function of its text and the counts.
 
 Counts cover all documents, those of the trusted side every document labelled
 trusted; they are combined before the shuffle, to one row per bucket and task. The
-threshold is chosen over all labels in the same way, one row per bin and task. Everything on the rows is SQL functions. Windows found twice are
+threshold is chosen over all labels in the same way, one row per bin and task. Everything on the rows is SQL functions, and
+texts are scored without a shuffle. Windows found twice are
 detected inside the row by sorting their hashes, in n log n for a text of n
 words; texts whose window hashes are all distinct skip the sort.
 
@@ -51,13 +52,14 @@ def with_words(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _repeated_words(windows: str) -> str:
     """SQL for the number of words in windows found twice or more, from an array of window hashes."""
-    marked = f"array_sort(transform({windows}, (h, i) -> struct(h as h, i as i)))"
+    # sort_array compares natively; array_sort calls a lambda per comparison.
+    marked = f"sort_array(transform({windows}, (h, i) -> struct(h as h, i as i)))"
     twice = (
         "filter(transform(s, (x, i) -> if(coalesce(get(s, i - 1).h = x.h, false) or coalesce(get(s, i + 1).h = x.h, false), x.i, -1)), p -> p >= 0)"
     )
     covered = "aggregate(transform(p, (x, i) -> least(3, coalesce(get(p, i + 1) - x, 3))), 0, (a, x) -> a + x)"
     named = lambda value, name, body: f"get(transform(array({value}), {name} -> {body}), 0)"
-    return f"if(size(array_distinct({windows})) = size({windows}), 0, {named(marked, 's', named(f'array_sort({twice})', 'p', covered))})"
+    return f"if(size(array_distinct({windows})) = size({windows}), 0, {named(marked, 's', named(f'sort_array({twice})', 'p', covered))})"
 
 
 def with_counts(rows: DataFrame) -> DataFrame:
@@ -90,10 +92,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str)
     """``bucket, ratio``: at most ``BUCKETS`` rows. ``trusted`` has every trusted id once, and may be large."""
     slim = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_raw"))
     # Trusted ids grow with the corpus: merged at every size, so that the texts move once whatever Spark expects of them.
-    chosen = slim.join(trusted.select(F.col("doc_id").alias("_id")).hint("merge"), "_id")
-    count = lambda rows, name: with_words(rows, "_raw").select(F.explode(ngram_buckets()).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
-    both = count(slim, "raw").join(count(chosen, "target"), "bucket", "left")
-    counts = both.select("bucket", "raw", F.coalesce("target", F.lit(0)).alias("target")).collect()  # one row per bucket
+    marked = slim.join(trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_trusted")).hint("merge"), "_id", "left")
+    grams = with_words(marked, "_raw").select("_trusted", F.explode(ngram_buckets()).alias("bucket"))
+    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")).collect()  # one row per bucket
     raw, target = sum(r["raw"] for r in counts), sum(r["target"] for r in counts)
     base = math.log((raw + SMOOTHING * BUCKETS) / (target + SMOOTHING * BUCKETS))
     rows = [Row(bucket=r["bucket"], ratio=base + math.log((r["target"] + SMOOTHING) / (r["raw"] + SMOOTHING)) if target else 0.0) for r in counts]
@@ -106,16 +107,16 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def with_scores(docs: DataFrame, ratios: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, the base counts and ``score`` per row.
 
-    The ratios are a table of fixed size, so their join needs no shuffle, and the
-    n-grams of a row lie in one task, so all but one sum per row is done there.
+    The ratios, at most ``BUCKETS`` rows, become one constant array by bucket, so that
+    a row's n-grams are looked up and summed inside the row, in the order of its words.
     """
-    slim = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_raw"))
-    rows = with_counts(with_words(slim, "_raw").drop("_raw"))
-    grams = rows.select("_row", "doc_id", *COUNTS, F.explode_outer(ngram_buckets()).alias("bucket"))
-    joined = grams.join(F.broadcast(ratios), "bucket", "left")
-    scored = joined.groupBy("_row", "doc_id", *COUNTS).agg(F.sum(F.coalesce("ratio", F.lit(0.0))).alias("_sum"), F.count("bucket").alias("_n"))
-    # Sums of doubles depend on their order in the last bits; six places do not.
-    return scored.select("doc_id", *COUNTS, F.round(F.col("_sum") / F.greatest(F.col("_n"), F.lit(1)), 6).alias("score"))
+    by_bucket = {r["bucket"]: r["ratio"] for r in ratios.collect()}
+    table = F.split(F.lit(",".join(repr(by_bucket.get(b, 0.0)) for b in range(BUCKETS))), ",").cast("array<double>")
+    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_raw"))
+    rows = with_counts(with_words(slim, "_raw").drop("_raw")).select("doc_id", *COUNTS, ngram_buckets().alias("_buckets"))
+    total = F.aggregate("_buckets", F.lit(0.0), lambda a, b: a + F.get(table, b))
+    # Six places do not show in which order doubles were added.
+    return rows.select("doc_id", *COUNTS, F.round(total / F.greatest(F.size("_buckets"), F.lit(1)), 6).alias("score"))
 
 
 def threshold(scored: DataFrame, labels: DataFrame) -> float:

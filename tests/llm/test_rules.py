@@ -97,3 +97,10 @@ def test_the_threshold_is_fitted_on_every_label(docs, labels, monkeypatch):
     want, none = kept(), rules.bounded_sample(labels, 0)
     monkeypatch.setattr(rules, "bounded_sample", lambda labels: none)
     assert kept() == want
+
+
+def test_texts_are_scored_inside_their_rows(docs, labels):
+    """No n-gram becomes a row of its own, nothing is shuffled, and no sort calls a lambda per comparison."""
+    ratios = rules.log_ratios(docs, rules.distinct_labels(labels).where("label = 1"), "doc_id", "text")
+    plan = rules.with_scores(docs, ratios, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Exchange|Generate|Join|Aggregate |array_sort", plan)
