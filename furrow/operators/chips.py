@@ -354,25 +354,33 @@ def cut_windows(windows: DataFrame, blocks: Blocks, size: int, keys: Sequence[st
     ``windows`` has ``keys, scene_id, col_off, row_off, width, height`` inside the
     scene's grid and is cut from every band of its scene, or from one if it has a
     column ``band``. ``blocks`` are rasters stored in blocks of ``size``. Each window
-    names the few blocks it meets and is joined to those by key. Only the lines
-    inside the windows are shuffled on, and a group is one window.
+    names the few blocks it meets and is joined to those by key. Only the pixels
+    inside the windows are shuffled on, and a group is one window with its bands.
     """
     pieces = block_pieces(windows, blocks, size, keys)
     top, left = F.col("br") * size, F.col("bc") * size
     y0, y1 = F.greatest(F.col("row_off"), top), F.least(F.col("row_off") + F.col("height"), top + F.col("bh"))
     x0, x1 = F.greatest(F.col("col_off"), left), F.least(F.col("col_off") + F.col("width"), left + F.col("bw"))
-    # Pixels are picked one by one: a slice would unpack the whole block for every line.
-    line = F.transform(F.sequence("_at", F.col("_at") + F.col("_n") - 1), lambda i: F.get("px", i))
-    placed = pieces.select(
-        *keys, "scene_id", "band", F.col("height").alias("h"), F.col("width").alias("w"), F.col("px"), x0.alias("_x"), (x1 - x0).alias("_n"),
-        F.explode(F.sequence(y0, y1 - 1)).alias("_y"), ((top * -1) * F.col("bw") + x0 - left).alias("_first"), "bw",
-    ).withColumn("_at", F.col("_y") * F.col("bw") + F.col("_first"))
+    # One row per window and block moves on, with the pixels inside the window of all bands.
+    inside = (F.col("_y") - top) * F.col("bw") + F.col("_x") - left
+    pixel = lambda k: F.get("px", (inside + F.floor(k / F.col("_n")) * F.col("bw") + k % F.col("_n")).cast("int"))
+    placed = pieces.withColumns({"_y": y0, "_x": x0, "_n": x1 - x0, "_lines": y1 - y0})
+    cut = F.struct(
+        "band", F.col("_y").alias("y"), F.col("_x").alias("x"), F.col("_n").alias("n"), F.transform(F.sequence(F.lit(0), F.col("_n") * F.col("_lines") - 1), pixel).alias("px")
+    )
     whole = (
-        placed.select(*keys, "scene_id", "band", "h", "w", F.struct(F.col("_y").alias("y"), F.col("_x").alias("x"), line.alias("px")).alias("l"))
-        .groupBy(*keys, "scene_id", "band", "h", "w")
-        .agg(F.array_sort(F.collect_list("l")).alias("_l"))
+        placed.select(*keys, "scene_id", F.col("height").alias("h"), F.col("width").alias("w"), cut.alias("p"))
+        .groupBy(*keys, "scene_id", "h", "w")
+        .agg(F.collect_list("p").alias("_all"))
+        .withColumn("band", F.explode(F.array_distinct("_all.band")))
+        .withColumn("_p", F.filter("_all", lambda p: p["band"].eqNullSafe(F.col("band"))))
     )
-    return whole.select(*keys, "scene_id", "band", "h", "w", F.flatten(F.transform("_l", lambda v: v["px"])).alias("px"))
+    lines = lambda p: F.transform(
+        F.sequence(F.lit(0), (F.size(p["px"]) / p["n"]).cast("int") - 1),
+        lambda i: F.struct((p["y"] + i).alias("y"), p["x"].alias("x"), F.slice(p["px"], (i * p["n"] + 1).cast("int"), p["n"].cast("int")).alias("px")),
+    )
+    sorted_lines = F.sort_array(F.flatten(F.transform("_p", lines)))
+    return whole.select(*keys, "scene_id", "band", "h", "w", F.flatten(F.transform(sorted_lines, lambda v: v["px"])).alias("px"))
 
 
 def clip_tiles(tiles: DataFrame, bbox: Sequence[float]) -> DataFrame:

@@ -131,3 +131,14 @@ def test_a_reader_is_asked_for_wanted_places_only(spark, stored):
     got = {r.field_id: r.px for r in ops.cut_windows(wanted, read, 8).collect()}
     assert sorted(asked) == [("a", "B04", 0, 0), ("a", "B04", 3, 2), ("a", "B04", 4, 2), ("b", "B04", 0, 0)]
     assert got == {r.field_id: r.px for r in ops.cut_windows(wanted, rasters.read_blocks(spark, path), 8).collect()}
+
+
+def test_a_window_moves_on_once_per_block(spark, stored):
+    """Neither its lines nor its bands become rows of their own before they are shuffled."""
+    images, path = stored
+    rows = spark.createDataFrame([(1, "a", 2, 3, 18, 9)], "field_id long, scene_id string, col_off int, row_off int, width int, height int")
+    blocks = rasters.read_blocks(spark, path).where("band = 'B04'")
+    cut = ops.cut_windows(rows, blocks, 8)
+    made = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(sequence")
+    assert made(cut) == made(ops.block_pieces(rows, blocks, 8, ["field_id"]))
+    assert cut.collect()[0].px == images["a", "B04"][3:12, 2:20].ravel().tolist()
