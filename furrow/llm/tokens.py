@@ -8,7 +8,7 @@ confidence each. For every id the predictions are mixed: the weights of "order 2
 is right", "order 1 is right" and "order 0" come from counts kept per pair of
 confidences, which adapt as the block goes on. Where neither prediction holds,
 the id is coded with order-0 frequencies, which the file stores once and every
-block starts from. One range coder codes both choices.
+block starts from. One range coder codes both choices, one after the other.
 
 All blocks of a file are coded in step, one numpy lane per block, so a step costs
 the same for a thousand ids as for one.
@@ -16,7 +16,7 @@ the same for a thousand ids as for one.
 Layout (little-endian): magic, then the header's length and checksum, then the
 header: counts, document ids and lengths, ids present and their frequencies, and
 for each block its number of ids, checksum and number of bytes; then the bytes of
-all blocks.
+all blocks, in words of 16 bits.
 
 Null texts are empty. Null document ids come first and are kept. Ties keep one
 entry each. An empty table gives no files and no rows.
@@ -32,6 +32,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from furrow.llm import files, words
@@ -41,140 +42,171 @@ END_ID = 2
 BLOCK_IDS = 1024  # ids of a block
 FILE_IDS = 1 << 23  # a file is closed after the document that reaches this; a numpy step serves all its blocks
 SLOTS = 10  # log2 of the table entries per block and order
-CHUNK_BYTES = 2 << 20  # texts encoded together
-CONFIDENT = 3
-GAIN, LIMIT = 24, 1 << 14  # growth of a mixing count, and where counts are halved
-SCALE = 1 << 20  # sum of the order-0 frequencies
+CHUNK_BYTES = 4 << 20  # texts encoded together
+SURE = 4  # where the confidence of a prediction stops growing
+GAIN, LIMIT = 24, 1 << 12  # growth of a mixing count, and the most that counts of a state add up to
+SCALE_BITS = 20
+SCALE = 1 << SCALE_BITS  # sum of the order-0 frequencies
 
-MAGIC = b"FTOK0001"
+MAGIC = b"FTOK0002"
 NO_ID = np.iinfo(np.int64).min
 
-# State of the coder: 64 bits, one byte leaves at a time, so that an interval can
-# be cut into the product of both choices' sums at once.
-_TOP, _LOW = np.uint64(1 << 56), np.uint64(1 << 48)
-_SHIFT, _HIGH, _ONE = np.uint64(8), np.uint64(56), np.uint64(1)
-_FULL = np.uint64((1 << 64) - 1)
+# State of the coder: 48 bits, of which 16 leave at a time. Its interval holds at
+# least 2**32, so both choices can be coded before bits leave: 12 bits go to the
+# mixing counts and 20 to order 0.
+_WINDOW, _LEAST, _WORD, _KEPT = 1 << 48, 1 << 32, 16, (1 << 32) - 1
+
+# The three mixing counts of a state stand in one integer, 16 bits each; times
+# _SUMS they become their running sums.
+_FIELD, _ONES = 0xFFFF, 1 | 1 << 16 | 1 << 32
+_SUMS, _HALF = _ONES, 0x7FFF * _ONES
 
 
 # --- model -----------------------------------------------------------------------------
 
 
 class Mixer:
-    """The adaptive state of one block per lane. Both orders are kept in one
-    array, order 1 first. A table entry is (id + 1) * 4 + confidence, or 0."""
+    """The adaptive state of one block per lane, on ranks of ids among those of the
+    file. Both orders are kept in one array, order 1 first. A table entry is
+    (rank + 1) * 8 + how sure it is, from 1 to ``SURE``, or 0."""
 
     def __init__(self, lanes: int):
         self.table = np.zeros(2 * lanes << SLOTS, np.int32)
-        self.weights = np.tile(np.array([64, 32, 32]), lanes * 25)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.weights = np.full(lanes * 25, 64 | 32 << 16 | 32 << 32)
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         rows = np.arange(lanes)
-        self.base, self.states = np.stack((rows, rows + lanes)) << SLOTS, rows * 75
+        self.base, self.states = np.stack((rows, rows + lanes)) << SLOTS, (rows * 25).astype(np.int32)
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
-        """For the first ``n`` lanes and both orders: places, predicted ids plus one
-        and how sure they are (0: no prediction); per lane the three mixing counts."""
-        last, before = self.last[:n] * 40503, self.before[:n] * 69069
-        place = np.stack((last >> 3, (last + before) * 2654435761 >> 11))
-        place &= (1 << SLOTS) - 1
+        """For the first ``n`` lanes and both orders: places, entries and how sure they
+        are (0: no prediction); per lane the mixing state and its counts."""
+        last = self.last[:n]
+        place = np.empty((2, n), np.int64)
+        np.right_shift(last * np.uint32(2654435761), 32 - SLOTS, out=place[0], casting="unsafe")
+        np.right_shift(last * np.uint32(2246822519) + self.before[:n], 32 - SLOTS, out=place[1], casting="unsafe")
         place += self.base[:, :n]
         held = self.table.take(place)
-        guess = held >> 2
-        sure = (held & 3) + (held > 0)
-        state = self.states[:n] + (sure[1] * 15 + sure[0] * 3)
-        return place, guess, sure, state, self.weights.take(state), self.weights.take(state + 1), self.weights.take(state + 2)
-
-    def learn(self, ids, place, guess, sure, state, hit, outcome, total) -> None:
-        n = len(ids)
-        kept = np.where(hit, np.minimum(sure, CONFIDENT), np.maximum(sure - 2, 0))
-        stays = hit | (sure > 1)
-        self.table[place] = np.where(stays, guess, (ids + 1)[None, :]) * 4 + kept
-        self.weights[state + outcome] += GAIN
+        sure = held & 7
+        state = sure[1] * 5
+        state += sure[0]
+        state += self.states[:n]
+        return place, held, sure, state, self.weights.take(state)
+
+    def learn(self, number: np.ndarray, place, held, sure, state, weights, hit, shift, total) -> None:
+        """``number``: rank + 1 of the id that came; ``shift``: 16 times the choice that was right."""
+        n = len(number)
+        fresh = np.broadcast_to((number << 3) | 1, held.shape)
+        np.copyto(held, fresh, where=(sure < 2) > hit)
+        held += (sure < SURE) & hit
+        held -= (sure > 1) > hit
+        self.table[place] = held
+        weights += GAIN << shift
         large = np.flatnonzero(total > LIMIT - GAIN)
-        for k in range(3 if len(large) else 0):
-            self.weights[state[large] + k] = (self.weights[state[large] + k] >> 1) + 1
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+        if len(large):
+            weights[large] = ((weights[large] >> 1) & _HALF) + _ONES
+        self.weights[state] = weights
+        last = self.last[:n]
+        np.multiply(last, np.uint32(3266489917), out=self.before[:n])
+        last[:] = number
 
 
 # --- range coder -----------------------------------------------------------------------
 
 
-def _moves(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Lanes whose top byte leaves now; ``span`` of those that straddle a byte for too long is cut first."""
-    settled = (low ^ (low + span)) < _TOP
-    short = np.flatnonzero(~settled & (span < _LOW))
-    if len(short):
-        span[short] = (~low[short] + _ONE) & (_LOW - _ONE)
-        settled[short] = True
-    return np.flatnonzero(settled)
-
-
 class Encoder:
     def __init__(self, lanes: int, most: int):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, _FULL)
+        self.low = np.zeros(lanes, np.int64)
+        self.range = np.full(lanes, _WINDOW - 1)
         # One row per place and one column per lane: lanes are at about the same place.
-        self.out = np.zeros((7 * most + 16) * lanes, np.uint8)
+        self.out = np.zeros((2 * most + 4) * lanes, np.uint16)
         self.at = np.arange(lanes)
 
-    def put(self, n: int, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        """Code one interval in each of the first ``n`` lanes."""
+    def put(self, n: int, first: tuple[np.ndarray, ...], second: tuple[np.ndarray, ...]) -> None:
+        """Code two choices in each of the first ``n`` lanes: (start, size, total), and (start, size) of ``SCALE``."""
         low, span = self.low[:n], self.range[:n]
-        span //= total.astype(np.uint64)
-        low += span * start.astype(np.uint64)
-        span *= size.astype(np.uint64)
-        lanes, move = len(self.at), _moves(low, span)
-        while len(move):  # lanes that sent a byte may have to send another
-            top, place = low.take(move), self.at.take(move)
-            self.out[place] = top >> _HIGH
-            self.at[move] = place + lanes
-            top <<= _SHIFT
-            rest = span.take(move) << _SHIFT
-            more = _moves(top, rest)
-            low[move], span[move] = top, rest
-            move = move.take(more)
+        start, size, total = first
+        unit = span // total
+        start *= unit
+        low += start
+        np.multiply(unit, size, out=unit)
+        unit >>= SCALE_BITS
+        start, size = second
+        start *= unit
+        low += start
+        np.multiply(unit, size, out=span)
+        self._carry(np.flatnonzero(low >= _WINDOW))
+        move = np.flatnonzero(span < _LEAST)
+        while len(move):
+            self._send(move)
+            move = move[span.take(move) < _LEAST]
+
+    def _carry(self, lanes: np.ndarray) -> None:
+        """Add one to what was sent by lanes whose ``low`` has run over."""
+        self.low[lanes] -= _WINDOW
+        place = self.at.take(lanes)
+        while len(place):
+            place = place - len(self.at)
+            word = self.out.take(place) + np.uint16(1)
+            self.out[place] = word
+            place = place[word == 0]
+
+    def _send(self, lanes: np.ndarray) -> None:
+        low, place = self.low.take(lanes), self.at.take(lanes)
+        self.out[place] = low >> 32
+        self.at[lanes] = place + len(self.at)
+        self.low[lanes] = (low & _KEPT) << _WORD
+        self.range[lanes] = self.range.take(lanes) << _WORD
 
     def finish(self) -> list[np.ndarray]:
-        """The bytes of each lane."""
-        lanes = len(self.low)
-        for _ in range(8):
-            self.out[self.at] = self.low >> _HIGH
-            self.at += lanes
-            self.low <<= _SHIFT
+        """The words of each lane. Two more settle the last id, whatever follows them."""
+        lanes, every = len(self.low), np.arange(len(self.low))
+        self.low += (1 << _WORD) - 1
+        self._carry(np.flatnonzero(self.low >= _WINDOW))
+        for _ in range(2):
+            self._send(every)
         used = self.at // lanes
         lines = np.ascontiguousarray(self.out.reshape(-1, lanes)[: int(used.max())].T)
         return [lines[i, :n] for i, n in enumerate(used.tolist())]
 
 
 class Decoder:
+    """``code`` is how far the sent value lies above the interval's lower end."""
+
     def __init__(self, data: np.ndarray, starts: np.ndarray):
-        self.data = np.concatenate((data, np.zeros(16, np.uint8)))
-        self.at = starts.copy()
+        self.data = np.concatenate((data, np.zeros(8, np.uint16))).astype(np.uint16)
         lanes = len(starts)
-        self.low, self.range, self.code = np.zeros(lanes, np.uint64), np.full(lanes, _FULL), np.zeros(lanes, np.uint64)
-        for _ in range(8):
-            self.code = (self.code << _SHIFT) | self.data[self.at]
+        self.at, self.range, self.code = starts.copy(), np.full(lanes, _WINDOW - 1), np.zeros(lanes, np.int64)
+        for _ in range(3):
+            self.code = (self.code << _WORD) | self.data.take(self.at, mode="clip")
             self.at += 1
 
-    def look(self, n: int, total: np.ndarray) -> np.ndarray:
-        """Where in 0 .. total-1 the next symbol of each of the first ``n`` lanes lies."""
-        self.range[:n] //= total.astype(np.uint64)
-        spot = (self.code[:n] - self.low[:n]) // self.range[:n]
-        return np.minimum(spot.astype(np.int64), total - 1)
+    def choice(self, n: int, weights: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """16 times the first choice of each of the first ``n`` lanes, and where it ends up in ``SCALE``."""
+        code, span = self.code[:n], self.range[:n]
+        unit = span // ((sums >> 32) & _FIELD)
+        shift = (code >= unit * (sums & _FIELD)).astype(np.int64)
+        shift += code >= unit * ((sums >> 16) & _FIELD)
+        shift <<= 4
+        code -= unit * (((sums << 16) >> shift) & _FIELD)
+        unit *= (weights >> shift) & _FIELD
+        unit >>= SCALE_BITS
+        span[:] = unit
+        return shift, code // unit
 
     def take(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
-        low, span, code = self.low[:n], self.range[:n], self.code[:n]
-        low += span * start.astype(np.uint64)
-        span *= size.astype(np.uint64)
-        move = _moves(low, span)
+        """Go on behind the second choice."""
+        code, span = self.code[:n], self.range[:n]
+        start *= span
+        code -= start
+        span *= size
+        move = np.flatnonzero(span < _LEAST)
         while len(move):
             place = self.at.take(move)
-            code[move] = (code.take(move) << _SHIFT) | self.data.take(place, mode="clip")
+            code[move] = (code.take(move) << _WORD) | self.data.take(place, mode="clip")
             self.at[move] = place + 1
-            top, rest = low.take(move) << _SHIFT, span.take(move) << _SHIFT
-            more = _moves(top, rest)
-            low[move], span[move] = top, rest
-            move = move.take(more)
+            rest = span.take(move) << _WORD
+            span[move] = rest
+            move = move[rest < _LEAST]
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -187,65 +219,72 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
     return freq
 
 
+def _intervals(freq: np.ndarray) -> np.ndarray:
+    """Start and size of each rank in order 0, in one integer; last, all of ``SCALE`` for an id that needs no order 0."""
+    return np.append((freq.cumsum() - freq) << SCALE_BITS + 1 | freq, SCALE)
+
+
+def _parted(intervals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return intervals >> SCALE_BITS + 1, intervals & ((2 << SCALE_BITS) - 1)
+
+
 def encode_blocks(ids: np.ndarray, present: np.ndarray, freq: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bytes of each block of ``BLOCK_IDS`` ids, and the blocks' lengths."""
+    """Words of each block of ``BLOCK_IDS`` ids, and the blocks' lengths."""
     lanes = -(-len(ids) // BLOCK_IDS)
     sizes = np.full(lanes, BLOCK_IDS)
     if lanes:
         sizes[-1] = len(ids) - (lanes - 1) * BLOCK_IDS  # the short block comes last, so full lanes are a prefix
-    grid = np.zeros(lanes * BLOCK_IDS, np.int64)
+    numbers = np.zeros(lanes * BLOCK_IDS, np.int32)  # rank + 1
     if len(present) and present[-1] < 1 << 22:  # a table is faster than a search, and small
-        rank_of = np.zeros(int(present[-1]) + 1, np.int64)
-        rank_of[present] = np.arange(len(present))
-        grid[: len(ids)] = rank_of[ids]
+        number_of = np.zeros(int(present[-1]) + 1, np.int32)
+        number_of[present] = np.arange(1, len(present) + 1)
+        numbers[: len(ids)] = number_of[ids]
     else:
-        grid[: len(ids)] = np.searchsorted(present, ids)
-    ranks = grid.reshape(lanes, BLOCK_IDS)
-    start = freq.cumsum() - freq
+        numbers[: len(ids)] = np.searchsorted(present, ids) + 1
+    steps = np.ascontiguousarray(numbers.reshape(lanes, BLOCK_IDS).T)
+    intervals, whole = _intervals(freq), len(freq)
     mixer, coder = Mixer(lanes), Encoder(lanes, BLOCK_IDS)
     for t in range(int(sizes.max(initial=0))):
         n = lanes if t < sizes[-1] else lanes - 1
-        rank = ranks[:n, t]
-        now = present.take(rank)
-        place, guess, sure, state, w0, w1, w2 = mixer.predict(n)
-        hit = guess == now + 1
-        outcome = np.where(hit[1], 2, hit[0])
-        total = w0 + w1 + w2
-        # Order 0 divides the first part of the interval by its frequencies.
-        plain, first = outcome == 0, outcome == 1
-        low = np.where(plain, w0 * start.take(rank), np.where(first, w0, w0 + w1) * SCALE)
-        size = np.where(plain, w0 * freq.take(rank), np.where(first, w1, w2) * SCALE)
-        coder.put(n, low, size, total * SCALE)
-        mixer.learn(now, place, guess, sure, state, hit, outcome, total)
+        number = steps[t, :n]
+        place, held, sure, state, weights = mixer.predict(n)
+        hit = held >> 3 == number
+        right = hit.view(np.uint8)
+        shift = np.maximum(right[1] << 5, right[0] << 4).astype(np.int64)
+        sums = weights * _SUMS
+        total = (sums >> 32) & _FIELD
+        rank = np.where(shift > 0, whole, number - 1)
+        coder.put(n, (((sums << 16) >> shift) & _FIELD, (weights >> shift) & _FIELD, total), _parted(intervals.take(rank)))
+        mixer.learn(number, place, held, sure, state, weights, hit, shift, total)
     return coder.finish() if lanes else [], sizes
 
 
 def decode_blocks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, present: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
-    """The ids of blocks whose bytes begin at ``starts`` of ``data``."""
+    """The ids of blocks whose words begin at ``starts`` of ``data``."""
     order = np.argsort(-sizes, kind="stable")  # longer lanes first, so that open lanes are a prefix
-    lanes, begin = len(sizes), freq.cumsum() - freq
-    left = sizes[order]
-    grid = np.zeros((lanes, int(left.max(initial=0))), np.int64)
+    lanes, left = len(sizes), sizes[order]
+    steps = np.ones((int(left.max(initial=0)), lanes), np.int32)
     mixer, coder = Mixer(lanes), Decoder(data, starts[order])
+    intervals, whole = _intervals(freq), len(freq)
     lookup = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
-    for t in range(grid.shape[1]):
+    for t in range(len(steps)):
         n = int(np.searchsorted(-left, -t, "left"))
-        place, guess, sure, state, w0, w1, w2 = mixer.predict(n)
-        total = w0 + w1 + w2
-        spot = coder.look(n, total * SCALE)
-        outcome = (spot >= w0 * SCALE).astype(np.int64) + (spot >= (w0 + w1) * SCALE)
-        plain = outcome == 0
-        first = outcome == 1
-        rank = lookup.take(np.where(plain, spot // w0, 0))
-        low = np.where(plain, w0 * begin.take(rank), np.where(first, w0, w0 + w1) * SCALE)
-        size = np.where(plain, w0 * freq.take(rank), np.where(first, w1, w2) * SCALE)
-        coder.take(n, low, size)
-        now = np.where(plain, present.take(rank), np.where(first, guess[0], guess[1]) - 1)
-        grid[:n, t] = now
-        mixer.learn(now, place, guess, sure, state, guess == now + 1, outcome, total)
+        place, held, sure, state, weights = mixer.predict(n)
+        sums = weights * _SUMS
+        shift, spot = coder.choice(n, weights, sums)
+        rank = lookup.take(spot, mode="clip")
+        guess = held >> 3
+        number = steps[t, :n]
+        np.add(rank, 1, out=number)
+        known = np.flatnonzero(shift)
+        number[known] = guess[(shift[known] >> 4) - 1, known]
+        rank[known] = whole
+        coder.take(n, *_parted(intervals.take(rank)))
+        mixer.learn(number, place, held, sure, state, weights, guess == number, shift, (sums >> 32) & _FIELD)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
+    lines = np.ascontiguousarray(steps.T)
     for i, lane in enumerate(order.tolist()):
-        out[lane] = grid[i, : sizes[lane]]
+        out[lane] = present.take(lines[i, : sizes[lane]] - 1, mode="clip")
     return out
 
 
@@ -270,9 +309,9 @@ def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     names = np.array([NO_ID if d is None else d for d in doc_ids], "<i8")
     head = struct.pack("<QQQQ", len(names), len(ids), len(present), len(blocks))
     head += names.tobytes() + np.asarray(lengths, "<u4").tobytes() + present.astype("<u4").tobytes() + freq.astype("<u4").tobytes()
-    head += np.asarray(sizes, "<u4").tobytes() + np.array(sums, "<u4").tobytes() + np.array([len(b) for b in blocks], "<u4").tobytes()
+    head += np.asarray(sizes, "<u4").tobytes() + np.array(sums, "<u4").tobytes() + np.array([b.nbytes for b in blocks], "<u4").tobytes()
     head = zlib.compress(head, 6)
-    return MAGIC + struct.pack("<QI", len(head), zlib.crc32(head)) + head + b"".join(b.tobytes() for b in blocks)
+    return MAGIC + struct.pack("<QI", len(head), zlib.crc32(head)) + head + b"".join(b.astype("<u2").tobytes() for b in blocks)
 
 
 def unpack_header(data: bytes) -> dict:
@@ -299,10 +338,11 @@ def unpack_blocks(data: bytes, wanted: list[int] | None = None) -> tuple[dict, l
     head = unpack_header(data)
     begin = head["bytes"].cumsum() - head["bytes"]
     chosen = np.arange(len(begin)) if wanted is None else np.array(wanted, np.int64)
-    code = np.frombuffer(data, np.uint8, -1, head["blocks_at"])
-    if len(code) < int(head["bytes"].sum()):
+    held = int(head["bytes"].sum())
+    if len(data) < head["blocks_at"] + held:
         raise ValueError("token file is cut short")
-    blocks = decode_blocks(code, begin[chosen], head["sizes"][chosen], head["present"], head["freq"])
+    code = np.frombuffer(data[head["blocks_at"] : head["blocks_at"] + held], "<u2")
+    blocks = decode_blocks(code, begin[chosen] // 2, head["sizes"][chosen], head["present"], head["freq"])
     for i, ids in zip(chosen.tolist(), blocks):
         if zlib.crc32(ids.astype("<u4").tobytes()) != head["sums"][i]:
             raise ValueError(f"block {i} is damaged")
@@ -322,9 +362,17 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
-_CONTROL = np.array([b < 32 or b == 127 for b in range(256)])
-_PUNCTUATION = np.array([32 < b < 127 for b in range(256)]) & ~_ALNUM
+_IS_BLANK, _IS_ALNUM, _IS_PUNCTUATION, _IS_CONTROL, _IS_WIDE = 1, 2, 4, 8, 16
+
+
+def _kind(b: int) -> int:
+    if b >= 128:
+        return _IS_WIDE
+    alnum = chr(b).isalnum()
+    return _IS_BLANK * bool(_BLANK[b]) | _IS_ALNUM * alnum | _IS_PUNCTUATION * (32 < b < 127 and not alnum) | _IS_CONTROL * (b < 32 or b == 127)
+
+
+_KINDS = bytes(map(_kind, range(256)))
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -334,12 +382,12 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     digit, where a run of letters or digits ends; and behind a lone line break."""
     if len(data) < 3:
         return np.unique(offsets[:-1][np.diff(offsets) > 0])
-    space = data == 32
+    kind = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
     mark = np.zeros(len(data), bool)
-    blank = _BLANK[data]
-    mark[1:-1] = space[1:-1] & ~blank[:-2] & ~blank[2:]
-    mark[1:] |= _PUNCTUATION[data[1:]] & _ALNUM[data[:-1]]
-    mark[2:] |= (data[1:-1] == 10) & (data[:-2] < 128) & ~blank[:-2] & (data[2:] < 128) & ~blank[2:] & ~_CONTROL[data[2:]]
+    mark[1:-1] = (data[1:-1] == 32) & ((kind[:-2] | kind[2:]) & _IS_BLANK == 0)
+    mark[1:] |= (kind[1:] >> 1) & kind[:-1] & _IS_ALNUM != 0  # _IS_PUNCTUATION is the bit above
+    line = np.flatnonzero(data[1:-1] == 10)
+    mark[line[((kind[line] & (_IS_BLANK | _IS_WIDE)) | (kind[line + 2] & (_IS_BLANK | _IS_WIDE | _IS_CONTROL))) == 0] + 2] = True
     inner = offsets[1:-1]
     inner = inner[(inner > 0) & (inner < len(data))]
     mark[inner] = True
@@ -353,14 +401,11 @@ _WIDE_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Bank(NamedTuple):
-    """Parts encoded so far, sorted by hash: their bytes in ``raw``, their ids in ``ids``."""
+    """Parts encoded so far, and where their ids stand in ``ids``."""
 
-    hashes: np.ndarray
-    begin: np.ndarray
-    size: np.ndarray
+    parts: pa.BinaryArray
     first: np.ndarray
     number: np.ndarray
-    raw: np.ndarray
     ids: np.ndarray
 
 
@@ -375,10 +420,11 @@ class PartEncoder:
 
     JOINED = 1 << 14  # bytes of parts encoded as one text
     REMEMBER = 1 << 19  # distinct parts kept from earlier chunks
+    SHORT = 64  # most bytes of a part that is kept
 
     def __init__(self, width: np.ndarray):
         none = np.zeros(0, np.int64)
-        self.bank = Bank(none.astype(np.uint64), none, none, none, none, np.zeros(0, np.uint8), np.zeros(0, np.int32))
+        self.bank = Bank(pa.array([], pa.binary()), none, none, np.zeros(0, np.int32))
         self.width = width
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -392,13 +438,17 @@ class PartEncoder:
         raise NotImplementedError
 
     def _encode(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the parts one after the other, ids per part)."""
+        """(ids of the parts one after the other, ids per part); the parts follow one another in ``raw``."""
         size = ends - starts
         length = np.zeros(len(starts), np.int64)
         pools: list[np.ndarray] = [np.zeros(0, np.int32)] * len(starts)
         together = np.flatnonzero(plain)
-        groups = np.split(together, np.flatnonzero(np.diff(size[together].cumsum() // self.JOINED)) + 1) if len(together) else []
-        joined = self.run([b"".join(raw[a:b] for a, b in zip(starts[g].tolist(), ends[g].tolist())) for g in groups])
+        reach = size[together].cumsum()
+        split = np.flatnonzero(np.diff(reach // self.JOINED)) + 1
+        groups = np.split(together, split) if len(together) else []
+        text = np.frombuffer(raw, np.uint8)[np.repeat(plain, size)].tobytes()
+        edge = [0, *reach[split - 1].tolist(), len(text)]
+        joined = self.run([text[a:b] for a, b in zip(edge, edge[1:])]) if groups else []
         alone = np.flatnonzero(~plain).tolist()
         for group, ids in zip(groups, joined):
             reached = self.width[ids].cumsum()
@@ -431,59 +481,47 @@ class PartEncoder:
         before = length.cumsum() - length
         return pool[np.repeat(first - before, length) + np.arange(int(length.sum()))], length
 
-    def _look_up(self, data, hashes, begin, end, plain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _look_up(self, parts: pa.BinaryArray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, number) of the ids of each part in a pool of ids. Parts met in
         earlier chunks are taken from the bank; new ones are encoded and added."""
-        size = end - begin
         known = self.bank
-        at = np.minimum(np.searchsorted(known.hashes, hashes), max(len(known.hashes) - 1, 0))
-        hit = np.zeros(len(hashes), bool) if not len(known.hashes) else (known.hashes[at] == hashes) & (known.size[at] == size)
-        same = np.flatnonzero(hit)
-        if len(same):
-            inside = np.arange(int(size[same].sum())) - np.repeat(size[same].cumsum() - size[same], size[same])
-            differs = data[np.repeat(begin[same], size[same]) + inside] != known.raw[np.repeat(known.begin[at[same]], size[same]) + inside]
-            hit[np.repeat(same, size[same])[differs]] = False
-        new = np.flatnonzero(~hit)
-        ids, length = self._encode(data.tobytes(), begin[new], end[new], plain[new])
-        first, number = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        first[hit], number[hit] = known.first[at[hit]], known.number[at[hit]]
+        at = pc.index_in(parts, value_set=known.parts).fill_null(-1).to_numpy()
+        old, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        fresh = parts.take(pa.array(new))
+        data, offsets = words.flat(fresh)
+        ids, length = self._encode(data.tobytes(), offsets[:-1], offsets[1:], plain[new])
+        first, number = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        first[old], number[old] = known.first[at[old]], known.number[at[old]]
         first[new], number[new] = len(known.ids) + length.cumsum() - length, length
         pool = np.concatenate((known.ids, ids))
-        if len(known.hashes) + len(new) <= self.REMEMBER:
-            grow = size[new]
-            inside = np.arange(int(grow.sum())) - np.repeat(grow.cumsum() - grow, grow)
-            raw = np.concatenate((known.raw, data[np.repeat(begin[new], grow) + inside]))
-            joint = np.concatenate((known.hashes, hashes[new]))
-            order = np.argsort(joint, kind="stable")
-            pick = lambda a, b: np.concatenate((a, b))[order]
+        short = np.flatnonzero(np.diff(offsets) <= self.SHORT)[: max(self.REMEMBER - len(known.parts), 0)]
+        if len(short):
+            kept = np.zeros(len(new), bool)
+            kept[short] = True
+            size = length[short]
             self.bank = Bank(
-                joint[order], pick(known.begin, len(known.raw) + grow.cumsum() - grow), pick(known.size, grow),
-                pick(known.first, first[new]), pick(known.number, length), raw, pool,
-            )
+                pa.concat_arrays([known.parts, fresh.take(pa.array(short))]),
+                np.concatenate((known.first, len(known.ids) + size.cumsum() - size)),
+                np.concatenate((known.number, size)),
+                np.concatenate((known.ids, ids[np.repeat(kept, length)])),
+            )
         return first, number, pool
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
-        n = len(offsets) - 1
         if not len(data):
-            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         starts = self.cut(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        h = words.hashes(data, starts, ends)
-        _, shown, place = np.unique(h, return_index=True, return_inverse=True)
-        size = ends - starts
-        # The hash only groups; equal groups must be equal bytes.
-        same = shown[place]
-        shift = np.repeat((starts[same] - starts).astype(np.int32), size)
-        if (size != size[same]).any() or (data != data[np.arange(len(data), dtype=np.int32) + shift]).any():
-            shown, place = np.arange(len(starts)), np.arange(len(starts))
-        begin, end = starts[shown], ends[shown]
-        first, length, pool = self._look_up(data, h[shown], begin, end, self.joins(data, begin, end, offsets))
-        each = length[place]
-        before = each.cumsum() - each
-        ids = pool[np.repeat(first[place] - before, each) + np.arange(int(each.sum()))]
-        doc = np.searchsorted(offsets, starts, "right") - 1
-        return ids, np.bincount(doc, each, n).astype(np.int64)
+        edges = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        place = coded.indices.to_numpy()
+        shown = np.empty(len(coded.dictionary), np.int64)
+        shown[place[::-1]] = np.arange(len(starts))[::-1]  # where each distinct part comes first
+        first, length, pool = self._look_up(coded.dictionary, self.joins(data, starts[shown], edges[shown + 1], offsets))
+        each = length.take(place)
+        before = np.append(0, each.cumsum())
+        ids = pool[np.repeat(first.take(place) - before[:-1], each) + np.arange(int(before[-1]))]
+        return ids, np.diff(before[np.searchsorted(starts, offsets)])
 
 
 class TextEncoder(PartEncoder):

@@ -92,6 +92,45 @@ def test_repetition_and_skew_are_used():
         tokens.pack([1], np.array([1]), np.array([-1]))
 
 
+def test_few_lanes_send_at_a_step(monkeypatch):
+    """16 bits leave at a time: an id of about 8 bits moves half a lane, not a whole one."""
+    sent, carried = [], []
+    send, carry = tokens.Encoder._send, tokens.Encoder._carry
+    monkeypatch.setattr(tokens.Encoder, "_send", lambda self, lanes: (sent.append(len(lanes)), send(self, lanes)))
+    monkeypatch.setattr(tokens.Encoder, "_carry", lambda self, lanes: (carried.append(len(lanes)), carry(self, lanes)))
+    ids = np.minimum(np.random.default_rng(4).geometric(0.01, 64 * tokens.BLOCK_IDS), 49_999)
+    data = tokens.pack([1], np.array([len(ids)]), ids)
+    assert sum(sent) < 0.6 * len(ids) and sum(carried) > 0
+    assert np.array_equal(np.concatenate(tokens.unpack_blocks(data)[1]), ids)
+
+
+def test_narrowest_intervals_come_back():
+    """Ids that are rare in their file follow long runs, so that both choices take their smallest share."""
+    rng = np.random.default_rng(5)
+    ids = np.full(80 * tokens.BLOCK_IDS, 7)
+    at = np.flatnonzero(rng.random(len(ids)) < 0.02)
+    ids[at] = 100 + np.arange(len(at))
+    data = tokens.pack([1], np.array([len(ids)]), ids)
+    assert np.array_equal(np.concatenate(tokens.unpack_blocks(data)[1]), ids)
+
+
+def test_known_parts_are_not_encoded_again_and_the_bank_is_bounded(tokenizer, monkeypatch):
+    encoder = tokens.TextEncoder(tokens.default_tokenizer())
+    texts = ["one two three, four", "two " + "x" * 500 + " three", "four four one"]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    given, run = [], encoder.run
+    monkeypatch.setattr(encoder, "run", lambda parts: (given.extend(parts), run(parts))[1])
+    assert encoded(encoder, texts) == want
+    assert max(map(len, encoder.bank.parts.to_pylist())) <= encoder.SHORT and len(encoder.bank.ids) == encoder.bank.number.sum()
+    given.clear()
+    assert encoded(encoder, texts[::-1]) == want[::-1]
+    assert given == [b" " + b"x" * 500]
+    encoder.REMEMBER = len(encoder.bank.parts) + 2
+    more = ["five six seven eight", "nine one"]
+    assert encoded(encoder, more) == [e.ids for e in tokenizer.encode_batch(more, add_special_tokens=False)]
+    assert len(encoder.bank.parts) == encoder.REMEMBER
+
+
 def brute(tokenizer, rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     out, before = [], 0
