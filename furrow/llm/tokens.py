@@ -75,7 +75,7 @@ class Mixer:
         self.weights = np.full(lanes * 25, 64 | 32 << 16 | 32 << 32)
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         rows = np.arange(lanes)
-        self.base, self.states = np.stack((rows, rows + lanes)) << SLOTS, (rows * 25).astype(np.int32)
+        self.base, self.states = np.stack((rows, rows + lanes)) << SLOTS, rows * 25
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
         """For the first ``n`` lanes and both orders: places, entries and how sure they
@@ -87,21 +87,20 @@ class Mixer:
         place += self.base[:, :n]
         held = self.table.take(place)
         sure = held & 7
-        state = sure[1] * 5
-        state += sure[0]
-        state += self.states[:n]
+        state = self.states[:n] + (sure[1] * 5 + sure[0])
         return place, held, sure, state, self.weights.take(state)
 
     def learn(self, number: np.ndarray, place, held, sure, state, weights, hit, shift, total) -> None:
         """``number``: rank + 1 of the id that came; ``shift``: 16 times the choice that was right."""
         n = len(number)
-        fresh = np.broadcast_to((number << 3) | 1, held.shape)
-        np.copyto(held, fresh, where=(sure < 2) > hit)
+        replaced = -((sure < 2) > hit).astype(np.int32)  # all bits, or none
         held += (sure < SURE) & hit
         held -= (sure > 1) > hit
+        replaced &= held ^ ((number << 3) | 1)
+        held ^= replaced
         self.table[place] = held
         weights += GAIN << shift
-        large = np.flatnonzero(total > LIMIT - GAIN)
+        large = (total > LIMIT - GAIN).nonzero()[0]
         if len(large):
             weights[large] = ((weights[large] >> 1) & _HALF) + _ONES
         self.weights[state] = weights
@@ -134,8 +133,8 @@ class Encoder:
         start *= unit
         low += start
         np.multiply(unit, size, out=span)
-        self._carry(np.flatnonzero(low >= _WINDOW))
-        move = np.flatnonzero(span < _LEAST)
+        self._carry((low >= _WINDOW).nonzero()[0])
+        move = (span < _LEAST).nonzero()[0]
         while len(move):
             self._send(move)
             move = move[span.take(move) < _LEAST]
@@ -199,7 +198,7 @@ class Decoder:
         start *= span
         code -= start
         span *= size
-        move = np.flatnonzero(span < _LEAST)
+        move = (span < _LEAST).nonzero()[0]
         while len(move):
             place = self.at.take(move)
             code[move] = (code.take(move) << _WORD) | self.data.take(place, mode="clip")
@@ -276,7 +275,7 @@ def decode_blocks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, prese
         guess = held >> 3
         number = steps[t, :n]
         np.add(rank, 1, out=number)
-        known = np.flatnonzero(shift)
+        known = shift.nonzero()[0]
         number[known] = guess[(shift[known] >> 4) - 1, known]
         rank[known] = whole
         coder.take(n, *_parted(intervals.take(rank)))
