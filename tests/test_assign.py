@@ -104,6 +104,50 @@ def test_quadtree_cells_tile_every_field(spark, cell):
         assert not any(r == () for r in tiled[i])
 
 
+@pytest.mark.parametrize("native", [False, True])
+def test_candidates_stay_few_along_a_rim(spark, native):
+    """Hundreds of scenes reach into a cell from one side and none covers it."""
+    rng = random.Random(6)
+    scenes = [(f"s{i:04d}", 32641, 10.0, float(i % 19), 61.0, 39.0, 63.05 + rng.random() * 0.4, 42.0) for i in range(400)]
+    df = spark.createDataFrame(scenes, "scene_id string, epsg int, res double, cloud_cover double, lon_min double, lat_min double, lon_max double, lat_max double")
+    fields = spark.createDataFrame([(i, 63.0 + i * 0.002, 40.3, 63.004 + i * 0.002, 40.31) for i in range(120)], FIELD)
+    if native:
+        index = assign.scene_index(assign.native_extents(df))
+        cells = assign.candidate_cells(index, F.struct("scene_id"), [0.25], kind=["epsg"], tag_covers=assign._tag_native_covers)
+        pairs = assign.with_chip_window(fields.crossJoin(index).where(geometry.boxes_touch(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], *[F.col(c) for c in assign._BOX])))
+        want = pairs.where("chip.width >= 8 and chip.height >= 8").groupBy("field_id").agg(F.min("scene_id").alias("s"))
+        got = assign.assign_first_yielding(fields, index, 8)
+    else:
+        cells = assign.candidate_cells(df, assign._cloud_order(), [0.25])
+        pairs = fields.crossJoin(df).where(geometry.boxes_touch(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], *[F.col(c) for c in assign._BOX]))
+        want = pairs.groupBy("field_id").agg(F.min(F.struct("cloud_cover", "scene_id"))["scene_id"].alias("s"))
+        got = assign.assign_best_scene(fields, df)
+    assert cells.where("cy between 157 and 166").groupBy("cx", "cy").count().agg(F.max("count")).first()[0] <= 30
+    assert {r.field_id: r.scene_id for r in got.collect()} == {r.field_id: r.s for r in want.collect()} != {}
+
+
+def test_fields_of_crowded_cells_are_exact(spark, monkeypatch):
+    """Cells with more scenes than a row lists, or where three zones meet."""
+    rng = random.Random(10)
+    native = [utm_scene(f"s{i:03d}", rng.randrange(300000, 500000, 10), rng.randrange(4300000, 4500000, 10), rng.randrange(2000, 60000, 10), rng.randrange(2000, 60000, 10), 32640 + i % 3) for i in range(60)]
+    raw = spark.createDataFrame(native, "scene_id string, epsg int, res double, nx0 double, ny0 double, nx1 double, ny1 double")
+    index = assign.scene_index(raw.withColumns({c: F.lit(0.0) for c in assign._BOX}).withColumn("epsg", F.lit(32641))).withColumn("cloud_cover", F.lit(1.0)).cache()
+    index = index.withColumn("epsg", (F.lit(32640) + F.substring("scene_id", 2, 3).cast("int") % 3).cast("int"))
+    fields = spark.createDataFrame([(i, x, y, x + 0.01, y + 0.01) for i in range(60) for x, y in [(rng.uniform(61, 64), rng.uniform(38.8, 40.6))]], FIELD)
+
+    def found():
+        first = assign.assign_first_yielding(fields, index, 8, unassigned=True)
+        return sorted(map(str, first.collect())), sorted(map(str, assign.assign_best_scene(fields, index, unassigned=True).collect()))
+
+    rows = found()
+    touching = fields.crossJoin(index).where(geometry.boxes_touch(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], *[F.col(c) for c in assign._BOX]))
+    large = assign.with_chip_window(touching).where("chip.width >= 8 and chip.height >= 8").groupBy("field_id").agg(F.min("scene_id").alias("s"))
+    got = assign.assign_first_yielding(fields, index, 8)
+    assert {r.field_id: r.scene_id for r in got.collect()} == {r.field_id: r.s for r in large.collect()}
+    monkeypatch.setattr(assign, "LISTED", 1)
+    assert found() == rows and len(rows[0]) == len(rows[1]) == 60
+
+
 def utm_scene(scene_id, left, bottom, width, height, epsg=32641, res=10.0):
     return (scene_id, epsg, res, *map(float, (left, bottom, left + width, bottom + height)))
 
