@@ -12,7 +12,7 @@ from furrow.functions.arrays import channel, ndvi, ndvi_as_dn, zero_chip
 from furrow.functions.geometry import pixel_window
 from furrow.operators.columns import with_computed
 from furrow.operators.filters import COARSE_RES, large_enough
-from furrow.session import ship_package
+from furrow.session import checkpointed, ship_package, spread
 
 
 def explode_chips(chips: DataFrame, value: str = "dn") -> DataFrame:
@@ -348,15 +348,37 @@ def block_pieces(windows: DataFrame, blocks: Blocks, size: int, keys: Sequence[s
     return wanted.join(parts, [*place, "_salt"]).join(copied, [*place, "_part"]).drop("_salt", "_part")
 
 
+# Rows that share one copy of a window's pixels.
+ROWS_PER_COPY = 10_000
+
+
 def cut_windows(windows: DataFrame, blocks: Blocks, size: int, keys: Sequence[str] = ("field_id",)) -> DataFrame:
     """Pixels of each window: ``keys, scene_id, band, h, w, px``.
 
     ``windows`` has ``keys, scene_id, col_off, row_off, width, height`` inside the
     scene's grid and is cut from every band of its scene, or from one if it has a
-    column ``band``. ``blocks`` are rasters stored in blocks of ``size``. Each window
-    names the few blocks it meets and is joined to those by key. Only the pixels
-    inside the windows are shuffled on, and a group is one window with its bands.
+    column ``band``. ``blocks`` are rasters stored in blocks of ``size``.
+
+    Rows with one window share its pixels: each window is cut once, or once for every
+    ``ROWS_PER_COPY`` of its rows, and joined back to them. It names the few blocks it
+    meets and is joined to those by key. Only the pixels inside the windows are
+    shuffled on, and a group is one window with its bands.
     """
+    spark = windows.sparkSession
+    window = ["scene_id", *(c for c in ("band",) if c in windows.columns), "row_off", "col_off", "height", "width"]
+    rows = checkpointed(windows.select(*dict.fromkeys([*keys, *window])), spark, "windows")  # read for the windows and for their rows
+    counts = rows.groupBy(*window).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_COPY).cast("int").alias("_copies"))
+    distinct = checkpointed(counts.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))), spark, "distinct-windows")
+    cut = _cut_distinct(spread(distinct.select(*window, "_copy"), *window, "_copy"), blocks, size, [*window, "_copy"])
+    # At most one in ``ROWS_PER_COPY`` rows has a window with several copies: few, and of known size.
+    copies = distinct.where((F.col("_copies") > 1) & (F.col("_copy") == 0)).select(*window, "_copies")
+    dealt = rows.join(copies, window, "left").withColumn("_copy", F.coalesce(F.pmod(F.xxhash64(*keys), F.col("_copies")), F.lit(0)).cast("int"))
+    found = dealt.drop("_copies").join(cut, [*window, "_copy"])
+    return found.select(*keys, "scene_id", "band", F.col("height").alias("h"), F.col("width").alias("w"), "px")
+
+
+def _cut_distinct(windows: DataFrame, blocks: Blocks, size: int, keys: Sequence[str]) -> DataFrame:
+    """``keys, band, px`` of windows that differ in ``keys``, their place among them."""
     pieces = block_pieces(windows, blocks, size, keys)
     top, left = F.col("br") * size, F.col("bc") * size
     y0, y1 = F.greatest(F.col("row_off"), top), F.least(F.col("row_off") + F.col("height"), top + F.col("bh"))
@@ -368,19 +390,17 @@ def cut_windows(windows: DataFrame, blocks: Blocks, size: int, keys: Sequence[st
     cut = F.struct(
         "band", F.col("_y").alias("y"), F.col("_x").alias("x"), F.col("_n").alias("n"), F.transform(F.sequence(F.lit(0), F.col("_n") * F.col("_lines") - 1), pixel).alias("px")
     )
-    whole = (
-        placed.select(*keys, "scene_id", F.col("height").alias("h"), F.col("width").alias("w"), cut.alias("p"))
-        .groupBy(*keys, "scene_id", "h", "w")
-        .agg(F.collect_list("p").alias("_all"))
-        .withColumn("band", F.explode(F.array_distinct("_all.band")))
-        .withColumn("_p", F.filter("_all", lambda p: p["band"].eqNullSafe(F.col("band"))))
-    )
+    whole = placed.select(*keys, cut.alias("p")).groupBy(*keys).agg(F.collect_list("p").alias("_all"))
+    if "band" in keys:
+        whole = whole.withColumnRenamed("_all", "_p")
+    else:
+        whole = whole.withColumn("band", F.explode(F.array_distinct("_all.band"))).withColumn("_p", F.filter("_all", lambda p: p["band"].eqNullSafe(F.col("band"))))
     lines = lambda p: F.transform(
         F.sequence(F.lit(0), (F.size(p["px"]) / p["n"]).cast("int") - 1),
         lambda i: F.struct((p["y"] + i).alias("y"), p["x"].alias("x"), F.slice(p["px"], (i * p["n"] + 1).cast("int"), p["n"].cast("int")).alias("px")),
     )
     sorted_lines = F.sort_array(F.flatten(F.transform("_p", lines)))
-    return whole.select(*keys, "scene_id", "band", "h", "w", F.flatten(F.transform(sorted_lines, lambda v: v["px"])).alias("px"))
+    return whole.select(*dict.fromkeys([*keys, "band"]), F.flatten(F.transform(sorted_lines, lambda v: v["px"])).alias("px"))
 
 
 def clip_tiles(tiles: DataFrame, bbox: Sequence[float]) -> DataFrame:

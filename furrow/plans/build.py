@@ -102,8 +102,6 @@ def build_chips_single(
     windows = band_windows(usable, resolutions, ["field_id"])
     # Windows that cannot become a chip are left before any pixel is read.
     windows = windows.where((F.col("width") >= min_px) & (F.col("height") >= min_px))
-    if callable(blocks):  # read for their places and for their pixels
-        windows = checkpointed(windows, windows.sparkSession, "windows")
     cut = chip_ops.cut_windows(windows, blocks, block_size)
     stacked = chip_ops.stack_bands(cut, list(resolutions), ["field_id"]).join(fields.select("field_id", "tuman_code", "class_idx"), "field_id")
     chips = chip_ops.resize_bilinear(stacked, size)
@@ -128,8 +126,6 @@ def build_chips_windows(
     best = assign.assign_best_scene_windows(fields, scenes, windows, cloud_max, keep=FIELD_BOX, extra=SCENE_BOX)
     usable = best.join(complete_scenes(scenes, list(resolutions)).select("scene_id"), "scene_id", "left_semi")
     wanted = band_windows(usable, resolutions, ["field_id", "window_idx"])
-    if callable(blocks):
-        wanted = checkpointed(wanted, wanted.sparkSession, "windows")
     obs = chip_ops.cut_windows(wanted, blocks, block_size, ["field_id", "window_idx", "res"])
     labels = fields.select("field_id", "tuman_code", "class_idx")
     chips = chip_ops.multitemporal_chips(obs, list(resolutions), len(windows), size, min_px, max_missing, coarse_res=coarse_res, labels=labels)

@@ -142,3 +142,23 @@ def test_a_window_moves_on_once_per_block(spark, stored):
     made = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(sequence")
     assert made(cut) == made(ops.block_pieces(rows, blocks, 8, ["field_id"]))
     assert cut.collect()[0].px == images["a", "B04"][3:12, 2:20].ravel().tolist()
+
+
+@pytest.mark.parametrize("band", [False, True])
+@pytest.mark.parametrize("per_copy,cut", [(10_000, 5), (10, 50)])
+def test_equal_windows_are_cut_once(spark, stored, monkeypatch, band, per_copy, cut):
+    """500 fields share five windows: those are cut, or a copy of each for every so many rows."""
+    images, path = stored
+    rows = [(i, "a", *([("B04", "B08")[i % 2]] if band else []), i % 5, 3, 4, 2 + i % 5) for i in range(500)]
+    windows = spark.createDataFrame(rows, WINDOW if band else WINDOW.replace(" band string,", ""))
+    sizes, pieces = [], ops.block_pieces
+    monkeypatch.setattr(ops, "ROWS_PER_COPY", per_copy)
+    monkeypatch.setattr(ops, "block_pieces", lambda w, *rest: sizes.append(w.count()) or pieces(w, *rest))
+    got = {(r.field_id, r.band): (r.h, r.w, r.px) for r in ops.cut_windows(windows, rasters.read_blocks(spark, path), 8).collect()}
+    assert sizes == [cut * (2 if band and per_copy > 100 else 1)]
+    for i, *_ in rows:
+        for b in [("B04", "B08")[i % 2]] if band else ["B04", "B08"]:
+            h, w = 2 + i % 5, 4
+            part = images["a", b][3 : 3 + h, i % 5 : i % 5 + w]
+            assert got.pop((i, b)) == (h, w, part.ravel().tolist())
+    assert not got
